@@ -6,7 +6,14 @@ from importlib import import_module
 
 #: (module, query function) in the order of the operators.
 _QUERIES = (
+    ("line_dedup", "op1_line_chunks"),
+    ("language_id", "op2_nearest_centroid"),
+    ("substring_dedup", "op3_difference_cover"),
+    ("suffix_dedup", "op4_prefix_free_parsing"),
     ("mixing", "op5_low_discrepancy_mix"),
+    ("fingerprint", "op6_scaled_sketch"),
+    ("token_counts", "op7_finite_state_counts"),
+    ("decontaminate", "op8_prefix_filtered_join"),
     ("sharding", "op9_virtual_slots"),
 )
 
