@@ -44,26 +44,28 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(ord, doc_id, text)``: ``ord`` is a non-null long in the order of doc_id.
+def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
+    """``(ord, doc_id, text)``, with ``rows`` also ``row``, a struct of all columns.
 
-    Where doc_id is unique and not null, it is ``ord`` itself.  Otherwise (checked by one light count) documents
-    are numbered by (doc_id with nulls last, hash of the text); rows that repeat both id and text share a number.
+    ``ord`` is a non-null long in the order of doc_id.  Where doc_id is unique and not null, it is ``ord`` itself.
+    Otherwise (checked by one light count) documents are numbered by (doc_id with nulls last, hash of the text); rows
+    that repeat both id and text share a number.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = d.groupBy("doc_id").agg(F.count("*").alias("n")).agg(
-        F.max(F.when(F.col("doc_id").isNull(), F.lit(2)).otherwise(F.col("n"))).alias("n")
-    ).first()["n"]
-    if n is None or n <= 1:
-        return d.select(F.col("doc_id").alias("ord"), "doc_id", "text")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *whole)
+    if not repeats(d, "doc_id"):
+        return d.select(F.col("doc_id").alias("ord"), *d.columns)
     d = d.withColumn("_h", F.xxhash64("text"))
-    keys = d.groupBy("doc_id", "_h").agg(F.lit(1).alias("_one"))
-    numbered = numbered_rows(keys.drop("_one"), [F.col("doc_id").asc_nulls_last(), F.col("_h").asc()], "ord")
-    n = numbered.alias("n")
-    return (
-        d.alias("d").join(n, F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d._h") == F.col("n._h")))
-        .select("n.ord", "d.doc_id", "d.text")
-    )
+    keys = d.select("doc_id", "_h").distinct()
+    numbered = materialize(numbered_rows(keys, [F.col("doc_id").asc_nulls_last(), F.col("_h").asc()], "ord"), "numbered")
+    n = numbered.select("ord", F.col("doc_id").alias("_i"), F.col("_h").alias("_g"))
+    return d.join(n, d["doc_id"].eqNullSafe(n["_i"]) & (d["_h"] == n["_g"])).drop("_h", "_i", "_g").select("ord", "doc_id", "text", *["row"] * rows)
+
+
+def repeats(df: DataFrame, key: str) -> bool:
+    """Whether a value of ``key`` is null or comes twice."""
+    n = F.when(F.col(key).isNull(), F.lit(2)).otherwise(F.count("*"))
+    return (df.groupBy(key).agg(n.alias("n")).agg(F.max("n")).first()[0] or 0) > 1
 
 
 def numbered_rows(df: DataFrame, order: list, name: str) -> DataFrame:

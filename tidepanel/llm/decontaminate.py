@@ -138,20 +138,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     names = [f"_k{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = names[keep.index(text_col)] if text_col in keep else "_text"
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(id_col).alias("_id"), *[F.col(text_col).cast("string").alias("_text")] * (texts == "_text"))
     parts = list(_parts(items, BROADCAST_WINDOWS))
     vocabulary = np.unique(np.concatenate([p.vocabulary for p in parts]))
-    counts = _count_words(rows, vocabulary) if len(vocabulary) else {}
+    counts = _count_words(rows.select(F.col(texts).alias("text")), vocabulary) if len(vocabulary) else {}
     for p in parts:
         p.index(counts)
     shared = [spark.sparkContext.broadcast(p) for p in parts]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
 
     def joined(batches):
         for pdf in batches:
-            texts = list(pdf["text"])
-            for i, j in slices(texts):
-                text = _Words(texts[i:j])
+            whole = list(pdf[texts])
+            for i, j in slices(whole):
+                text = _Words(whole[i:j])
                 hit = np.zeros(len(text.hash), bool)
                 found: list[set] = [set() for _ in range(j - i)]
                 for b in shared:
@@ -169,10 +170,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
                 for s, e in zip(np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after), strict=True):
                     spans[doc[s]].append([int(s - text.first[doc[s]]), int(e + 1 - text.first[doc[s]])])
                 n_hit = np.bincount(doc[hit], minlength=j - i).astype(np.int64)
-                yield pdf.iloc[i:j].assign(n_words=text.count, n_hit=n_hit, items=[sorted(x) for x in found], spans=spans, contaminated=(n_hit > 0) & (20 * n_hit >= text.count))
+                yield pdf.iloc[i:j].drop(columns=["_text"], errors="ignore").assign(n_words=text.count, n_hit=n_hit, items=[sorted(x) for x in found], spans=spans, contaminated=(n_hit > 0) & (20 * n_hit >= text.count))
 
     out = rows.mapInPandas(joined, f"{fields}, n_words long, n_hit long, items array<string>, spans array<array<long>>, contaminated boolean")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *[c for c in ("doc_id", "n_words", "n_hit", "items", "spans", "contaminated") if c not in keep])
+    names_out = [F.col(n).alias(c) for n, c in zip(names, keep, strict=True) if c != "doc_id"]
+    return out.select(F.col("_id").alias("doc_id"), *names_out, "n_words", "n_hit", "items", "spans", "contaminated")
 
 
 def op8_prefix_filtered_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,7 +183,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = [f"_k{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    texts = names[keep.index(text_col)] if text_col in keep else "_text"
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(id_col).alias("_id"), *[F.col(text_col).cast("string").alias("_text")] * (texts == "_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
 
     def predicted(batches):
@@ -191,11 +192,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for pdf in batches:
             for a in range(0, len(pdf), 256):
                 part = pdf.iloc[a : a + 256].reset_index(drop=True)
-                lang, score, rejected = m.score(list(part["_text"]))
-                yield part.drop(columns="_text").assign(lang_pred=lang, score=score.astype(float), rejected=rejected)
+                lang, score, rejected = m.score(list(part[texts]))
+                yield part.drop(columns=["_text"], errors="ignore").assign(lang_pred=lang, score=score.astype(float), rejected=rejected)
 
     out = rows.mapInPandas(predicted, f"{fields}, lang_pred string, score double, rejected boolean")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "doc_id", "lang_pred", "score", "rejected")
+    names_out = [F.col(n).alias(c) for n, c in zip(names, keep, strict=True) if c != "doc_id"]
+    return out.select(F.col("_id").alias("doc_id"), *names_out, "lang_pred", "score", "rejected")
 
 
 def held_out() -> F.Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidepanel.llm._shared import materialize, word_count
+from tidepanel.llm._shared import keep_ids, materialize, ordered, word_count
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 1024
@@ -133,6 +133,16 @@ def mix(
     return taken.unionByName(nothing).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it whole (a document cut at a target counts from a half on)."""
+    d = ordered(docs, id_col, text_col, rows=True)
+    taken = mix(d.select(F.col("ord").alias("doc_id"), "text", F.col("row")[source_col].alias("source")), **options)
+    times = F.round(F.try_divide(F.col("taken").cast("double"), F.col("size"))).cast("int")
+    times = taken.groupBy(F.col("doc_id").alias("ord")).agg(F.max(times).alias("times")).where("times > 0")
+    times = materialize(times, "times")
+    return keep_ids(d.select("ord", "row"), times, "ord").select(F.explode(F.expr("array_repeat(row, times)")).alias("row")).select("row.*")
+
+
 def op5_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "source", "size", "source_size", F.round("target", 3).alias("target"), "taken")

@@ -15,6 +15,7 @@ _QUERIES = (
     ("token_counts", "op7_finite_state_counts"),
     ("decontaminate", "op8_prefix_filtered_join"),
     ("sharding", "op9_virtual_slots"),
+    ("jaccard_join", "op10_chosen_path"),
 )
 
 
