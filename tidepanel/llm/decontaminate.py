@@ -6,8 +6,8 @@ over all documents.  Document words are joined with these prefix words; the word
 bound) and the room left in the document (length bound) give the only place where the window can be; there all words
 are compared, first by hash and then by their bytes.
 
-The benchmark's windows are broadcast while their count, which is taken first, is at most ``BROADCAST_WINDOWS``; a
-larger benchmark is dealt into parts of that size, each of which meets all documents in turn.
+The benchmark's windows are broadcast while its words, which are counted first, number at most ``BROADCAST_WINDOWS``.
+A larger benchmark is dealt into parts of about that size, one of which at a time meets all documents.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.llm._shared import materialize, ordered
 from tidepanel.llm._text import covered, join_texts, run_hashes, slices, word_bounds, word_hashes
 
 WINDOW = 13
@@ -117,62 +118,121 @@ def _count_words(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     return {int(vocabulary[r["word"]]): r["n"] for r in got}
 
 
-def _parts(benchmark: DataFrame, most: int) -> list[Windows]:
-    """The benchmark's windows in parts of bounded size: items are counted, then dealt by their hash."""
-    spaced = F.translate(F.lower("text"), "\t\n\r", "   ")
-    bound = benchmark.agg(F.sum(F.size(F.split(spaced, "[^a-z0-9\\x{80}-\\x{10FFFF}]+"))).alias("n")).first()["n"] or 0
-    n = max(1, -(-bound // most))
+def _parts(benchmark: DataFrame, most: int) -> int:
+    """How many parts of at most about ``most`` windows the benchmark is dealt into; its words are counted first."""
+    n = F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))
+    return max(1, -(-(benchmark.agg(n.alias("n")).first()["n"] or 0) // most))
+
+
+def _part(benchmark: DataFrame, k: int, n: int, texts: DataFrame) -> Windows:
+    """The windows of one part of the items, their words ordered by rarity."""
+    rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+    w = Windows([(r["item_id"], r["text"]) for r in rows])
+    w.index(_count_words(texts, w.vocabulary) if len(w.vocabulary) else {})
+    return w
+
+
+def _finished(part: pd.DataFrame, text: _Words, start: np.ndarray, end: np.ndarray, found: list) -> pd.DataFrame:
+    """Counts, spans and the verdict from the places of windows."""
+    hit = covered(start, end, len(text.hash)) if len(start) else np.zeros(len(text.hash), bool)
+    doc = text.doc
+    same = doc[1:] == doc[:-1]
+    begins, ends = hit.copy(), hit.copy()
+    begins[1:] &= ~(hit[:-1] & same)
+    ends[:-1] &= ~(hit[1:] & same)
+    spans: list[list] = [[] for _ in found]
+    for s, e in zip(np.flatnonzero(begins), np.flatnonzero(ends), strict=True):
+        spans[doc[s]].append([int(s - text.first[doc[s]]), int(e + 1 - text.first[doc[s]])])
+    n_hit = np.bincount(doc[hit], minlength=len(found)).astype(np.int64)
+    return part.assign(n_words=text.count, n_hit=n_hit, items=[sorted(x) for x in found], spans=spans, contaminated=(n_hit > 0) & (20 * n_hit >= text.count))
+
+
+FOUND = "n_words long, n_hit long, items array<string>, spans array<array<long>>, contaminated boolean"
+
+
+def _at_once(rows: DataFrame, texts: str, items: DataFrame) -> DataFrame:
+    """The benchmark is small: its windows are broadcast, documents stay where they are."""
+    windows = _part(items, 0, 1, rows.select(F.col(texts).alias("text")))
+    shared = rows.sparkSession.sparkContext.broadcast(windows)
+
+    def joined(batches):
+        w = shared.value
+        for pdf in batches:
+            whole = list(pdf[texts])
+            for i, j in slices(whole):
+                text = _Words(whole[i:j])
+                none = np.zeros(0, np.int64)
+                start, window = w.occurrences(text) if w.words else (none, none)
+                found: list[set] = [set() for _ in range(j - i)]
+                for d, k in zip(text.doc[start], window, strict=True):
+                    found[d].update(w.items[k])
+                yield _finished(pdf.iloc[i:j].drop(columns=["_text"], errors="ignore"), text, start, start + w.width[window] if w.words else none, found)
+
+    return rows.mapInPandas(joined, f"{_fields(rows)}, {FOUND}")
+
+
+def _by_parts(rows: DataFrame, texts: str, items: DataFrame, n: int) -> DataFrame:
+    """The benchmark is large: one part after the other meets all documents and leaves a table of places."""
+    spark = rows.sparkSession
+    d = ordered(rows, "_id", texts, rows=True)
+    places = None
     for k in range(n):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield Windows([(r["item_id"], r["text"]) for r in rows])
+        windows = _part(items, k, n, d.select("text"))
+        if not windows.words:
+            continue
+        shared = spark.sparkContext.broadcast(windows)
+
+        def matched(batches, shared=shared):
+            w = shared.value
+            for pdf in batches:
+                whole = list(pdf["text"])
+                for i, j in slices(whole):
+                    text = _Words(whole[i:j])
+                    start, window = w.occurrences(text)
+                    at = start - text.first[text.doc[start]]
+                    ords = pdf["ord"].to_numpy()[i:j][text.doc[start]]
+                    yield pd.DataFrame({"ord": ords, "start": at, "end": at + w.width[window], "items": pd.Series([w.items[x] for x in window], dtype=object)})
+
+        got = materialize(d.select("ord", "text").mapInPandas(matched, "ord long, start long, end long, items array<string>"), f"places{k}")
+        shared.destroy()
+        places = got if places is None else places.unionByName(got)
+    if places is None:
+        return _at_once(rows, texts, items.limit(0))
+    # A document's places number its words times the parts at most.
+    places = places.groupBy("ord").agg(F.collect_set(F.struct("start", "end")).alias("places"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("found"))
+    joined = d.join(places, "ord", "left").select("row.*", F.col("text").alias("_whole"), "places", "found")
+
+    def finished(batches):
+        for pdf in batches:
+            whole = list(pdf["_whole"])
+            for i, j in slices(whole):
+                text = _Words(whole[i:j])
+                at = [(text.first[k] + p["start"], text.first[k] + p["end"]) for k, ps in enumerate(pdf["places"].iloc[i:j]) if ps is not None for p in ps]
+                start, end = np.array(at, np.int64).reshape(-1, 2).T
+                found = [set(x) if x is not None else set() for x in pdf["found"].iloc[i:j]]
+                yield _finished(pdf.iloc[i:j].drop(columns=["_whole", "places", "found", "_text"], errors="ignore"), text, start, end, found)
+
+    return joined.mapInPandas(finished, f"{_fields(rows)}, {FOUND}")
+
+
+def _fields(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``keep`` columns and ``(doc_id, n_words, n_hit, items, spans, contaminated)`` for every whole text.
+    """``(doc_id, n_words, n_hit, items, spans, contaminated)`` and the ``keep`` columns for every whole text.
 
     ``items`` are the ids, as sorted strings, of items with a window in the text; ``spans`` the maximal runs of hit
     words.  A text is contaminated if a word is hit and at least a twentieth of all are.  Null texts and items have no
     words; null item ids are left out; repeated items count once by id; repeated rows are separate documents; empty
     tables give empty or clean results; other columns are ignored.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     names = [f"_k{i}" for i in range(len(keep))]
     texts = names[keep.index(text_col)] if text_col in keep else "_text"
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(id_col).alias("_id"), *[F.col(text_col).cast("string").alias("_text")] * (texts == "_text"))
-    parts = list(_parts(items, BROADCAST_WINDOWS))
-    vocabulary = np.unique(np.concatenate([p.vocabulary for p in parts]))
-    counts = _count_words(rows.select(F.col(texts).alias("text")), vocabulary) if len(vocabulary) else {}
-    for p in parts:
-        p.index(counts)
-    shared = [spark.sparkContext.broadcast(p) for p in parts]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
-
-    def joined(batches):
-        for pdf in batches:
-            whole = list(pdf[texts])
-            for i, j in slices(whole):
-                text = _Words(whole[i:j])
-                hit = np.zeros(len(text.hash), bool)
-                found: list[set] = [set() for _ in range(j - i)]
-                for b in shared:
-                    w = b.value
-                    if not w.words:
-                        continue
-                    start, window = w.occurrences(text)
-                    hit |= covered(start, start + w.width[window], len(hit))
-                    for d, k in zip(text.doc[start], window, strict=True):
-                        found[d].update(w.items[k])
-                doc = text.doc
-                before = np.concatenate(([False], hit[:-1] & (doc[1:] == doc[:-1]))) if len(hit) else hit
-                after = np.concatenate((hit[1:] & (doc[1:] == doc[:-1]), [False])) if len(hit) else hit
-                spans: list[list] = [[] for _ in range(j - i)]
-                for s, e in zip(np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after), strict=True):
-                    spans[doc[s]].append([int(s - text.first[doc[s]]), int(e + 1 - text.first[doc[s]])])
-                n_hit = np.bincount(doc[hit], minlength=j - i).astype(np.int64)
-                yield pdf.iloc[i:j].drop(columns=["_text"], errors="ignore").assign(n_words=text.count, n_hit=n_hit, items=[sorted(x) for x in found], spans=spans, contaminated=(n_hit > 0) & (20 * n_hit >= text.count))
-
-    out = rows.mapInPandas(joined, f"{fields}, n_words long, n_hit long, items array<string>, spans array<array<long>>, contaminated boolean")
+    n = _parts(items, BROADCAST_WINDOWS)
+    out = _at_once(rows, texts, items) if n == 1 else _by_parts(rows, texts, items, n)
     names_out = [F.col(n).alias(c) for n, c in zip(names, keep, strict=True) if c != "doc_id"]
     return out.select(F.col("_id").alias("doc_id"), *names_out, "n_words", "n_hit", "items", "spans", "contaminated")
 
