@@ -28,9 +28,10 @@ class Rounds:
     """
 
     def __init__(self, docs: DataFrame):
-        self.n = 2 * partitions(docs.sparkSession)
-        self.buckets = self.n
-        blocks = prime_at_least(self.n)
+        n = partitions(docs.sparkSession)
+        # Two blocks a partition bound what a task holds; messages number blocks x buckets, so buckets are fewer.
+        self.buckets = max(4, n // 2)
+        blocks = prime_at_least(2 * n)
         self.docs = docs.withColumn("block", F.pmod("ord", F.lit(blocks)).cast("int"))
 
     def run(self, one, answer1, two, answer2, last, schema: str) -> DataFrame:
