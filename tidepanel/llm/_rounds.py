@@ -72,8 +72,8 @@ def by_bucket(hashes: np.ndarray, n: int):
     at = bucket_of(hashes, n)
     order = np.argsort(at, kind="stable")
     at = at[order]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    return order, list(zip(at[first].tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=True))
+    first = np.flatnonzero(np.diff(at, prepend=-1)).tolist()
+    return order, [(int(at[i]), i, j) for i, j in zip(first, [*first[1:], len(at)], strict=False)]
 
 
 def _messages(block: int, n: int, asked) -> pd.DataFrame:
