@@ -78,6 +78,8 @@ ENTRIES = {
     "port_compare": (compared, f"WITH {BARS}, {MONTHLY}, c AS (SELECT date FROM mo WHERE act_symbol = 'S000001' INTERSECT SELECT date FROM mo WHERE act_symbol = 'S000002'), r AS (SELECT act_symbol, date, ln(close / lag(close) OVER (PARTITION BY act_symbol ORDER BY date)) AS lr FROM mo SEMI JOIN c USING (date) WHERE act_symbol IN ('S000001', 'S000002')) SELECT a.date, round(a.lr + 1e-8, 6) + 0.0 AS log_ret_self, round(b.lr + 1e-8, 6) + 0.0 AS log_ret_stock, round(a.lr - b.lr + 1e-8, 6) + 0.0 AS diff FROM r a JOIN r b ON a.date = b.date AND a.act_symbol = 'S000001' AND b.act_symbol = 'S000002'"),
     "port_mix": (lambda s, d: rounded(M.mix(monthly(s, d), THREE), "open", "high", "low", "close", "volume", "log_ret"), f"WITH {BARS}, {MONTHLY}, {SUMMED} SELECT date, {q6('open', 'high', 'low', 'close', 'volume', 'log_ret')} FROM mx"),
     "port_against_mix": (against, f"WITH {BARS}, {MONTHLY}, {SUMMED}, {RETS} SELECT date, round(sum(r.log_ret - mx.log_ret) OVER (ORDER BY date) + 1e-8, 6) + 0.0 AS relative FROM (SELECT * FROM mr WHERE act_symbol = 'S000001') r JOIN mx USING (date)"),
+    "port_against_mean": (lambda s, d: rounded(M.against_mean(monthly(s, d), THREE, "S000003"), "relative"), f"WITH {BARS}, {MONTHLY}, {SUMMED}, {RETS} SELECT date, round(sum(r.log_ret - mx.log_ret) OVER (ORDER BY date) + 1e-8, 6) + 0.0 AS relative FROM (SELECT * FROM mr WHERE act_symbol = 'S000003') r JOIN mx USING (date)"),
+    "port_percent_change": (lambda s, d: P.bars(s, d).select("act_symbol", "date", r6(M.percent_change()).alias("pct_change")), f"WITH {BARS} SELECT act_symbol, date, round(close / lag(close) OVER (PARTITION BY act_symbol ORDER BY date) - 1 + 1e-8, 6) + 0.0 AS pct_change FROM bars"),
     "port_cumulative": (lambda s, d: rounded(M.cumulative(M.chop(prepare(P.bars(s, d)), "1995-01-01", "1996-12-31")).select("act_symbol", "date", "cum_ret"), "cum_ret"), f"WITH {BASE} SELECT act_symbol, date, round(sum(log_ret) OVER (PARTITION BY act_symbol ORDER BY date) + 1e-8, 6) + 0.0 AS cum_ret FROM b WHERE date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'"),
     "option_black_scholes": (black_scholes, BS),
     "option_contract_returns": (contracts, CONTRACTS),

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from tidepanel.catalog.base import BARS, BASE, ETFS, MARKET, r6
 from tidepanel.operators.asof import asof
-from tidepanel.plans.features import join_market, prepare
+from tidepanel.plans.features import join_market, listing, prepare
 from tidepanel.sources import panel as P
 from tidepanel.sources import scans as S
 from tidepanel.streaming.bars import minute_bars
@@ -68,3 +68,4 @@ ENTRIES["quantiles_of_sums"] = (
     f"WITH {BASE}, x AS (SELECT CASE WHEN count(log_ret) OVER w = 30 THEN sum(log_ret) OVER w END AS r30 FROM b WINDOW w AS (PARTITION BY act_symbol ORDER BY date ROWS 29 PRECEDING)) SELECT "
     + ", ".join(f"round(quantile_cont(r30, {q}) + 1e-8, 6) + 0.0 AS p{int(q * 100)}" for q in (0.05, 0.5, 0.95)) + ", round(avg(r30) + 1e-8, 6) + 0.0 AS mean, round(stddev_pop(r30) + 1e-8, 6) + 0.0 AS sd FROM x",
 )
+ENTRIES["feature_registry"] = (lambda s, d: listing(s), None)

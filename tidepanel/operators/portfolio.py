@@ -68,3 +68,13 @@ def against_mix(stock: DataFrame, mixed: DataFrame) -> DataFrame:
     """``(date, relative)``: the running sum of the stock's return less the mix's."""
     j = stock.select("date", F.col("log_ret").alias("s")).join(mixed.select("date", F.col("log_ret").alias("m")), "date")
     return j.select("date", F.sum(F.col("s") - F.col("m")).over(by_day().rowsBetween(W.unboundedPreceding, 0)).alias("relative"))
+
+
+def against_mean(portfolio: DataFrame, members: list[str], stock: str) -> DataFrame:
+    """A member against the equal mix of all of them."""
+    own = portfolio.where(F.col("act_symbol") == stock).select("date", F.ln(F.col("close") / F.lag("close").over(by_day())).alias("log_ret"))
+    return against_mix(own, mix(portfolio, members))
+
+
+def percent_change(column: str = "close") -> F.Column:
+    return F.try_divide(F.col(column), F.lag(column).over(by_member())) - 1

@@ -89,6 +89,12 @@ def register_feature(name: str, inputs: tuple[str, ...], kernel: Callable, perio
     REGISTRY[name] = Feature(tuple(inputs), kernel, period, "recursive" if recursive else "window", tuple(outputs))
 
 
+def listing(spark) -> DataFrame:
+    """``(name, kind, inputs, outputs, period, has_timeperiod)`` of all registered features."""
+    rows = [(n, f.kind, list(f.inputs), list(f.outputs), f.period, f.period > 0) for n, f in sorted(REGISTRY.items())]
+    return spark.createDataFrame(rows, "name string, kind string, inputs array<string>, outputs array<string>, period int, has_timeperiod boolean")
+
+
 @dataclass
 class FeatureRequest:
     """What to compute.  ``shift`` below 0 lags and makes a feature (F); 0 and above leads and makes a target (T)."""
