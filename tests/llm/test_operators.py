@@ -72,6 +72,41 @@ def test_strings_of_odd_texts(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in got} == want
 
 
+def rounds_by_hand(mod, pdf, blocks, n=4):
+    """The two rounds of an operator over blocks, without Spark."""
+    from tidepanel.llm import _rounds as R
+
+    parts = [pdf[pdf["ord"] % blocks == b] for b in range(blocks)]
+    parts = [R._sorted(p) for p in parts if len(p)]
+
+    def turn(ask, answer):
+        asked = [R._messages(b, n, ask(b)) for b in range(len(parts))]
+        told = [{} for _ in parts]
+        for bucket in range(n):
+            mine = [(b, m[m.bucket == bucket].payload.iloc[0]) for b, m in enumerate(asked) if (m.bucket == bucket).any()]
+            for (b, _), x in zip(mine, answer([p for _, p in mine]) if mine else []):
+                if x:
+                    told[b][bucket] = x
+        return told
+
+    one = turn(lambda b: mod._ask_grams(parts[b]), mod._asked_where)
+    two = turn(lambda b: mod._ask_surroundings(n)(parts[b], one[b]), mod._answer)
+    return [mod._remove(n)(p, one[b], two[b]) for b, p in enumerate(parts)]
+
+
+@pytest.mark.parametrize("hot", [0, 2, 1000])
+def test_strings_by_heat(monkeypatch, docs, hot):
+    import pandas as pd
+
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = docs[:120] + [(9000, "ab" * 900), (9001, "\0" * 700 + "\1" * 300), (9002, "\0" * 450)]
+    want = brute.strings(rows)
+    pdf = pd.DataFrame({"ord": [d for d, _ in rows], "doc_id": [d for d, _ in rows], "text": [t for _, t in rows]})
+    for out in rounds_by_hand(suffix_dedup, pdf, 7):
+        for r in out.itertuples(index=False):
+            assert (r.n_bytes, r.n_removed, r.n_spans, brute.sha(r.kept)) == want[r.doc_id]
+
+
 def test_triggers_are_in_every_window():
     import pandas as pd
 

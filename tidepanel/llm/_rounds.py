@@ -94,14 +94,15 @@ def _answering(answer, turn: int):
     return fn
 
 
-def read_bits(hashes: np.ndarray, n: int, answers: dict[int, bytes]) -> np.ndarray:
-    """Per hash the bit that its bucket has answered."""
+def read_bits(hashes: np.ndarray, n: int, answers: dict[int, bytes], rows: int = 1) -> np.ndarray:
+    """Per hash the bit that its bucket has answered; with ``rows``, so many bits, each row packed on its own."""
     order, groups = by_bucket(hashes, n)
-    out = np.zeros(len(hashes), bool)
+    out = np.zeros((rows, len(hashes)), bool)
     for b, i, j in groups:
         if b in answers:
-            out[order[i:j]] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=j - i).astype(bool)
-    return out
+            got = np.frombuffer(answers[b], np.uint8).reshape(rows, -1)
+            out[:, order[i:j]] = np.unpackbits(got, axis=1, count=j - i)
+    return out if rows > 1 else out[0]
 
 
 def write_bits(bits: np.ndarray) -> bytes:

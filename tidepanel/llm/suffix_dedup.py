@@ -7,7 +7,10 @@ and a prefix of the parse from the trigger on.  Triggers whose gram occurs once
 distinct surroundings, taken once a block however often they repeat, are sorted twice: backwards from the trigger and
 forwards from it.  The two orders with the common lengths of neighbours give, for every split l + (LENGTH - l), which
 strings have an equal one: both their dictionary suffix and their parse prefix fall into the same run of the order.
-Bytes are compared, not hashes.
+Here bytes are compared, not hashes.
+
+A gram that more than ``HOT`` blocks have would bring ever more surroundings to one bucket.  The strings around such a
+gram are dealt by their own hashes (96 bits with the place of the trigger), each distinct one once a block.
 """
 
 from __future__ import annotations
@@ -20,14 +23,16 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import _rounds as R
 from tidepanel.llm._shared import ordered
-from tidepanel.llm._text import BASE, BYTE_CODES, covered, join_texts, mix, powers, prefix_sums
+from tidepanel.llm._text import BASE, BASE2, BYTE_CODES, covered, join_texts, mix, powers, prefix_sums
 
 LENGTH = 200
 GRAM = 64
 #: Bytes of a string that may lie before its trigger.
 LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
-STEP = 1 << 19
+STEP = 1 << 17
+#: Beyond so many blocks that have a gram, its surroundings do not meet in one bucket.
+HOT = 512
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -78,13 +83,14 @@ class _Phrases:
         return at, np.concatenate(grams)[first]
 
     def surroundings(self, answers: dict[int, bytes], n: int):
-        """Repeated triggers; the surroundings of each, by number; the distinct ones, their grams and counts.
+        """Repeated triggers; the surroundings of each, by number; the distinct ones, their grams, counts and heat.
 
         A surrounding is LEFT bytes backwards from the trigger, then LENGTH bytes from it on, each plus 1 (no UTF-8
         byte is 255), and 0 beyond the document.
         """
-        again = (R.read_bits(self.distinct, n, answers) | (self.counts > 1))[self.own]
-        at, doc, gram = self.at[again], self.doc[again], self.gram[again]
+        elsewhere, often = R.read_bits(self.distinct, n, answers, 2)
+        again = (elsewhere | (self.counts > 1))[self.own]
+        at, doc, gram, hot = self.at[again], self.doc[again], self.gram[again], often[self.own][again]
         rows = np.zeros((len(at), WIDTH), np.uint8)
         back, on = -1 - np.arange(LEFT), np.arange(LENGTH)
         for a in range(0, len(at), 4096):
@@ -94,9 +100,14 @@ class _Phrases:
             i = t + on
             rows[a : a + 4096, LEFT:] = np.where(i < self.end[d], self.buf[np.minimum(i, len(self.buf) - 1)] + 1, 0)
         if not len(at):
-            return at, doc, np.zeros(0, np.int64), rows, gram, np.zeros(0, np.int64)
+            return at, np.zeros(0, np.int64), rows, gram, np.zeros(0, np.int64), hot
         _, first, own, counts = np.unique(rows.view(f"V{WIDTH}").ravel(), return_index=True, return_inverse=True, return_counts=True)
-        return at, doc, own, rows[first], gram[first], counts
+        # Cold ones first, as their messages come first.
+        order = np.argsort(hot[first], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first = first[order]
+        return at, place[own], rows[first], gram[first], counts[order], hot[first]
 
 
 def _ask_grams(pdf):
@@ -104,15 +115,78 @@ def _ask_grams(pdf):
     return distinct, lambda at: distinct[at].tobytes()
 
 
+def _strings(rows: np.ndarray):
+    """The distinct strings in hot surroundings.
+
+    Hashes and checks of each; the surrounding and the bytes before the trigger of every occurrence, and its string.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(rows):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), none, none, none
+    n_left, n_right = (rows[:, :LEFT] > 0).sum(axis=1), (rows[:, LEFT:] > 0).sum(axis=1)
+    before = np.arange(LEFT + 1)
+    valid = (n_left[:, None] >= before) & (n_right[:, None] >= LENGTH - before)
+    found = []
+    for base in (BASE, BASE2):
+        out = np.empty(valid.shape, np.uint64)
+        for a in range(0, len(rows), 1024):
+            part = np.concatenate((rows[a : a + 1024, LEFT - 1 :: -1], rows[a : a + 1024, LEFT:]), axis=1) if LEFT else rows[a : a + 1024]
+            s = np.zeros((len(part), WIDTH + 1), np.uint64)
+            np.cumsum(BYTE_CODES[part] * powers(base, WIDTH)[0], axis=1, out=s[:, 1:])
+            begin = LEFT - before
+            out[a : a + 1024] = mix((s[:, begin + LENGTH] - s[:, begin]) * powers(base, LEFT + 1)[1][begin] + mix(before.astype(np.uint64) + np.uint64(1)))
+        found.append(out[valid])
+    h, check = found[0], (found[1] >> np.uint64(32)).astype(np.uint32)
+    of, at = np.nonzero(valid)
+    order = np.lexsort((check, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])
+    own = np.empty(len(h), np.int64)
+    own[order] = np.cumsum(new) - 1
+    return h[order[new]], check[order[new]], of, at, own
+
+
+def _asked_where(payloads: list[bytes]) -> list[bytes]:
+    """For payloads of distinct grams two rows of bits: which ones others have too, and which more than ``HOT`` have."""
+    sizes = [len(p) // 8 for p in payloads]
+    _, own, times = np.unique(np.frombuffer(b"".join(payloads), np.uint64), return_inverse=True, return_counts=True)
+    times = np.split(times[own], np.cumsum(sizes)[:-1])
+    return [np.packbits(t > 1).tobytes() + np.packbits(t > HOT).tobytes() if (t > 1).any() else b"" for t in times]
+
+
 def _ask_surroundings(n):
     def ask(pdf, answers):
-        _, _, _, rows, gram, _ = _Phrases(pdf).surroundings(answers, n)
+        _, _, rows, gram, _, hot = _Phrases(pdf).surroundings(answers, n)
+        cold = int((~hot).sum())
+        h, check, _, _, _ = _strings(rows[cold:])
         pack = zstandard.ZstdCompressor(3).compress
-        return gram, lambda at: pack(rows[at].tobytes())
+
+        def payload(at):
+            c, w = at[at < cold], at[at >= cold] - cold
+            return np.uint32(len(c)).tobytes() + pack(rows[c].tobytes() + h[w].tobytes() + check[w].tobytes())
+
+        return np.concatenate((gram[:cold], h)), payload
 
     return ask
 
 
+def _answer(payloads: list[bytes]) -> list[bytes]:
+    """Per payload two bytes a surrounding, then a bit a string, see :func:`_equal_strings`."""
+    raw = [(int(np.frombuffer(p, np.uint32, 1)[0]), zstandard.ZstdDecompressor().decompress(p[4:])) for p in payloads]
+    ranges = _equal_strings([r[: k * WIDTH] for k, r in raw])
+    rest = [(r[k * WIDTH :], (len(r) - k * WIDTH) // 12) for k, r in raw]
+    h = np.concatenate([np.frombuffer(r, np.uint64, m) for r, m in rest])
+    check = np.concatenate([np.frombuffer(r, np.uint32, m, 8 * m) for r, m in rest])
+    order = np.lexsort((check, h))
+    same = np.zeros(len(h), bool)
+    same[1:] = (h[order[1:]] == h[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
+    same[:-1] |= same[1:]
+    shared = np.empty(len(h), bool)
+    shared[order] = same
+    bits = np.split(shared, np.cumsum([m for _, m in rest])[:-1])
+    return [x.tobytes() + np.packbits(b).tobytes() if x.any() or b.any() else b"" for x, b in zip(ranges, bits, strict=True)]
+
+
 def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted order of byte rows, and how many bytes each shares with the one before it."""
     order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
@@ -121,9 +195,8 @@ def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def _equal_strings(payloads: list[bytes]) -> list[bytes]:
+def _equal_strings(raw: list[bytes]) -> list[np.ndarray]:
     """Per surrounding two bytes: 1 + the least and the most bytes before the trigger of strings that repeat, or 0, 0."""
-    raw = [zstandard.ZstdDecompressor().decompress(p) for p in payloads]
     sizes = [len(r) // WIDTH for r in raw]
     rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, WIDTH)
     k = len(rows)
@@ -148,18 +221,29 @@ def _equal_strings(payloads: list[bytes]) -> list[bytes]:
             hit = some[order[same]]
             out[hit, 0] = np.where(out[hit, 0] == 0, before + 1, out[hit, 0])
             out[hit, 1] = before + 1
-    return [x.tobytes() if x.any() else b"" for x in np.split(out, np.cumsum(sizes)[:-1])]
+    return np.split(out, np.cumsum(sizes)[:-1])
 
 
 def _remove(n):
     def last(pdf, answers1, answers2):
         text = _Phrases(pdf)
-        at, doc, own, rows, gram, counts = text.surroundings(answers1, n)
-        told = np.zeros((len(rows), 2), np.int64)
-        order, groups = R.by_bucket(gram, n)
+        at, own, rows, gram, counts, heat = text.surroundings(answers1, n)
+        cold = int((~heat).sum())
+        h, _, of, before, string = _strings(rows[cold:])
+        told, again = np.zeros((len(rows), 2), np.int64), np.bincount(string, weights=counts[cold:][of], minlength=len(h)) > 1
+        order, groups = R.by_bucket(np.concatenate((gram[:cold], h)), n)
         for b, i, j in groups:
             if b in answers2:
-                told[order[i:j]] = np.frombuffer(answers2[b], np.uint8).reshape(-1, 2)
+                mine = order[i:j]
+                c, w = mine[mine < cold], mine[mine >= cold] - cold
+                told[c] = np.frombuffer(answers2[b], np.uint8, 2 * len(c)).reshape(-1, 2)
+                again[w] |= np.unpackbits(np.frombuffer(answers2[b][2 * len(c) :], np.uint8), count=len(w)).astype(bool)
+        repeated = again[string]
+        of, before = of[repeated] + cold, before[repeated] + 1
+        low = np.full(len(rows), WIDTH)
+        np.minimum.at(low, of, before)
+        np.maximum.at(told[:, 1], of, before)
+        told[cold:, 0] = np.where(low[cold:] < WIDTH, low[cold:], 0)
         # A surrounding that this block has twice repeats with all the strings in it.
         most, least = (rows[:, :LEFT] > 0).sum(axis=1), np.maximum(0, LENGTH - (rows[:, LEFT:] > 0).sum(axis=1))
         twice = (counts > 1) & (most >= least)
@@ -189,7 +273,7 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rounds = R.Rounds(ordered(docs, id_col, text_col))
     n = rounds.buckets
-    return rounds.run(_ask_grams, R.asked_elsewhere, _ask_surroundings(n), _equal_strings, _remove(n), SCHEMA)
+    return rounds.run(_ask_grams, _asked_where, _ask_surroundings(n), _answer, _remove(n), SCHEMA)
 
 
 def op4_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
