@@ -7,8 +7,8 @@ import numpy as np
 #: Odd multipliers, so that they have inverses modulo 2**64.
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
-#: Bytes that are hashed at a time.
-SLICE = 1 << 20
+#: Bytes or words that are hashed at a time: arrays of a megabyte stay in the cache and leave no large gaps behind.
+SLICE = 1 << 17
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -104,7 +104,31 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
-def slices(texts: list, chars: int = 1 << 20):
+def arrow_slices(batches, text: str, chars: int = 1 << 19, rows: int = 256):
+    """Arrow batches in pieces of at most so many rows and about so many bytes of ``text``; other columns are not copied."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < batch.num_rows:
+            before = size[i - 1] if i else 0
+            j = min(batch.num_rows, i + rows, max(i + 1, int(np.searchsorted(size, before + chars, "right"))))
+            yield batch.slice(i, j - i)
+            i = j
+
+
+def with_columns(batch, drop: tuple, **new):
+    """An Arrow batch without ``drop`` and with new columns."""
+    import pyarrow as pa
+
+    keep = [(n, batch.column(k)) for k, n in enumerate(batch.schema.names) if n not in drop]
+    return pa.RecordBatch.from_arrays([c for _, c in keep] + list(new.values()), names=[n for n, _ in keep] + list(new))
+
+
+def slices(texts: list, chars: int = 1 << 19):
     """Ranges (i, j) of texts of about so many characters together."""
     i = size = 0
     for j, t in enumerate(texts):

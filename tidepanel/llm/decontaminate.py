@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm._shared import materialize, ordered
-from tidepanel.llm._text import covered, join_texts, run_hashes, slices, word_bounds, word_hashes
+from tidepanel.llm._text import arrow_slices, covered, join_texts, run_hashes, slices, with_columns, word_bounds, word_hashes
 
 WINDOW = 13
 #: About 200 bytes each: 40 MB at most are broadcast at once.
@@ -132,7 +133,7 @@ def _part(benchmark: DataFrame, k: int, n: int, texts: DataFrame) -> Windows:
     return w
 
 
-def _finished(part: pd.DataFrame, text: _Words, start: np.ndarray, end: np.ndarray, found: list) -> pd.DataFrame:
+def _finished(text: _Words, start: np.ndarray, end: np.ndarray, found: list) -> dict:
     """Counts, spans and the verdict from the places of windows."""
     hit = covered(start, end, len(text.hash)) if len(start) else np.zeros(len(text.hash), bool)
     doc = text.doc
@@ -144,10 +145,11 @@ def _finished(part: pd.DataFrame, text: _Words, start: np.ndarray, end: np.ndarr
     for s, e in zip(np.flatnonzero(begins), np.flatnonzero(ends), strict=True):
         spans[doc[s]].append([int(s - text.first[doc[s]]), int(e + 1 - text.first[doc[s]])])
     n_hit = np.bincount(doc[hit], minlength=len(found)).astype(np.int64)
-    return part.assign(n_words=text.count, n_hit=n_hit, items=[sorted(x) for x in found], spans=spans, contaminated=(n_hit > 0) & (20 * n_hit >= text.count))
+    return {"n_words": text.count, "n_hit": n_hit, "items": [sorted(x) for x in found], "spans": spans, "contaminated": (n_hit > 0) & (20 * n_hit >= text.count)}
 
 
 FOUND = "n_words long, n_hit long, items array<string>, spans array<array<long>>, contaminated boolean"
+ARROW = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": pa.list_(pa.list_(pa.int64())), "contaminated": pa.bool_()}
 
 
 def _at_once(rows: DataFrame, texts: str, items: DataFrame) -> DataFrame:
@@ -157,18 +159,17 @@ def _at_once(rows: DataFrame, texts: str, items: DataFrame) -> DataFrame:
 
     def joined(batches):
         w = shared.value
-        for pdf in batches:
-            whole = list(pdf[texts])
-            for i, j in slices(whole):
-                text = _Words(whole[i:j])
-                none = np.zeros(0, np.int64)
-                start, window = w.occurrences(text) if w.words else (none, none)
-                found: list[set] = [set() for _ in range(j - i)]
-                for d, k in zip(text.doc[start], window, strict=True):
-                    found[d].update(w.items[k])
-                yield _finished(pdf.iloc[i:j].drop(columns=["_text"], errors="ignore"), text, start, start + w.width[window] if w.words else none, found)
+        for part in arrow_slices(batches, texts):
+            text = _Words(part.column(part.schema.get_field_index(texts)).to_pylist())
+            none = np.zeros(0, np.int64)
+            start, window = w.occurrences(text) if w.words else (none, none)
+            found: list[set] = [set() for _ in range(part.num_rows)]
+            for d, k in zip(text.doc[start], window, strict=True):
+                found[d].update(w.items[k])
+            got = _finished(text, start, start + w.width[window] if w.words else none, found)
+            yield with_columns(part, ("_text",), **{k: pa.array(v, ARROW[k]) for k, v in got.items()})
 
-    return rows.mapInPandas(joined, f"{_fields(rows)}, {FOUND}")
+    return rows.mapInArrow(joined, f"{_fields(rows)}, {FOUND}")
 
 
 def _by_parts(rows: DataFrame, texts: str, items: DataFrame, n: int) -> DataFrame:
@@ -210,7 +211,7 @@ def _by_parts(rows: DataFrame, texts: str, items: DataFrame, n: int) -> DataFram
                 at = [(text.first[k] + p["start"], text.first[k] + p["end"]) for k, ps in enumerate(pdf["places"].iloc[i:j]) if ps is not None for p in ps]
                 start, end = np.array(at, np.int64).reshape(-1, 2).T
                 found = [set(x) if x is not None else set() for x in pdf["found"].iloc[i:j]]
-                yield _finished(pdf.iloc[i:j].drop(columns=["_whole", "places", "found", "_text"], errors="ignore"), text, start, end, found)
+                yield pdf.iloc[i:j].drop(columns=["_whole", "places", "found", "_text"], errors="ignore").assign(**_finished(text, start, end, found))
 
     return joined.mapInPandas(finished, f"{_fields(rows)}, {FOUND}")
 

@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm._shared import keep_ids, materialize, ordered, partitions, repeats
-from tidepanel.llm._text import join_texts, mix, run_hashes, slices, word_bounds, word_hashes
+from tidepanel.llm._text import arrow_slices, join_texts, mix, run_hashes, slices, with_columns, word_bounds, word_hashes
 
 SHINGLE = 5
 #: Sets are similar if they share at least UP / DOWN of their union.
@@ -70,28 +71,26 @@ def _chosen(hashes: np.ndarray, seed, size: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _first_paths(batches):
-    for pdf in batches:
-        texts = list(pdf["text"])
-        for i, j in slices(texts):
-            h, edge = shingle_sets(texts[i:j])
-            n = np.diff(edge)
-            some = n > 0
-            sums = np.zeros((2, j - i), np.uint64)
-            if len(h):
-                for row, x in zip(sums, (mix(h), mix(h ^ np.uint64(0x5555))), strict=True):
-                    row[some] = np.add.reduceat(x, edge[:-1][some])
-            owner = np.repeat(np.arange(j - i), n)
-            size = n[owner]
-            rows, keys = [], []
-            for seed in SEEDS:
-                at, key = _chosen(h, seed, size)
-                rows.append(owner[at])
-                keys.append(key[at])
-            rows, keys = np.concatenate(rows), np.concatenate(keys).view(np.int64)
-            order = np.argsort(rows, kind="stable")
-            parts = np.split(keys[order], np.searchsorted(rows[order], np.arange(1, j - i)))
-            part = pdf.iloc[i:j]
-            yield pd.DataFrame({"ord": part["ord"], "doc_id": part["doc_id"], "n": n, "s1": sums[0].view(np.int64), "s2": sums[1].view(np.int64), "keys": parts})
+    for part in arrow_slices(batches, "text", rows=4096):
+        h, edge = shingle_sets(part.column(part.schema.get_field_index("text")).to_pylist())
+        n = np.diff(edge)
+        some = n > 0
+        sums = np.zeros((2, len(n)), np.uint64)
+        if len(h):
+            for row, x in zip(sums, (mix(h), mix(h ^ np.uint64(0x5555))), strict=True):
+                row[some] = np.add.reduceat(x, edge[:-1][some])
+        owner = np.repeat(np.arange(len(n)), n)
+        size = n[owner]
+        rows, keys = [], []
+        for seed in SEEDS:
+            at, key = _chosen(h, seed, size)
+            rows.append(owner[at])
+            keys.append(key[at])
+        rows, keys = np.concatenate(rows), np.concatenate(keys).view(np.int64)
+        order = np.argsort(rows, kind="stable")
+        where = np.searchsorted(rows[order], np.arange(len(n) + 1))
+        lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(keys[order]))
+        yield with_columns(part, ("text",), n=pa.array(n), s1=pa.array(sums[0].view(np.int64)), s2=pa.array(sums[1].view(np.int64)), keys=lists)
 
 
 def _next_paths(batches):
@@ -137,7 +136,7 @@ def _leaves(docs: DataFrame, level: DataFrame) -> DataFrame:
 def _packed(limit: int, n_tasks: int):
     def pack(batches):
         squeeze = zstandard.ZstdCompressor(3).compress
-        for pdf in batches:
+        for pdf in (batch.iloc[a : a + 256] for batch in batches for a in range(0, len(batch), 256)):
             rows = []
             for rep, mult, buckets, text in zip(pdf["rep"], pdf["mult"], pdf["buckets"], pdf["text"], strict=True):
                 keys = np.sort(np.array([b["key"] for b in buckets], np.int64)).tobytes()
@@ -316,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _join(d: DataFrame) -> DataFrame:
     spark = d.sparkSession
-    light = d.mapInPandas(_first_paths, "ord long, doc_id long, n long, s1 long, s2 long, keys array<long>")
+    light = d.select("ord", "doc_id", "text").mapInArrow(_first_paths, "ord long, doc_id long, n long, s1 long, s2 long, keys array<long>")
     light = materialize(light, "sets")
     same = ["n", "s1", "s2"]
     classes = light.where("n > 0").groupBy(*same).agg(F.min("ord").alias("rep"), F.count("*").alias("mult"))

@@ -13,16 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidepanel.llm._text import arrow_slices, with_columns
+
 #: Rows per language that the classifier is fitted on, chosen by the hash of the id.
 SAMPLE_ROWS = 500
 CENTROIDS = 3
 DIMS = 1 << 13
 #: Characters that are counted at a time.
-PIECE = 1 << 19
+PIECE = 1 << 17
 #: A text is rejected below this part of the least cosines (1st percentile) in its language's sample.
 REJECT = 0.5
 UNKNOWN = "und"
@@ -52,7 +55,7 @@ def _pieces(texts: list):
             part = text[a : a + PIECE + 2]
             group.append((row, part, min(PIECE, len(text) - a)))
             size += len(part)
-            if size >= PIECE or len(group) >= 256:
+            if size >= PIECE or len(group) >= 64:
                 yield group
                 group, size = [], 0
     if group:
@@ -189,13 +192,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def predicted(batches):
         m = shared.value
-        for pdf in batches:
-            for a in range(0, len(pdf), 256):
-                part = pdf.iloc[a : a + 256].reset_index(drop=True)
-                lang, score, rejected = m.score(list(part[texts]))
-                yield part.drop(columns=["_text"], errors="ignore").assign(lang_pred=lang, score=score.astype(float), rejected=rejected)
+        for part in arrow_slices(batches, texts):
+            lang, score, rejected = m.score(part.column(part.schema.get_field_index(texts)).to_pylist())
+            yield with_columns(part, ("_text",), lang_pred=pa.array(lang, pa.string()), score=pa.array(score.astype(float)), rejected=pa.array(rejected))
 
-    out = rows.mapInPandas(predicted, f"{fields}, lang_pred string, score double, rejected boolean")
+    out = rows.mapInArrow(predicted, f"{fields}, lang_pred string, score double, rejected boolean")
     names_out = [F.col(n).alias(c) for n, c in zip(names, keep, strict=True) if c != "doc_id"]
     return out.select(F.col("_id").alias("doc_id"), *names_out, "lang_pred", "score", "rejected")
 
