@@ -140,13 +140,18 @@ def spherical_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, centroids: int = CENTROIDS) -> Model:
     """Fit on ``(doc_id, text, lang)``: at most ``sample_rows`` rows of each language, those with the least id hashes.
 
-    The limit is applied map-side (a window group limit); only the sample's n-gram counts reach the driver.
+    Ids are counted per language first; only those whose hash is below about four times the sample's share are ranked,
+    so that the ranking of a language reads a few thousand ids at any size.  Of rows that repeat an id and language the
+    least text counts.  Only the sample's n-gram counts reach the driver.
     """
+    usable = labelled.where("doc_id is not null and lang is not null and text is not null")
+    ids = usable.select("doc_id", "lang").distinct()
+    n = ids.groupBy("lang").agg(F.count("*").alias("n"))
     h = F.xxhash64("doc_id")
+    few = ids.join(n, "lang").where(h <= F.least(F.lit(1.0), 4.0 * sample_rows / F.col("n")) * 2.0**64 - 2.0**63)
     order = W.partitionBy("lang").orderBy(h, "doc_id")
-    ids = labelled.where("lang is not null and text is not null").select("doc_id", "lang")
-    ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_rows).select("doc_id", "lang")
-    texts = labelled.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+    ids = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_rows).select("doc_id", "lang")
+    texts = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def counted(batches):
         for pdf in batches:
@@ -157,7 +162,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, centroids: int = CE
                     at = np.flatnonzero(row)
                     yield pd.DataFrame({"doc_id": [i], "lang": [lang], "at": [at.astype(np.uint16).tobytes()], "n": [row[at].tobytes()]})
 
-    got = texts.mapInPandas(counted, "doc_id long, lang string, at binary, n binary").collect()
+    got = texts.select("doc_id", "text", "lang").mapInPandas(counted, "doc_id long, lang string, at binary, n binary").collect()
     got.sort(key=lambda r: (r["lang"], r["doc_id"]))
     got = [r for r in got if r["n"]]
     rows = np.zeros((len(got), DIMS), np.float32)
