@@ -318,6 +318,16 @@ def test_lines_of_odd_tables(spark):
     assert got[2].n_removed_lines >= 30
 
 
+def test_lines_repeated_in_a_long_text(spark):
+    half = [f"line {i}" for i in range(10_000)]
+    rows = [(1, "\n".join(half + half)), (1, "\n".join(half + half)), (2, "\n".join(half)), (3, None), (4, "\n")]
+    out = line_dedup.dedup_lines(table(spark, rows))
+    got = {r.doc_id: r.n_removed_lines for r in out.select("doc_id", "n_removed_lines").collect()}
+    # Lone lines stay, as does the chunk that a half's end and the next half's begin share.
+    assert got[1] >= 8_000 and got[2] >= 8_000 and got[3] == got[4] == 0
+    assert len({r.text for r in out.where("doc_id = 1").collect()}) == 1
+
+
 def test_shards(spark, sf, docs):
     rows = Q["op9_virtual_slots"](spark, sf).collect()
     assert len(rows) == len(docs)

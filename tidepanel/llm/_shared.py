@@ -40,6 +40,11 @@ def prime_at_least(n: int) -> int:
     return n
 
 
+def let(value: F.Column, body) -> F.Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidepanel.llm._shared import materialize, numbered_rows
+from tidepanel.llm._shared import let, materialize, numbered_rows
 
 SHINGLE = 5
 #: One hash in so many is kept.
@@ -24,11 +24,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def sketch(text: Column, scale: int = SCALE, n: int = SHINGLE) -> Column:
     """The sorted distinct kept hashes of a text's shingles; ``scale`` is a power of two."""
     bits = scale.bit_length() - 1

@@ -4,8 +4,9 @@ Each line has a hash; the rolling hash at a line is the sum of the hashes of the
 where it is 0 modulo ``MEAN``.  As boundaries depend on nearby lines only, lines put in or taken out elsewhere do not
 shift them.  A chunk of at least two lines that an earlier document has as well is removed, and so are its repeats
 inside one document.  Chunks are grouped by their bytes, combined map-side first, so a chunk that many documents share
-costs one row a task; documents learn by hash which chunks to drop, and a hash that two different chunks share (which
-grouping by bytes shows) drops nothing.
+costs one row a task; documents learn by two hashes which chunks to drop, and hashes that two different chunks share
+(which grouping by bytes shows) drop nothing.  All work on a document takes time in proportion to its length: lines
+are marked and split again rather than sliced, and places are subtracted as sets.
 """
 
 from __future__ import annotations
@@ -13,37 +14,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm._shared import materialize, ordered
+from tidepanel.llm._shared import let, materialize, ordered
 
 ROLL = 3
 MEAN = 4
-#: A line must have a letter or digit for its chunk to count as text; blank lines alone never make one.
-MIN_LINES = 2
 
 
 def chunk_texts(text: Column) -> Column:
-    """The text's chunks in order, as strings of lines; joined by line feeds they are the text."""
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
-    ends = F.filter(
-        F.sequence(F.lit(0), F.size("_lines") - 1),
-        lambda i: (i == F.size("_lines") - 1) | (sum((F.coalesce(F.get("_hashes", i - j), F.lit(0)) for j in range(1, ROLL)), F.get("_hashes", i)) % MEAN == 0),
-    )
-    return lines, hashes, ends
+    """The text's chunks in order, as strings of lines; joined by line feeds they are the text.
+
+    Each line gets a mark, ``b`` where a chunk begins and ``c`` where it goes on.  Lines have no line feeds, so a line
+    feed before a mark is unmistakable.
+    """
 
+    def hashes(lines: Column) -> Column:
+        return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """``(ord, doc_id, lines, chunks)``; a chunk is a struct of its text, number of lines and hash."""
-    lines, hashes, ends = chunk_texts(F.col("text"))
-    d = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_lines", lines).withColumn("_hashes", hashes).withColumn("_ends", ends)
+    def marked(lines: Column, h: Column) -> Column:
+        def mark(x: Column, i: Column) -> Column:
+            rolling = sum((F.coalesce(F.get(h, i - j), F.lit(0)) for j in range(2, ROLL + 1)), F.get(h, i - 1))
+            return F.concat(F.when((i == 0) | (rolling % MEAN == 0), "b").otherwise("c"), x)
 
-    def chunk(end: Column, i: Column) -> Column:
-        begin = F.when(i == 0, 0).otherwise(F.get("_ends", i - 1) + 1)
-        t = F.array_join(F.slice("_lines", begin + 1, end - begin + 1), "\n")
-        return F.struct(t.alias("text"), (end - begin + 1).alias("n"))
+        return F.array_join(F.transform(lines, mark), "\n")
 
-    d = d.withColumn("_chunks", F.transform("_ends", chunk))
-    return d.select("ord", "doc_id", F.size("_lines").cast("long").alias("n_lines"), F.col("_chunks").alias("chunks"))
+    whole = let(F.split(text, "\n", -1), lambda lines: let(hashes(lines), lambda h: marked(lines, h)))
+    return F.transform(F.split(whole, "\n(?=b)", -1), lambda c: F.replace(F.substring(c, F.lit(2), F.char_length(c)), F.lit("\nc"), F.lit("\n")))
+
+
+def line_count(text: Column) -> Column:
+    return (F.regexp_count(text, F.lit("\n")) + 1).cast("long")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,25 +53,41 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeat an id are ordered by a hash of the text; rows that repeat id and text are one document listed twice.  Blank
     chunks (white space only) are never removed.  An empty table gives an empty result; other columns are ignored.
     """
-    d = chunked(ordered(docs, id_col, text_col))
-    several = d.select("ord", F.explode("chunks").alias("c")).where((F.col("c.n") >= MIN_LINES) & (F.regexp_replace("c.text", r"\s", "") != ""))
-    several = several.select("ord", F.col("c.text").alias("chunk"))
-    h = F.xxhash64("chunk")
-    # Grouped by bytes: the document that has the chunk first, and whether another has it.
-    seen = several.groupBy("chunk").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
-    repeated = seen.groupBy(h.alias("h")).agg(F.max("first").alias("first"), F.max(F.col("last") > F.col("first")).alias("again"), F.count("*").alias("texts"))
-    repeated = materialize(repeated.where("again and texts = 1").select("h", "first"), "repeated-chunks")
-    drops = several.select("ord", h.alias("h")).join(repeated, "h").where("ord > first")
-    drops = drops.groupBy("ord").agg(F.collect_set("h").alias("drop"))
-    d = d.join(drops, "ord", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<long>")))
-    counted = F.transform("chunks", lambda c: F.struct(c["text"].alias("text"), c["n"].alias("n"), F.xxhash64(c["text"]).alias("h"), ((c["n"] >= MIN_LINES) & (F.regexp_replace(c["text"], r"\s", "") != "")).alias("several")))
-    d = d.withColumn("chunks", counted).withColumn("texts", F.transform("chunks", lambda c: c["text"]))
-    stays = F.filter("chunks", lambda c, i: ~c["several"] | (~F.array_contains("drop", c["h"]) & (F.array_position("texts", c["text"]) == i + 1)))
-    d = d.withColumn("stays", stays)
+    d = ordered(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    # A chunk of several lines has a line feed.
+    several = d.where(F.col("text").contains("\n")).select("ord", F.posexplode(chunk_texts(F.col("text"))).alias("k", "chunk"))
+    several = several.where(F.col("chunk").contains("\n") & F.col("chunk").rlike(r"\S"))
+    keys = [F.xxhash64("chunk").alias("h"), F.xxhash64(F.lit(ROLL), F.col("chunk")).alias("g")]
+    # Grouped by bytes: the document that has the chunk first, and whether it comes again.
+    seen = several.groupBy("chunk").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    repeated = seen.groupBy(*keys).agg(F.max("first").alias("first"), F.max("n").alias("n"), F.count("*").alias("texts"))
+    repeated = materialize(repeated.where("n > 1 and texts = 1").select("h", "g", "first"), "repeated-chunks")
+    found = several.select("ord", "k", *keys).join(repeated, ["h", "g"])
+    # Of the document that has a chunk first, the places in the order of (chunk, place) show the repeats.
+    found = found.groupBy("ord").agg(F.collect_list(F.struct("h", "g", "k", (F.col("ord") > F.col("first")).alias("gone"))).alias("found"))
+
+    def gone(places: Column) -> Column:
+        def again(x: Column, i: Column) -> Column:
+            last = F.get(places, i - 1)
+            return x["gone"] | F.coalesce((last["h"] == x["h"]) & (last["g"] == x["g"]) & (last["k"] < x["k"]), F.lit(False))
+
+        return F.array_distinct(F.transform(F.filter(places, again), lambda x: x["k"]))
+
+    drops = found.select("ord", let(F.sort_array("found"), gone).alias("drop")).where(F.size("drop") > 0)
+    d = d.join(drops, "ord", "left").withColumn("chunks", chunk_texts(F.col("text")))
+
+    # Chunks are bound before the lambdas that look into them; Catalyst may put a column's expression into a lambda.
+    def kept(chunks: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), F.col("drop"))
+        return F.array_join(F.transform(places, lambda k: F.get(chunks, k)), "\n")
+
+    def removed(chunks: Column) -> Column:
+        return F.aggregate("drop", F.lit(0).cast("long"), lambda a, k: a + line_count(F.get(chunks, k)))
+
     return d.select(
-        "doc_id", "n_lines", F.size("chunks").cast("long").alias("n_chunks"),
-        (F.col("n_lines") - F.aggregate("stays", F.lit(0).cast("long"), lambda a, c: a + c["n"])).alias("n_removed_lines"),
-        F.array_join(F.transform("stays", lambda c: c["text"]), "\n").alias("text"),
+        "doc_id", line_count(F.col("text")).alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"),
+        F.coalesce(F.when(F.col("drop").isNotNull(), let(F.col("chunks"), removed)), F.lit(0).cast("long")).alias("n_removed_lines"),
+        F.when(F.col("drop").isNull(), F.col("text")).otherwise(let(F.col("chunks"), kept)).alias("text"),
     )
 
 
