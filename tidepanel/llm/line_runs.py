@@ -1,0 +1,76 @@
+"""Line dedup by pairs of adjacent lines, with DataFrame functions only.
+
+Where ``line_dedup`` removes whole content-defined chunks, here every run of two or more lines goes that comes earlier.
+Such a run is a run of adjacent pairs that all come earlier, so pairs anchor everywhere and no context of a run matters.
+A pair is its SHA-256 digest; the digests are grouped, combined map-side first, so texts do not move to be compared.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidepanel.llm._shared import let, materialize, ordered
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def pair_keys(text: Column) -> Column:
+    """For each line but the last, the digest of it and the next one; null where both are blank."""
+
+    def keys(lines: Column) -> Column:
+        def key(x: Column, i: Column) -> Column:
+            pair = F.concat(x, F.lit("\n"), F.get(lines, i + 1))
+            return F.when(pair.rlike(r"\S"), F.unhex(F.sha2(pair.cast("binary"), 256)))
+
+        return F.transform(F.slice(lines, F.lit(1), F.size(lines) - 1), key)
+
+    return let(lines_of(text), keys)
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_lines, n_removed_lines, text)``: texts without the runs of two or more lines seen earlier.
+
+    Earlier is a smaller doc_id, or the same document further up; a run may overlap the place where it comes first.  A
+    pair of blank lines (white space only) removes nothing.  Null texts and ids, and repeated rows, are taken as in
+    ``line_dedup.dedup_lines``.
+    """
+    d = ordered(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    pairs = d.where(F.col("text").contains("\n")).select("ord", F.posexplode(pair_keys(F.col("text"))).alias("k", "key")).where("key is not null")
+    place = F.struct("ord", "k")
+    seen = pairs.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    seen = materialize(seen.where("first < last").select("key", "first"), "repeated-pairs")
+    gone = pairs.join(seen, "key").where(place > F.col("first")).groupBy("ord").agg(F.collect_set("k").alias("gone"))
+    d = d.join(gone, "ord", "left").withColumn("lines", lines_of(F.col("text")))
+    drop = F.array_union("gone", F.transform("gone", lambda k: k + 1))
+
+    # Lines are bound before the lambda that looks into them; Catalyst may put a column's expression into a lambda.
+    def kept(lines: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda k: F.get(lines, k)), "\n")
+
+    return d.select(
+        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size(drop)).cast("long").alias("n_removed_lines"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(F.col("lines"), kept)).alias("text"),
+    )
+
+
+def op1_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+), p AS (
+  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l
+), r AS (
+  SELECT doc_id, i, next IS NOT NULL AND regexp_replace(line || next, '\s', '', 'g') <> '' AND row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) > 1 AS again, line FROM p
+), g AS (
+  SELECT doc_id, i, line, again OR coalesce(lag(again) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM r
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed_lines, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM g GROUP BY doc_id
+"""
