@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidepanel.catalog.base import BARS, BASE, ETFS, MARKET, r6
+from tidepanel.catalog.fundamentals import CAL, ST
 from tidepanel.operators.asof import asof
 from tidepanel.plans.features import join_market, listing, prepare
 from tidepanel.sources import panel as P
@@ -62,6 +63,23 @@ SELECT l.act_symbol, l.date, l.close, r.other, r.other_volume FROM l ASOF LEFT J
 
 ENTRIES["join_asof_backward"] = asof_case(False)
 ENTRIES["join_asof_forward"] = asof_case(True)
+
+
+def released(forward: bool):
+    """Whole tables: the last release of every bar, or (``forward``) the next release of every statement."""
+
+    def run(s, d):
+        st = P.statements(s, d)
+        left = st.select("act_symbol", "date", "sales") if forward else P.bars(s, d).select("act_symbol", "date", "close")
+        return asof(left, P.calendar(st).withColumnRenamed("date", "other"), "date", "other", forward=forward, payload={"other": "other"})
+
+    left, value, sign = ("st", "sales", "<=") if forward else ("bars", "close", ">=")
+    return run, f"""WITH {BARS}, {ST}, {CAL}
+SELECT l.act_symbol, l.date, l.{value}, r.date AS other FROM {left} l ASOF LEFT JOIN cal r ON l.act_symbol = r.act_symbol AND l.date {sign} r.date"""
+
+
+ENTRIES["join_asof_releases_backward"] = released(False)
+ENTRIES["join_asof_releases_forward"] = released(True)
 ENTRIES["quantiles_of_sums"] = (
     lambda s, d: prepare(P.bars(s, d)).withColumn("r30", F.when(F.count("log_ret").over(W.partitionBy("act_symbol").orderBy("date").rowsBetween(-29, 0)) == 30, F.sum("log_ret").over(W.partitionBy("act_symbol").orderBy("date").rowsBetween(-29, 0)))).agg(
         *[r6(F.percentile("r30", q)).alias(f"p{int(q * 100)}") for q in (0.05, 0.5, 0.95)], r6(F.avg("r30")).alias("mean"), r6(F.stddev_pop("r30")).alias("sd")),
