@@ -1,0 +1,30 @@
+"""Registered models train with production parameters."""
+
+from tidepanel.catalog import evaluation
+from tidepanel.plans import model as M
+
+
+def test_registered_training_is_not_shortened(spark, sf, monkeypatch):
+    asked = {}
+
+    def selected(df, features, target, iterations, rounds):
+        asked["shadow"] = iterations, rounds
+        return features[:1]
+
+    class Asked(Exception):
+        pass
+
+    def trained(self, split, save_name=None, **params):
+        asked["trained"] = params["rounds"]
+        raise Asked
+
+    monkeypatch.setattr(M, "shadow_selection", selected)
+    monkeypatch.setattr(M.Model, "train_model", trained)
+    evaluation.shadows(spark, sf)
+    try:
+        evaluation.trained(spark, sf)
+    except Asked:
+        pass
+    assert asked == {"shadow": (5, 100), "trained": 100}
+    learner = M.Model.__dict__["_learner"](type("Any", (), {"target_type": "regression"})(), rounds=100)
+    assert learner.getValidationIndicatorCol() == "is_val" and learner.getMaxIter() == 100

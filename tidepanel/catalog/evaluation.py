@@ -21,6 +21,8 @@ RANKS = "(rank() OVER (PARTITION BY date ORDER BY {c}) + (count(*) OVER (PARTITI
 IC = f"""{X}, r AS (SELECT date, {RANKS.format(c='pred')} AS a, {RANKS.format(c='target')} AS c FROM z),
 ic AS (SELECT date, covar_samp(a, c) / sqrt(var_samp(a) * var_samp(c)) AS ic FROM r GROUP BY 1 HAVING count(*) > 1 AND var_samp(a) > 0 AND var_samp(c) > 0)"""
 Q = 5
+#: Boosting rounds; training ends earlier when the validation part no longer gains.
+ROUNDS = 100
 BINS = f"""{X}, k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY pred, act_symbol) AS r, count(*) OVER (PARTITION BY date) AS n FROM z),
 g AS (SELECT act_symbol, date, pred, target, CASE WHEN n > 1 THEN greatest(1, ((r - 1) * {Q} + n - 2) // greatest(n - 1, 1)) END AS bin FROM k)"""
 PIVOT = f"""{BINS}, pv AS (SELECT date, {', '.join(f'avg(target) FILTER (bin = {i}) AS q{i}' for i in range(1, Q + 1))} FROM g WHERE bin IS NOT NULL GROUP BY 1),
@@ -63,7 +65,7 @@ def pca(s, d):
 
 def shadows(s, d):
     df, features, target = named(s, d)
-    chosen = M.shadow_selection(df, features, target, iterations=2, rounds=5)
+    chosen = M.shadow_selection(df, features, target, iterations=5, rounds=ROUNDS)
     return s.createDataFrame([(f, f in chosen) for f in features], "feature string, chosen boolean")
 
 
@@ -72,7 +74,7 @@ def trained(s, d):
     m.add_features(STUDY[:-1])
     m.add_target(STUDY[-1])
     split = m.split_data()
-    return rounded(E.metrics(m.predictions(m.train_model(split, rounds=5), split)), "rmse", "directional_accuracy", "accuracy", "roc_auc")
+    return rounded(E.metrics(m.predictions(m.train_model(split, rounds=ROUNDS), split)), "rmse", "directional_accuracy", "accuracy", "roc_auc")
 
 
 ENTRIES = {
