@@ -145,7 +145,7 @@ def _finished(text: _Words, start: np.ndarray, end: np.ndarray, found: list) ->
     for s, e in zip(np.flatnonzero(begins), np.flatnonzero(ends), strict=True):
         spans[doc[s]].append([int(s - text.first[doc[s]]), int(e + 1 - text.first[doc[s]])])
     n_hit = np.bincount(doc[hit], minlength=len(found)).astype(np.int64)
-    return {"n_words": text.count, "n_hit": n_hit, "items": [sorted(x) for x in found], "spans": spans, "contaminated": (n_hit > 0) & (20 * n_hit >= text.count)}
+    return {"n_words": text.count, "n_hit": n_hit, "items": [sorted(x - {None}) + [None] * (None in x) for x in found], "spans": spans, "contaminated": (n_hit > 0) & (20 * n_hit >= text.count)}
 
 
 FOUND = "n_words long, n_hit long, items array<string>, spans array<array<long>>, contaminated boolean"
@@ -220,15 +220,16 @@ def _fields(rows: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", unnamed: bool = False) -> DataFrame:
     """``(doc_id, n_words, n_hit, items, spans, contaminated)`` and the ``keep`` columns for every whole text.
 
     ``items`` are the ids, as sorted strings, of items with a window in the text; ``spans`` the maximal runs of hit
     words.  A text is contaminated if a word is hit and at least a twentieth of all are.  Null texts and items have no
-    words; null item ids are left out; repeated items count once by id; repeated rows are separate documents; empty
+    words; null item ids are left out, or with ``unnamed`` hit like others and are together one null at the end of
+    ``items``; repeated items count once by id; repeated rows are separate documents; empty
     tables give empty or clean results; other columns are ignored.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null" if unnamed else "item_id is not null and text is not null")
     names = [f"_k{i}" for i in range(len(keep))]
     texts = names[keep.index(text_col)] if text_col in keep else "_text"
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(id_col).alias("_id"), *[F.col(text_col).cast("string").alias("_text")] * (texts == "_text"))
@@ -239,7 +240,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
 
 
 def op8_prefix_filtered_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
     ids = F.concat_ws(",", "items").cast("binary")
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
