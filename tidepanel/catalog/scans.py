@@ -33,6 +33,7 @@ ENTRIES = {
     "join_anti_etfs": (lambda s, d: S.without(P.bars(s, d), S.etfs(P.symbols(s, d))), f"WITH {BARS}, {ETFS} SELECT {COLS} FROM bars ANTI JOIN etfs USING (act_symbol)"),
     "join_semi_symbols": (lambda s, d: P.bars(s, d).join(S.etfs(P.symbols(s, d)), "act_symbol", "left_semi"), f"WITH {BARS}, {ETFS} SELECT {COLS} FROM bars SEMI JOIN etfs USING (act_symbol)"),
     "union_months": (lambda s, d: P.bars(s, d).where("date < '1995-01-01'").unionByName(P.bars(s, d).where("date >= '1998-01-01'")), f"WITH {BARS} SELECT {COLS} FROM bars WHERE date < DATE '1995-01-01' OR date >= DATE '1998-01-01'"),
+    "union_all_months": (lambda s, d: P.bars(s, d).where("date < '1995-01-01'").unionByName(P.bars(s, d).where("date >= '1995-01-01' and date < '1998-01-01'")).unionByName(P.bars(s, d).where("date >= '1998-01-01'")), f"WITH {BARS} SELECT {COLS} FROM bars"),
     "set_intersect_dates": (lambda s, d: P.bars(s, d).where("act_symbol = 'S000001'").select("date").intersect(P.bars(s, d).where("act_symbol = 'S000002'").select("date")), f"WITH {BARS} SELECT date FROM bars WHERE act_symbol = 'S000001' INTERSECT SELECT date FROM bars WHERE act_symbol = 'S000002'"),
     "keep_last_by_key": (lambda s, d: P.bars(s, d).groupBy("act_symbol", F.trunc("date", "month").alias("month")).agg(F.max_by("close", "date").alias("close")), f"WITH {BARS} SELECT act_symbol, date_trunc('month', date)::DATE AS month, arg_max(close, date) AS close FROM bars GROUP BY 1, 2"),
 }
