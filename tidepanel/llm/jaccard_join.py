@@ -5,7 +5,8 @@ as one.  In each run a set x takes every token whose hash is below 1 / (DENSITY
 tokens; the hashes are shared, so similar sets take the same tokens.  A bucket with more than ``LIMIT`` sets is split in
 the same way by a second token, and so on, unless a single child would hold most of it again; then its sets are alike
 and are compared, block by block.  Two sets of similarity 0.8 share 1.6 tokens or more a run on average and so miss
-each other in one with probability e**-1.6 = 0.2; the ``RUNS`` runs together miss fewer than 3 in a million.
+each other in one with probability e**-1.6 = 0.20 in buckets that are not split, and 0.28, 0.32, 0.33 where they must
+share a path of 2, 3, 4 tokens; the ``RUNS`` runs together miss about 2 in a million at the deepest level.
 
 Buckets with the same sets are compared once, and a pair counts in the least bucket that both share, so links are
 exact without a list of pairs.  Each task reports links and its part of a spanning forest; components follow by
@@ -27,7 +28,7 @@ from tidepanel.llm._text import arrow_slices, join_texts, mix, run_hashes, slice
 SHINGLE = 5
 #: Sets are similar if they share at least UP / DOWN of their union.
 UP, DOWN = 4, 5
-RUNS = 8
+RUNS = 12
 DENSITY = 0.5
 LIMIT = 1024
 DEPTH = 4
