@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidepanel.llm._shared import keep_ids, materialize, ordered, word_count
+from tidepanel.llm._shared import keep_ids, materialize, ordered, partitions, word_count
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 1024
@@ -96,24 +96,15 @@ def positions(rows: DataFrame) -> DataFrame:
     return rows.join(sums, ["src", "bucket"]).withColumn("start", F.col("start") + F.col("before")).drop("h", "bucket", "before")
 
 
-def mix(
-    docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs: int = 2, block_words: int = BLOCK_WORDS,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """One row per document: ``(doc_id, source, size, source_size, target, taken)``.
-
-    ``taken`` counts the words that the schedule's blocks take from the document, repeats included; per source they
-    add up to the rounded target.  A null text has size 0 and takes nothing; null sources form one source, last in
-    order; null ids are ordered as the string ``null``; repeated rows are separate documents; an empty table gives an
-    empty result; other columns are ignored.
-    """
-    rows = materialize(sized(docs, id_col, text_col, source_col), "sized")
+def _mix(rows: DataFrame, weights, share: float, max_epochs: int, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """Per row of ``(doc_id, source, size)`` what the schedule takes of it, and the schedule."""
     sources = materialize(plan_sources(rows, weights, share, max_epochs, block_words).coalesce(1), "sources")
     got = sources.agg(F.max("hi").alias("points"), F.count("*").alias("n")).first()
-    slots = schedule(sources, got["points"] or 0, block_words)
+    slots = materialize(schedule(sources, got["points"] or 0, block_words), "slots")
     uses = slots.groupBy("src", "block").agg(
         F.sum(F.when(F.col("words") == F.col("block_words"), 1).otherwise(0)).alias("whole"),
         F.coalesce(F.max(F.when(F.col("words") < F.col("block_words"), F.col("words"))), F.lit(0)).alias("cut"),
+        F.min("slot").alias("slot"),
     )
     facts = sources.select("source", "src", "source_size", "target")
     facts = F.broadcast(facts) if got["n"] <= BROADCAST_SOURCES else facts
@@ -128,24 +119,58 @@ def mix(
     cut = F.greatest(F.lit(0), F.least(end, lo + F.col("cut")) - F.greatest(F.col("start"), lo))
     words = F.coalesce(full * F.col("whole") + cut, F.lit(0))
     keys = ["doc_id", "source", "src", "start", "size", "source_size", "target"]
-    taken = parts.groupBy(*keys).agg(F.sum(words).alias("taken"))
-    nothing = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(nothing).select("doc_id", "source", "size", "source_size", "target", "taken")
+    taken = parts.groupBy(*keys).agg(F.sum(words).alias("taken"), F.min(F.when(words > 0, F.col("slot"))).alias("first_slot"))
+    none = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    return taken.unionByName(none), slots
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it whole (a document cut at a target counts from a half on)."""
+def mix(
+    docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs: int = 2, block_words: int = BLOCK_WORDS,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """One row per document: ``(doc_id, source, size, source_size, target, taken, first_slot)``.
+
+    ``taken`` counts the words that the schedule's blocks take from the document, repeats included; per source they
+    add up to the rounded target.  ``first_slot`` is the schedule's first slot that takes any of them, null if none
+    does.  A null text has size 0 and takes nothing; null sources form one source, last in order; null ids are ordered
+    as the string ``null``; repeated rows are separate documents; an empty table gives an empty result; other columns
+    are ignored.
+    """
+    rows = materialize(sized(docs, id_col, text_col, source_col), "sized")
+    taken, _ = _mix(rows, weights, share, max_epochs, block_words)
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
+
+
+def mixed_rows(
+    docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs: int = 2, block_words: int = BLOCK_WORDS,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slot_col: str | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` in the order of the schedule, each as often as the mix takes it whole.
+
+    A document cut at a target counts from a half on.  Its k-th copy stands at the slot that takes its first word in
+    the k-th pass, so every stretch of the result holds each source in proportion; partitions are ranges of slots in
+    order.  ``slot_col`` names a column with the slot, if wanted.  Null and repeated values are taken as in :func:`mix`.
+    """
     d = ordered(docs, id_col, text_col, rows=True)
-    taken = mix(d.select(F.col("ord").alias("doc_id"), "text", F.col("row")[source_col].alias("source")), **options)
+    rows = materialize(d.select(F.col("ord").alias("doc_id"), F.col("row")[source_col].cast("string").alias("source"), word_count(F.col("text")).alias("size")).distinct(), "sized")
+    taken, slots = _mix(rows, weights, share, max_epochs, block_words)
     times = F.round(F.try_divide(F.col("taken").cast("double"), F.col("size"))).cast("int")
-    times = taken.groupBy(F.col("doc_id").alias("ord")).agg(F.max(times).alias("times")).where("times > 0")
-    times = materialize(times, "times")
-    return keep_ids(d.select("ord", "row"), times, "ord").select(F.explode(F.expr("array_repeat(row, times)")).alias("row")).select("row.*")
+    copies = taken.withColumn("times", times).where("times > 0").select(
+        F.col("doc_id").alias("ord"), "src", "start", F.expr(f"start div {block_words}").alias("block"), F.explode(F.expr("sequence(0L, times - 1L)")).alias("pass"),
+    )
+    copies = copies.join(slots.select("src", "pass", "block", "slot"), ["src", "pass", "block"], "left")
+    at = F.min(F.struct(F.coalesce("slot", F.lit(2**62)).alias("slot"), "start"))
+    copies = copies.groupBy("ord", "pass").agg(at.alias("at")).select("ord", "pass", F.col("at.slot").alias("_slot"), "at.start")
+    copies = materialize(copies, "copies")
+    placed = keep_ids(d.select("ord", "row"), copies, "ord")
+    n = partitions(docs.sparkSession)
+    placed = placed.repartitionByRange(n, "_slot", "start", "ord").sortWithinPartitions("_slot", "start", "ord")
+    return placed.select("row.*", *([F.col("_slot").alias(slot_col)] if slot_col else []))
 
 
 def op5_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "source", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return out.select("doc_id", "source", "size", "source_size", F.round("target", 3).alias("target"), "taken", "first_slot")
 
 
 ORACLE_SQL = r"""
@@ -162,13 +187,25 @@ WITH d AS (
   SELECT level FROM f WHERE level * weight <= cap ORDER BY cap / weight, source NULLS LAST LIMIT 1
 ), t AS (
   SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM l) * weight, cap::DOUBLE)) AS target FROM w
+), q AS (
+  SELECT *, round(target)::BIGINT AS words, (source_size + 1023) // 1024 AS blocks FROM t
+), n AS (
+  SELECT *, CASE WHEN source_size > 0 THEN words // source_size * blocks + (words % source_size + 1023) // 1024 ELSE 0 END AS need FROM q
+), o AS (
+  SELECT *, coalesce(sum(need) OVER (ORDER BY source NULLS LAST), 0) AS hi FROM n
+), v AS (
+  SELECT slot, ('0b' || reverse(lpad(bin(slot), bits, '0')))::BIGINT AS point
+  FROM (SELECT len(bin(greatest(1, max(hi))::BIGINT - 1))::INT AS bits FROM o), range(0, (1::BIGINT << bits)) AS r(slot)
+), z AS (
+  SELECT source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank, slot FROM v JOIN o ON point >= hi - need AND point < hi
 ), p AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
+  SELECT d.doc_id, d.source, d.size, q.source_size, q.target, q.words,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, 'null')), d.doc_id NULLS LAST, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), k AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE (words // source_size) * size
+    + greatest(0, least(start + size, words % source_size) - start) END::BIGINT AS taken FROM p
 )
-SELECT doc_id, source, size, source_size, round(target, 3) AS target,
-  CASE WHEN size = 0 THEN 0 ELSE (words // source_size) * size
-    + greatest(0, least(start + size, words % source_size) - start) END::BIGINT AS taken
-FROM p
+SELECT doc_id, k.source, size, source_size, round(target, 3) AS target, taken, CASE WHEN taken > 0 THEN slot END AS first_slot
+FROM k LEFT JOIN z ON k.source IS NOT DISTINCT FROM z.source AND start // 1024 = rank
 """
