@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidepanel.llm._text import arrow_slices, with_columns
+from tidepanel.llm._shared import discard, materialize
+from tidepanel.llm._text import arrow_slices, tidy, with_columns
 
 #: Rows per language that the classifier is fitted on, chosen by the hash of the id.
 SAMPLE_ROWS = 500
@@ -137,49 +138,76 @@ def spherical_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
+#: What the fit keeps of a text: the places and values of its n-gram counts.
+COUNTED = "doc_id long, lang string, at binary, n binary"
+#: Fits are compared and merged per language; so many languages at most have their centroids gathered on the driver.
+MAX_LANGS = 1000
+
+
+def _counted(batches):
+    for pdf in batches:
+        for a in range(0, len(pdf), 256):
+            part = pdf.iloc[a : a + 256]
+            rows = count_ngrams(list(part["text"]))
+            at = [np.flatnonzero(row) for row in rows]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "lang": part["lang"], "at": [x.astype(np.uint16).tobytes() for x in at], "n": [row[x].tobytes() for row, x in zip(rows, at, strict=True)]})
+    tidy()
+
+
+def _dense(pdf: pd.DataFrame) -> np.ndarray:
+    """A language's sample as rows of counts, in the order of the ids; texts without a letter are left out."""
+    pdf = pdf[pdf["n"].map(len) > 0].sort_values("doc_id", kind="stable")
+    rows = np.zeros((len(pdf), DIMS), np.float32)
+    for row, at, n in zip(rows, pdf["at"], pdf["n"], strict=True):
+        row[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.float32)
+    return rows
+
+
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, centroids: int = CENTROIDS) -> Model:
     """Fit on ``(doc_id, text, lang)``: at most ``sample_rows`` rows of each language, those with the least id hashes.
 
     Ids are counted per language first; only those whose hash is below about four times the sample's share are ranked,
     so that the ranking of a language reads a few thousand ids at any size.  Of rows that repeat an id and language the
-    least text counts.  Only the sample's n-gram counts reach the driver.
+    least text counts.  Each language is a group of at most ``sample_rows`` rows of n-gram counts (49 KB each) and is
+    fitted on an executor.  The driver gets two arrays a language, document frequencies and centroids, and refuses more
+    than ``MAX_LANGS`` languages.
     """
+    spark = labelled.sparkSession
     usable = labelled.where("doc_id is not null and lang is not null and text is not null")
     ids = usable.select("doc_id", "lang").distinct()
-    n = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    n = materialize(ids.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if n.count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     h = F.xxhash64("doc_id")
-    few = ids.join(n, "lang").where(h <= F.least(F.lit(1.0), 4.0 * sample_rows / F.col("n")) * 2.0**64 - 2.0**63)
+    few = ids.join(F.broadcast(n), "lang").where(h <= F.least(F.lit(1.0), 4.0 * sample_rows / F.col("n")) * 2.0**64 - 2.0**63)
     order = W.partitionBy("lang").orderBy(h, "doc_id")
     ids = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_rows).select("doc_id", "lang")
+    # At most sample_rows * MAX_LANGS ids.
     texts = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-
-    def counted(batches):
-        for pdf in batches:
-            for a in range(0, len(pdf), 256):
-                part = pdf.iloc[a : a + 256]
-                rows = count_ngrams(list(part["text"]))
-                for i, lang, row in zip(part["doc_id"], part["lang"], rows, strict=True):
-                    at = np.flatnonzero(row)
-                    yield pd.DataFrame({"doc_id": [i], "lang": [lang], "at": [at.astype(np.uint16).tobytes()], "n": [row[at].tobytes()]})
-
-    got = texts.select("doc_id", "text", "lang").mapInPandas(counted, "doc_id long, lang string, at binary, n binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    got = [r for r in got if r["n"]]
-    rows = np.zeros((len(got), DIMS), np.float32)
-    for row, r in zip(rows, got, strict=True):
-        row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
-    idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
-    rows = unit(np.log1p(rows) * idf)
-    label = np.array([r["lang"] for r in got])
-    langs = sorted(set(label.tolist()))
-    owner, centers, reject = [], [], []
-    for i, lang in enumerate(langs):
-        mine = rows[label == lang]
-        c = spherical_means(mine, centroids)
-        owner += [i] * len(c)
-        centers.append(c)
-        reject.append(REJECT * np.percentile((mine @ c.T).max(axis=1), 1))
-    return Model(langs, np.array(owner, int), np.concatenate(centers) if centers else np.zeros((0, DIMS)), idf, np.array(reject))
+    sample = materialize(texts.select("doc_id", "text", "lang").mapInPandas(_counted, COUNTED), "language-sample")
+
+    def frequencies(key, pdf):
+        rows = _dense(pdf)
+        return pd.DataFrame({"lang": [key[0]], "rows": [len(rows)], "df": [(rows > 0).sum(axis=0).astype(np.int64).tobytes()]})
+
+    got = [r for r in sample.groupBy("lang").applyInPandas(frequencies, "lang string, rows long, df binary").collect() if r["rows"]]
+    total = sum(r["rows"] for r in got)
+    df = sum((np.frombuffer(r["df"], np.int64) for r in got), np.zeros(DIMS, np.int64))
+    idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
+
+    def fitted(key, pdf):
+        mine = _dense(pdf)
+        if not len(mine):
+            return pd.DataFrame({"lang": [], "centers": [], "reject": []})
+        mine = unit(np.log1p(mine) * idf)
+        c = spherical_means(mine, centroids).astype(np.float32)
+        return pd.DataFrame({"lang": [key[0]], "centers": [c.tobytes()], "reject": [float(REJECT * np.percentile((mine @ c.T).max(axis=1), 1))]})
+
+    found = sorted(sample.groupBy("lang").applyInPandas(fitted, "lang string, centers binary, reject double").collect(), key=lambda r: r["lang"])
+    centers = [np.frombuffer(r["centers"], np.float32).reshape(-1, DIMS) for r in found]
+    owner = np.repeat(np.arange(len(found)), [len(c) for c in centers]).astype(int)
+    discard(sample)
+    return Model([r["lang"] for r in found], owner, np.concatenate(centers) if centers else np.zeros((0, DIMS), np.float32), idf, np.array([r["reject"] for r in found]))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
