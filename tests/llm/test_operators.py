@@ -182,6 +182,24 @@ def test_language_of_odd_texts(spark, sf):
     assert {r.lang_pred for r in language_id.identify(table(spark, ODD), nothing).collect()} == {"und"}
 
 
+def test_language_rejects_what_it_has_not_learned(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.learned(docs)
+    rng = np.random.default_rng(3)
+    noise = [" ".join("".join(rng.choice(list("qxzjkvwy"), 7)) for _ in range(60)) for _ in range(20)]
+    unlearned = ["Это предложение написано по-русски и не было в обучении. " * 5, "これは学習していない言語の文章です。" * 8, "זהו משפט בעברית שלא נלמד " * 6, "qqqq zzzz xxxx jjjj kkkk " * 20]
+    _, _, rejected = model.score(noise + unlearned)
+    assert rejected.all()
+    texts = [r.text for r in docs.where("lang is not null and length(text) > 200").collect()]
+    _, _, rejected = model.score(texts)
+    assert rejected.mean() < 0.01
+
+
+def test_language_of_empty_table(spark):
+    model = language_id.learned(table(spark, []))
+    assert model.langs == [] and language_id.identify(table(spark, []), model).count() == 0
+
+
 def test_ngrams_do_not_depend_on_pieces(monkeypatch):
     text = "Zwei Wörter, 3 mal – und noch viel mehr davon. " * 20
     want = language_id.count_ngrams([text, "ab"])
@@ -272,6 +290,30 @@ def test_schedule_is_even(spark):
         assert sum(x.words for x in slots if x.src == r.src) == r.words
 
 
+def test_mix_is_even_in_every_stretch(spark):
+    """The result itself, read in order, holds each source in proportion from end to end."""
+    rows = [(i, " ".join(["w"] * (20 + i % 60)), src) for i, src in enumerate(s for s, n in (("a", 1500), ("b", 900), ("c", 300)) for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed_rows(docs, block_words=64, slot_col="at").collect()
+    assert [r["at"] for r in out] == sorted(r["at"] for r in out) and out[0]["at"] == 0
+    size = lambda part: Counter({s: sum(len(r.text.split()) for r in part if r.source == s) for s in "abc"})
+    whole = size(out)
+    taken = mixing.mix(docs, block_words=64)
+    target = {r.source: r.target for r in taken.select("source", "target").distinct().collect()}
+    assert all(abs(whole[s] - target[s]) < 80 for s in "abc")
+    firsts = {r.doc_id: r.first_slot for r in taken.where("taken > 0").collect()}
+    seen = {}
+    for r in out:
+        seen.setdefault(r.doc_id, r["at"])
+    assert all(seen[d] == firsts[d] for d in seen)
+    n = 12
+    for k in range(n):
+        part = out[len(out) * k // n : len(out) * (k + 1) // n]
+        got = size(part)
+        for s in "abc":
+            assert abs(got[s] / sum(got.values()) - whole[s] / sum(whole.values())) < 0.05
+
+
 def test_mix_of_odd_tables(spark):
     assert mixing.mix(table(spark, ODD)).count() == len(ODD)
     assert mixing.mix(table(spark, [])).count() == 0
@@ -295,11 +337,58 @@ def test_fingerprints(spark, sf, docs):
     assert np.mean([r.near_edited for r in got.values()]) > 0.4 > np.mean([r.near_next for r in got.values()])
 
 
+def plain_print(text, scale=fingerprint.SCALE):
+    """Kept hashes and the rest (None for long texts), by another library's hash."""
+    import xxhash
+
+    def chain(parts):
+        h = 42
+        for x in parts:
+            h = xxhash.xxh64_intdigest(x.encode(), seed=h)
+        return h
+
+    hashes = {chain(s) for s in brute.shingles(text)}
+    kept = {h for h in hashes if h < 2**64 // scale}
+    return kept, (hashes - kept if len(hashes) <= fingerprint.SMALL else None)
+
+
+def plain_sizes(a, b):
+    short = a[1] is not None and b[1] is not None
+    x, y = (p[0] | (p[1] if short else set()) for p in (a, b))
+    return len(x), len(y), len(x & y)
+
+
+def signed(hashes):
+    return sorted(h - (h >> 63 << 64) for h in hashes)
+
+
+def test_fingerprints_match_brute_force(spark, sf, docs):
+    got = {r.doc_id: r for r in Q["op6_scaled_sketch"](spark, sf).collect()}
+    order = sorted(docs, reverse=True)
+    prints = {d: plain_print(t) for d, t in docs}
+    shown = lambda p: "".join(f"{h % 2**64:016X}" for h in signed(p[0])) + ("" if p[1] is None else ":" + "".join(f"{h % 2**64:016X}" for h in signed(p[1])))
+    for k, (d, t) in enumerate(order):
+        n, after = len(t) // 3, order[(k + 1) % len(order)]
+        edited = plain_print(t[: len(t) - n] + after[1][:n])
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (shown(prints[d]), shown(edited))
+        for other, near, held in ((edited, got[d].near_edited, got[d].contained_edited), (prints[after[0]], got[d].near_next, got[d].contained_next)):
+            x, y, both = plain_sizes(prints[d], other)
+            assert near == pytest.approx(both / (x + y - both) if x + y else 1.0) and held == pytest.approx(both / x if x else 1.0)
+
+
 def test_sketches_merge_and_contain(spark):
-    a, b = " ".join(f"w{i}" for i in range(4000)), " ".join(f"w{i}" for i in range(3000, 3500))
-    s = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprint.sketch(F.col("a")).alias("a"), fingerprint.sketch(F.col("b")).alias("b"))
-    row = s.select("a", "b", fingerprint.merge(F.col("a"), F.col("b")).alias("m"), fingerprint.containment(F.col("b"), F.col("a")).alias("c"), fingerprint.likeness(F.col("a"), F.col("b")).alias("j")).first()
-    assert row.c == 1.0 and row.m == row.a and 0.05 < row.j < 0.25 and 380 < len(row.a) < 620
+    rows = []
+    for i in range(40):
+        parts = [f"a{i} b{i} c{i} d{i} e{i} f{i}", " ".join(f"w{i}x{k}" for k in range(54)), " ".join(f"v{i}x{k}" for k in range(2000))]
+        rows.append((parts[0], parts[1], parts[2], parts[2] + " " + parts[1]))
+    s = spark.createDataFrame(rows, "a string, b string, c string, cb string")
+    f, k = lambda c: fingerprint.fingerprint(F.col(c)), lambda c: fingerprint.sketch(F.col(c))
+    got = s.select(k("a").alias("ka"), k("b").alias("kb"), fingerprint.merge(k("a"), k("b")).alias("m"), fingerprint.containment(f("b"), f("cb")).alias("b_in_cb"), fingerprint.containment(f("cb"), f("b")).alias("cb_in_b"), fingerprint.containment(f("b"), f("c")).alias("b_in_c"), "a", "b").collect()
+    for r in got:
+        # The sketch of the shingles of both, by the hashes' values alone.
+        want = signed({h for t in (r.a, r.b) for p in [plain_print(t)] for h in p[0] | p[1] if h < 2**64 // fingerprint.SCALE})
+        assert r.m == want == sorted(set(r.ka) | set(r.kb))
+        assert r.b_in_cb == 1.0 and r.cb_in_b < 0.06 and r.b_in_c == 0.0
 
 
 def test_fingerprints_of_odd_tables(spark):
@@ -360,6 +449,20 @@ def test_rebalancing_moves_few_slots(spark):
     assert out.select("map_version").distinct().collect()[0][0] == 4
 
 
+def test_map_is_kept_in_versions(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(300)], "doc_id long, text string")
+    first = {r.doc_id: r for r in sharding.shard(docs, shards=5, slots=64, map_path=path).collect()}
+    slots = {r.vslot: r.shard for r in spark.read.parquet(path).where("version = 1").collect()}
+    assert set(slots) == set(range(64)) and all(slots[r.vslot] == r.shard for r in first.values())
+    # A slot that is empty now keeps its shard; one more shard moves few rows.
+    few = {r.doc_id: r for r in sharding.shard(docs.where("doc_id < 20"), shards=5, slots=64, map_path=path).collect()}
+    again = {r.doc_id: r for r in sharding.shard(docs, shards=6, slots=64, map_path=path).collect()}
+    assert {r.map_version for r in few.values()} == {2} and {r.map_version for r in again.values()} == {3}
+    assert spark.read.parquet(path).groupBy("version").count().where("count = 64").count() == 3
+    assert {r.shard for r in again.values()} == set(range(6))
+
+
 def test_shards_of_odd_tables(spark):
     assert sharding.shard(table(spark, ODD)).count() == len(ODD) and sharding.shard(table(spark, [])).count() == 0
 
