@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,21 +12,53 @@ from pyspark.sql import Window as W
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Semi-joins ship ids to every executor up to this many rows (8 bytes each), and shuffle beyond it.
+#: Joins by id ship ids, with a few numbers at most, to every executor up to this many rows, and shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """This application's folder that all executors see, in ``spark.checkpoint.dir``; a local one on a local master only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    return (where or "/tmp/checkpoints").rstrip("/") + "/tidepanel"
+    if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "/tmp/checkpoints"
+    return f"{where.rstrip('/')}/tidepanel/{spark.sparkContext.applicationId}"
+
+
+def long_rows(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has the default of 10,000, as rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again; this cuts the lineage for good."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as a table in the shared folder and read it again; this cuts the lineage for good.
+
+    The application's folder goes when it ends; :func:`discard` frees a table that nothing will read any more.
+    """
+    spark = df.sparkSession
+    files, folder = _path(spark, shared_dir(spark))
+    files.deleteOnExit(folder)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` whose last reader has been written."""
+    for t in tables:
+        spark = t.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if f"/tidepanel/{spark.sparkContext.applicationId}/" in path:
+                files, folder = _path(spark, path)
+                files.delete(folder, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -57,6 +90,7 @@ def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     that repeat both id and text share a number.
     """
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
+    long_rows(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *whole)
     if not repeats(d, "doc_id"):
         return d.select(F.col("doc_id").alias("ord"), *d.columns)
@@ -85,6 +119,9 @@ def numbered_rows(df: DataFrame, order: list, name: str) -> DataFrame:
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join on ``key``; ``ids`` is broadcast only if it was counted and is at most ``BROADCAST_ROWS`` rows."""
+    """Join on ``key``; ``ids`` is broadcast only if it was counted and is at most ``BROADCAST_ROWS`` rows.
+
+    A row of ``ids`` is of fixed width: ids and numbers, no text and no list that grows.
+    """
     small = ids.count() <= BROADCAST_ROWS
     return df.join(F.broadcast(ids) if small else ids, key, how)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
 #: Odd multipliers, so that they have inverses modulo 2**64.
@@ -13,6 +15,21 @@ SLICE = 1 << 17
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
+
+
+def tidy() -> None:
+    """Give freed memory back to the system; a worker lives on after its task, and its executor counts what it keeps."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def _table(seed: int, n: int = 256) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64)
 
@@ -106,11 +123,10 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 def arrow_slices(batches, text: str, chars: int = 1 << 19, rows: int = 256):
     """Arrow batches in pieces of at most so many rows and about so many bytes of ``text``; other columns are not copied."""
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
-        pa.default_memory_pool().release_unused()
+        tidy()
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False))
         i = 0
         while i < batch.num_rows:
@@ -118,6 +134,7 @@ def arrow_slices(batches, text: str, chars: int = 1 << 19, rows: int = 256):
             j = min(batch.num_rows, i + rows, max(i + 1, int(np.searchsorted(size, before + chars, "right"))))
             yield batch.slice(i, j - i)
             i = j
+    tidy()
 
 
 def with_columns(batch, drop: tuple, **new):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm._shared import materialize, ordered
+from tidepanel.llm._shared import long_rows, materialize, ordered
 from tidepanel.llm._text import arrow_slices, covered, join_texts, run_hashes, slices, with_columns, word_bounds, word_hashes
 
 WINDOW = 13
@@ -229,6 +229,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     ``items``; repeated items count once by id; repeated rows are separate documents; empty
     tables give empty or clean results; other columns are ignored.
     """
+    long_rows(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null" if unnamed else "item_id is not null and text is not null")
     names = [f"_k{i}" for i in range(len(keep))]
     texts = names[keep.index(text_col)] if text_col in keep else "_text"

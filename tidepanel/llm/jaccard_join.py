@@ -6,7 +6,8 @@ tokens; the hashes are shared, so similar sets take the same tokens.  A bucket w
 the same way by a second token, and so on, unless a single child would hold most of it again; then its sets are alike
 and are compared, block by block.  Two sets of similarity 0.8 share 1.6 tokens or more a run on average and so miss
 each other in one with probability e**-1.6 = 0.20 in buckets that are not split, and 0.28, 0.32, 0.33 where they must
-share a path of 2, 3, 4 tokens; the ``RUNS`` runs together miss about 2 in a million at the deepest level.
+share a path of 2, 3, 4 tokens.  Runs are repeated until the target ``recall`` of such pairs is reached at the deepest
+level (:func:`runs_for`): twelve for the default.
 
 Buckets with the same sets are compared once, and a pair counts in the least bucket that both share, so links are
 exact without a list of pairs.  Each task reports links and its part of a spanning forest; components follow by
@@ -15,6 +16,8 @@ alternating star contraction over tables.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,22 +25,46 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm._shared import keep_ids, materialize, ordered, partitions, repeats
-from tidepanel.llm._text import arrow_slices, join_texts, mix, run_hashes, slices, with_columns, word_bounds, word_hashes
+from tidepanel.llm._shared import discard, keep_ids, materialize, ordered, partitions, repeats
+from tidepanel.llm._text import arrow_slices, join_texts, mix, run_hashes, slices, tidy, with_columns, word_bounds, word_hashes
 
 SHINGLE = 5
 #: Sets are similar if they share at least UP / DOWN of their union.
 UP, DOWN = 4, 5
-RUNS = 12
 DENSITY = 0.5
 LIMIT = 1024
 DEPTH = 4
+#: The share of pairs of similarity 0.8 that the runs together must find, wherever their buckets are split.
+RECALL = 0.999997
+#: Distinct shingles of the sets that one part of a bucket, and about as many that one task, holds at a time.
+PART_SHINGLES = 1 << 19
+TASK_SHINGLES = 1 << 20
 #: A bucket is not split if one child would hold this part of it.
 ALIKE = 0.7
 
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
-SEEDS = np.random.default_rng(7).integers(1, 1 << 63, RUNS, dtype=np.uint64)
+
+
+def miss_of_a_run(depth: int = DEPTH) -> float:
+    """The probability that two sets of similarity 0.8 share no path of ``depth`` tokens in a run."""
+    miss = 0.0
+    for _ in range(depth):
+        miss = math.exp(-UP / DOWN / DENSITY * (1 - miss))
+    return miss
+
+
+def runs_for(recall: float, depth: int = DEPTH) -> int:
+    """How many runs find the share ``recall`` of pairs of similarity 0.8."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(miss_of_a_run(depth))))
+
+
+def seeds_for(runs: int) -> np.ndarray:
+    return np.random.default_rng(7).integers(1, 1 << 63, runs, dtype=np.uint64)
+
+
+RUNS = runs_for(RECALL)
+SEEDS = seeds_for(RUNS)
 
 
 def shingle_sets(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +98,11 @@ def _chosen(hashes: np.ndarray, seed, size: np.ndarray) -> tuple[np.ndarray, np.
     return np.flatnonzero(u <= most.astype(np.uint64)), mix(u + np.uint64(1))
 
 
-def _first_paths(batches):
+def _first_paths(seeds):
+    return lambda batches: _paths_of(batches, seeds)
+
+
+def _paths_of(batches, seeds):
     for part in arrow_slices(batches, "text", rows=4096):
         h, edge = shingle_sets(part.column(part.schema.get_field_index("text")).to_pylist())
         n = np.diff(edge)
@@ -83,7 +114,7 @@ def _first_paths(batches):
         owner = np.repeat(np.arange(len(n)), n)
         size = n[owner]
         rows, keys = [], []
-        for seed in SEEDS:
+        for seed in seeds:
             at, key = _chosen(h, seed, size)
             rows.append(owner[at])
             keys.append(key[at])
@@ -104,33 +135,50 @@ def _next_paths(batches):
                 own = h[edge[k] : edge[k + 1]]
                 for parent in pdf["paths"].iloc[i + k]:
                     at, key = _chosen(own, mix(np.array([parent], np.int64).view(np.uint64))[0], np.full(len(own), len(own)))
-                    rows += [(pdf["rep"].iloc[i + k], parent, x) for x in key[at].view(np.int64).tolist()]
-            yield pd.DataFrame(rows, columns=["rep", "parent", "key"])
+                    rows += [(pdf["rep"].iloc[i + k], len(own), parent, x) for x in key[at].view(np.int64).tolist()]
+            yield pd.DataFrame(rows, columns=["rep", "n", "parent", "key"])
+        tidy()
+
+
+def _with_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` joined with a table that has one row ``(key, c, ...)`` of fixed width a key, ``c`` rows each.
+
+    A key of more than ``LIMIT`` rows would gather them in one task.  There is at most one such key to ``LIMIT`` rows;
+    they are joined first (by broadcast, if few enough), and only the other keys' rows are dealt by key.
+    """
+    hot = counts.where(F.col("c") > LIMIT)
+    if not hot.count():
+        return rows.join(counts, "key")
+    cold = keep_ids(rows, hot.select("key"), "key", "left_anti").join(counts.where(F.col("c") <= LIMIT), "key")
+    return cold.unionByName(keep_ids(rows, hot, "key"))
 
 
 def _leaves(docs: DataFrame, level: DataFrame) -> DataFrame:
-    """``(rep, key)``: the buckets where sets are compared."""
+    """``(rep, n, key)``: the buckets where sets are compared; ``n`` is the size of the set."""
     leaves = None
     for depth in range(1, DEPTH + 1):
         level = materialize(level, f"paths{depth}")
-        sizes = level.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        small = level.join(sizes.where(F.col("c") <= LIMIT).select("key"), "key").select("rep", "key")
-        large = materialize(sizes.where(F.col("c") > LIMIT), f"large{depth}")
+        sizes = materialize(level.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), f"sizes{depth}")
+        large = sizes.where(F.col("c") > LIMIT)
+        some = large.count() > 0
+        cold = keep_ids(level, large.select("key"), "key", "left_anti") if some else level
+        small = cold.join(sizes.where(F.col("c") <= LIMIT).select("key"), "key").select("rep", "n", "key")
         leaves = small if leaves is None else leaves.unionByName(small)
-        if not large.count():
+        if not some:
             break
-        members = level.join(large, "key").select("rep", "key", "c")
+        members = keep_ids(level, large.select("key"), "key").select("rep", "n", "key")
         if depth == DEPTH:
-            leaves = leaves.unionByName(members.select("rep", "key"))
+            leaves = leaves.unionByName(members)
             break
         paths = materialize(members.groupBy("rep").agg(F.collect_list("key").alias("paths")), f"members{depth}")
-        texts = keep_ids(docs.select(F.col("ord").alias("rep"), "text"), paths, "rep")
-        children = materialize(texts.mapInPandas(_next_paths, "rep long, parent long, key long"), f"children{depth}")
+        # A set has a few paths only, but all of them together grow with the input: texts are filtered, then joined.
+        texts = keep_ids(docs.select(F.col("ord").alias("rep"), "text"), paths.select("rep"), "rep", "left_semi").join(paths, "rep")
+        children = materialize(texts.mapInPandas(_next_paths, "rep long, n long, parent long, key long"), f"children{depth}")
         most = children.groupBy("parent", "key").agg(F.count("*").alias("n")).groupBy("parent").agg(F.max("n").alias("n"))
         fate = large.join(most, large["key"] == most["parent"], "left").select("key", (F.coalesce("n", F.lit(0)) >= ALIKE * F.col("c")).alias("alike"))
         fate = materialize(fate, f"fate{depth}")
-        leaves = leaves.unionByName(members.join(fate.where("alike").select("key"), "key").select("rep", "key"))
-        level = children.join(fate.where("not alike").select(F.col("key").alias("parent")), "parent").select("rep", "key").distinct()
+        leaves = leaves.unionByName(keep_ids(members, fate.where("alike").select("key"), "key").select("rep", "n", "key"))
+        level = keep_ids(children, fate.where("not alike").select(F.col("key").alias("parent")), "parent").select("rep", "n", "key").distinct()
     return leaves
 
 
@@ -144,7 +192,7 @@ def _packed(limit: int, n_tasks: int):
                 body = squeeze(text.encode("utf-8", "surrogatepass"))
                 mine = int(mix(np.array([rep], np.int64).view(np.uint64))[0])
                 for b in buckets:
-                    parts = -(-b["c"] // limit)
+                    parts = max(-(-b["c"] // limit), -(-b["w"] // PART_SHINGLES))
                     p = mine % parts
                     for q in range(parts):
                         i, j = min(p, q), max(p, q)
@@ -194,24 +242,28 @@ class _Sets:
         return out
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """How many tokens each set of x shares with each of y, by products of 0/1 matrices."""
-        members = np.concatenate((x, y))
-        tokens = np.concatenate([self.of(k) for k in members])
-        row = np.repeat(np.arange(len(members)), self.n[members])
-        used, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
-        keep = times[column] > 1
-        number = np.cumsum(times > 1) - 1
-        column, row = number[column[keep]], row[keep]
-        out = np.zeros((len(x), len(y)), np.float32)
-        order = np.argsort(column, kind="stable")
-        column, row = column[order], row[order]
-        width = 2048
-        for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            i, j = np.searchsorted(column, (a, a + width))
-            m = np.zeros((len(members), width), np.float32)
-            m[row[i:j], column[i:j] - a] = 1
-            out += m[: len(x)] @ m[len(x) :].T
-        return out
+        return overlap([self.of(k) for k in x], [self.of(k) for k in y])
+
+
+def overlap(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many values each array of distinct values in xs shares with each in ys, by products of 0/1 matrices."""
+    members = [*xs, *ys]
+    values = np.concatenate(members)
+    row = np.repeat(np.arange(len(members)), [len(m) for m in members])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    keep = times[column] > 1
+    number = np.cumsum(times > 1) - 1
+    column, row = number[column[keep]], row[keep]
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    width = 2048
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, (a, a + width))
+        m = np.zeros((len(members), width), np.float32)
+        m[row[i:j], column[i:j] - a] = 1
+        out += m[: len(xs)] @ m[len(xs) :].T
+    return out
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -256,18 +308,14 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
             xs = x[lo : lo + 512]
             common = sets.common(xs, y)
             nx, ny = sets.n[xs][:, None], sets.n[y][None, :]
-            near = (UP + DOWN) * common.astype(np.int64) >= UP * (nx + ny)
+            near = (UP + DOWN) * common >= UP * (nx + ny)  # below 2**24, so exact
             if i == j:
                 near &= np.arange(lo, lo + len(xs))[:, None] < np.arange(len(y))[None, :]
             a, b = np.nonzero(near)
             if len(a):
                 # Leave out pairs that share a smaller bucket.
-                smaller = sorted({s for m in (xs, y) for t in m.tolist() for s in keys[t].tolist() if s < key})
-                number = {s: c for c, s in enumerate(smaller)}
-                if smaller:
-                    has = lambda m: np.array([[c in cs for c in range(len(smaller))] for cs in ({number[s] for s in keys[t].tolist() if s < key} for t in m.tolist())], np.float32)
-                    first = (has(xs) @ has(y).T)[a, b] == 0
-                    a, b = a[first], b[first]
+                first = overlap([keys[t][keys[t] < key] for t in xs], [keys[t][keys[t] < key] for t in y])[a, b] == 0
+                a, b = a[first], b[first]
                 link(xs[a], y[b])
     if few_a:
         a, b = np.array(few_a), np.array(few_b)
@@ -276,7 +324,10 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     root = np.array([_find(parent, x) for x in range(len(reps))], np.int64)
     linked = np.flatnonzero(links > 0)
     # A set whose links all count elsewhere is not reported: its component comes from there.
-    return pd.DataFrame({"rep": reps[linked], "links": links[linked], "root": reps[root[linked]]})
+    out = pd.DataFrame({"rep": reps[linked], "links": links[linked], "root": reps[root[linked]]})
+    del sets, own, keys
+    tidy()
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,12 +340,14 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: of a node's neighbours the larger ones go to the least of all.
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        last, e = e, both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         e = materialize(e, "edges")
+        discard(last)
         # Small star: a node and its smaller neighbours go to the least of these.
         least = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+        last, e = e, e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         e = materialize(e, "edges")
+        discard(last)
         after = check(e)
         if after == before:
             break
@@ -302,7 +355,7 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """``(ord, doc_id, class_id, n_links)``, a row per row of ``docs``.
 
     ``n_links`` counts the other documents (copies included) of Jaccard similarity 0.8 or more; ``class_id`` is the
@@ -311,25 +364,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (doc_id with nulls last, hash of the text) and ``class_id`` is such a number (``ord``).  An empty table gives an
     empty result; other columns are ignored.
     """
-    return _join(ordered(docs, id_col, text_col))
+    return _join(ordered(docs, id_col, text_col), recall)
 
 
-def _join(d: DataFrame) -> DataFrame:
+def _join(d: DataFrame, recall: float = RECALL) -> DataFrame:
     spark = d.sparkSession
-    light = d.select("ord", "doc_id", "text").mapInArrow(_first_paths, "ord long, doc_id long, n long, s1 long, s2 long, keys array<long>")
+    light = d.select("ord", "doc_id", "text").mapInArrow(_first_paths(seeds_for(runs_for(recall))), "ord long, doc_id long, n long, s1 long, s2 long, keys array<long>")
     light = materialize(light, "sets")
     same = ["n", "s1", "s2"]
     classes = light.where("n > 0").groupBy(*same).agg(F.min("ord").alias("rep"), F.count("*").alias("mult"))
     classes = materialize(classes, "classes")
-    keyed = light.select(F.col("ord").alias("rep"), "keys").join(classes.select("rep"), "rep")
-    leaves = materialize(_leaves(d, keyed.select("rep", F.explode("keys").alias("key")).distinct()), "leaves")
-    marked = leaves.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
-    once = marked.where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c")
-    members = leaves.join(once, "key").groupBy("rep").agg(F.collect_list(F.struct("key", "c")).alias("buckets"))
+    keyed = light.select(F.col("ord").alias("rep"), "n", "keys").join(classes.select("rep"), "rep")
+    leaves = materialize(_leaves(d, keyed.select("rep", "n", F.explode("keys").alias("key")).distinct()), "leaves")
+    marked = leaves.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    once = materialize(marked.where("c > 1").groupBy("c", "w", "x", "y").agg(F.min("key").alias("key")).select("key", "c", "w"), "buckets")
+    members = _with_counts(leaves, once).groupBy("rep").agg(F.first("n").alias("n"), F.collect_list(F.struct("key", "c", "w")).alias("buckets"))
     members = materialize(members.join(classes.select("rep", "mult"), "rep"), "members")
-    n_tasks = 4 * partitions(spark)
-    texts = keep_ids(d.select(F.col("ord").alias("rep"), "text").where("text is not null"), members, "rep")
-    tasks = texts.mapInPandas(_packed(LIMIT, n_tasks), PACKED)
+    discard(leaves)
+    # Every set goes to a task for each part of its buckets that it meets.
+    sent = F.aggregate("buckets", F.lit(0.0), lambda a, b: a + F.greatest(F.ceil(b["c"] / LIMIT), F.ceil(b["w"] / PART_SHINGLES)))
+    n_tasks = max(partitions(spark), int((members.agg(F.sum(F.col("n") * sent)).first()[0] or 0) / TASK_SHINGLES) + 1)
+    texts = keep_ids(d.select(F.col("ord").alias("rep"), "text").where("text is not null"), members.select("rep"), "rep", "left_semi")
+    tasks = texts.join(members.drop("n"), "rep").mapInPandas(_packed(LIMIT, n_tasks), PACKED)
     linked = materialize(tasks.groupBy("task").applyInPandas(_compare, LINKED), "links")
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
@@ -338,6 +394,7 @@ def _join(d: DataFrame) -> DataFrame:
         *[F.col(c).alias(f"_{c}") for c in same], F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
     )
     facts = materialize(facts, "facts")
+    discard(members, once, linked)
     on = (light["n"] == facts["_n"]) & (light["s1"] == facts["_s1"]) & (light["s2"] == facts["_s2"])
     some = light.where("n > 0").join(facts, on).select("ord", "doc_id", "class_id", "n_links")
     none = light.where("n = 0").select("ord", "doc_id", F.col("ord").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidepanel.llm._shared import discard, materialize
+from tidepanel.llm._shared import discard, long_rows, materialize
 from tidepanel.llm._text import arrow_slices, tidy, with_columns
 
 #: Rows per language that the classifier is fitted on, chosen by the hash of the id.
@@ -172,6 +172,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, centroids: int = CE
     fitted on an executor.  The driver gets two arrays a language, document frequencies and centroids, and refuses more
     than ``MAX_LANGS`` languages.
     """
+    long_rows(labelled.sparkSession)
     spark = labelled.sparkSession
     usable = labelled.where("doc_id is not null and lang is not null and text is not null")
     ids = usable.select("doc_id", "lang").distinct()
@@ -216,6 +217,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     A null text and one without a letter get ``und``, score 0 and are rejected.  Null and repeated ids pass through;
     an empty table gives an empty result; columns not in ``keep`` are ignored.
     """
+    long_rows(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = [f"_k{i}" for i in range(len(keep))]

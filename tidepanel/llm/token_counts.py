@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.llm._shared import long_rows
 from tidepanel.llm._text import BASE, mix, powers, prefix_sums
 
 LIMIT = 2048
@@ -153,6 +154,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
     A null text is empty.  Null and repeated ids pass through; an empty table gives an empty result; other columns are
     ignored.
     """
+    long_rows(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def counted(batches):
