@@ -1,7 +1,9 @@
 """Monthly investable universes without a loop over months.
 
-A bar at date D belongs to the history [T - 1 year, T) of the twelve month starts T that follow it, so bars are
-exploded by target month once; filters then work on (target, symbol) groups and narrow the survivors in order.
+A bar at date D belongs to the history [T - 1 year, T) of the twelve month starts T that follow it.  What a bar needs of
+earlier bars (differences, returns) is computed once per symbol; the twelve months are then unfolded row by row into one
+aggregation, whose groups (target, symbol) lie within the symbols' partitions, so nothing is shuffled or sorted twelve
+times.  It gives one table of statistics a (target, symbol); the filters narrow that table in order.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ KEYS = ["target", "act_symbol"]
 LAGS = range(2, 20)
 
 
-def by_group():
-    return W.partitionBy(*KEYS).orderBy("date")
+def by_symbol():
+    return W.partitionBy("act_symbol").orderBy("date")
 
 
 def by_month():
@@ -33,23 +35,65 @@ def months(panel: DataFrame, start=None, end=None) -> DataFrame:
     return panel.agg(F.sequence(F.trunc(lo, "month"), F.trunc(hi, "month"), F.expr("interval 1 month")).alias("m")).select(F.explode("m").alias("target"))
 
 
+def lagged(panel: DataFrame) -> DataFrame:
+    """Add what the statistics need of a symbol's other bars; columns that a query does not use are never computed.
+
+    ``_at{k}`` is the date of the bar k rows before and ``_d{k}`` the close's change since then; ``_next`` is the date
+    of the 200th bar after this one.
+    """
+    close = F.col("close")
+    before = {f"_at{k}": F.lag("date", k).over(by_symbol()) for k in (1, *LAGS)}
+    change = {f"_d{k}": close - F.lag("close", k).over(by_symbol()) for k in LAGS}
+    return panel.withColumns({**before, **change, "_r": F.ln(F.try_divide(close, F.lag("close").over(by_symbol()))), "_next": F.lead("date", 200).over(by_symbol())})
+
+
 def history(panel: DataFrame, targets: DataFrame) -> DataFrame:
     """Bars by target month: those in the year before it."""
     first = F.trunc("date", "month")
-    out = panel.withColumn("target", F.explode(F.sequence(F.add_months(first, 1), F.add_months(first, 12), F.expr("interval 1 month"))))
+    out = lagged(panel).withColumn("target", F.explode(F.sequence(F.add_months(first, 1), F.add_months(first, 12), F.expr("interval 1 month"))))
     # A bar at the very day a year before is in; bars before it are not.
-    return out.join(targets, "target", "left_semi").where((F.col("date") >= F.add_months("target", -12)) & (F.col("date") < F.col("target")))
+    return out.join(F.broadcast(targets), "target", "left_semi").where((F.col("date") >= F.add_months("target", -12)) & (F.col("date") < F.col("target")))
 
 
-class Filter:
-    """Narrows ``survivors`` (target, act_symbol) by ``history``."""
+def price_stats() -> dict:
+    recent = F.when(F.col("date") >= F.add_months("target", -1), F.col("close") * F.col("volume"))
+    return {
+        "dollar_volume": F.avg(recent), "average_price": F.avg("close"),
+        "known_price": F.max_by("close", F.when(F.col("close").isNotNull(), F.col("date"))),
+    }
 
-    def __init__(self, name: str):
-        self.name = name
 
-    def apply(self, past: DataFrame) -> DataFrame:
-        """The survivors among the symbols of ``past``, which holds earlier survivors' history only."""
-        raise NotImplementedError
+def year_stats() -> dict:
+    """A difference counts in a history if both its bars do."""
+    close, start = F.col("close"), F.add_months("target", -12)
+    inside = lambda k, x: F.when(F.col(f"_at{k}") >= start, F.col(x))
+    return {
+        "history_days": F.count("*"), "first_price": F.min_by("close", "date"), "last_price": F.max_by("close", "date"),
+        "sd": F.stddev_pop(inside(1, "_r")), "sma": F.avg(F.when(F.col("_next").isNull() | (F.col("_next") >= F.col("target")), close)),
+        **{f"s{k}": F.stddev_pop(inside(k, f"_d{k}")) for k in LAGS},
+    }
+
+
+def finished(g: DataFrame) -> DataFrame:
+    """Return, volatility, Hurst slope and uptrend from the sums of a year."""
+    tau = F.array(*[F.struct(F.lit(float(k)).alias("lag"), F.greatest(F.sqrt(F.coalesce(f"s{k}", F.lit(0.0))), F.lit(0.0)).alias("tau")) for k in LAGS])
+    points = F.transform(tau, lambda p: F.struct(F.ln(p["lag"]).alias("x"), F.ln(F.when(p["tau"] > 0, p["tau"]).otherwise(1e-8)).alias("y")))
+    g = g.withColumn("_p", points)
+    n = len(LAGS)
+    total = lambda f: F.aggregate("_p", F.lit(0.0), lambda a, p: a + f(p))
+    slope = (n * total(lambda p: p["x"] * p["y"]) - total(lambda p: p["x"]) * total(lambda p: p["y"])) / (n * total(lambda p: p["x"] * p["x"]) - total(lambda p: p["x"]) * total(lambda p: p["x"]))
+    long = F.col("history_days") >= 30
+    return g.withColumns({
+        "year_return": F.try_divide(F.col("last_price"), F.col("first_price")) - 1,
+        "volatility": F.when(long, F.col("sd") * F.sqrt(F.lit(252.0))), "hurst": F.when(long, slope),
+        "uptrend": F.coalesce((F.col("history_days") >= 200) & (F.col("last_price") > F.col("sma")), F.lit(False)),
+    }).drop("_p", "sd", "sma", "first_price", *[f"s{k}" for k in LAGS])
+
+
+def statistics(past: DataFrame) -> DataFrame:
+    """One row a (target, symbol) with all that filters ask for; what they do not ask for is pruned."""
+    aggs = {**price_stats(), **year_stats()}
+    return finished(past.groupBy(*KEYS).agg(*[v.alias(k) for k, v in aggs.items()]))
 
 
 def liquidity(past: DataFrame) -> DataFrame:
@@ -58,14 +102,33 @@ def liquidity(past: DataFrame) -> DataFrame:
     return recent.groupBy(*KEYS).agg(F.avg(F.col("close") * F.col("volume")).alias("dollar_volume"))
 
 
+def yearly_stats(past: DataFrame) -> DataFrame:
+    """History length, return, annualised volatility, Hurst slope, last price and uptrend by (target, symbol).
+
+    Groups of fewer than 30 rows have no volatility and slope; the uptrend needs 200.
+    """
+    return statistics(past).select(*KEYS, "history_days", "year_return", "volatility", "hurst", "last_price", "uptrend")
+
+
+class Filter:
+    """Narrows a table of :func:`statistics`."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def apply(self, stats: DataFrame) -> DataFrame:
+        """The rows of the survivors; ``stats`` has those of earlier survivors only."""
+        raise NotImplementedError
+
+
 class TopLiquidityFilter(Filter):
     def __init__(self, N: int):
         super().__init__(f"top {N} by liquidity")
         self.n = N
 
-    def apply(self, past):
+    def apply(self, stats):
         place = F.row_number().over(by_month().orderBy(F.col("dollar_volume").desc(), "act_symbol"))
-        return liquidity(past).where("dollar_volume is not null").withColumn("_r", place).where(F.col("_r") <= self.n).select(*KEYS)
+        return stats.where("dollar_volume is not null").withColumn("_r", place).where(F.col("_r") <= self.n).drop("_r")
 
 
 class PriceFilter(Filter):
@@ -77,37 +140,8 @@ class PriceFilter(Filter):
             raise ValueError(f"unknown method: {method}")
         self.min_price, self.method = min_price, method
 
-    def apply(self, past):
-        price = F.avg("close") if self.method != "close_price" else F.max_by("close", F.when(F.col("close").isNotNull(), F.col("date")))
-        return past.groupBy(*KEYS).agg(price.alias("_p")).where(F.col("_p") >= self.min_price).select(*KEYS)
-
-
-def yearly_stats(past: DataFrame) -> DataFrame:
-    """History length, return, annualised volatility, Hurst slope, last price and uptrend by (target, symbol).
-
-    Groups of fewer than 30 rows have no volatility and slope; the uptrend needs 200.
-    """
-    close = F.col("close")
-    at = {f"d{k}": close - F.lag("close", k).over(by_group()) for k in LAGS}
-    r = F.ln(F.try_divide(close, F.lag("close").over(by_group())))
-    x = past.select(*KEYS, "date", "close", r.alias("r"), F.row_number().over(W.partitionBy(*KEYS).orderBy(F.col("date").desc())).alias("_b"), *[v.alias(k) for k, v in at.items()])
-    g = x.groupBy(*KEYS).agg(
-        F.count("*").alias("history_days"), F.min_by("close", "date").alias("first_price"), F.max_by("close", "date").alias("last_price"),
-        F.stddev_pop("r").alias("sd"), F.avg(F.when(F.col("_b") <= 200, close)).alias("sma"),
-        *[F.stddev_pop(f"d{k}").alias(f"s{k}") for k in LAGS],
-    )
-    tau = F.array(*[F.struct(F.lit(float(k)).alias("lag"), F.greatest(F.sqrt(F.coalesce(f"s{k}", F.lit(0.0))), F.lit(0.0)).alias("tau")) for k in LAGS])
-    points = F.transform(tau, lambda p: F.struct(F.ln(p["lag"]).alias("x"), F.ln(F.when(p["tau"] > 0, p["tau"]).otherwise(1e-8)).alias("y")))
-    g = g.withColumn("_p", points)
-    n = len(LAGS)
-    total = lambda f: F.aggregate("_p", F.lit(0.0), lambda a, p: a + f(p))
-    slope = (n * total(lambda p: p["x"] * p["y"]) - total(lambda p: p["x"]) * total(lambda p: p["y"])) / (n * total(lambda p: p["x"] * p["x"]) - total(lambda p: p["x"]) * total(lambda p: p["x"]))
-    long = F.col("history_days") >= 30
-    return g.select(
-        *KEYS, "history_days", (F.try_divide(F.col("last_price"), F.col("first_price")) - 1).alias("year_return"),
-        F.when(long, F.col("sd") * F.sqrt(F.lit(252.0))).alias("volatility"), F.when(long, slope).alias("hurst"), "last_price",
-        F.coalesce((F.col("history_days") >= 200) & (F.col("last_price") > F.col("sma")), F.lit(False)).alias("uptrend"),
-    )
+    def apply(self, stats):
+        return stats.where(F.col("known_price" if self.method == "close_price" else "average_price") >= self.min_price)
 
 
 @dataclass
@@ -126,8 +160,8 @@ class AdvancedStatsFilter(Filter):
         super().__init__("yearly statistics")
         self.want = _Stats(min_history_days, max_crash, require_uptrend, volatility_n)
 
-    def apply(self, past):
-        s = yearly_stats(past).where("hurst is not null and volatility is not null")
+    def apply(self, stats):
+        s = stats.where("hurst is not null and volatility is not null")
         if self.want.min_history_days is not None:
             s = s.where(F.col("history_days") >= self.want.min_history_days)
         if self.want.max_crash is not None:
@@ -135,8 +169,8 @@ class AdvancedStatsFilter(Filter):
         if self.want.require_uptrend:
             s = s.where("uptrend")
         if self.want.volatility_n is not None:
-            s = s.withColumn("_r", F.row_number().over(by_month().orderBy("volatility", "act_symbol"))).where(F.col("_r") <= self.want.volatility_n)
-        return s.select(*KEYS)
+            s = s.withColumn("_r", F.row_number().over(by_month().orderBy("volatility", "act_symbol"))).where(F.col("_r") <= self.want.volatility_n).drop("_r")
+        return s
 
 
 class Universe:
@@ -152,23 +186,21 @@ class Universe:
         self.filters.append(f)
         return self
 
+    def _alive(self, past: DataFrame) -> DataFrame:
+        stats = statistics(past)
+        for f in self.filters:
+            stats = f.apply(stats)
+        return stats.select(*KEYS)
+
     def members(self, targets: DataFrame) -> DataFrame:
         """``(target, act_symbol)`` after all filters, each on the survivors of those before."""
-        past = history(self.panel, targets)
-        alive = past.select(*KEYS).distinct()
-        for f in self.filters:
-            alive = f.apply(past)
-            past = past.join(alive, KEYS, "left_semi")
-        return alive
+        return self._alive(history(self.panel, targets))
 
     def get_universe_for_month(self, date) -> DataFrame:
         """The rows of the survivors in the month from ``date`` on; any day may be asked for."""
         day = F.lit(date).cast("date")
-        past = self.panel.where((F.col("date") >= F.add_months(day, -12)) & (F.col("date") < day)).withColumn("target", day)
-        alive = past.select(*KEYS).distinct()
-        for f in self.filters:
-            alive = f.apply(past)
-            past = past.join(alive, KEYS, "left_semi")
+        past = self.panel.where((F.col("date") >= F.add_months(day, -12)) & (F.col("date") < day))
+        alive = self._alive(lagged(past).withColumn("target", day))
         rows = self.panel.where((F.col("date") >= day) & (F.col("date") < F.add_months(day, 1)))
         return rows.join(alive.select("act_symbol"), "act_symbol", "left_semi")
 
