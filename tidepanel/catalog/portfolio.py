@@ -71,7 +71,7 @@ CONTRACTS = f"WITH {BASE}, c AS (SELECT *, ln(close / open) AS lr FROM b) SELECT
 def collar(s, d):
     b = prepare(P.bars(s, d))
     b = b.withColumns({"contract_ret": O.contract_return(F.col("open"), F.col("close"), 5), "vol": O.realised(F.col("log_ret"), 30)})
-    return rounded(O.collar(b), "principal", "call_pnl", "put_pnl")
+    return rounded(O.collar(b), "principal", "call_profit", "put_profit")
 
 
 ENTRIES = {

@@ -58,83 +58,133 @@ def _phi(x: float) -> float:
     return 0.5 * (1 + math.erf(x / math.sqrt(2)))
 
 
-def student_t(x: np.ndarray, rounds: int = 60) -> tuple[float, float, float]:
-    """Degrees of freedom, place and scale by expectation-maximisation and a search over the degrees."""
-    best = (-math.inf, 30.0, float(x.mean()), float(x.std()) or 1e-9)
-    for v in (2.1, 2.5, 3.0, 4.0, 5.0, 7.0, 10.0, 15.0, 30.0, 100.0):
-        m, s2 = float(x.mean()), float(x.var()) or 1e-18
+#: Degrees of freedom that a fit may have, and how many are tried at once.
+FREEDOM, TRIED = (1.0, 1e4), 9
+
+
+def t_log_likelihood(x: np.ndarray, v, m, s) -> np.ndarray:
+    """Of a Student t with degrees ``v``, place ``m`` and scale ``s``, each a number or a column of them."""
+    v, m, s = (np.atleast_1d(np.asarray(a, float)) for a in (v, m, s))
+    norm = np.array([math.lgamma((k + 1) / 2) - math.lgamma(k / 2) for k in v]) - 0.5 * np.log(v * math.pi) - np.log(s)
+    z = (x[None, :] - m[:, None]) / s[:, None]
+    return len(x) * norm - ((v[:, None] + 1) / 2 * np.log1p(z * z / v[:, None])).sum(axis=1)
+
+
+def student_t(x: np.ndarray) -> tuple[float, float, float]:
+    """The maximum-likelihood degrees of freedom, place and scale.
+
+    For given degrees, expectation-maximisation finds place and scale; the degrees are searched on a grid of their
+    logarithms that is narrowed around its best point until it is known to about a thousandth.
+    """
+    x = np.asarray(x, float)
+    lo, hi = np.log(FREEDOM)
+    m0, s0 = float(np.median(x)), max(float(x.std()), 1e-9)
+    best, rounds = (-math.inf, 30.0, m0, s0), 40
+    while True:
+        v = np.exp(np.linspace(lo, hi, TRIED))
+        m, s2 = np.full(TRIED, best[2]), np.full(TRIED, best[3] ** 2)
         for _ in range(rounds):
-            u = (v + 1) / (v + (x - m) ** 2 / s2)
-            m = float((u * x).sum() / u.sum())
-            s2 = max(float((u * (x - m) ** 2).mean()), 1e-18)
-        like = len(x) * (math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(v * math.pi * s2)) - (v + 1) / 2 * float(np.log1p((x - m) ** 2 / (v * s2)).sum())
-        best = max(best, (like, v, m, math.sqrt(s2)))
-    return best[1:]
+            u = (v + 1)[:, None] / (v[:, None] + (x - m[:, None]) ** 2 / s2[:, None])
+            m = (u * x).sum(axis=1) / u.sum(axis=1)
+            s2 = np.maximum((u * (x - m[:, None]) ** 2).mean(axis=1), 1e-18)
+        like = t_log_likelihood(x, v, m, np.sqrt(s2))
+        k = int(like.argmax())
+        rounds = 12  # from the best fit so far
+        best = max(best, (float(like[k]), float(v[k]), float(m[k]), math.sqrt(s2[k])))
+        step = (hi - lo) / (TRIED - 1)
+        if step < 1e-3:
+            return best[1:]
+        lo, hi = max(np.log(FREEDOM[0]), np.log(v[k]) - step), min(np.log(FREEDOM[1]), np.log(v[k]) + step)
 
 
 def student_t_quantile(q: float, v: float) -> float:
-    """By bisection over the density's integral."""
+    """From the density's running integral: x = sqrt(v) tan(a) makes it smooth on a finite range."""
     if q == 0.5:
         return 0.0
     if q < 0.5:
         return -student_t_quantile(1 - q, v)
-    c = math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi)
+    # Points are dense at 0, where all of a density with many degrees lies.
+    a = math.pi / 2 * np.linspace(0, 1, 20_001) ** 2
+    y = np.cos(a) ** (v - 1)
+    total = np.concatenate(([0.0], np.cumsum((y[1:] + y[:-1]) / 2 * np.diff(a))))
+    return math.sqrt(v) * math.tan(float(np.interp((2 * q - 1) * total[-1], total, a)))
 
-    def cdf(x):
-        # x = sqrt(v) tan(a) turns the density into a smooth function of a on a finite range.
-        a = np.linspace(0, math.atan(x / math.sqrt(v)), 2001)
-        y = c * math.sqrt(v) * np.cos(a) ** (v - 1)
-        return 0.5 + float(((y[1:] + y[:-1]) / 2 * np.diff(a)).sum())
 
-    lo, hi = 0.0, 1.0
-    while cdf(hi) < q and hi < 1e9:
-        hi *= 2
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if cdf(mid) < q else (lo, mid)
-    return (lo + hi) / 2
+COLLAR = "act_symbol string, date date, close double, principal double, call_profit double, put_profit double, call_strike double, put_strike double"
+RATE, DAYS, LOT, GRID = 0.06, 30, 100, 0.5
 
 
-COLLAR = "act_symbol string, date date, close double, principal double, call_pnl double, put_pnl double, call_strike double, put_strike double"
-RATE, DAYS, LOT, GRID = 0.06, 30, 100, 0.5
+def _black_scholes(price: float, strike: float, years: float, sigma: float) -> tuple[float, float]:
+    """Call and put."""
+    a = (math.log(price / strike) + (RATE + sigma * sigma / 2) * years) / (sigma * math.sqrt(years))
+    b = a - sigma * math.sqrt(years)
+    now = strike * math.exp(-RATE * years)
+    return price * _phi(a) - now * _phi(b), now * _phi(-b) - price * _phi(-a)
 
 
 def collar(df: DataFrame, call_threshold: float = 0.8, put_threshold: float = 0.2, window: int = 60) -> DataFrame:
-    """Per symbol, hold 100 shares, sell a call and buy a put for 30 calendar days, then settle and begin again.
-
-    Strikes are the close times exp of the quantiles of a Student t fitted to the last ``window`` contract returns
-    (``contract_ret``), rounded away to a grid of 0.50; values are Black-Scholes at a rate of 0.06 and the column
-    ``vol``.  Until the window is full the principal is the bare open.
+    """The covered collar of each symbol, row by row in the order of dates; profits are running totals.
+
+    The first ``window`` rows set the principal to the bare open and hold nothing.  From then on the state is:
+
+    * Without a contract, one is opened: a Student t is fitted to the ``window`` values of ``contract_ret`` before the
+      row (missing ones left out), strikes are the open times exp of its quantiles, the call's rounded up and the put's
+      down to a grid of 0.50, and the Black-Scholes values at 0.06 for 30 days and the column ``vol`` as it is given
+      (yearly or not) are added to the call's profit and taken from the put's, per share.  The principal stays.
+    * With a contract that is less than 30 days old, the principal moves by 100 times the open's change since the row
+      before.
+    * With an older one the contract is settled at the close: above the call's strike the principal becomes 100 times
+      the close and the call's profit loses 100 times the excess; between the strikes the principal moves as before;
+      at or below the put's strike it becomes 100 times that strike and the put's profit gains 100 times the shortfall.
+      The next contract is opened on the next row.
+
+    No contract is opened where the fit has fewer than two returns, ``vol`` or the open is missing, or a strike would
+    be 0.  A missing open moves nothing.  ``call_strike`` and ``put_strike`` are those of the contract held after the row.
     """
 
     def run(pdf):
-        pdf = pdf.sort_values("date", kind="stable", ignore_index=True)
-        rows, contract = [], None
-        for i, r in enumerate(pdf.itertuples(index=False)):
-            past = pdf["contract_ret"].to_numpy(np.float64)[max(0, i - window + 1) : i + 1]
-            ready = len(past) == window and not np.isnan(past).any() and r.vol is not None and r.vol > 0
-            call_pnl = put_pnl = 0.0
-            if contract and (r.date - contract[0]).days >= DAYS:
-                _, kc, kp, premium_c, premium_p = contract
-                call_pnl = LOT * (premium_c - max(0.0, r.close - kc))
-                put_pnl = LOT * (max(0.0, kp - r.close) - premium_p)
-                contract = None
-            if not contract and ready:
-                v, m, s = student_t(past)
-                kc = math.ceil(r.close * math.exp(m + s * student_t_quantile(call_threshold, v)) / GRID) * GRID
-                kp = max(GRID, math.floor(r.close * math.exp(m + s * student_t_quantile(put_threshold, v)) / GRID) * GRID)
-                t = DAYS / 365
-                sigma = r.vol * math.sqrt(252)
-                value = []
-                for k in (kc, kp):
-                    a = (math.log(r.close / k) + (RATE + sigma * sigma / 2) * t) / (sigma * math.sqrt(t))
-                    b = a - sigma * math.sqrt(t)
-                    value.append((r.close * _phi(a) - k * math.exp(-RATE * t) * _phi(b), k * math.exp(-RATE * t) * _phi(-b) - r.close * _phi(-a)))
-                contract = (r.date, kc, kp, value[0][0], value[1][1])
-            principal = r.open * LOT if i >= window else r.open
-            rows.append((r.act_symbol, r.date, r.close, principal, call_pnl, put_pnl, contract[1] if contract else None, contract[2] if contract else None))
         import pandas as pd
 
+        pdf = pdf.sort_values("date", kind="stable", ignore_index=True)
+        returns = pdf["contract_ret"].to_numpy(np.float64)
+        vols, opens, closes = (pdf[c].to_numpy(np.float64) for c in ("vol", "open", "close"))
+        rows, contract, principal, last = [], None, 0.0, float("nan")
+        call_profit = put_profit = 0.0
+        for i, (symbol, date) in enumerate(zip(pdf["act_symbol"], pdf["date"], strict=True)):
+            now, close = opens[i], closes[i]
+            change = now - last if now == now and last == last else 0.0
+            last = now if now == now else last
+            if i < window:
+                principal, call_profit, put_profit = now, 0.0, 0.0
+            elif contract is None:
+                if i == 0:
+                    principal = now * LOT
+                past = returns[max(0, i - window) : i]
+                past = past[~np.isnan(past)]
+                if len(past) >= 2 and vols[i] > 0 and now > 0:
+                    v, m, s = student_t(past)
+                    up, down = (now * math.exp(m + s * student_t_quantile(q, v)) for q in (call_threshold, put_threshold))
+                    up, down = math.ceil(up / GRID) * GRID, math.floor(down / GRID) * GRID
+                    if down > 0:
+                        call, _ = _black_scholes(now, up, DAYS / 365, vols[i])
+                        _, put = _black_scholes(now, down, DAYS / 365, vols[i])
+                        call_profit, put_profit = call_profit + call, put_profit - put
+                        contract = (date, up, down)
+            elif (date - contract[0]).days < DAYS:
+                principal += change * LOT
+            else:
+                _, up, down = contract
+                if close > up:
+                    principal, call_profit = close * LOT, call_profit - (close - up) * LOT
+                elif close > down:
+                    principal += change * LOT
+                elif close == close:
+                    principal, put_profit = down * LOT, put_profit + (down - close) * LOT
+                contract = None
+            held = contract or (None, None, None)
+            rows.append((symbol, date, close, principal, call_profit, put_profit, held[1], held[2]))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in COLLAR.split(", ")])
 
-    return df.groupBy("act_symbol").applyInPandas(run, COLLAR)
+    # A symbol's rows are few and its fits many, so symbols are dealt to as many tasks as a shuffle has.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select("act_symbol", "date", "open", "close", "contract_ret", "vol").repartition(n, "act_symbol").groupBy("act_symbol").applyInPandas(run, COLLAR)
