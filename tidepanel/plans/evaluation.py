@@ -41,13 +41,28 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.na.drop(subset=columns)
 
 
+def with_rows_before(df: DataFrame, value: str, n: str, name: str = "before", ranges: int = 64) -> DataFrame:
+    """Add the sum of ``n`` over all rows with a smaller ``value``, without one task that sees all rows.
+
+    Approximate quantiles cut the values into ranges; each is summed, and the running sum is taken over the ranges and
+    inside each.  Where the cuts lie does not change the result.
+    """
+    cuts = sorted({float(x) for x in df.stat.approxQuantile(value, [(k + 1) / ranges for k in range(ranges - 1)], 1 / (4 * ranges))})
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    x = df.withColumn("_range", at)
+    sums = x.groupBy("_range").agg(F.sum(n).alias("_n"))
+    sums = sums.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.sum(n).over(W.partitionBy("_range").orderBy(value).rangeBetween(W.unboundedPreceding, 0)) - F.sum(n).over(W.partitionBy("_range", value))
+    return x.withColumn(name, inside).join(F.broadcast(sums), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def metrics(df: DataFrame) -> DataFrame:
     """RMSE, directional accuracy, accuracy at 0.5 and ROC-AUC (by average ranks) of ``pred`` against ``target``."""
     p, t = F.col("pred"), F.col("target")
     positive = t > 0
     # Average ranks from counts by value: rows of one value are summed before any order is taken.
     by_value = df.groupBy("pred").agg(F.count("*").alias("n"), F.sum(positive.cast("long")).alias("pos"))
-    ranked = by_value.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("pred").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ranked = with_rows_before(by_value, "pred", "n")
     auc = ranked.agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     neg = F.col("n") - F.col("p")
     auc = auc.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * neg).alias("roc_auc"))

@@ -194,18 +194,21 @@ def prepare(df: DataFrame) -> DataFrame:
 MARKET_ROWS = 40_000
 
 
-def join_market(df: DataFrame, ref: str, series: DataFrame | None = None) -> DataFrame:
-    """Add ``MKT_{ref}_RET``: the reference's log return of the date, its last row if there are several, null if none.
+def join_market(df: DataFrame, ref: str, series: DataFrame | None = None, order: tuple[str, ...] = ("date",)) -> DataFrame:
+    """Add ``MKT_{ref}_RET``: the reference's log return of the day, null if none.
 
-    ``series`` is ``(date, log_ret)``; without it the symbol ``ref`` of the panel is used.
+    ``series`` is ``(date, log_ret)``; without it the symbol ``ref`` of the panel is used.  Dates may be timestamps and
+    meet by their day.  Of several rows of a day the last in ``order`` counts, also where its return is null; of rows
+    that ``order`` doesn't tell apart, the largest return.
     """
     name = f"MKT_{ref}_RET"
     if name in df.columns:
         return df
-    rows = (df.where(F.col("act_symbol") == ref) if series is None else series).select("date", "log_ret")
-    by_date = rows.groupBy("date").agg(F.max_by("log_ret", F.coalesce("log_ret", F.lit(0.0))).alias(name))
+    rows = df.where(F.col("act_symbol") == ref) if series is None else series
+    last = F.max_by(F.struct("log_ret"), F.struct(*order, F.coalesce("log_ret", F.lit(float("-inf"))).alias("_l")))
+    by_date = rows.groupBy(F.to_date("date").alias("_day")).agg(last["log_ret"].alias(name))
     small = series is not None and by_date.limit(MARKET_ROWS + 1).count() <= MARKET_ROWS
-    return df.join(F.broadcast(by_date) if small else by_date, "date", "left")
+    return df.withColumn("_day", F.to_date("date")).join(F.broadcast(by_date) if small else by_date, "_day", "left").drop("_day")
 
 
 def rank(x: Column) -> Column:

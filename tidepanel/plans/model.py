@@ -92,14 +92,25 @@ def block_pca(df: DataFrame, features: list[str], threshold: float = 0.75, max_p
     return df, names
 
 
+#: Rows that a cycle of a shadow's permutation passes through.
+CYCLE = 1000
+
+
 def shuffled(df: DataFrame, features: list[str], seed: int) -> DataFrame:
-    """Add a shadow of each feature: its values in another row's place, the same for all features."""
-    n = W.partitionBy("date")
-    place = F.row_number().over(n.orderBy(F.xxhash64("act_symbol", F.lit(seed)), "act_symbol"))
-    own = F.row_number().over(n.orderBy("act_symbol"))
-    left = df.withColumn("_k", own)
-    right = df.select("date", place.alias("_k"), *[F.col(f"`{c}`").alias(f"SHADOW_{c}") for c in features])
-    return left.join(right, ["date", "_k"]).drop("_k")
+    """Add a shadow of each feature: its values permuted over all rows, apart from those of the other features.
+
+    Rows are dealt at random into groups of about ``CYCLE`` and each takes the value of the row before it in a random
+    order of its group, the first that of the last; so each value is used once, and no task orders all rows.
+    """
+    groups = max(1, df.count() // CYCLE)
+    for k, c in enumerate(features):
+        key = F.xxhash64("act_symbol", "date", F.lit(seed), F.lit(k))
+        w = W.partitionBy("_g").orderBy(key, "act_symbol", "date")
+        whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        df = df.withColumn("_g", F.pmod(F.xxhash64("date", "act_symbol", F.lit(k), F.lit(seed)), F.lit(groups)))
+        before = F.when(F.row_number().over(w) == 1, F.last(f"`{c}`").over(whole)).otherwise(F.lag(f"`{c}`").over(w))
+        df = df.withColumn(f"SHADOW_{c}", before).drop("_g")
+    return df
 
 
 def _assembled(df: DataFrame, features: list[str], target: str):
@@ -109,16 +120,22 @@ def _assembled(df: DataFrame, features: list[str], target: str):
     return VectorAssembler(inputCols=features, outputCol="features").transform(clean).withColumn("label", F.col(f"`{target}`").cast("double"))
 
 
-def shadow_selection(df: DataFrame, features: list[str], target: str, iterations: int = 5, depth: int = 4, rounds: int = 20) -> list[str]:
-    """The features that beat every shadow's importance in all iterations."""
+def shadow_selection(df: DataFrame, features: list[str], target: str, iterations: int = 5, depth: int = 4, rounds: int = 100, target_type: str = "regression") -> list[str]:
+    """The features that beat every shadow's importance in all iterations, on the training part.
+
+    ``df`` is a split panel, of which the rows with ``part`` train count; without that column all rows do.
+    """
+    from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.regression import GBTRegressor
 
+    rows = df.where("part = 'train'") if "part" in df.columns else df
+    kind = GBTRegressor if target_type == "regression" else GBTClassifier
     alive = set(features)
+    columns = [*features, *[f"SHADOW_{c}" for c in features]]
     for i in range(iterations):
-        s = shuffled(df, features, i)
-        columns = [*features, *[f"SHADOW_{c}" for c in features]]
-        model = GBTRegressor(maxDepth=depth, maxIter=rounds, stepSize=0.05, seed=i).fit(_assembled(s, columns, target))
-        gain = model.featureImportances.toArray()
+        s = _assembled(shuffled(rows, features, 42 + i), columns, target).select("features", "label").cache()
+        gain = kind(maxDepth=depth, maxIter=rounds, stepSize=0.05, seed=42 + i).fit(s).featureImportances.toArray()
+        s.unpersist()
         best = gain[len(features) :].max() if len(features) else 0.0
         alive -= {f for f, g in zip(features, gain, strict=False) if g <= best}
     return [f for f in features if f in alive]

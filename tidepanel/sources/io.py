@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PRICES = ("Close/Last", "Open", "High", "Low")
-
 
 def database(spark: SparkSession, table: str, url: str = "jdbc:mysql://localhost:3306", user: str = "root", password: str = "", column: str | None = None, bounds: tuple | None = None, parts: int = 16) -> DataFrame:
     """A table over JDBC, read in parts where a column and its bounds are given; the driver jar must be present."""
@@ -36,28 +34,73 @@ def splits_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feather(spark: SparkSession, path: str) -> DataFrame:
-    """A Feather file on a path that the executors share; files are read in tasks, batch by batch."""
-    import pyarrow.feather as pf
+    """A Feather file, or a folder of them, on a path that the executors share; each file is read in a task.
+
+    Only a schema is read here; batches of a file are read one by one.
+    """
+    import os
+
+    import pyarrow as pa
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    schema = from_arrow_schema(pf.read_table(path, memory_map=True).schema)
+    files = sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".feather")) if os.path.isdir(path) else [path]
+    with pa.memory_map(files[0]) as f:
+        schema = from_arrow_schema(pa.ipc.open_file(f).schema)
 
     def read(batches):
-        import pyarrow.feather as pf
+        import pyarrow as pa
 
         for batch in batches:
             for p in batch.column(0).to_pylist():
-                yield from pf.read_table(p).to_batches()
+                with pa.memory_map(p) as f:
+                    whole = pa.ipc.open_file(f)
+                    yield from (whole.get_batch(i) for i in range(whole.num_record_batches))
+
+    return spark.createDataFrame([(f,) for f in files], "path string").repartition(len(files)).mapInArrow(read, schema)
+
+
+def _save_feather(df: DataFrame, path: str) -> None:
+    """A folder of Feather files, one a partition; a task that runs again replaces its file."""
+    import os
+    import shutil
 
-    return spark.createDataFrame([(path,)], "path string").mapInArrow(read, schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(df.schema)
+    shutil.rmtree(path, ignore_errors=True)
+    os.makedirs(path)
+
+    def write(batches):
+        import os
+        import uuid
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        own = f"{path}/.{part:06d}-{uuid.uuid4().hex}"
+        rows = 0
+        with pa.OSFile(own, "wb") as f, pa.ipc.new_file(f, schema) as out:
+            for batch in batches:
+                out.write_batch(pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(batch.columns, schema, strict=True)], schema=schema))
+                rows += batch.num_rows
+        os.replace(own, f"{path}/part-{part:06d}.feather")
+        yield pa.RecordBatch.from_pydict({"rows": [rows]})
+
+    df.mapInArrow(write, "rows long").collect()
 
 
 def save(df: DataFrame, path: str) -> None:
-    """Write by extension: ``.csv`` or ``.parquet`` (``.feather`` names are written as Parquet); others raise."""
+    """Write by extension: ``.csv``, ``.parquet`` or ``.feather``, each a folder; others raise.
+
+    Feather needs a path that the driver and all executors share.
+    """
     if path.endswith(".csv"):
         df.write.mode("overwrite").csv(path, header=True)
-    elif path.endswith((".parquet", ".feather")):
+    elif path.endswith(".parquet"):
         df.write.mode("overwrite").parquet(path)
+    elif path.endswith(".feather"):
+        _save_feather(df, path)
     else:
         raise ValueError(f"unknown extension: {path}")
 
