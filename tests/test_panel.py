@@ -257,6 +257,105 @@ def test_options(spark):
     assert 3 <= v <= 5 and abs(m - 1) < 0.15 and abs(s - 2) < 0.2
 
 
+def test_student_t_is_the_most_likely():
+    rng = np.random.default_rng(1)
+    for x in (rng.standard_t(3, 60), rng.normal(size=60), rng.standard_t(1.5, 40) * 0.02 + 0.01, np.array([0.1, 0.2])):
+        v, m, s = O.student_t(x)
+        best = O.t_log_likelihood(x, v, m, s)[0]
+        grid = [(a, b, c) for a in np.geomspace(1, 1e4, 40) for b in m + s * np.linspace(-1, 1, 11) for c in s * np.geomspace(0.3, 3, 15)]
+        assert best >= max(O.t_log_likelihood(x, *zip(*grid))) - 1e-3
+    for v, q, want in ((1, 0.9, 3.0777), (2.5, 0.8, 1.0), (30, 0.7, 0.5300), (5000, 0.975, 1.9604)):
+        assert abs(O.student_t_quantile(q, v) - want) < (0.02 if v == 2.5 else 1e-3)
+        assert O.student_t_quantile(1 - q, v) == -O.student_t_quantile(q, v)
+
+
+def plain_collar(rows, call_q, put_q, window):
+    """The state machine once more: (date, open, close, contract_ret, vol) -> (principal, call, put)."""
+    out, held, money, call, put, before = [], False, None, 0.0, 0.0, None
+    for i, (day, open_, close, _, vol) in enumerate(rows):
+        move = open_ - before if before is not None else 0.0
+        before = open_
+        if i < window:
+            money, call, put = open_, 0.0, 0.0
+        elif not held:
+            past = np.array([r[3] for r in rows[i - window : i] if r[3] is not None and r[3] == r[3]])
+            if len(past) >= 2 and vol and vol == vol:
+                v, m, s = O.student_t(past)
+                high = math.ceil(2 * open_ * math.exp(m + s * O.student_t_quantile(call_q, v))) / 2
+                low = math.floor(2 * open_ * math.exp(m + s * O.student_t_quantile(put_q, v))) / 2
+                call += O._black_scholes(open_, high, 30 / 365, vol)[0]
+                put -= O._black_scholes(open_, low, 30 / 365, vol)[1]
+                held, until = True, day + dt.timedelta(days=30)
+        elif day >= until:
+            if close > high:
+                money, call = 100 * close, call - 100 * (close - high)
+            elif close > low:
+                money += 100 * move
+            else:
+                money, put = 100 * low, put + 100 * (low - close)
+            held = False
+        else:
+            money += 100 * move
+        out.append((money, call, put))
+    return out
+
+
+def test_collar_follows_its_state_machine(spark):
+    rng = np.random.default_rng(2)
+    n, window = 220, 20
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.03, n)))
+    rows = [("A", DAY + dt.timedelta(days=2 * i), float(close[i] * np.exp(rng.normal(0, 0.01))), float(close[i])) for i in range(n)]
+    df = P.prepare(spark.createDataFrame(rows, "act_symbol string, date date, open double, close double"))
+    df = df.withColumns({"contract_ret": O.contract_return(F.col("open"), F.col("close"), 5), "vol": O.realised(F.col("log_ret"), 10)}).cache()
+    plain = plain_collar([(r.date, r.open, r.close, r.contract_ret, r.vol) for r in df.orderBy("date").collect()], 0.8, 0.2, window)
+    got = O.collar(df, window=window).orderBy("date").collect()
+    np.testing.assert_allclose([(r.principal, r.call_profit, r.put_profit) for r in got], plain, rtol=1e-9)
+    # All three ways to settle come up, and no contract is opened on the day that one is settled.
+    gone = [i for i in range(1, n) if got[i - 1].call_strike is not None and got[i].call_strike is None]
+    assert {(got[i].close > got[i - 1].call_strike) - (got[i].close <= got[i - 1].put_strike) for i in gone} == {-1, 0, 1}
+
+
+def test_market_takes_the_last_row_of_a_day(spark):
+    df = spark.createDataFrame([("A", DAY), ("A", DAY + dt.timedelta(days=1))], "act_symbol string, date date")
+    at = lambda h, d=0: dt.datetime.combine(DAY, dt.time(h)) + dt.timedelta(days=d)
+    series = spark.createDataFrame([(at(9), 0.05), (at(16), -0.01), (at(10, 1), 0.2), (at(11, 1), None)], "date timestamp, log_ret double")
+    got = {r.date: r.MKT_M_RET for r in P.join_market(df, "M", series).collect()}
+    assert got == {DAY: -0.01, DAY + dt.timedelta(days=1): None}
+
+
+def test_shadows_are_permutations_of_their_own(spark):
+    df = spark.range(3000).select(F.lit("A").alias("act_symbol"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    rows = L.shuffled(df, ["x", "y"], 1).collect()
+    assert sorted(r.SHADOW_x for r in rows) == sorted(r.SHADOW_y for r in rows) == [float(i) for i in range(3000)]
+    corr = lambda a, b: abs(np.corrcoef([r[a] for r in rows], [r[b] for r in rows])[0, 1])
+    assert max(corr("x", "SHADOW_x"), corr("y", "SHADOW_y"), corr("SHADOW_x", "SHADOW_y")) < 0.08
+
+
+def test_shadow_selection_keeps_what_tells(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 3))
+    rows = [("A", DAY + dt.timedelta(days=i), *map(float, x[i]), float(3 * x[i, 0] + 0.1 * rng.normal()), "train" if i < 500 else "test") for i in range(600)]
+    df = spark.createDataFrame(rows, "act_symbol string, date date, good double, noise double, other double, target double, part string")
+    assert L.shadow_selection(df, ["good", "noise", "other"], "target", iterations=3, rounds=5) == ["good"]
+
+
+def test_rows_before(spark):
+    rng = np.random.default_rng(5)
+    values = [float(x) for x in rng.choice(np.round(rng.normal(size=200), 2), 500)]
+    df = spark.createDataFrame([(x, 1) for x in values], "v double, n int").groupBy("v").agg(F.sum("n").alias("n"))
+    got = {r.v: r.before for r in E.with_rows_before(df, "v", "n", ranges=7).collect()}
+    assert got == {x: sum(y < x for y in values) for x in set(values)}
+    assert E.metrics(spark.createDataFrame([], "pred double, target double")).first().roc_auc is None
+
+
+def test_filters_share_one_scan(spark):
+    u = U.Universe(bars(spark, [1, 2, 3]))
+    for f in (U.TopLiquidityFilter(5), U.PriceFilter(1.0), U.AdvancedStatsFilter(min_history_days=1)):
+        u.add_filter(f)
+    plan = u.members(U.months(u.panel))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") <= 2 and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2
+
+
 def test_files(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text('Date,Close/Last,Volume,Open,High,Low\n01/03/2020,$11.00,5,$10.50,$12,$10\n01/02/2020,$10.00,4,$9,$11,$8\n')
@@ -267,6 +366,10 @@ def test_files(spark, tmp_path):
         io.save(df, str(tmp_path / name))
     with pytest.raises(ValueError):
         io.save(df, str(tmp_path / "u.txt"))
+    assert sorted(io.feather(spark, str(tmp_path / "u.feather")).collect()) == sorted(df.collect())
+    s = tmp_path / "s.csv"
+    s.write_text("act_symbol,ex_date,to_factor,for_factor\nA,2020-08-31,4,1\n")
+    assert [tuple(r) for r in io.splits_csv(spark, str(s)).collect()] == [("A", dt.date(2020, 8, 31), 4.0, 1.0)]
     import pyarrow.feather as pf
 
     pf.write_feather(pd.DataFrame({"x": [1, 2, 3]}), str(tmp_path / "f.feather"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.catalog.base import BARS, BASE, q6, r6, rounded
-from tidepanel.catalog.features import STUDY, full
+from tidepanel.catalog.features import STUDY, STUDY_COLUMNS, full, study_sql
 from tidepanel.plans import evaluation as E
 from tidepanel.plans import model as M
 from tidepanel.plans.features import FeatureEngine, FeatureRequest
@@ -52,6 +52,10 @@ def corr_matrix(s, d):
     return rounded(s.createDataFrame(rows, "a string, b string, corr double"), "corr")
 
 
+CORRELATIONS = f"""{study_sql()}, c AS (SELECT * FROM study WHERE f0 IS NOT NULL AND f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL AND f4 IS NOT NULL)
+""" + " UNION ALL ".join(f"SELECT '{STUDY_COLUMNS[i]}' AS a, '{STUDY_COLUMNS[j]}' AS b, round(abs(corr(f{i}, f{j})) + 1e-8, 6) + 0.0 AS corr FROM c" if i != j else f"SELECT '{STUDY_COLUMNS[i]}' AS a, '{STUDY_COLUMNS[i]}' AS b, round(1.0 + 1e-8, 6) + 0.0 AS corr" for i in range(4) for j in range(4))
+
+
 def reduced(s, d):
     df, features, _ = named(s, d)
     return s.createDataFrame([(f,) for f in M.kuhn_johnson(df, features, 0.3)], "feature string")
@@ -65,7 +69,7 @@ def pca(s, d):
 
 def shadows(s, d):
     df, features, target = named(s, d)
-    chosen = M.shadow_selection(df, features, target, iterations=5, rounds=ROUNDS)
+    chosen = M.shadow_selection(E.split_dates(df), features, target, iterations=5, rounds=ROUNDS)
     return s.createDataFrame([(f, f in chosen) for f in features], "feature string, chosen boolean")
 
 
@@ -90,7 +94,7 @@ SELECT round(sqrt(avg((pred - target) * (pred - target))) + 1e-8, 6) + 0.0 AS rm
     "eval_cumulative_spread": (lambda s, d: rounded(E.cumulative_spread(predictions(s, d), Q), "spread", "cumulative"), f"{PIVOT} SELECT date, round(q{Q} - q1 + 1e-8, 6) + 0.0 AS spread, round(sum(q{Q} - q1) OVER (ORDER BY date) + 1e-8, 6) + 0.0 AS cumulative FROM full_"),
     "eval_complete_rows": (lambda s, d: complete(s, d).select("act_symbol", "date", r6(F.col("pred")).alias("pred")), f"{X} SELECT act_symbol, date, {q6('pred')} FROM z"),
     "eval_feature_moments": (lambda s, d: rounded(complete(s, d).agg(F.avg("pred").alias("mean"), (F.stddev_samp("pred") + 1e-8).alias("sd"), F.corr("pred", "target").alias("corr")), "mean", "sd", "corr"), f"{X} SELECT round(avg(pred) + 1e-8, 6) + 0.0 AS mean, round(stddev_samp(pred) + 1e-8 + 1e-8, 6) + 0.0 AS sd, round(corr(pred, target) + 1e-8, 6) + 0.0 AS corr FROM z"),
-    "model_correlations": (corr_matrix, None),
+    "model_correlations": (corr_matrix, CORRELATIONS),
     "model_kuhn_johnson": (reduced, None),
     "model_block_pca": (pca, None),
     "model_shadow_selection": (shadows, None),

@@ -66,13 +66,13 @@ feature("feat_spread_ar", ask("SPREAD_AR", 20, "raw"), "CASE WHEN m IS NOT NULL
 _SPREAD_LOG = ("(ln(CASE WHEN log_high > 0 THEN log_high END) + ln(CASE WHEN log_low > 0 THEN log_low END)) / 2 AS eta, ln(CASE WHEN log_close > 0 THEN log_close END) AS c", *_SPREAD[1:])
 feature("feat_spread_ar_default_input", ask("SPREAD_AR", 20), "CASE WHEN m IS NOT NULL THEN sqrt(greatest(0, m)) END", 20, _SPREAD_LOG)
 feature("feat_ma_crossover", ask("MA_crossover", 20, "raw"), f"coalesce((close >= {full('close', 20, 'avg(close)')})::INT, 0)::DOUBLE", 20)
-_WALK = """h AS (
-  SELECT a.act_symbol, a.date, a.rn, max(a.z) - min(a.z) AS r, any_value(a.s) AS s FROM (
-    SELECT e.act_symbol, e.date, e.rn, e.s, sum(x.d - e.m) OVER (PARTITION BY e.act_symbol, e.rn ORDER BY x.rn) AS z
-    FROM (SELECT *, CASE WHEN count(d) OVER w = 20 THEN avg(d) OVER w END AS m, CASE WHEN count(d) OVER w = 20 THEN stddev_samp(d) OVER w END AS s FROM dd WINDOW w AS (PARTITION BY act_symbol ORDER BY rn ROWS 19 PRECEDING)) e
-    JOIN dd x ON x.act_symbol = e.act_symbol AND x.rn BETWEEN e.rn - 19 AND e.rn WHERE e.m IS NOT NULL) a GROUP BY 1, 2, 3)"""
+#: The rescaled range from each window's list of differences.
+_WALK = """e AS (
+  SELECT act_symbol, rn, CASE WHEN count(d) OVER w = 20 THEN avg(d) OVER w END AS m, stddev_samp(d) OVER w AS s, list(d) OVER w AS l FROM dd WINDOW w AS (PARTITION BY act_symbol ORDER BY rn ROWS 19 PRECEDING)),
+k AS (SELECT act_symbol, rn, s, [list_sum(l[1:i]) - i * m for i in range(1, 21)] AS z FROM e WHERE m IS NOT NULL),
+h AS (SELECT act_symbol, rn, s, list_max(z) - list_min(z) AS r FROM k)"""
 feature(
-    "feat_hurst", ask("HURST", 20), "h.hh", 1, source="(SELECT b.*, h AS hh0, CASE WHEN h.r > 0 THEN ln(h.r / CASE WHEN h.s = 0 THEN 1e-9 ELSE h.s END) / ln(20) END AS hh FROM b LEFT JOIN h USING (act_symbol, date, rn)) h",
+    "feat_hurst", ask("HURST", 20), "h.hh", 1, source="(SELECT b.*, CASE WHEN h.r > 0 THEN ln(h.r / CASE WHEN h.s = 0 THEN 1e-9 ELSE h.s END) / ln(20) END AS hh FROM b LEFT JOIN h USING (act_symbol, rn)) h",
     extra="dd AS (SELECT act_symbol, date, rn, log_close - lag(log_close) OVER (PARTITION BY act_symbol ORDER BY date) AS d FROM b), " + _WALK,
 )
 feature("feat_autocorr", ask("AUTOCORR", 20, "log_ret"), "cov / nullif(sqrt(va * vb), 0)", 20, (
@@ -171,4 +171,27 @@ STUDY = [
     FeatureRequest("AUTOCORR", {"timeperiod": 20}, -1, "log_ret", alias="autocorr"), FeatureRequest("ZSCORE", {"timeperiod": 20}, -1, alias="zscore"),
     FeatureRequest("FWD_LOG_RET", {"timeperiod": 5}, 1, "raw", alias="target"),
 ]
-ENTRIES["study_features"] = (lambda spark, sf_dir: computed(spark, sf_dir, *STUDY), None)
+_NEXT5 = "(PARTITION BY act_symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)"
+_LAYERS = (
+    _SPREAD[0] + f", lag(log_ret) OVER s AS x1, CASE WHEN count(log_ret) OVER {_NEXT5} = 5 THEN sum(log_ret) OVER {_NEXT5} END AS fwd",
+    _SPREAD[1] + ", CASE WHEN x1 IS NOT NULL THEN log_ret END AS a1, CASE WHEN log_ret IS NOT NULL THEN x1 END AS c1",
+    _SPREAD[2] + f""", (log_volume - {full('log_volume', 20, 'avg(log_volume)')}) / nullif({full('log_volume', 20, 'stddev_samp(log_volume)')}, 0) AS vz,
+  {full('a1', 20, 'covar_samp(a1, c1)')} / nullif(sqrt({full('a1', 20, 'var_samp(a1)')} * {full('a1', 20, 'var_samp(c1)')}), 0) AS ac,
+  (log_close - {full('log_close', 20, 'avg(log_close)')}) / nullif({full('log_close', 20, 'stddev_samp(log_close)')}, 0) AS zs""",
+    "CASE WHEN m IS NOT NULL THEN sqrt(greatest(0, m)) END AS x",
+    "lag(x) OVER s AS v, lag(vz) OVER s AS f0, lag(ac) OVER s AS f2, lag(zs) OVER s AS f3, lead(fwd) OVER s AS f4",
+    f"{_RANK} AS f1",
+)
+
+
+def study_sql() -> str:
+    """CTEs that end in ``study(act_symbol, date, f0 .. f4)``, unrounded."""
+    ctes, last = ["WITH " + BASE], "b"
+    for k, layer in enumerate(_LAYERS):
+        ctes.append(f"s{k} AS (SELECT *, {layer} FROM {last} {windows(20)})")
+        last = f"s{k}"
+    return ",\n".join(ctes) + f",\nstudy AS (SELECT act_symbol, date, f0, f1, f2, f3, f4 FROM {last})"
+
+
+STUDY_COLUMNS = [r.columns()[0] for r in STUDY]
+ENTRIES["study_features"] = (lambda spark, sf_dir: computed(spark, sf_dir, *STUDY), f"{study_sql()} SELECT act_symbol, date, " + ", ".join(f'round(f{k} + 1e-8, 6) + 0.0 AS "{c}"' for k, c in enumerate(STUDY_COLUMNS)) + " FROM study")

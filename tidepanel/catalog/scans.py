@@ -32,7 +32,7 @@ ENTRIES = {
     "sorted_panel": (lambda s, d: P.bars(s, d).orderBy("act_symbol", "date"), f"WITH {BARS} SELECT {COLS} FROM bars ORDER BY act_symbol, date"),
     "join_anti_etfs": (lambda s, d: S.without(P.bars(s, d), S.etfs(P.symbols(s, d))), f"WITH {BARS}, {ETFS} SELECT {COLS} FROM bars ANTI JOIN etfs USING (act_symbol)"),
     "join_semi_symbols": (lambda s, d: P.bars(s, d).join(S.etfs(P.symbols(s, d)), "act_symbol", "left_semi"), f"WITH {BARS}, {ETFS} SELECT {COLS} FROM bars SEMI JOIN etfs USING (act_symbol)"),
-    "union_months": (lambda s, d: P.bars(s, d).where("date < '1995-01-01'").unionByName(P.bars(s, d).where("date >= '1998-01-01'")), f"WITH {BARS} SELECT {COLS} FROM bars WHERE date < DATE '1995-01-01' OR date >= DATE '1998-01-01'"),
+    "union_months": (lambda s, d: P.bars(s, d).where("month(date) <= 6").unionByName(P.bars(s, d).where("month(date) > 6")), f"WITH {BARS} SELECT {COLS} FROM bars"),
     "union_all_months": (lambda s, d: P.bars(s, d).where("date < '1995-01-01'").unionByName(P.bars(s, d).where("date >= '1995-01-01' and date < '1998-01-01'")).unionByName(P.bars(s, d).where("date >= '1998-01-01'")), f"WITH {BARS} SELECT {COLS} FROM bars"),
     "set_intersect_dates": (lambda s, d: P.bars(s, d).where("act_symbol = 'S000001'").select("date").intersect(P.bars(s, d).where("act_symbol = 'S000002'").select("date")), f"WITH {BARS} SELECT date FROM bars WHERE act_symbol = 'S000001' INTERSECT SELECT date FROM bars WHERE act_symbol = 'S000002'"),
     "keep_last_by_key": (lambda s, d: P.bars(s, d).groupBy("act_symbol", F.trunc("date", "month").alias("month")).agg(F.max_by("close", "date").alias("close")), f"WITH {BARS} SELECT act_symbol, date_trunc('month', date)::DATE AS month, arg_max(close, date) AS close FROM bars GROUP BY 1, 2"),
@@ -48,17 +48,33 @@ def market_joined(s, d):
 ENTRIES["join_market"] = (market_joined, f"WITH {BARS}, {MARKET} SELECT act_symbol, date, round(mkt + 1e-8, 6) + 0.0 AS MKT_MKT_RET FROM bars LEFT JOIN mk USING (date)")
 
 
+def market_of_days(s, d):
+    """A reference with many rows a day, of which the last order's counts."""
+    series = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_shipdate").alias("date"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_discount") - 0.05).alias("log_ret"))
+    out = join_market(P.bars(s, d), "DAY", series, order=("date", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return out.select("act_symbol", "date", r6(F.col("MKT_DAY_RET")).alias("MKT_DAY_RET"))
+
+
+ENTRIES["join_market_last_of_day"] = (market_of_days, f"""WITH {BARS}, k AS (SELECT l_shipdate::DATE AS date, l_discount - 0.05 AS v,
+  row_number() OVER (PARTITION BY l_shipdate::DATE ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_discount DESC) AS r FROM lineitem)
+SELECT act_symbol, bars.date, round(v + 1e-8, 6) + 0.0 AS MKT_DAY_RET FROM bars LEFT JOIN k ON k.date = bars.date AND r = 1""")
+
+
+#: The shares of a heavy day.
+HEAVY = 60
+
+
 def asof_case(forward: bool):
+    """Each bar with the last (or next) day on which its symbol traded heavily."""
+
     def run(s, d):
         b = P.bars(s, d)
-        left = b.where("pmod(datediff(date, '1992-01-01'), 3) = 0").select("act_symbol", "date", "close")
-        right = b.where("pmod(datediff(date, '1992-01-01'), 7) = 0").select("act_symbol", F.col("date").alias("other"), F.col("volume").alias("other_volume"))
-        return asof(left, right, "date", "other", forward=forward, payload={"other": "other", "other_volume": "other_volume"})
+        right = b.where(F.col("volume") >= HEAVY).select("act_symbol", F.col("date").alias("other"), F.col("volume").alias("other_volume"))
+        return asof(b.select("act_symbol", "date", "close"), right, "date", "other", forward=forward, payload={"other": "other", "other_volume": "other_volume"})
 
     sign = "<=" if forward else ">="
-    sql = f"""WITH {BARS}, l AS (SELECT act_symbol, date, close FROM bars WHERE (date - DATE '1992-01-01') % 3 = 0),
-r AS (SELECT act_symbol, date AS other, volume AS other_volume FROM bars WHERE (date - DATE '1992-01-01') % 7 = 0)
-SELECT l.act_symbol, l.date, l.close, r.other, r.other_volume FROM l ASOF LEFT JOIN r ON l.act_symbol = r.act_symbol AND l.date {sign} r.other"""
+    sql = f"""WITH {BARS}, r AS (SELECT act_symbol, date AS other, volume AS other_volume FROM bars WHERE volume >= {HEAVY})
+SELECT l.act_symbol, l.date, l.close, r.other, r.other_volume FROM bars l ASOF LEFT JOIN r ON l.act_symbol = r.act_symbol AND l.date {sign} r.other"""
     return run, sql
 
 
