@@ -213,7 +213,7 @@ def library(path):
     return Tokenizer.from_file(path)
 
 
-TRICKY = ["", " ", "don't we'll they'RE it's 'tis '' ''s a's's !'s 's", "ÀÉ é ẞ İI ΑΣ ΣΑΣ ǅ", "1234567 ½ ²", "<|startoftext|>a<|endoftext|> <|END|>", "a b c\x1cd\x85e", "漢字かな한글 🙂🙂", "x'lly 've're 'd'm", "tab\tand\nline", "ﬁ ℌ", "a" * 3000]
+TRICKY = ["", " ", "don't we'll they'RE it's 'tis '' ''s a's's !'s 's", "ÀÉ é ẞ İI ΑΣ ΣΑΣ ǅ", "1234567 ½ ²", "<|startoftext|>a<|endoftext|> <|END|>", "a b c\x1cd\x85e", "漢字かな한글 🙂🙂", "x'lly 've're 'd'm", "'r 'v 'l 'rx 'r1 'r! 'r' 'll'l 're're'", "'r", "'", "a'", "'l", "x\0y \0\0", "tab\tand\nline", "ﬁ ℌ", "a" * 3000]
 
 
 def test_token_counts_match_the_library(docs):
@@ -225,6 +225,63 @@ def test_token_counts_match_the_library(docs):
     assert token_counts.count_texts(path, texts).tolist() == want
 
 
+def test_token_counts_of_all_characters():
+    """Each code point inside a word, doubled, and after a mark, against the library."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    odd = [0x13808, 0x1385C, 0x13988, 0x1C89, 0xA7CB, 0x2019, 0x345, 0x1E9E, 0x130]
+    texts = [f"a{c}b' {c}{c} !{c}s" for c in map(chr, [*range(0, 0xD800, 7), *range(0xE000, 0x110000, 211), *odd])]
+    want = [len(e.ids) for e in library(path).encode_batch_fast(texts, add_special_tokens=False)]
+    assert token_counts.count_texts(path, texts).tolist() == want
+
+
+def test_state_maps_compose():
+    rng = np.random.default_rng(6)
+    kinds = rng.integers(0, token_counts.CLASSES, 3001)
+    state, plain = token_counts.START, []
+    for k in kinds:
+        plain.append(state)
+        state = token_counts.NEXT[k, state]
+    for width in (1, 2, 7, 64, 5000):
+        np.testing.assert_array_equal(token_counts.scanned(kinds, width), plain)
+    a, b, c = (rng.integers(0, token_counts.STATES, (4, token_counts.STATES)) for _ in range(3))
+    left = token_counts.compose(token_counts.compose(a, b), c)
+    np.testing.assert_array_equal(left, token_counts.compose(a, token_counts.compose(b, c)))
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_token_counts_do_not_depend_on_cuts_inside_words(monkeypatch, docs, width):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [t for _, t in docs[:10]] + TRICKY
+    want = token_counts.count_texts(path, texts)
+    plain = token_counts.scanned
+    monkeypatch.setattr(token_counts, "scanned", lambda kinds: plain(kinds, width))
+    np.testing.assert_array_equal(token_counts.count_texts(path, texts), want)
+
+
+def test_merges_one_by_one_and_in_step():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    token_counts.count_texts(path, ["x"])
+    merges = token_counts._machines[path].merges
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdeinorst"), rng.integers(1, 60))) for _ in range(300)] + ["a" * k for k in range(1, 64)]
+    assert merges.count(words).tolist() == [merges.alone(w.encode()) for w in words]
+
+
+def test_token_counts_of_empty_table_and_null_ids(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert token_counts.count_tokens(table(spark, []), path).count() == 0
+    got = token_counts.count_tokens(table(spark, [(None, "two words"), (None, None), (1, "two words"), (1, "two words")]), path).collect()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in got) == [(False, 2), (False, 2), (True, 0), (True, 2)]
+
+
 def test_token_counts_do_not_depend_on_chunks(monkeypatch, docs):
     import public_tokenizers
 
