@@ -1,9 +1,14 @@
 """Questions that blocks of documents ask of buckets of hashes.
 
-Documents are dealt into blocks by id.  A block sends each bucket one message with what it wants to know about the
+Documents are dealt into blocks by id; their number follows from the bytes of all texts, so a task holds about
+``BLOCK_BYTES`` of them at any size of the corpus.  A block sends each bucket one message with what it wants to know about the
 hashes that fall there (each distinct value once, so a frequent value costs a bucket one entry a block); the bucket
 answers each block in the order asked.  Blocks work deterministically on rows sorted by ``ord``, so a lost task that
 is run again asks the same question.  Texts are shuffled once: all rounds read the same exchange.
+
+Messages are rows ``(hash, block)`` packed by block and bucket.  A block never sends more messages than it has distinct
+hashes, so their number is at most that of such rows, and their bytes grow with the corpus; what is packed together is
+a matter of size only.
 """
 
 from __future__ import annotations
@@ -13,9 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm._shared import partitions, prime_at_least
+from tidepanel.llm._shared import prime_at_least
+from tidepanel.llm._text import tidy
 
 MESSAGE = "bucket int, block int, payload binary"
+#: Of text that a block holds, and whose hashes a bucket holds.
+BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 32 << 20
 ANSWER = "block int, turn int, bucket int, payload binary"
 
 
@@ -28,23 +36,22 @@ class Rounds:
     """
 
     def __init__(self, docs: DataFrame):
-        n = partitions(docs.sparkSession)
-        # Two blocks a partition bound what a task holds; messages number blocks x buckets, so buckets are fewer.
-        self.buckets = max(4, n // 2)
-        blocks = prime_at_least(2 * n)
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.buckets = max(4, -(-size // BUCKET_BYTES))
+        blocks = prime_at_least(max(7, -(-size // BLOCK_BYTES)))
         self.docs = docs.withColumn("block", F.pmod("ord", F.lit(blocks)).cast("int"))
 
     def run(self, one, answer1, two, answer2, last, schema: str) -> DataFrame:
         n = self.buckets
 
         def ask1(key, pdf):
-            return _messages(key[0], n, one(_sorted(pdf)))
+            return tidied(_messages(key[0], n, one(_sorted(pdf))))
 
         def ask2(key, pdf, answers):
-            return _messages(key[0], n, two(_sorted(pdf), _answers(answers, 1)))
+            return tidied(_messages(key[0], n, two(_sorted(pdf), _answers(answers, 1))))
 
         def end(key, pdf, answers):
-            return last(_sorted(pdf), _answers(answers, 1), _answers(answers, 2))
+            return tidied(last(_sorted(pdf), _answers(answers, 1), _answers(answers, 2)))
 
         by_block = lambda df: df.groupBy("block")
         asked1 = by_block(self.docs).applyInPandas(ask1, MESSAGE)
@@ -54,6 +61,11 @@ class Rounds:
         return by_block(self.docs).cogroup(by_block(told1.unionByName(told2))).applyInPandas(end, schema)
 
 
+def tidied(out: pd.DataFrame) -> pd.DataFrame:
+    tidy()
+    return out
+
+
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values("ord", kind="stable", ignore_index=True)
 
@@ -89,7 +101,7 @@ def _answering(answer, turn: int):
         pdf = pdf.sort_values("block", kind="stable", ignore_index=True)
         said = answer(list(pdf["payload"]))
         rows = [(b, turn, key[0], x) for b, x in zip(pdf["block"], said, strict=True) if x]
-        return pd.DataFrame(rows, columns=["block", "turn", "bucket", "payload"])
+        return tidied(pd.DataFrame(rows, columns=["block", "turn", "bucket", "payload"]))
 
     return fn
 

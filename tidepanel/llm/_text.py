@@ -99,16 +99,16 @@ def word_bounds(buf: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
     """A hash of each word's bytes; words are ascending and apart."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
         lo = starts[i]
-        s = prefix_sums(BYTE_CODES[buf[lo : ends[j - 1]]], BASE)
+        s = prefix_sums(BYTE_CODES[buf[lo : ends[j - 1]]], base)
         a, b = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (s[b] - s[a]) * powers(BASE, len(s))[1][a] + (b - a).astype(np.uint64)
+        out[i:j] = (s[b] - s[a]) * powers(base, len(s))[1][a] + (b - a).astype(np.uint64)
         i = j
     return mix(out)
 

@@ -41,6 +41,7 @@ class _Words:
         self.count = np.bincount(self.doc, minlength=len(self.ids)).astype(np.int64)
         self.first = np.cumsum(self.count) - self.count
         self.hash = word_hashes(self.buf, self.starts, self.ends)
+        self.check = word_hashes(self.buf, self.starts, self.ends, BASE2)
 
     def inside(self, width: int) -> np.ndarray:
         """Whether the run of ``width`` words from each word on lies in one document."""
@@ -63,7 +64,7 @@ class _Words:
         near = covered(lo, a + 1, len(self.hash))
         ok = self.inside(WINDOW)
         p = np.flatnonzero(near[: len(ok)] & ok)
-        h, check = run_hashes(self.hash, WINDOW)[p], (run_hashes(self.hash, WINDOW, BASE2)[p] >> np.uint64(32)).astype(np.uint32)
+        h, check = run_hashes(self.hash, WINDOW)[p], (run_hashes(self.check, WINDOW, BASE2)[p] >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((p, check, h))
         new = np.ones(len(p), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])
@@ -136,7 +137,7 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     earlier start.  Kept words are joined by one space.  A null text has no words.  Null ids come last; rows that
     repeat an id are ordered by a hash of the text, and rows that repeat id and text are one document listed twice:
     they get the same result.  An empty table gives an empty result; other columns are ignored.  Windows are compared
-    by 96 bits of hash.
+    by a hash of 64 and one of 32 bits, each over word hashes of its own.
     """
     rounds = R.Rounds(ordered(docs, id_col, text_col))
     n = rounds.buckets

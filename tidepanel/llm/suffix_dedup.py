@@ -1,20 +1,30 @@
 """Suffix-array dedup over bytes by prefix-free parsing.
 
 A rolling hash picks triggers: the grams that are least in some window of ``LENGTH`` bytes.  They cut texts into
-phrases, each from one trigger to the next, and every string of ``LENGTH`` bytes holds at least one trigger, at the
-same place wherever the string occurs.  So a string is a suffix of the phrases before its trigger (the dictionary side)
-and a prefix of the parse from the trigger on.  Triggers whose gram occurs once are dropped.  For the others the
-distinct surroundings, taken once a block however often they repeat, are sorted twice: backwards from the trigger and
-forwards from it.  The two orders with the common lengths of neighbours give, for every split l + (LENGTH - l), which
-strings have an equal one: both their dictionary suffix and their parse prefix fall into the same run of the order.
-Here bytes are compared, not hashes.
+phrases, and every string of ``LENGTH`` bytes holds at least one trigger, at the same place wherever the string occurs.
+So a string is a suffix of what comes before its trigger and a prefix of what comes from it on, and it reaches
+``LEFT`` bytes back and ``LENGTH`` bytes on at most.  Triggers whose gram occurs once are dropped.
+
+For the others, by buckets of grams:
+
+* The dictionary: the distinct sides of the triggers, the phrases before one (read backwards) and from one on, as far
+  as a string can reach.  Sorted by their bytes they get ranks, and each the length of the common prefix with the one
+  before it: the suffix order of the dictionary and, as a trigger's right side is its parse's beginning, of the parse.
+* The parse: each distinct surrounding of a trigger as the pair of ranks of its sides, once a block however often it
+  repeats.
+* Combined: at every split l + (``LENGTH`` - l) a run of the left order with common prefixes of l or more, and one of
+  the right order with ``LENGTH`` - l or more, are classes of equal bytes; two triggers with the same pair of classes
+  have an equal string there.
 
 A gram that more than ``HOT`` blocks have would bring ever more surroundings to one bucket.  The strings around such a
-gram are dealt by their own hashes (96 bits with the place of the trigger), each distinct one once a block.
+gram are dealt by their own 256-bit BLAKE2 digests instead, each distinct one once a block: a digest stands for the
+bytes, as no two texts with the same one are known.  The result does not depend on ``HOT``.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
 import zstandard
@@ -23,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import _rounds as R
 from tidepanel.llm._shared import ordered
-from tidepanel.llm._text import BASE, BASE2, BYTE_CODES, covered, join_texts, mix, powers, prefix_sums
+from tidepanel.llm._text import BASE, BYTE_CODES, covered, join_texts, mix, powers, prefix_sums
 
 LENGTH = 200
 GRAM = 64
@@ -115,35 +125,27 @@ def _ask_grams(pdf):
     return distinct, lambda at: distinct[at].tobytes()
 
 
+DIGEST = 32
+
+
 def _strings(rows: np.ndarray):
     """The distinct strings in hot surroundings.
 
-    Hashes and checks of each; the surrounding and the bytes before the trigger of every occurrence, and its string.
+    A string counts with the place of its trigger, as it is seen from each trigger in it.  The bucket hash and digest of
+    each; the surrounding and the bytes before the trigger of every occurrence, and its
+    string.
     """
     none = np.zeros(0, np.int64)
     if not len(rows):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), none, none, none
+        return np.zeros(0, np.uint64), np.zeros((0, DIGEST), np.uint8), none, none, none
     n_left, n_right = (rows[:, :LEFT] > 0).sum(axis=1), (rows[:, LEFT:] > 0).sum(axis=1)
     before = np.arange(LEFT + 1)
-    valid = (n_left[:, None] >= before) & (n_right[:, None] >= LENGTH - before)
-    found = []
-    for base in (BASE, BASE2):
-        out = np.empty(valid.shape, np.uint64)
-        for a in range(0, len(rows), 1024):
-            part = np.concatenate((rows[a : a + 1024, LEFT - 1 :: -1], rows[a : a + 1024, LEFT:]), axis=1) if LEFT else rows[a : a + 1024]
-            s = np.zeros((len(part), WIDTH + 1), np.uint64)
-            np.cumsum(BYTE_CODES[part] * powers(base, WIDTH)[0], axis=1, out=s[:, 1:])
-            begin = LEFT - before
-            out[a : a + 1024] = mix((s[:, begin + LENGTH] - s[:, begin]) * powers(base, LEFT + 1)[1][begin] + mix(before.astype(np.uint64) + np.uint64(1)))
-        found.append(out[valid])
-    h, check = found[0], (found[1] >> np.uint64(32)).astype(np.uint32)
-    of, at = np.nonzero(valid)
-    order = np.lexsort((check, h))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])
-    own = np.empty(len(h), np.int64)
-    own[order] = np.cumsum(new) - 1
-    return h[order[new]], check[order[new]], of, at, own
+    of, at = np.nonzero((n_left[:, None] >= before) & (n_right[:, None] >= LENGTH - before))
+    whole = [rows[k, LEFT - 1 :: -1].tobytes() + rows[k, LEFT:].tobytes() for k in range(len(rows))]
+    digests = b"".join(blake2b(bytes([b]) + whole[k][LEFT - b : LEFT - b + LENGTH], digest_size=DIGEST).digest() for k, b in zip(of.tolist(), at.tolist(), strict=True))
+    distinct, own = np.unique(np.frombuffer(digests, f"V{DIGEST}"), return_inverse=True)
+    digest = distinct.view(np.uint8).reshape(-1, DIGEST)
+    return np.ascontiguousarray(digest[:, :8]).view(np.uint64).ravel(), digest, of, at, own
 
 
 def _asked_where(payloads: list[bytes]) -> list[bytes]:
@@ -158,12 +160,12 @@ def _ask_surroundings(n):
     def ask(pdf, answers):
         _, _, rows, gram, _, hot = _Phrases(pdf).surroundings(answers, n)
         cold = int((~hot).sum())
-        h, check, _, _, _ = _strings(rows[cold:])
+        h, digest, _, _, _ = _strings(rows[cold:])
         pack = zstandard.ZstdCompressor(3).compress
 
         def payload(at):
             c, w = at[at < cold], at[at >= cold] - cold
-            return np.uint32(len(c)).tobytes() + pack(rows[c].tobytes() + h[w].tobytes() + check[w].tobytes())
+            return np.uint32(len(c)).tobytes() + pack(rows[c].tobytes() + digest[w].tobytes())
 
         return np.concatenate((gram[:cold], h)), payload
 
@@ -174,46 +176,41 @@ def _answer(payloads: list[bytes]) -> list[bytes]:
     """Per payload two bytes a surrounding, then a bit a string, see :func:`_equal_strings`."""
     raw = [(int(np.frombuffer(p, np.uint32, 1)[0]), zstandard.ZstdDecompressor().decompress(p[4:])) for p in payloads]
     ranges = _equal_strings([r[: k * WIDTH] for k, r in raw])
-    rest = [(r[k * WIDTH :], (len(r) - k * WIDTH) // 12) for k, r in raw]
-    h = np.concatenate([np.frombuffer(r, np.uint64, m) for r, m in rest])
-    check = np.concatenate([np.frombuffer(r, np.uint32, m, 8 * m) for r, m in rest])
-    order = np.lexsort((check, h))
-    same = np.zeros(len(h), bool)
-    same[1:] = (h[order[1:]] == h[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
-    same[:-1] |= same[1:]
-    shared = np.empty(len(h), bool)
-    shared[order] = same
-    bits = np.split(shared, np.cumsum([m for _, m in rest])[:-1])
+    rest = [r[k * WIDTH :] for k, r in raw]
+    _, own, times = np.unique(np.frombuffer(b"".join(rest), f"V{DIGEST}"), return_inverse=True, return_counts=True)
+    shared = times[own] > 1 if len(own) else np.zeros(0, bool)
+    bits = np.split(shared, np.cumsum([len(r) // DIGEST for r in rest])[:-1])
     return [x.tobytes() + np.packbits(b).tobytes() if x.any() or b.any() else b"" for x, b in zip(ranges, bits, strict=True)]
 
 
-def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted order of byte rows, and how many bytes each shares with the one before it."""
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
-    differ = rows[order[1:]] != rows[order[:-1]]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
-    return order, common
+def _dictionary(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each side's rank among the distinct ones, and how many bytes each of these shares with the one before it."""
+    width = sides.shape[1]
+    _, first, rank = np.unique(np.ascontiguousarray(sides).view(f"S{width}").ravel(), return_index=True, return_inverse=True)
+    words = sides[first]
+    common = np.zeros(len(words), np.int64)
+    for a in range(1, len(words), STEP // width):
+        differ = words[a : a + STEP // width] != words[a - 1 : a - 1 + STEP // width][: len(words) - a]
+        common[a : a + STEP // width] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return rank, common
 
 
 def _equal_strings(raw: list[bytes]) -> list[np.ndarray]:
     """Per surrounding two bytes: 1 + the least and the most bytes before the trigger of strings that repeat, or 0, 0."""
     sizes = [len(r) // WIDTH for r in raw]
     rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, WIDTH)
-    k = len(rows)
-    out = np.zeros((k, 2), np.uint8)
-    if k > 1:
+    out = np.zeros((len(rows), 2), np.uint8)
+    if len(rows) > 1:
         left, right = rows[:, :LEFT], rows[:, LEFT:]
         n_left, n_right = (left > 0).sum(axis=1), (right > 0).sum(axis=1)
-        (order_l, common_l), (order_r, common_r) = _order(left), _order(right)
-        run_l, run_r = np.zeros(k, np.int64), np.zeros(k, np.int64)
+        # The parse is the pair of ranks.
+        (rank_l, common_l), (rank_r, common_r) = _dictionary(left), _dictionary(right)
         for before in range(LEFT + 1):
             some = np.flatnonzero((n_left >= before) & (n_right >= LENGTH - before))
             if len(some) < 2:
                 continue
-            run_l[order_l[1:]] = np.cumsum(common_l < before)
-            run_r[order_r[1:]] = np.cumsum(common_r < LENGTH - before)
-            run_l[order_l[0]] = run_r[order_r[0]] = 0
-            key = run_l[some] * k + run_r[some]
+            class_l, class_r = np.cumsum(common_l < before), np.cumsum(common_r < LENGTH - before)
+            key = class_l[rank_l[some]] * (len(class_r) + 1) + class_r[rank_r[some]]
             order = np.argsort(key)
             same = np.zeros(len(some), bool)
             same[1:] = key[order[1:]] == key[order[:-1]]
