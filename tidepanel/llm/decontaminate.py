@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm._shared import long_rows, materialize, ordered
-from tidepanel.llm._text import arrow_slices, covered, join_texts, run_hashes, slices, with_columns, word_bounds, word_hashes
+from tidepanel.llm._text import arrow_slices, covered, join_texts, run_hashes, slices, tidy, with_columns, word_bounds, word_hashes
 
 WINDOW = 13
 #: About 200 bytes each: 40 MB at most are broadcast at once.
@@ -53,16 +53,15 @@ class Windows:
 
     def __init__(self, items: list[tuple]):
         text = _Words([t for _, t in items])
-        found: dict[bytes, tuple[list, np.ndarray]] = {}
+        found: dict[bytes, tuple[dict, np.ndarray]] = {}
         for k, (item, _) in enumerate(items):
             n, at = int(text.count[k]), int(text.first[k])
             width = min(n, WINDOW)
             for i in range(at, at + n - width + 1 if width else at):
-                ids, _ = found.setdefault(text.bytes_of(i, width), ([], text.hash[i : i + width]))
-                if item not in ids:
-                    ids.append(item)
+                ids, _ = found.setdefault(text.bytes_of(i, width), ({}, text.hash[i : i + width]))
+                ids[item] = True
         self.words = list(found)
-        self.items = [ids for ids, _ in found.values()]
+        self.items = [list(ids) for ids, _ in found.values()]
         self.hashes = [h for _, h in found.values()]
         self.vocabulary = np.unique(np.concatenate(self.hashes)) if found else np.zeros(0, np.uint64)
 
@@ -112,10 +111,12 @@ def _count_words(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
                 at = np.searchsorted(words, h)
                 at[at == len(words)] = 0
                 total += np.bincount(at[words[at] == h], minlength=len(words))
+        tidy()
         some = np.flatnonzero(total)
         yield pd.DataFrame({"word": some.astype(np.int64), "n": total[some]})
 
     got = docs.select("text").mapInPandas(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    shared.destroy()
     return {int(vocabulary[r["word"]]): r["n"] for r in got}
 
 
