@@ -118,10 +118,24 @@ def numbered_rows(df: DataFrame, order: list, name: str) -> DataFrame:
     return within.join(before, "_p").withColumn(name, F.col("_before") + F.col("_r")).drop("_p", "_r", "_before")
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def keep_ids(df: DataFrame, ids: DataFrame, key, how: str = "inner") -> DataFrame:
     """Join on ``key``; ``ids`` is broadcast only if it was counted and is at most ``BROADCAST_ROWS`` rows.
 
     A row of ``ids`` is of fixed width: ids and numbers, no text and no list that grows.
     """
     small = ids.count() <= BROADCAST_ROWS
     return df.join(F.broadcast(ids) if small else ids, key, how)
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, key, count: str, limit: int = 1024) -> DataFrame:
+    """``rows`` joined with a written table of one row of fixed width a key, whose ``count`` says how many rows have it.
+
+    A key of more than ``limit`` rows would gather them in one task.  There is at most one such key to ``limit`` rows;
+    they are joined first (by broadcast, if few enough), and only the other keys' rows are dealt by key.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    hot = counts.where(F.col(count) > limit)
+    if not hot.count():
+        return rows.join(counts, keys)
+    cold = keep_ids(rows, hot.select(*keys), keys, "left_anti").join(counts.where(F.col(count) <= limit), keys)
+    return cold.unionByName(keep_ids(rows, hot, keys))

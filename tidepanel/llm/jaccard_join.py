@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm._shared import discard, keep_ids, materialize, ordered, partitions, repeats
+from tidepanel.llm._shared import discard, join_counted, keep_ids, materialize, ordered, partitions, repeats
 from tidepanel.llm._text import arrow_slices, join_texts, mix, run_hashes, slices, tidy, with_columns, word_bounds, word_hashes
 
 SHINGLE = 5
@@ -140,19 +140,6 @@ def _next_paths(batches):
         tidy()
 
 
-def _with_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``rows`` joined with a table that has one row ``(key, c, ...)`` of fixed width a key, ``c`` rows each.
-
-    A key of more than ``LIMIT`` rows would gather them in one task.  There is at most one such key to ``LIMIT`` rows;
-    they are joined first (by broadcast, if few enough), and only the other keys' rows are dealt by key.
-    """
-    hot = counts.where(F.col("c") > LIMIT)
-    if not hot.count():
-        return rows.join(counts, "key")
-    cold = keep_ids(rows, hot.select("key"), "key", "left_anti").join(counts.where(F.col("c") <= LIMIT), "key")
-    return cold.unionByName(keep_ids(rows, hot, "key"))
-
-
 def _leaves(docs: DataFrame, level: DataFrame) -> DataFrame:
     """``(rep, n, key)``: the buckets where sets are compared; ``n`` is the size of the set."""
     leaves = None
@@ -378,7 +365,7 @@ def _join(d: DataFrame, recall: float = RECALL) -> DataFrame:
     leaves = materialize(_leaves(d, keyed.select("rep", "n", F.explode("keys").alias("key")).distinct()), "leaves")
     marked = leaves.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
     once = materialize(marked.where("c > 1").groupBy("c", "w", "x", "y").agg(F.min("key").alias("key")).select("key", "c", "w"), "buckets")
-    members = _with_counts(leaves, once).groupBy("rep").agg(F.first("n").alias("n"), F.collect_list(F.struct("key", "c", "w")).alias("buckets"))
+    members = join_counted(leaves, once, "key", "c", LIMIT).groupBy("rep").agg(F.first("n").alias("n"), F.collect_list(F.struct("key", "c", "w")).alias("buckets"))
     members = materialize(members.join(classes.select("rep", "mult"), "rep"), "members")
     discard(leaves)
     # Every set goes to a task for each part of its buckets that it meets.

@@ -5,7 +5,8 @@ where it is 0 modulo ``MEAN``.  As boundaries depend on nearby lines only, lines
 shift them.  A chunk of at least two lines that an earlier document has as well is removed, and so are its repeats
 inside one document.  Chunks are grouped by their bytes, combined map-side first, so a chunk that many documents share
 costs one row a task; documents learn by two hashes which chunks to drop, and hashes that two different chunks share
-(which grouping by bytes shows) drop nothing.  All work on a document takes time in proportion to its length: lines
+(which grouping by bytes shows) drop nothing.  A chunk of very many occurrences is looked up where they are, so they are
+not gathered by its key.  All work on a document takes time in proportion to its length: lines
 are marked and split again rather than sliced, and places are subtracted as sets.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm._shared import let, materialize, ordered
+from tidepanel.llm._shared import join_counted, let, materialize, ordered
 
 ROLL = 3
 MEAN = 4
@@ -61,8 +62,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Grouped by bytes: the document that has the chunk first, and whether it comes again.
     seen = several.groupBy("chunk").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
     repeated = seen.groupBy(*keys).agg(F.max("first").alias("first"), F.max("n").alias("n"), F.count("*").alias("texts"))
-    repeated = materialize(repeated.where("n > 1 and texts = 1").select("h", "g", "first"), "repeated-chunks")
-    found = several.select("ord", "k", *keys).join(repeated, ["h", "g"])
+    repeated = materialize(repeated.where("n > 1 and texts = 1").select("h", "g", "first", "n"), "repeated-chunks")
+    found = join_counted(several.select("ord", "k", *keys), repeated, ["h", "g"], "n")
     # Of the document that has a chunk first, the places in the order of (chunk, place) show the repeats.
     found = found.groupBy("ord").agg(F.collect_list(F.struct("h", "g", "k", (F.col("ord") > F.col("first")).alias("gone"))).alias("found"))
 

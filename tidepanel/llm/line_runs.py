@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm._shared import let, materialize, ordered
+from tidepanel.llm._shared import join_counted, let, materialize, ordered
 
 
 def lines_of(text: Column) -> Column:
@@ -40,9 +40,9 @@ def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     d = ordered(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     pairs = d.where(F.col("text").contains("\n")).select("ord", F.posexplode(pair_keys(F.col("text"))).alias("k", "key")).where("key is not null")
     place = F.struct("ord", "k")
-    seen = pairs.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    seen = materialize(seen.where("first < last").select("key", "first"), "repeated-pairs")
-    gone = pairs.join(seen, "key").where(place > F.col("first")).groupBy("ord").agg(F.collect_set("k").alias("gone"))
+    seen = pairs.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    seen = materialize(seen.where("first < last").select("key", "first", "n"), "repeated-pairs")
+    gone = join_counted(pairs, seen, "key", "n").where(place > F.col("first")).groupBy("ord").agg(F.collect_set("k").alias("gone"))
     d = d.join(gone, "ord", "left").withColumn("lines", lines_of(F.col("text")))
     drop = F.array_union("gone", F.transform("gone", lambda k: k + 1))
 
