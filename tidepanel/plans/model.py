@@ -94,6 +94,8 @@ def block_pca(df: DataFrame, features: list[str], threshold: float = 0.75, max_p
 
 #: Rows that a cycle of a shadow's permutation passes through.
 CYCLE = 1000
+#: Rows of a partition that trees are grown on; each tree takes several jobs, so small panels get few tasks.
+TREE_ROWS = 50_000
 
 
 def shuffled(df: DataFrame, features: list[str], seed: int) -> DataFrame:
@@ -130,10 +132,10 @@ def shadow_selection(df: DataFrame, features: list[str], target: str, iterations
 
     rows = df.where("part = 'train'") if "part" in df.columns else df
     kind = GBTRegressor if target_type == "regression" else GBTClassifier
-    alive = set(features)
+    alive, parts = set(features), max(1, rows.count() // TREE_ROWS)
     columns = [*features, *[f"SHADOW_{c}" for c in features]]
     for i in range(iterations):
-        s = _assembled(shuffled(rows, features, 42 + i), columns, target).select("features", "label").cache()
+        s = _assembled(shuffled(rows, features, 42 + i), columns, target).select("features", "label").coalesce(parts).cache()
         gain = kind(maxDepth=depth, maxIter=rounds, stepSize=0.05, seed=42 + i).fit(s).featureImportances.toArray()
         s.unpersist()
         best = gain[len(features) :].max() if len(features) else 0.0
