@@ -5,7 +5,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, fingerprint, jaccard_join, line_dedup, line_runs, mixing, sharding
+from tidepanel.llm import decontaminate, fingerprint, jaccard_join, line_dedup, mixing, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 ENGLISH = "the people of the town went to the market in the morning and they talked about the weather and the harvest of the year"
@@ -72,7 +72,7 @@ def test_odd_rows_have_stated_results(spark):
     docs = spark.createDataFrame(rows(), SCHEMA)
     lines = line_dedup.dedup_lines(docs).collect()
     assert len(lines) == docs.count() and {r.n_removed_lines for r in lines} == {0}
-    runs = line_runs.dedup_runs(spark.createDataFrame([(1, "a\nb\nc"), (None, "x\na\nb"), (1, "a\nb\nc"), (2, None)], "doc_id long, text string")).collect()
+    runs = line_dedup.dedup_lines(spark.createDataFrame([(1, "a\nb\nc"), (None, "x\na\nb"), (1, "a\nb\nc"), (2, None)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_removed_lines) for r in runs) == [(0, 2), (1, 0), (1, 0), (2, 0)]
     sizes = {(r.doc_id, r.size): r.taken for r in mixing.mix(docs).collect()}
     assert sizes[200, 0] == sizes[201, 0] == 0 and sum(n for _, n in sizes) > 0

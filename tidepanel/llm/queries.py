@@ -7,7 +7,6 @@ from importlib import import_module
 #: (module, query function) in the order of the operators.
 _QUERIES = (
     ("line_dedup", "op1_line_chunks"),
-    ("line_runs", "op1_line_runs"),
     ("language_id", "op2_nearest_centroid"),
     ("substring_dedup", "op3_difference_cover"),
     ("suffix_dedup", "op4_prefix_free_parsing"),
