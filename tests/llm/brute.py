@@ -78,3 +78,26 @@ def components(links):
                     out[e] = d
                     todo.append(e)
     return out
+
+
+def contaminated(docs, items, width=13):
+    """doc_id -> (n_words, n_hit, items, contaminated), items without an id as one None at the end."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = lambda t: word.findall(re.sub("[A-Z]+", lambda m: m.group().lower(), t or ""))
+    cut = defaultdict(set)
+    for item, text in items:
+        w = lower(text)
+        n = min(len(w), width)
+        for i in range(len(w) - n + 1 if n else 0):
+            cut[tuple(w[i : i + n])].add(item)
+    out = {}
+    for d, text in docs:
+        w, found = lower(text), set()
+        hit = [False] * len(w)
+        for n in {len(c) for c in cut}:
+            for i in range(len(w) - n + 1):
+                if (c := tuple(w[i : i + n])) in cut:
+                    found |= cut[c]
+                    hit[i : i + n] = [True] * n
+        out[d] = (len(w), sum(hit), tuple(sorted(found - {None})) + (None,) * (None in found), sum(hit) > 0 and 20 * sum(hit) >= len(w))
+    return out

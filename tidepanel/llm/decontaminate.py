@@ -7,24 +7,34 @@ bound) and the room left in the document (length bound) give the only place wher
 are compared, first by hash and then by their bytes.
 
 The benchmark's windows are broadcast while its words, which are counted first, number at most ``BROADCAST_WINDOWS``.
-A larger benchmark is dealt into parts of about that size, one of which at a time meets all documents.
+A larger benchmark is cut on executors, and words, places and windows are joined by shuffles; a window is then known by
+the SHA-256 digest of its words instead of the words.  What is broadcast there has a fixed size: a bitmap of words.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm._shared import long_rows, materialize, ordered
+from tidepanel.llm._shared import join_counted, long_rows, materialize, ordered
 from tidepanel.llm._text import arrow_slices, covered, join_texts, run_hashes, slices, tidy, with_columns, word_bounds, word_hashes
 
 WINDOW = 13
 #: About 200 bytes each: 40 MB at most are broadcast at once.
 BROADCAST_WINDOWS = 200_000
 
+#: Bits, and bits a row, of the map that says which words may matter; a false yes costs a row of the join, no result.
+BITS, ROW_BITS = 1 << 26, 1 << 12
+#: A place in a window of a width is one number, so all of a word's fit two longs.
+WIDTHS = np.repeat(np.arange(1, WINDOW + 1), np.arange(1, WINDOW + 1))
+PLACES = np.concatenate([np.arange(n) for n in range(1, WINDOW + 1)])
+LOW = 63
+
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -120,18 +130,10 @@ def _count_words(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     return {int(vocabulary[r["word"]]): r["n"] for r in got}
 
 
-def _parts(benchmark: DataFrame, most: int) -> int:
-    """How many parts of at most about ``most`` windows the benchmark is dealt into; its words are counted first."""
+def _n_words(benchmark: DataFrame) -> int:
+    """About how many words, and so at most how many windows, the benchmark has."""
     n = F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))
-    return max(1, -(-(benchmark.agg(n.alias("n")).first()["n"] or 0) // most))
-
-
-def _part(benchmark: DataFrame, k: int, n: int, texts: DataFrame) -> Windows:
-    """The windows of one part of the items, their words ordered by rarity."""
-    rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-    w = Windows([(r["item_id"], r["text"]) for r in rows])
-    w.index(_count_words(texts, w.vocabulary) if len(w.vocabulary) else {})
-    return w
+    return benchmark.agg(n.alias("n")).first()["n"] or 0
 
 
 def _finished(text: _Words, start: np.ndarray, end: np.ndarray, found: list) -> dict:
@@ -155,7 +157,8 @@ ARROW = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string
 
 def _at_once(rows: DataFrame, texts: str, items: DataFrame) -> DataFrame:
     """The benchmark is small: its windows are broadcast, documents stay where they are."""
-    windows = _part(items, 0, 1, rows.select(F.col(texts).alias("text")))
+    windows = Windows([(r["item_id"], r["text"]) for r in items.collect()])
+    windows.index(_count_words(rows.select(F.col(texts).alias("text")), windows.vocabulary) if len(windows.vocabulary) else {})
     shared = rows.sparkSession.sparkContext.broadcast(windows)
 
     def joined(batches):
@@ -173,36 +176,133 @@ def _at_once(rows: DataFrame, texts: str, items: DataFrame) -> DataFrame:
     return rows.mapInArrow(joined, f"{_fields(rows)}, {FOUND}")
 
 
-def _by_parts(rows: DataFrame, texts: str, items: DataFrame, n: int) -> DataFrame:
-    """The benchmark is large: one part after the other meets all documents and leaves a table of places."""
-    spark = rows.sparkSession
+def _item_windows(items: DataFrame) -> DataFrame:
+    """``(item_id, window, words)``: the digest and the word hashes of every window of every item."""
+
+    def cut(batches):
+        for pdf in batches:
+            for item, whole in zip(pdf["item_id"], pdf["text"], strict=True):
+                text = _Words([whole])
+                n = len(text.hash)
+                width = min(n, WINDOW)
+                last = n - width + 1 if width else 0
+                words = text.hash.view(np.int64)
+                for i in range(0, last, 4096):
+                    at = range(i, min(i + 4096, last))
+                    digests = [hashlib.sha256(text.bytes_of(k, width)).digest() for k in at]
+                    yield pd.DataFrame({"item_id": pd.Series([item] * len(at), dtype=object), "window": digests, "words": [words[k : k + width] for k in at]})
+
+    return items.mapInPandas(cut, "item_id string, window binary, words array<long>")
+
+
+def _bitmap(words: DataFrame) -> np.ndarray:
+    """A map of ``BITS`` bits with those of the given words set, whatever their number; packed on executors."""
+
+    def pack(pdf):
+        bits = np.zeros(ROW_BITS, bool)
+        bits[pdf["bit"].to_numpy()] = True
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+
+    slot = F.pmod("word", F.lit(BITS))
+    slots = words.select(F.floor(slot / ROW_BITS).alias("row"), F.pmod(slot, F.lit(ROW_BITS)).alias("bit")).distinct()
+    out = np.zeros((BITS // ROW_BITS, ROW_BITS // 8), np.uint8)
+    for r in slots.groupBy("row").applyInPandas(pack, "row long, bits binary").collect():
+        out[r["row"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _may_matter(bitmap: np.ndarray, words: np.ndarray) -> np.ndarray:
+    slot = np.mod(words.view(np.int64), BITS)
+    return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _word_counts(docs: DataFrame, bitmap) -> DataFrame:
+    """``(word, n)``: how often words of the bitmap occur in all documents, summed by slices before the shuffle."""
+
+    def counted(batches):
+        for pdf in batches:
+            texts = list(pdf["text"])
+            for i, j in slices(texts):
+                h = _Words(texts[i:j]).hash
+                word, n = np.unique(h[_may_matter(bitmap.value, h)], return_counts=True)
+                yield pd.DataFrame({"word": word.view(np.int64), "n": n.astype(np.int64)})
+        tidy()
+
+    return docs.select("text").mapInPandas(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _word_places(docs: DataFrame, bitmap) -> DataFrame:
+    """``(ord, at, word)``: where documents have words of the bitmap."""
+
+    def found(batches):
+        for pdf in batches:
+            texts, ords = list(pdf["text"]), pdf["ord"].to_numpy()
+            for i, j in slices(texts):
+                text = _Words(texts[i:j])
+                k = np.flatnonzero(_may_matter(bitmap.value, text.hash))
+                doc = text.doc[k]
+                yield pd.DataFrame({"ord": ords[i:j][doc], "at": k - text.first[doc], "word": text.hash[k].view(np.int64)})
+        tidy()
+
+    return docs.select("ord", "text").mapInPandas(found, "ord long, at long, word long")
+
+
+def _candidates(docs: DataFrame) -> DataFrame:
+    """``(ord, start, end, window)``: the digests of the documents' own windows at the places that prefixes name."""
+
+    def bit(value, k):
+        return (np.array(value, np.int64)[:, None] >> k) & 1 == 1
+
+    def cut(batches):
+        for pdf in batches:
+            texts, ords = list(pdf["text"]), pdf["ord"].to_numpy()
+            for i, j in slices(texts):
+                text = _Words(texts[i:j])
+                for k, spots in enumerate(pdf["spots"].iloc[i:j]):
+                    at = np.array([s["at"] for s in spots], np.int64)
+                    low, high = bit([s["low"] for s in spots], np.arange(LOW)), bit([s["high"] for s in spots], np.arange(len(WIDTHS) - LOW))
+                    spot, code = np.nonzero(np.hstack([low, high]))
+                    start = at[spot] - PLACES[code]
+                    fits = (start >= 0) & (start + WIDTHS[code] <= text.count[k])
+                    places = np.unique(np.stack([start[fits], start[fits] + WIDTHS[code][fits]], 1), axis=0)
+                    first = int(text.first[k])
+                    digests = [hashlib.sha256(text.bytes_of(first + int(a), int(b - a))).digest() for a, b in places]
+                    yield pd.DataFrame({"ord": np.full(len(places), ords[i + k]), "start": places[:, 0], "end": places[:, 1], "window": digests})
+        tidy()
+
+    return docs.mapInPandas(cut, "ord long, start long, end long, window binary")
+
+
+def _by_join(rows: DataFrame, texts: str, items: DataFrame) -> DataFrame:
+    """The benchmark is large: words, places and windows meet in shuffles, each of linear size."""
+    share = rows.sparkSession.sparkContext.broadcast
     d = ordered(rows, "_id", texts, rows=True)
-    places = None
-    for k in range(n):
-        windows = _part(items, k, n, d.select("text"))
-        if not windows.words:
-            continue
-        shared = spark.sparkContext.broadcast(windows)
-
-        def matched(batches, shared=shared):
-            w = shared.value
-            for pdf in batches:
-                whole = list(pdf["text"])
-                for i, j in slices(whole):
-                    text = _Words(whole[i:j])
-                    start, window = w.occurrences(text)
-                    at = start - text.first[text.doc[start]]
-                    ords = pdf["ord"].to_numpy()[i:j][text.doc[start]]
-                    yield pd.DataFrame({"ord": ords, "start": at, "end": at + w.width[window], "items": pd.Series([w.items[x] for x in window], dtype=object)})
-
-        got = materialize(d.select("ord", "text").mapInPandas(matched, "ord long, start long, end long, items array<string>"), f"places{k}")
-        shared.destroy()
-        places = got if places is None else places.unionByName(got)
-    if places is None:
-        return _at_once(rows, texts, items.limit(0))
-    # A document's places number its words times the parts at most.
-    places = places.groupBy("ord").agg(F.collect_set(F.struct("start", "end")).alias("places"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("found"))
-    joined = d.join(places, "ord", "left").select("row.*", F.col("text").alias("_whole"), "places", "found")
+    cut = materialize(_item_windows(items), "item_windows")
+    windows = cut.groupBy("window").agg(F.first("words").alias("words"))
+    spots = materialize(windows.select("window", F.size("words").alias("width"), F.posexplode("words").alias("place", "word")), "window_words")
+    vocabulary = share(_bitmap(spots))
+    times = spots.groupBy("word").agg(F.count("*").alias("times"))
+    # A window with a word that no document has occurs nowhere: the join leaves it fewer words than its width.
+    counts = materialize(times.join(_word_counts(d, vocabulary), "word"), "word_counts")
+    vocabulary.destroy()
+    ranked = join_counted(spots, counts, "word", "times").groupBy("window").agg(F.min(F.struct("n", "place", "word")).alias("rarest"), F.count("*").alias("known"), F.first("width").alias("width"))
+    code = F.expr("width * (width - 1) div 2 + rarest.place")
+    prefixes = ranked.where("known = width").select("rarest.word", "rarest.n", code.cast("int").alias("code"))
+    low, high = F.expr(f"if(code < {LOW}, shiftleft(1L, code), 0L)"), F.expr(f"if(code >= {LOW}, shiftleft(1L, code - {LOW}), 0L)")
+    prefixes = materialize(prefixes.groupBy("word").agg(F.first("n").alias("n"), F.bit_or(low).alias("low"), F.bit_or(high).alias("high")), "prefixes")
+    wanted = share(_bitmap(prefixes))
+    places = join_counted(_word_places(d, wanted), prefixes, "word", "n")
+    # A document's spots number its words at most.
+    spots_of = places.groupBy("ord").agg(F.collect_set(F.struct("at", "low", "high")).alias("spots"))
+    found = materialize(_candidates(d.select("ord", "text").join(spots_of, "ord")), "candidates")
+    wanted.destroy()
+    held = cut.select("window", "item_id").distinct()
+    held = materialize(found.groupBy("window").agg(F.count("*").alias("times")).join(held, "window"), "held")
+    hits = join_counted(found, held.select("window", "times").distinct(), "window", "times")
+    ids = join_counted(found.select("ord", "window").distinct(), held, "window", "times")
+    at = hits.groupBy("ord").agg(F.collect_set(F.struct("start", "end")).alias("places"))
+    ids = ids.groupBy("ord").agg(F.collect_set(F.struct("item_id")).alias("found"))
+    joined = d.join(at.join(ids, "ord"), "ord", "left").select("row.*", F.col("text").alias("_whole"), "places", "found")
 
     def finished(batches):
         for pdf in batches:
@@ -211,8 +311,8 @@ def _by_parts(rows: DataFrame, texts: str, items: DataFrame, n: int) -> DataFram
                 text = _Words(whole[i:j])
                 at = [(text.first[k] + p["start"], text.first[k] + p["end"]) for k, ps in enumerate(pdf["places"].iloc[i:j]) if ps is not None for p in ps]
                 start, end = np.array(at, np.int64).reshape(-1, 2).T
-                found = [set(x) if x is not None else set() for x in pdf["found"].iloc[i:j]]
-                yield pdf.iloc[i:j].drop(columns=["_whole", "places", "found", "_text"], errors="ignore").assign(**_finished(text, start, end, found))
+                ids = [{x["item_id"] for x in xs} if xs is not None else set() for xs in pdf["found"].iloc[i:j]]
+                yield pdf.iloc[i:j].drop(columns=["_whole", "places", "found", "_text"], errors="ignore").assign(**_finished(text, start, end, ids))
 
     return joined.mapInPandas(finished, f"{_fields(rows)}, {FOUND}")
 
@@ -235,8 +335,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     names = [f"_k{i}" for i in range(len(keep))]
     texts = names[keep.index(text_col)] if text_col in keep else "_text"
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(id_col).alias("_id"), *[F.col(text_col).cast("string").alias("_text")] * (texts == "_text"))
-    n = _parts(items, BROADCAST_WINDOWS)
-    out = _at_once(rows, texts, items) if n == 1 else _by_parts(rows, texts, items, n)
+    out = (_at_once if _n_words(items) <= BROADCAST_WINDOWS else _by_join)(rows, texts, items)
     names_out = [F.col(n).alias(c) for n, c in zip(names, keep, strict=True) if c != "doc_id"]
     return out.select(F.col("_id").alias("doc_id"), *names_out, "n_words", "n_hit", "items", "spans", "contaminated")
 
