@@ -1,0 +1,42 @@
+"""The tuner's search, with predictions whose error is known instead of trained trees."""
+
+import datetime as dt
+
+import pytest
+
+from tidepanel.plans import model as L
+
+SYMBOLS = "ABCDEFGH"
+
+
+class Known(L.Model):
+    """A trial's predictions are off by its step; classes are ranked right only by trees of depth 4 and more."""
+
+    def train_model(self, split, save_name=None, **params):
+        self.tried.append(params)
+        return params
+
+    def predictions(self, params, split, part="test"):
+        assert part == "val"
+        target = [float(k % 2) for k in range(len(SYMBOLS))]
+        right = self.target_type == "regression" or params["depth"] >= 4
+        pred = [(t if right else 1 - t) + params["step"] for t in target]
+        rows = [(s, dt.date(2020, 1, 1), p, t) for s, p, t in zip(SYMBOLS, pred, target)]
+        return split.sparkSession.createDataFrame(rows, "act_symbol string, date date, pred double, target double")
+
+
+@pytest.mark.parametrize("kind", ["regression", "classification"])
+def test_tuner_returns_the_best_of_its_trials(spark, kind):
+    split = spark.range(1)
+    m = Known(split)
+    m.target_type, m.tried = kind, []
+    best = m.tune_params(split, trials=5, seed=3)
+    assert len(m.tried) == 5 and best in m.tried
+    assert all(2 <= p["depth"] <= 6 and p["rounds"] in (10, 20, 40) for p in m.tried)
+    if kind == "regression":
+        assert best["step"] == min(p["step"] for p in m.tried)
+    else:
+        assert best == next(p for p in m.tried if p["depth"] >= 4)
+    again = Known(split)
+    again.target_type, again.tried = kind, []
+    assert again.tune_params(split, trials=2, seed=3) and again.tried == m.tried[:2]
