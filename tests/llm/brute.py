@@ -101,3 +101,59 @@ def contaminated(docs, items, width=13):
                     hit[i : i + n] = [True] * n
         out[d] = (len(w), sum(hit), tuple(sorted(found - {None})) + (None,) * (None in found), sum(hit) > 0 and 20 * sum(hit) >= len(w))
     return out
+
+
+def units(text):
+    return re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text or "")
+
+
+def cut_in_middle(doc_id, text, seed=42):
+    """(n, form, prefix_chars, middle_chars, output)."""
+    u, text = units(text), text or ""
+    hexa = sha(f"{seed}:{'' if doc_id is None else doc_id}".encode())
+    h1, h2, h3, h4 = (int(hexa[8 * k : 8 * k + 8], 16) for k in range(4))
+    if not text or "<P>" in text or "<S>" in text or "<M>" in text or h3 % 100 >= 50:
+        return len(u), "plain", None, None, text
+    a, b = sorted((h1 % (len(u) + 1), h2 % (len(u) + 1)))
+    p, m, s = "".join(u[:a]), "".join(u[a:b]), "".join(u[b:])
+    if h4 % 100 < 80:
+        return len(u), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(u), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def word_runs(w, least=6, repeats=4):
+    """(start, length, period) of all runs by start and period, straight from their definition."""
+    found = {}
+    for q in range(1, len(w) // repeats + 1):
+        i = 0
+        while i + q < len(w):
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(least, repeats * q):
+                found.setdefault((i, j + q - i), q)
+            i = j
+    return sorted((i, n, q) for (i, n), q in found.items())
+
+
+def planted_words(doc_id, text):
+    import zlib
+
+    w = WORDS.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not w:
+        return w
+    g = h // 10
+    a = g % len(w)
+    p = 1 + (len(w) - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(len(w))]
+
+
+def collapsed(w, runs):
+    gone = [False] * len(w)
+    for i, n, q in runs:
+        gone[i + q : i + n] = [True] * (n - q)
+    return " ".join(x for x, g in zip(w, gone) if not g)

@@ -16,6 +16,9 @@ _QUERIES = (
     ("decontaminate", "op8_prefix_filtered_join"),
     ("sharding", "op9_virtual_slots"),
     ("jaccard_join", "op10_chosen_path"),
+    ("fill_in_middle", "op11_skip_list"),
+    ("periodic_runs", "op12_harmonic_grid"),
+    ("minhash_dedup", "op13_hamming_join"),
 )
 
 
