@@ -7,10 +7,12 @@ chunk with at most one error, so every document is listed under each chunk with
 keys), and such pairs meet under a key for certain.  A pair of similarity 0.85 differs in 20 or more of 40 with
 probability 2e-7, and in more than ``FAR`` of 128, beyond which a meeting is not followed up, with 4e-7.
 
-Components are wanted, not all links, so pairs are tested in three turns.  Each bucket (documents under a key) tests its
-members against one of them, its pivot; twice more, buckets whose members are not all connected yet test the others
-against the pivot's component by another pivot; in the buckets that are still open all pairs of members that are not connected are
-compared by size and signature, in blocks, and what passes is tested.  A test compares the full sets.
+Components are wanted, not all links, so pairs are tested in turns.  Each bucket (documents under a key) tests its members
+against one of them, its pivot; buckets whose members are not all connected yet test them once more against another
+pivot.  Members of buckets that are still open are peeled: one with more than 0.15 of its shingles in no other such member
+can have no further link, and without it others may have none.  What is left is listed under its rarest shingles, so many
+that linked documents share one; under each, pairs that are not connected are tested in blocks, unless what comes before
+that shingle leaves too few to share.  Every test compares the full sets.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tidepanel.llm._shared import discard, join_counted, materialize, ordered, partitions
+from tidepanel.llm._shared import discard, join_counted, keep_ids, materialize, ordered, partitions
 from tidepanel.llm._text import arrow_slices, mix, tidy, with_columns
-from tidepanel.llm.jaccard_join import components, shingle_sets
+from tidepanel.llm.jaccard_join import components, overlap, shingle_sets
 
 #: Documents are linked if they share at least UP / DOWN of their union.
 UP, DOWN = 85, 100
@@ -34,9 +37,11 @@ SYMBOLS, INDEXED, CHUNK = 128, 40, 4
 #: Symbols of 128 in which a pair that is followed up may differ.
 FAR = 42
 #: How often buckets choose a pivot before all their open pairs are compared.
-PIVOTS = 3
-#: Members of a bucket that a block holds, and rows that a task of blocks holds.
-PART, TASK_ROWS = 2048, 1 << 16
+PIVOTS = 2
+#: How often members that can have no link are peeled off; what is left is compared.
+PEELS = 6
+#: Members of a bucket that a block holds, and about as many shingles as a task of blocks holds.
+PART, TASK_SHINGLES = 2048, 1 << 20
 #: Pairs that meet one copy of a document's text.
 SPREAD = 1024
 
@@ -142,12 +147,7 @@ def _linked(batches):
             sets = [h[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
             for k, (x, y) in enumerate(zip(a[i : i + 64], b[i : i + 64], strict=True), i):
                 x, y = sets[number[x]], sets[number[y]]
-                if len(x) > len(y):
-                    x, y = y, x
-                # Both are sorted and without repeats.
-                at = np.searchsorted(y, x)
-                common = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-                ok[k] = (UP + DOWN) * common >= UP * (len(x) + len(y))
+                ok[k] = (UP + DOWN) * shared(x, y) >= UP * (len(x) + len(y))
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(ok))
         tidy()
 
@@ -173,6 +173,47 @@ class _Tests:
         return materialize(pairs.mapInArrow(_linked, "a long, b long"), "links")
 
 
+def _shingles(batches):
+    for part in arrow_slices(batches, "text", rows=4096):
+        h, edge = shingle_sets([lower(t) for t in part.column(1).to_pylist()])
+        rep = np.repeat(part.column(0).to_numpy(), np.diff(edge))
+        yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(h.view(np.int64))], names=["rep", "shingle"])
+
+
+def _still_open(members: DataFrame) -> DataFrame:
+    """Members of buckets that have members of two components."""
+    facts = members.groupBy("key").agg(F.count("*").alias("_c"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a != _b").select("key", "_c")
+    return materialize(join_counted(members, materialize(facts, "open"), "key", "_c").drop("_c"), "members")
+
+
+def _peeled(members: DataFrame, tests: _Tests) -> DataFrame:
+    """``(key, rep, comp, c)``: members under their rarest shingles, without those that can have no link to another."""
+    reps = members.select(F.col("rep").alias("_k")).distinct()
+    held = materialize(tests.texts.join(reps, "_k", "left_semi").dropDuplicates(["_k"]).mapInArrow(_shingles, "rep long, shingle long"), "shingles")
+    for _ in range(PEELS):
+        own = held.groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
+        sizes = tests.signed.join(own, tests.signed["_k"] == own["rep"])
+        gone = materialize(sizes.where(DOWN * F.col("own") > (DOWN - UP) * F.col("n")).select("rep").distinct(), "gone")
+        if not gone.take(1):
+            break
+        members = _still_open(keep_ids(members, gone, "rep", "left_anti"))
+        left = members.select("rep").distinct()
+        last, held = held, materialize(keep_ids(held, materialize(left, "left"), "rep", "left_semi"), "shingles")
+        discard(last)
+    counts = materialize(held.groupBy(F.col("shingle").alias("key")).agg(F.count("*").alias("c")), "frequencies")
+    rare = W.partitionBy("rep").orderBy("c", "key")
+    facts = materialize(members.groupBy("rep").agg(F.first("comp").alias("comp")).join(tests.signed.select(F.col("_k").alias("rep"), "n").dropDuplicates(["rep"]), "rep"), "facts")
+    ranked = join_counted(held.withColumnRenamed("shingle", "key"), counts, "key", "c").withColumn("place", F.row_number().over(rare).cast("long"))
+    # Linked sets share ceil(0.85 n) shingles of each, so one of the first n - ceil(0.85 n) + 1.
+    few = F.expr(f"n - (n * {UP} + {DOWN} - 1) div {DOWN} + 1")
+    listed = materialize(ranked.where("c > 1").join(facts, "rep").where(F.col("place") <= few).select("key", "c", "rep", "comp", "n", "place"), "listed")
+    discard(held)
+    # Shingles with the same members are one; of these the first in order counts.
+    same = [F.count("*").alias("_c"), F.first("c").alias("_f"), F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.bit_xor(F.xxhash64("rep")).alias("_x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("_y")]
+    once = listed.groupBy("key").agg(*same).where("_a != _b").groupBy("_c", "_x", "_y").agg(F.min(F.struct("_f", "key"))["key"].alias("key")).select("key", F.col("_c").alias("c"))
+    return join_counted(listed.drop("c"), materialize(once, "once"), "key", "c")
+
+
 def _blocks(parts_of: int):
     """Members under the pairs of blocks that compare them."""
 
@@ -183,44 +224,71 @@ def _blocks(parts_of: int):
             row = np.repeat(np.arange(len(pdf)), parts)
             meets = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
             out = pdf.iloc[row].drop(columns="c").assign(i=np.minimum(mine[row], meets), j=np.maximum(mine[row], meets), part=mine[row])
-            yield out[["key", "i", "j", "part", "rep", "comp", "n", "sig"]]
+            yield out[["key", "i", "j", "part", "rep", "comp", "n", "place", "body"]]
+            tidy()
 
     return dealt
 
 
-BLOCKS = "key long, i long, j long, part long, rep long, comp long, n long, sig binary"
+BLOCKS = "key long, i long, j long, part long, rep long, comp long, n long, place long, body binary"
 
 
 def _crossing(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a task's blocks that are not connected and near by size and signature."""
-    sig, n, comp, rep, part = _symbols(pdf["sig"]), *(pdf[c].to_numpy() for c in ("n", "comp", "rep", "part"))
+    """A forest of the links between members of a task's blocks that were not connected before."""
+    n, comp, rep, part, place = (pdf[c].to_numpy() for c in ("n", "comp", "rep", "part", "place"))
+    reps, first, who = np.unique(rep, return_index=True, return_inverse=True)
+    open_ = zstandard.ZstdDecompressor().decompress
+    sets = []
+    for k in range(0, len(reps), 256):
+        h, edge = shingle_sets([open_(body).decode("utf-8", "surrogatepass") for body in pdf["body"].iloc[first[k : k + 256]]])
+        sets += [h[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    root = {int(c): int(c) for c in np.unique(comp)}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
     found = []
     for (_, i, j), at in pdf.groupby(["key", "i", "j"], sort=False).indices.items():
         x, y = (at, at) if i == j else (at[part[at] == i], at[part[at] == j])
-        step = max(1, (1 << 16) // max(1, len(y)))
-        for lo in range(0, len(x), step):
-            xs = x[lo : lo + step]
-            a, b = np.nonzero((comp[xs][:, None] != comp[y][None, :]) & _alike(n[xs][:, None], n[y][None, :]))
-            a, b = xs[a], y[b]
-            ok = rep[a] < rep[b] if i == j else slice(None)
-            a, b = a[ok], b[ok]
-            # Most pairs that are not near show it in the first symbols.
-            for width in (32, SYMBOLS):
-                errors = np.count_nonzero(sig[a, :width] != sig[b, :width], axis=1)
-                near = errors <= FAR if width == SYMBOLS else errors <= 24
-                a, b = a[near], b[near]
-            found.append(np.stack((np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b]))))
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        for lo in range(0, len(x), 512):
+            xs = x[lo : lo + 512]
+            now = np.array([find(c) for c in comp[np.concatenate((xs, y))].tolist()])
+            a, b = (k[:, None] if side == 0 else k[None, :] for side, k in ((0, xs), (1, y)))
+            # At the first shingle that two sets share, those before it are lost to both.
+            most = np.minimum((n - place)[a], (n - place)[b]) + 1
+            able = (now[: len(xs)][:, None] != now[len(xs) :][None, :]) & ((UP + DOWN) * most >= UP * (n[a] + n[b]))
+            if i == j:
+                able &= rep[a] < rep[b]
+            p, q = np.nonzero(able)
+            if len(p) > 4 * (len(xs) + len(y)):
+                common = overlap([sets[who[k]] for k in xs], [sets[who[k]] for k in y])[p, q].astype(np.int64)
+            else:
+                common = np.array([shared(sets[who[xs[k]]], sets[who[y[m]]]) for k, m in zip(p, q, strict=True)], np.int64)
+            for k in np.flatnonzero((UP + DOWN) * common >= UP * (n[xs[p]] + n[y[q]])).tolist():
+                one, two = find(int(comp[xs[p[k]]])), find(int(comp[y[q[k]]]))
+                if one != two:
+                    root[max(one, two)] = min(one, two)
+                    found.append((int(rep[xs[p[k]]]), int(rep[y[q[k]]])))
+    del sets
     tidy()
-    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted arrays without repeats have in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
 
 
 def _connected(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members of buckets that are still open, with the component of each."""
     roots = components(links).withColumnRenamed("node", "rep")
-    now = materialize(members.drop("comp").join(roots, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root"), "members")
-    open_ = now.groupBy("key").agg(F.count("*").alias("_c"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a != _b").select("key", "_c")
-    return materialize(join_counted(now, materialize(open_, "open"), "key", "_c").drop("_c"), "members")
+    now = members.drop("comp").join(roots, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+    return _still_open(materialize(now, "members"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,7 +301,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nulls last, hash of the text), ``component_id`` is such a number (``ord``), and rows that repeat id and text are one
     document listed twice.  An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     d = ordered(docs, id_col, text_col)
     signed = materialize(d.select("ord", "doc_id", "text").mapInArrow(_signed, "ord long, doc_id long, n long, digest binary, sig binary"), "signed")
     classes = materialize(signed.where("n > 0").groupBy("n", "digest").agg(F.min("ord").alias("rep"), F.count("*").alias("mult")), "classes")
@@ -261,7 +328,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(tests.links(tests.near(materialize(pairs, "pairs"))))
         open_ = _connected(open_, links)
     if open_.take(1):
-        links = links.unionByName(tests.links(_open_pairs(spark, open_, signed)))
+        open_ = materialize(_peeled(open_, tests), "members")
+        links = links.unionByName(_open_links(open_, tests))
     roots = components(links)
     facts = classes.join(roots, classes["rep"] == roots["node"], "left").select("n", "digest", "mult", F.coalesce("root", "rep").alias("component_id"))
     facts = materialize(facts, "facts")
@@ -271,15 +339,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return some.select(*names).unionByName(none.select(*names))
 
 
-def _open_pairs(spark: SparkSession, members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Near pairs of members of a bucket that are not connected, each once."""
-    counts = materialize(members.groupBy("rep").agg(F.count("*").alias("_n")), "counts")
-    sigs = materialize(counts.join(signed.select(F.col("ord").alias("rep"), "n", "sig"), "rep").dropDuplicates(["rep"]), "open_signed")
-    dealt = join_counted(members.select("key", "c", "rep", "comp"), sigs, "rep", "_n").drop("_n").mapInPandas(_blocks(PART), BLOCKS)
-    rows = members.agg(F.sum(F.ceil(F.col("c") / PART))).first()[0]
-    tasks = max(partitions(spark), rows // TASK_ROWS + 1)
+def _open_links(members: DataFrame, tests: _Tests) -> DataFrame:
+    """Links that connect what is not connected yet, between members under a key."""
+    wanted = members.select(F.col("rep").alias("_k")).distinct()
+    bodies = tests.texts.join(wanted, "_k", "left_semi").dropDuplicates(["_k"]).mapInArrow(_squeezed, "_k long, body binary")
+    dealt = _beside(members, "rep", "key", bodies).select("key", "c", "rep", "comp", "n", "place", "body").mapInPandas(_blocks(PART), BLOCKS)
+    size = members.agg(F.sum(F.ceil(F.col("c") / PART) * F.col("n"))).first()[0] or 0
+    tasks = max(partitions(members.sparkSession), size // TASK_SHINGLES + 1)
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)))
-    return materialize(dealt.groupBy("task").applyInPandas(_crossing, "a long, b long").distinct(), "near")
+    return materialize(dealt.groupBy("task").applyInPandas(_crossing, "a long, b long"), "links")
 
 
 def op13_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
