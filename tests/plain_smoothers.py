@@ -1,4 +1,4 @@
-"""Recursive smoothers, which no window frame expresses: numpy kernels for one symbol's ordered series.
+"""Plain loops of the recursive smoothers: numpy kernels for one symbol's ordered series.
 
 Seeds: an exponential average starts with the mean of its first n values; Wilder averages with the mean of the first n
 changes; directional sums with n - 1 terms, smoothed from then on.  Rows before a seed are NaN, nulls on input are NaN.

@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import options as O
-from tidepanel.functions import recursive as X
 from tidepanel.operators import portfolio as M
 from tidepanel.operators import splits as S
 from tidepanel.operators.asof import asof
@@ -138,13 +137,6 @@ def test_missing_market_gives_null(spark):
     assert values(P.FeatureEngine([r]).compute(bars(spark, range(1, 9))), "b_3d_T") == [None] * 8
 
 
-def test_smoothers():
-    x = np.arange(1.0, 41.0)
-    assert np.isnan(X.ema(x, 5)[3]) and X.ema(x, 5)[4] == 3.0 and X.rsi(x, 14)[14] == 100.0
-    line, signal, hist = X.macd(x)
-    assert np.isnan(line[32]) and not np.isnan(line[33]) and abs(hist[33] - (line[33] - signal[33])) < 1e-12
-
-
 def test_asof_edges(spark):
     d = lambda n: DAY + dt.timedelta(days=n)
     left = spark.createDataFrame([("A", d(0)), ("A", d(5)), ("A", d(9)), ("B", d(5))], "act_symbol string, date date")
@@ -325,10 +317,12 @@ def test_market_takes_the_last_row_of_a_day(spark):
 
 def test_shadows_are_permutations_of_their_own(spark):
     df = spark.range(3000).select(F.lit("A").alias("act_symbol"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y"))
-    rows = L.shuffled(df, ["x", "y"], 1).collect()
-    assert sorted(r.SHADOW_x for r in rows) == sorted(r.SHADOW_y for r in rows) == [float(i) for i in range(3000)]
-    corr = lambda a, b: abs(np.corrcoef([r[a] for r in rows], [r[b] for r in rows])[0, 1])
-    assert max(corr("x", "SHADOW_x"), corr("y", "SHADOW_y"), corr("SHADOW_x", "SHADOW_y")) < 0.08
+    rows = L.shadowed(df, ["x", "y"], [1, 2]).collect()
+    names = [f"SHADOW_{i}_{c}" for i in (1, 2) for c in "xy"]
+    assert len(rows) == 3000 and all(sorted(r[n] for r in rows) == [float(i) for i in range(3000)] for n in names)
+    columns = np.array([[r.x, *[r[n] for n in names]] for r in rows])
+    assert np.abs(np.triu(np.corrcoef(columns.T), 1)).max() < 0.08
+    assert [tuple(r) for r in L.shadowed(df.repartition(5), ["x", "y"], [1, 2]).orderBy("date").collect()] == sorted(map(tuple, rows), key=lambda r: r[1])
 
 
 def test_shadow_selection_keeps_what_tells(spark):

@@ -15,10 +15,10 @@ from tidepanel.sources import panel as P
 ENTRIES: dict = {}
 
 
-def computed(spark: SparkSession, sf_dir: str, *requests: FeatureRequest) -> DataFrame:
+def computed(spark: SparkSession, sf_dir: str, *requests: FeatureRequest, block_rows: int | None = None) -> DataFrame:
     bars = P.bars(spark, sf_dir)
     market = P.market(bars) if any("market" in r.feature.inputs for r in requests) else None
-    out = FeatureEngine(list(requests)).compute(bars, market)
+    out = FeatureEngine(list(requests)).compute(bars, market, block_rows)
     names = [c for r in requests for c in r.columns()]
     return out.select("act_symbol", "date", *[r6(F.col(f"`{c}`").cast("double")).alias(c) for c in names])
 
@@ -66,11 +66,14 @@ feature("feat_spread_ar", ask("SPREAD_AR", 20, "raw"), "CASE WHEN m IS NOT NULL
 _SPREAD_LOG = ("(ln(CASE WHEN log_high > 0 THEN log_high END) + ln(CASE WHEN log_low > 0 THEN log_low END)) / 2 AS eta, ln(CASE WHEN log_close > 0 THEN log_close END) AS c", *_SPREAD[1:])
 feature("feat_spread_ar_default_input", ask("SPREAD_AR", 20), "CASE WHEN m IS NOT NULL THEN sqrt(greatest(0, m)) END", 20, _SPREAD_LOG)
 feature("feat_ma_crossover", ask("MA_crossover", 20, "raw"), f"coalesce((close >= {full('close', 20, 'avg(close)')})::INT, 0)::DOUBLE", 20)
-#: The rescaled range from each window's list of differences.
-_WALK = """e AS (
-  SELECT act_symbol, rn, CASE WHEN count(d) OVER w = 20 THEN avg(d) OVER w END AS m, stddev_samp(d) OVER w AS s, list(d) OVER w AS l FROM dd WINDOW w AS (PARTITION BY act_symbol ORDER BY rn ROWS 19 PRECEDING)),
-k AS (SELECT act_symbol, rn, s, [list_sum(l[1:i]) - i * m for i in range(1, 21)] AS z FROM e WHERE m IS NOT NULL),
-h AS (SELECT act_symbol, rn, s, list_max(z) - list_min(z) AS r FROM k)"""
+#: The rescaled range: the window's differences as 20 lags, their centred sums one by one.
+_LAGS = ", ".join(f"lag(d, {k}) OVER s AS x{k}" for k in range(20))
+_SUMS = [f"({' + '.join(f'x{k}' for k in range(19, 19 - i, -1))} - {i} * m)" for i in range(1, 21)]
+_WALK = f"""e AS MATERIALIZED (
+  SELECT act_symbol, rn, CASE WHEN count(d) OVER w = 20 THEN avg(d) OVER w END AS m, stddev_samp(d) OVER w AS sd, {_LAGS}
+  FROM dd WINDOW s AS (PARTITION BY act_symbol ORDER BY rn), w AS (PARTITION BY act_symbol ORDER BY rn ROWS 19 PRECEDING)),
+k AS MATERIALIZED (SELECT act_symbol, rn, sd, {', '.join(f'{z} AS z{i}' for i, z in enumerate(_SUMS))} FROM e WHERE m IS NOT NULL),
+h AS MATERIALIZED (SELECT act_symbol, rn, sd AS s, greatest({', '.join(f'z{i}' for i in range(20))}) - least({', '.join(f'z{i}' for i in range(20))}) AS r FROM k)"""
 feature(
     "feat_hurst", ask("HURST", 20), "h.hh", 1, source="(SELECT b.*, CASE WHEN h.r > 0 THEN ln(h.r / CASE WHEN h.s = 0 THEN 1e-9 ELSE h.s END) / ln(20) END AS hh FROM b LEFT JOIN h USING (act_symbol, rn)) h",
     extra="dd AS (SELECT act_symbol, date, rn, log_close - lag(log_close) OVER (PARTITION BY act_symbol ORDER BY date) AS d FROM b), " + _WALK,
@@ -194,4 +197,9 @@ def study_sql() -> str:
 
 
 STUDY_COLUMNS = [r.columns()[0] for r in STUDY]
-ENTRIES["study_features"] = (lambda spark, sf_dir: computed(spark, sf_dir, *STUDY), f"{study_sql()} SELECT act_symbol, date, " + ", ".join(f'round(f{k} + 1e-8, 6) + 0.0 AS "{c}"' for k, c in enumerate(STUDY_COLUMNS)) + " FROM study")
+STUDY_SQL = f"{study_sql()} SELECT act_symbol, date, " + ", ".join(f'round(f{k} + 1e-8, 6) + 0.0 AS "{c}"' for k, c in enumerate(STUDY_COLUMNS)) + " FROM study"
+ENTRIES["study_features"] = (lambda spark, sf_dir: computed(spark, sf_dir, *STUDY), STUDY_SQL)
+#: A year of daily rows a block, so that no symbol is bound to one task.
+BLOCK_ROWS = 256
+ENTRIES["study_features_blocks"] = (lambda spark, sf_dir: computed(spark, sf_dir, *STUDY, block_rows=BLOCK_ROWS), STUDY_SQL)
+ENTRIES["feat_adx_blocks"] = (lambda spark, sf_dir: computed(spark, sf_dir, ask("ADX", 14, "raw"), block_rows=BLOCK_ROWS), ENTRIES["feat_adx"][1])

@@ -1,13 +1,46 @@
-"""Windows by symbol and date, and rolling aggregates that need n values in n rows."""
+"""Windows by symbol and date, and rolling aggregates that need n values in n rows.
+
+Windows are laid by symbol, or by symbol and block of rows inside :func:`blocked`; there each block has copies of as many
+rows of its neighbours as the windows reach, and the reach is what these helpers add up while a kernel is built.
+"""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+_keys: ContextVar[tuple[str, ...]] = ContextVar("keys", default=("act_symbol",))
+_reach: ContextVar[list[int]] = ContextVar("reach")
+
+
+@contextmanager
+def blocked(*keys: str):
+    """Windows built inside are partitioned by ``keys``; gives ``[rows before, rows after]`` that they reach together."""
+    reach = [0, 0]
+    tokens = _keys.set(keys), _reach.set(reach)
+    try:
+        yield reach
+    finally:
+        _keys.reset(tokens[0])
+        _reach.reset(tokens[1])
+
+
+def _reaches(before: int, after: int = 0) -> None:
+    if reach := _reach.get(None):
+        reach[0] += max(0, before)
+        reach[1] += max(0, after)
+
+
+def keys() -> tuple[str, ...]:
+    return _keys.get()
+
+
 def by_symbol():
-    return W.partitionBy("act_symbol").orderBy("date")
+    return W.partitionBy(*_keys.get()).orderBy("date")
 
 
 def by_date():
@@ -15,14 +48,18 @@ def by_date():
 
 
 def back(n: int):
+    _reaches(n - 1)
     return by_symbol().rowsBetween(-(n - 1), 0)
 
 
 def ahead(n: int):
+    _reaches(0, n - 1)
     return by_symbol().rowsBetween(0, n - 1)
 
 
 def lag(c: Column, n: int = 1) -> Column:
+    """The value n rows before, or -n rows after."""
+    _reaches(n, -n)
     return F.lag(c, n).over(by_symbol())
 
 

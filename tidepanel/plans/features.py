@@ -1,6 +1,8 @@
-"""Feature requests compiled to shared window layers.
+"""Feature requests compiled to shared layers of windows and scans.
 
-Two exchanges in all: by symbol (all rolling layers, the recursive kernels and the lags) and by date (transforms).
+Two exchanges in all: by symbol (all rolling layers, the scans and the lags) and by date (transforms).  With blocks, a
+symbol's rows are dealt to several tasks: numbered by month, then cut into blocks of as many rows each, to which the rows
+of their neighbours that the windows reach are copied.
 """
 
 from __future__ import annotations
@@ -13,11 +15,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tidepanel.functions import kernels as K
 from tidepanel.functions import recursive as X
+from tidepanel.functions import scans as S
 from tidepanel.functions import windows as R
-from tidepanel.functions.windows import by_date, by_symbol
+from tidepanel.functions.windows import by_date, by_symbol, lag
 
 
 @dataclass(frozen=True)
@@ -27,7 +31,7 @@ class Feature:
     inputs: tuple[str, ...]
     kernel: Callable
     period: int
-    kind: str = "window"  # window, recursive or calendar
+    kind: str = "window"  # window, series (numpy) or calendar
     outputs: tuple[str, ...] = ()
     params: tuple[str, ...] = ()
 
@@ -65,14 +69,14 @@ REGISTRY: dict[str, Feature] = {
     "PERCENT_B": Feature(("real",), K.percent_b, 20, outputs=("percent_b", "bandwidth")),
     "STOCH": Feature(("high", "low", "close"), K.stochastic, 5, outputs=("slowk", "slowd")),
     "BETA": Feature(("log_ret", "market"), K.regression_beta, 5),
-    "EMA": Feature(("real",), X.ema, 30, "recursive"),
-    "RSI": Feature(("close",), X.rsi, 14, "recursive"),
-    "MACD": Feature(("real",), lambda x, n, fast=12, slow=26, signal=9: X.macd(x, fast, slow, signal), 0, "recursive", ("macd", "macdsignal", "macdhist"), ("fast", "slow", "signal")),
-    "ATR": Feature(("high", "low", "close"), X.atr, 14, "recursive"),
-    "NATR": Feature(("high", "low", "close"), X.natr, 14, "recursive"),
-    "ADX": Feature(("high", "low", "close"), X.adx, 14, "recursive"),
-    "ADX_REGIME": Feature(("high", "low", "close"), X.adx_regime, 20, "recursive"),
-    "GAP_SIGMA": Feature(("open", "high", "low", "close"), X.gap_sigma, 20, "recursive"),
+    "EMA": Feature(("real",), X.ema, 30),
+    "RSI": Feature(("close",), X.rsi, 14),
+    "MACD": Feature(("real",), X.macd, 0, outputs=("macd", "macdsignal", "macdhist"), params=("fast", "slow", "signal")),
+    "ATR": Feature(("high", "low", "close"), X.atr, 14),
+    "NATR": Feature(("high", "low", "close"), X.natr, 14),
+    "ADX": Feature(("high", "low", "close"), X.adx, 14),
+    "ADX_REGIME": Feature(("high", "low", "close"), X.adx_regime, 20),
+    "GAP_SIGMA": Feature(("open", "high", "low", "close"), X.gap_sigma, 20),
     "month": Feature(("date",), F.month, 0, "calendar"),
     "day": Feature(("date",), F.dayofmonth, 0, "calendar"),
     "dayofweek": Feature(("date",), F.weekday, 0, "calendar"),
@@ -86,7 +90,7 @@ TRANSFORMS = ("rank", "demean", "cs_zscore", "binary", "regime")
 
 def register_feature(name: str, inputs: tuple[str, ...], kernel: Callable, period: int = 20, outputs: tuple[str, ...] = (), recursive: bool = False) -> None:
     """Add a feature of one's own: a kernel of columns, or with ``recursive`` one of a symbol's numpy arrays."""
-    REGISTRY[name] = Feature(tuple(inputs), kernel, period, "recursive" if recursive else "window", tuple(outputs))
+    REGISTRY[name] = Feature(tuple(inputs), kernel, period, "series" if recursive else "window", tuple(outputs))
 
 
 def listing(spark) -> DataFrame:
@@ -182,7 +186,7 @@ def prepare(df: DataFrame) -> DataFrame:
     prices = [c for c in ("open", "high", "low", "close", "volume") if c in df.columns]
     df = df.withColumns({c: F.when(F.col(c) > 0, F.col(c).cast("double")) for c in prices})
     new = {f"log_{c}": F.ln(c) for c in ("close", "high", "low", "volume") if c in df.columns and f"log_{c}" not in df.columns}
-    before = F.lag("close").over(by_symbol())
+    before = lag(F.col("close"))
     if "log_ret" not in df.columns:
         new["log_ret"] = F.ln(F.col("close") / before)
     if "gap_size" not in df.columns and "open" in df.columns:
@@ -231,8 +235,8 @@ def transformed(x: Column, kind: str, params: dict) -> Column:
     return F.when(x > t, 1.0).when(x < -t, -1.0).when(x.isNotNull(), 0.0)
 
 
-def _recursive(df: DataFrame, requests: list[tuple[FeatureRequest, list[str]]]) -> DataFrame:
-    """All recursive kernels of a symbol in one Arrow call, on the windows' own partitioning."""
+def _by_series(df: DataFrame, requests: list[tuple[FeatureRequest, list[str]]]) -> DataFrame:
+    """All numpy kernels (a user's own) of a symbol in one Arrow call, on the windows' own partitioning."""
     jobs = [(r.feature.kernel, r.inputs(), r.period, {k: v for k, v in r.params.items() if k in r.feature.params}, names) for r, names in requests]
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for _, names in requests for n in names]])
 
@@ -248,23 +252,111 @@ def _recursive(df: DataFrame, requests: list[tuple[FeatureRequest, list[str]]])
     return out.withColumns({n: R.no_nan(F.col(n)) for _, names in requests for n in names})
 
 
+class Layers:
+    """The columns, first places and scans that kernels ask for, by how many they ask for one after the other."""
+
+    def __init__(self):
+        self.all: list[tuple[dict[str, Column], dict[str, Column], list[S.Scan]]] = []
+        self.fresh = itertools.count()
+
+    def stage(self) -> Stage:
+        return Stage(self)
+
+    def applied(self, df: DataFrame, blocks: Blocks | None) -> DataFrame:
+        for columns, first, scans in self.all:
+            df = df.withColumns(columns) if columns else df
+            # With blocks, what a symbol's tasks must know of each other is joined; so rows are written before that.
+            df = S.cut(df) if blocks is not None and (first or scans) else df
+            df = S.first_place(df, first, blocks is not None) if first else df
+            if scans:
+                df = S.scanned(df if blocks is None else blocks.own(df), scans, blocks and blocks.rows)
+                df = df if blocks is None else blocks.lapped(df)
+        return df
+
+
+class Stage:
+    """What a kernel gets: turns expressions into columns of its next layer, under names of their own."""
+
+    def __init__(self, layers: Layers):
+        self.layers, self.depth = layers, itertools.count()
+
+    def _next(self):
+        d = next(self.depth)
+        while len(self.layers.all) <= d:
+            self.layers.all.append(({}, {}, []))
+        return self.layers.all[d]
+
+    def _name(self) -> str:
+        return f"_s{next(self.layers.fresh)}"
+
+    def __call__(self, *columns: Column) -> tuple[Column, ...]:
+        names = [self._name() for _ in columns]
+        self._next()[0].update(zip(names, columns, strict=True))
+        return tuple(F.col(n) for n in names)
+
+    def first(self, x: Column) -> Column:
+        """The place of the symbol's first value of a column."""
+        name = self._name()
+        self._next()[1][name] = x
+        return F.col(name)
+
+    def scan(self, x: Column, begin: Column, n: int, keep: float, gain: float, weight: float, wait: int = 0) -> Column:
+        name = self._name()
+        self._next()[2].append(S.Scan(name, x, begin, n, keep, gain, weight, wait))
+        return F.col(name)
+
+
+class Blocks:
+    """A symbol's rows in blocks of ``rows`` by place, each with copies of the rows before and after it that windows reach."""
+
+    def __init__(self, rows: int, before: int, after: int):
+        self.rows = -(-max(rows, before, after) // S.PIECE) * S.PIECE
+        self.before, self.after = before, after
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """Add ``_pos``: rows are numbered inside their month, after a running sum of the months' counts."""
+        df = df.withColumn("_month", F.trunc("date", "month"))
+        counts = df.groupBy("act_symbol", "_month").agg(F.count("*").alias("_n"))
+        counts = counts.withColumn("_pos0", F.sum("_n").over(W.partitionBy("act_symbol").orderBy("_month")) - F.col("_n")).drop("_n")
+        inside = F.row_number().over(W.partitionBy("act_symbol", "_month").orderBy("date")) - 1
+        return df.join(counts, ["act_symbol", "_month"]).withColumn("_pos", F.col("_pos0") + inside).drop("_month", "_pos0")
+
+    def lapped(self, df: DataFrame) -> DataFrame:
+        """Rows of all blocks, copies included."""
+        mine, at = F.floor(F.col("_pos") / self.rows), F.pmod("_pos", F.lit(self.rows))
+        also = F.array(mine, F.when(at >= self.rows - self.before, mine + 1), F.when((at < self.after) & (mine > 0), mine - 1))
+        return df.withColumn("_block", F.explode(F.filter(also, lambda b: b.isNotNull())))
+
+    def own(self, df: DataFrame) -> DataFrame:
+        """Rows of all blocks without the copies."""
+        return df.where(F.floor(F.col("_pos") / self.rows) == F.col("_block"))
+
+
 class FeatureEngine:
     """Compiles requests; ``compute`` adds their columns to a panel of ``(act_symbol, date, open, ..., volume)``."""
 
     def __init__(self, requests: list[FeatureRequest]):
         self.requests = list(requests)
 
-    def compute(self, df: DataFrame, market: DataFrame | None = None) -> DataFrame:
+    def compute(self, df: DataFrame, market: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
+        """``df`` with the requests' columns.
+
+        Without ``block_rows`` all rows of a symbol meet in one task.  With it a task gets about so many of them (more where
+        windows reach further), at two more exchanges; each layer of scans takes two more and a checkpoint of the rows.
+        Results are the same.  Symbols and dates are then not null, and numpy kernels are not taken.
+        """
+        if block_rows is None:
+            return self._compute(df, market, None, None)
+        if any(r.feature.kind == "series" for r in self.requests):
+            raise ValueError("numpy kernels need all rows of a symbol in one task")
+        with R.blocked("act_symbol", "_block") as reach:
+            return self._compute(df, market, block_rows, reach)
+
+    def _compute(self, df: DataFrame, market: DataFrame | None, block_rows: int | None, reach: list[int] | None) -> DataFrame:
         given = list(df.columns)
-        df = prepare(df)
-        base = list(df.columns)
-        for ref in dict.fromkeys(r.market_ref for r in self.requests if r.market_ref and r.name in RETURN_ONLY):
-            df = join_market(df, ref, market)
-            base.append(f"MKT_{ref}_RET")
-        fresh = itertools.count()
-        layers: list[dict[str, Column]] = []
+        layers = Layers()
         last: dict[str, Column] = {}
-        recursive, made = [], {}
+        series, made = [], {}
         for r in self.requests:
             if r.feature.kind == "calendar":
                 last[r.base_name] = r.feature.kernel("date").cast("int")
@@ -272,40 +364,40 @@ class FeatureEngine:
             names = [r.base_name + (f"_{o}" if o else "") for o in r.feature.outputs or ("",)]
             if names[0] in made:
                 continue
-            made[names[0]] = (r, names, [f"_v{next(fresh)}" for _ in names])
-            if r.feature.kind == "recursive":
-                recursive.append((r, made[names[0]][2]))
+            made[names[0]] = (r, names, [f"_v{next(layers.fresh)}" for _ in names])
+            if r.feature.kind == "series":
+                series.append((r, made[names[0]][2]))
                 continue
-            depth = itertools.count()
-
-            def stage(*columns, depth=depth):
-                d = next(depth)
-                while len(layers) <= d:
-                    layers.append({})
-                keys = [f"_s{next(fresh)}" for _ in columns]
-                layers[d].update(zip(keys, columns, strict=True))
-                return tuple(F.col(k) for k in keys)
-
             extra = {k: v for k, v in r.params.items() if k in r.feature.params}
-            out = r.feature.kernel(*[F.col(c) for c in r.inputs()], r.period, stage, **extra)
-            out = out if isinstance(out, tuple) else (out,)
-            last.update(zip(made[names[0]][2], out, strict=True))
-        for layer in layers:
-            df = df.withColumns(layer)
-        df = df.withColumns(last) if last else df
-        df = df.select(*base, *last)
-        if recursive:
-            df = _recursive(df, recursive)
+            out = r.feature.kernel(*[F.col(c) for c in r.inputs()], r.period, layers.stage(), **extra)
+            last.update(zip(made[names[0]][2], out if isinstance(out, tuple) else (out,), strict=True))
         # Derivatives and shifts over the kernels' results.
-        moved = {}
+        derived, moved = {}, {}
         for r, names, values in made.values():
             for name, v in zip(names, values, strict=True):
                 x = F.col(v)
-                lag = lambda k, x=x: F.lag(x, k).over(by_symbol())
-                x = (x, x - lag(1), x - 2 * lag(1) + lag(2))[r.deriv_order] if r.deriv_order else x
-                moved[name] = (v, x, r)
-        df = df.withColumns({f"_d{v}": x for v, x, _ in moved.values()})
-        df = df.withColumns({n: F.lag(f"_d{v}", -r.shift).over(by_symbol()) if r.shift < 0 else F.lead(f"_d{v}", r.shift).over(by_symbol()) if r.shift else F.col(f"_d{v}") for n, (v, _, r) in moved.items()})
+                derived[f"_d{v}"] = (x, x - lag(x), x - 2 * lag(x) + lag(x, 2))[r.deriv_order] if r.deriv_order else x
+                moved[name] = lag(F.col(f"_d{v}"), -r.shift) if r.shift else F.col(f"_d{v}")
+
+        blocks = None
+        if block_rows is not None:
+            # The logs and returns of prepare() reach a row back.
+            blocks = Blocks(block_rows, reach[0] + 1, reach[1])
+            df = blocks.lapped(blocks.placed(df))
+        df = prepare(df)
+        base = [c for c in df.columns if c not in ("_pos", "_block")]
+        for ref in dict.fromkeys(r.market_ref for r in self.requests if r.market_ref and r.name in RETURN_ONLY):
+            df = join_market(df, ref, market)
+            base.append(f"MKT_{ref}_RET")
+        if blocks is None and any(scans for _, _, scans in layers.all):
+            df = df.withColumn("_pos", (F.row_number().over(by_symbol()) - 1).cast("long"))
+        df = layers.applied(df, blocks)
+        df = df.withColumns(last) if last else df
+        df = df.select(*base, *last, *(["_pos", "_block"] if blocks else []))
+        if series:
+            df = _by_series(df, series)
+        df = df.withColumns(derived).withColumns(moved)
+        df = blocks.own(df) if blocks else df
         wanted = {}
         for r in self.requests:
             for base_col, name in zip([r.base_name + (f"_{o}" if o else "") for o in r.feature.outputs or ("",)], r.columns(), strict=True):

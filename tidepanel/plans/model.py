@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import itertools
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidepanel.plans import evaluation as E
 from tidepanel.plans.features import FeatureEngine, FeatureRequest
@@ -92,27 +92,35 @@ def block_pca(df: DataFrame, features: list[str], threshold: float = 0.75, max_p
     return df, names
 
 
-#: Rows that a cycle of a shadow's permutation passes through.
+#: Rows in which a shadow's values are permuted among each other.
 CYCLE = 1000
-#: Rows of a partition that trees are grown on; each tree takes several jobs, so small panels get few tasks.
-TREE_ROWS = 50_000
 
 
-def shuffled(df: DataFrame, features: list[str], seed: int) -> DataFrame:
-    """Add a shadow of each feature: its values permuted over all rows, apart from those of the other features.
+def shadowed(df: DataFrame, features: list[str], seeds: list[int]) -> DataFrame:
+    """Add ``SHADOW_{i}_{feature}`` for each seed: a feature's values permuted over the rows, each shadow by itself.
 
-    Rows are dealt at random into groups of about ``CYCLE`` and each takes the value of the row before it in a random
-    order of its group, the first that of the last; so each value is used once, and no task orders all rows.
+    Rows are dealt at random into groups of about ``CYCLE``; in each the values of a shadow are put in the order of a hash
+    of its own.  So all shadows of all seeds take one shuffle, each value is used once, and no task orders all rows.
     """
     groups = max(1, df.count() // CYCLE)
-    for k, c in enumerate(features):
-        key = F.xxhash64("act_symbol", "date", F.lit(seed), F.lit(k))
-        w = W.partitionBy("_g").orderBy(key, "act_symbol", "date")
-        whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        df = df.withColumn("_g", F.pmod(F.xxhash64("date", "act_symbol", F.lit(k), F.lit(seed)), F.lit(groups)))
-        before = F.when(F.row_number().over(w) == 1, F.last(f"`{c}`").over(whole)).otherwise(F.lag(f"`{c}`").over(w))
-        df = df.withColumn(f"SHADOW_{c}", before).drop("_g")
-    return df
+    group = F.pmod(F.xxhash64("act_symbol", "date", F.lit(seeds[0])), F.lit(groups)).alias("_g")
+    row = F.struct("act_symbol", "date", *[F.col(f"`{c}`") for c in df.columns if c not in ("act_symbol", "date")])
+    g = df.groupBy(group).agg(F.sort_array(F.collect_list(row)).alias("row"))
+
+    def permuted(i: int, k: int, c: str):
+        keyed = F.transform("row", lambda r: F.struct(F.xxhash64(r["act_symbol"], r["date"], F.lit(i), F.lit(k)).alias("h"), r[c].alias("v")))
+        return F.transform(F.array_sort(keyed), lambda x: x["v"]).alias(f"SHADOW_{i}_{c}")
+
+    lists = g.select("row", *[permuted(seed, k, c) for seed in seeds for k, c in enumerate(features)])
+    return lists.select(F.inline(F.arrays_zip(*lists.columns))).select("row.*", *lists.columns[1:])
+
+
+def concurrently(spark, tasks: list) -> list:
+    """The results of functions that run Spark jobs, all at once from threads that share the session's properties."""
+    from pyspark import inheritable_thread_target
+
+    with ThreadPoolExecutor(max(1, len(tasks))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]]
 
 
 def _assembled(df: DataFrame, features: list[str], target: str):
@@ -125,22 +133,34 @@ def _assembled(df: DataFrame, features: list[str], target: str):
 def shadow_selection(df: DataFrame, features: list[str], target: str, iterations: int = 5, depth: int = 4, rounds: int = 100, target_type: str = "regression") -> list[str]:
     """The features that beat every shadow's importance in all iterations, on the training part.
 
-    ``df`` is a split panel, of which the rows with ``part`` train count; without that column all rows do.
+    ``df`` is a split panel, of which the rows with ``part`` train count; without that column all rows do.  Rows without
+    one of the features or the target are left out.  The iterations' fits run at once over one cached table.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.regression import GBTRegressor
 
+    if not features:
+        return []
     rows = df.where("part = 'train'") if "part" in df.columns else df
     kind = GBTRegressor if target_type == "regression" else GBTClassifier
-    alive, parts = set(features), max(1, rows.count() // TREE_ROWS)
-    columns = [*features, *[f"SHADOW_{c}" for c in features]]
-    for i in range(iterations):
-        s = _assembled(shuffled(rows, features, 42 + i), columns, target).select("features", "label").coalesce(parts).cache()
-        gain = kind(maxDepth=depth, maxIter=rounds, stepSize=0.05, seed=42 + i).fit(s).featureImportances.toArray()
-        s.unpersist()
-        best = gain[len(features) :].max() if len(features) else 0.0
-        alive -= {f for f, g in zip(features, gain, strict=False) if g <= best}
-    return [f for f in features if f in alive]
+    seeds = [42 + i for i in range(iterations)]
+    names = {c: f"f{k}" for k, c in enumerate(features)}
+    plain = rows.na.drop(subset=[*features, target]).select("act_symbol", "date", *[F.col(f"`{c}`").cast("double").alias(n) for c, n in names.items()], F.col(f"`{target}`").cast("double").alias("label")).cache()
+    cached = shadowed(plain, list(names.values()), seeds).cache()
+
+    def lost(seed: int) -> set[str]:
+        columns = [*names.values(), *[f"SHADOW_{seed}_{n}" for n in names.values()]]
+        fitted = kind(maxDepth=depth, maxIter=rounds, stepSize=0.05, seed=seed).fit(_assembled(cached, columns, "label").select("features", "label"))
+        gain = fitted.featureImportances.toArray()
+        best = gain[len(features) :].max()
+        return {f for f, g in zip(features, gain, strict=False) if g <= best}
+
+    if not cached.count():
+        return []
+    gone = set().union(*concurrently(df.sparkSession, [lambda s=s: lost(s) for s in seeds]))
+    cached.unpersist()
+    plain.unpersist()
+    return [f for f in features if f not in gone]
 
 
 class Model:
