@@ -177,10 +177,10 @@ def passage_group(n, shared, own, seed):
     return [" ".join([f"p{seed}w{k}" for k in range(shared)] + [f"o{seed}_{i}_{k}" for k in range(own)]) for i in range(n)]
 
 
-@pytest.mark.parametrize("pivots,part,spread", [(3, 2048, 1024), (1, 8, 4), (2, 5, 1024), (3, 2048, 2)])
-def test_components_of_large_groups(spark, monkeypatch, pivots, part, spread):
-    """By pivots, by blocks, and with documents of many pairs dealt out."""
-    monkeypatch.setattr(minhash_dedup, "PIVOTS", pivots)
+@pytest.mark.parametrize("peels,part,spread", [(3, 2048, 1024), (0, 8, 4), (1, 5, 2)])
+def test_components_of_large_groups(spark, monkeypatch, peels, part, spread):
+    """With and without peeling, by blocks, and with documents of many pairs dealt out."""
+    monkeypatch.setattr(minhash_dedup, "PEELS", peels)
     monkeypatch.setattr(minhash_dedup, "PART", part)
     monkeypatch.setattr(minhash_dedup, "SPREAD", spread)
     texts = near_group(60, 150, 9, 1) + near_group(30, 60, 8, 2) + passage_group(40, 60, 40, 3) + passage_group(30, 60, 7, 4)

@@ -8,11 +8,10 @@ keys), and such pairs meet under a key for certain.  A pair of similarity 0.85 d
 probability 2e-7, and in more than ``FAR`` of 128, beyond which a meeting is not followed up, with 4e-7.
 
 Components are wanted, not all links, so pairs are tested in turns.  Each bucket (documents under a key) tests its members
-against one of them, its pivot; buckets whose members are not all connected yet test them once more against another
-pivot.  Members of buckets that are still open are peeled: one with more than 0.15 of its shingles in no other such member
-can have no further link, and without it others may have none.  What is left is listed under its rarest shingles, so many
-that linked documents share one; under each, pairs that are not connected are tested in blocks, unless what comes before
-that shingle leaves too few to share.  Every test compares the full sets.
+against one of them, its pivot.  Members of buckets that are not all connected yet are peeled: one with more than 0.15 of
+its shingles in no other such member can have no further link, and without it others may have none.  What is left is listed
+under its rarest shingles, so many that linked documents share one; under each, pairs that are not connected are tested in
+blocks, unless what comes before that shingle leaves too few to share.  Every test compares the full sets.
 """
 
 from __future__ import annotations
@@ -36,10 +35,8 @@ UP, DOWN = 85, 100
 SYMBOLS, INDEXED, CHUNK = 128, 40, 4
 #: Symbols of 128 in which a pair that is followed up may differ.
 FAR = 42
-#: How often buckets choose a pivot before all their open pairs are compared.
-PIVOTS = 2
 #: How often members that can have no link are peeled off; what is left is compared.
-PEELS = 6
+PEELS = 3
 #: Members of a bucket that a block holds, and about as many shingles as a task of blocks holds.
 PART, TASK_SHINGLES = 2048, 1 << 20
 #: Pairs that meet one copy of a document's text.
@@ -153,24 +150,28 @@ def _linked(batches):
 
 
 class _Tests:
-    """Tests of pairs ``(a, b)`` by signature and then by full sets."""
+    """Tests of pairs ``(a, b)`` by signature and then by full sets; a document is ``b`` in at most 40 of them."""
 
     def __init__(self, docs: DataFrame, signed: DataFrame):
         self.texts = docs.select(F.col("ord").alias("_k"), "text")
-        self.signed = signed.select(F.col("ord").alias("_k"), "n", "sig")
+        self.signed = signed.select(F.col("rep").alias("_k"), "n", "sig")
+
+    def bodies(self, ids: DataFrame) -> DataFrame:
+        """``(_k, body)``, the packed texts of some documents."""
+        return keep_ids(self.texts, materialize(ids.distinct(), "ids"), "_k", "left_semi").dropDuplicates(["_k"]).mapInArrow(_squeezed, "_k long, body binary")
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        for side, other in (("b", "a"), ("a", "b")):
-            pairs = _beside(pairs, side, other, self.signed.select("_k", F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")))
+        of = lambda side: self.signed.select("_k", F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"))
+        pairs = _beside(pairs.join(of("b").withColumnRenamed("_k", "b"), "b"), "a", "b", of("a"))
         return materialize(pairs.mapInArrow(_near, "a long, b long"), "near")
 
     def links(self, near: DataFrame) -> DataFrame:
-        pairs = near
-        for side, other in (("b", "a"), ("a", "b")):
-            wanted = near.select(F.col(side).alias("_k")).distinct()
-            bodies = self.texts.join(wanted, "_k", "left_semi").mapInArrow(_squeezed, "_k long, body binary").withColumnRenamed("body", f"body_{side}")
-            pairs = _beside(pairs, side, other, bodies)
-        return materialize(pairs.mapInArrow(_linked, "a long, b long"), "links")
+        bodies = materialize(self.bodies(near.select(F.explode(F.array("a", "b")).alias("_k"))), "bodies")
+        pairs = near.join(bodies.select(F.col("_k").alias("b"), F.col("body").alias("body_b")), "b")
+        pairs = _beside(pairs, "a", "b", bodies.withColumnRenamed("body", "body_a"))
+        out = materialize(pairs.mapInArrow(_linked, "a long, b long"), "links")
+        discard(bodies)
+        return out
 
 
 def _shingles(batches):
@@ -180,29 +181,22 @@ def _shingles(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(h.view(np.int64))], names=["rep", "shingle"])
 
 
-def _still_open(members: DataFrame) -> DataFrame:
-    """Members of buckets that have members of two components."""
-    facts = members.groupBy("key").agg(F.count("*").alias("_c"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a != _b").select("key", "_c")
-    return materialize(join_counted(members, materialize(facts, "open"), "key", "_c").drop("_c"), "members")
-
-
 def _peeled(members: DataFrame, tests: _Tests) -> DataFrame:
     """``(key, rep, comp, c)``: members under their rarest shingles, without those that can have no link to another."""
-    reps = members.select(F.col("rep").alias("_k")).distinct()
-    held = materialize(tests.texts.join(reps, "_k", "left_semi").dropDuplicates(["_k"]).mapInArrow(_shingles, "rep long, shingle long"), "shingles")
+    reps = members.select(F.col("rep").alias("_k"))
+    held = keep_ids(tests.texts, reps, "_k", "left_semi").dropDuplicates(["_k"]).mapInArrow(_shingles, "rep long, shingle long")
+    held = materialize(held, "shingles")
+    sizes = materialize(tests.signed.withColumnRenamed("_k", "rep").join(reps.withColumnRenamed("_k", "rep"), "rep").select("rep", "n"), "sizes")
     for _ in range(PEELS):
         own = held.groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
-        sizes = tests.signed.join(own, tests.signed["_k"] == own["rep"])
-        gone = materialize(sizes.where(DOWN * F.col("own") > (DOWN - UP) * F.col("n")).select("rep").distinct(), "gone")
+        gone = materialize(sizes.join(own, "rep").where(DOWN * F.col("own") > (DOWN - UP) * F.col("n")).select("rep"), "gone")
         if not gone.take(1):
             break
-        members = _still_open(keep_ids(members, gone, "rep", "left_anti"))
-        left = members.select("rep").distinct()
-        last, held = held, materialize(keep_ids(held, materialize(left, "left"), "rep", "left_semi"), "shingles")
+        last, held = held, materialize(keep_ids(held, gone, "rep", "left_anti"), "shingles")
         discard(last)
     counts = materialize(held.groupBy(F.col("shingle").alias("key")).agg(F.count("*").alias("c")), "frequencies")
     rare = W.partitionBy("rep").orderBy("c", "key")
-    facts = materialize(members.groupBy("rep").agg(F.first("comp").alias("comp")).join(tests.signed.select(F.col("_k").alias("rep"), "n").dropDuplicates(["rep"]), "rep"), "facts")
+    facts = materialize(members.join(sizes, "rep"), "facts")
     ranked = join_counted(held.withColumnRenamed("shingle", "key"), counts, "key", "c").withColumn("place", F.row_number().over(rare).cast("long"))
     # Linked sets share ceil(0.85 n) shingles of each, so one of the first n - ceil(0.85 n) + 1.
     few = F.expr(f"n - (n * {UP} + {DOWN} - 1) div {DOWN} + 1")
@@ -284,11 +278,12 @@ def shared(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
 
 
-def _connected(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets that are still open, with the component of each."""
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that have members of two components, with the component of each."""
     roots = components(links).withColumnRenamed("node", "rep")
-    now = members.drop("comp").join(roots, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
-    return _still_open(materialize(now, "members"))
+    members = materialize(members.join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp")), "members")
+    facts = members.groupBy("key").agg(F.count("*").alias("_c"), F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a != _b").select("key", "_c")
+    return materialize(join_counted(members, materialize(facts, "open"), "key", "_c").select("rep", "comp").distinct(), "open_members")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,9 +299,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = ordered(docs, id_col, text_col)
     signed = materialize(d.select("ord", "doc_id", "text").mapInArrow(_signed, "ord long, doc_id long, n long, digest binary, sig binary"), "signed")
     classes = materialize(signed.where("n > 0").groupBy("n", "digest").agg(F.min("ord").alias("rep"), F.count("*").alias("mult")), "classes")
-    tests = _Tests(d, signed)
-    own = signed.join(classes.select(F.col("rep").alias("ord")), "ord").select(F.col("ord").alias("rep"), "sig").dropDuplicates(["rep"])
-    keyed = materialize(own.mapInArrow(_listed, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key")), "keyed")
+    own = signed.join(classes.select(F.col("rep").alias("ord")), "ord").select(F.col("ord").alias("rep"), "n", "sig").dropDuplicates(["rep"])
+    own = materialize(own, "own")
+    tests = _Tests(d, own)
+    keyed = materialize(own.select("rep", "sig").mapInArrow(_listed, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key")), "keyed")
 
     # Buckets with the same members are one bucket.
     members = [F.count("*").alias("c"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
@@ -318,15 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = buckets.where("c = 2").select("a", "b").unionByName(open_.where("a != rep").select("a", F.col("rep").alias("b"))).distinct()
     links = tests.links(tests.near(materialize(pairs, "pairs")))
-    open_ = _connected(open_.drop("a"), links)
-    for turn in range(1, PIVOTS):
-        if not open_.take(1):
-            break
-        chosen = open_.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("pivot"), F.count("*").alias("_n"))
-        chosen = materialize(chosen.select("key", "_n", F.col("pivot.rep").alias("pivot"), F.col("pivot.comp").alias("_comp")), "pivots")
-        pairs = join_counted(open_, chosen, "key", "_n").where("comp != _comp").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-        links = links.unionByName(tests.links(tests.near(materialize(pairs, "pairs"))))
-        open_ = _connected(open_, links)
+    open_ = _open(open_, links)
     if open_.take(1):
         open_ = materialize(_peeled(open_, tests), "members")
         links = links.unionByName(_open_links(open_, tests))
@@ -341,8 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _open_links(members: DataFrame, tests: _Tests) -> DataFrame:
     """Links that connect what is not connected yet, between members under a key."""
-    wanted = members.select(F.col("rep").alias("_k")).distinct()
-    bodies = tests.texts.join(wanted, "_k", "left_semi").dropDuplicates(["_k"]).mapInArrow(_squeezed, "_k long, body binary")
+    bodies = materialize(tests.bodies(members.select(F.col("rep").alias("_k"))), "bodies")
     dealt = _beside(members, "rep", "key", bodies).select("key", "c", "rep", "comp", "n", "place", "body").mapInPandas(_blocks(PART), BLOCKS)
     size = members.agg(F.sum(F.ceil(F.col("c") / PART) * F.col("n"))).first()[0] or 0
     tasks = max(partitions(members.sparkSession), size // TASK_SHINGLES + 1)
