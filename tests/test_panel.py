@@ -203,6 +203,25 @@ def test_universe_month(spark):
         U.PriceFilter(method="odd")
 
 
+def test_merged_months_are_the_histories_of_bars(spark):
+    """Sparse, dense, still and steadily rising symbols, with rows without a price, against the histories' own bars."""
+    rng = np.random.default_rng(8)
+    df = bars(spark, (50 * np.exp(np.cumsum(rng.normal(0, 0.02, 800)))).tolist(), "RANDOM")
+    df = df.unionByName(bars(spark, [7.0] * 500, "STILL")).unionByName(bars(spark, [10 + i / 4 for i in range(500)], "RISES"))
+    sparse = bars(spark, (20 * np.exp(np.cumsum(rng.normal(0, 0.05, 800)))).tolist(), "SPARSE").where("pmod(hash(date), 9) = 0")
+    df = df.unionByName(sparse).unionByName(sparse.withColumns({"act_symbol": F.lit("HOLES"), "close": F.when(F.dayofmonth("date") % 5 != 0, F.col("close"))})).cache()
+    targets = U.months(df)
+    got = {(r.target, r.act_symbol): r.asDict() for r in U.monthly_statistics(df, targets).collect()}
+    for t in [r.target for r in targets.collect()]:
+        past = df.where((F.col("date") >= F.add_months(F.lit(t), -12)) & (F.col("date") < F.lit(t)))
+        for r in U.statistics(U.lagged(past).withColumn("target", F.lit(t))).collect():
+            mine = got.pop((r.target, r.act_symbol))
+            for c, want in r.asDict().items():
+                ok = mine[c] == want or (isinstance(want, float) and mine[c] is not None and abs(mine[c] - want) < 1e-8 * max(1, abs(want)))
+                assert ok, (t, r.act_symbol, c, mine[c], want)
+    assert not got
+
+
 def test_price_filter_takes_the_last_known(spark):
     df = bars(spark, [10.0] * 40).withColumn("close", F.when(F.col("date") < "2020-01-31", F.col("close")))
     assert U.Universe(df).add_filter(U.PriceFilter(5.0)).get_universe_for_month("2020-02-01").count() > 0
@@ -337,7 +356,7 @@ def test_rows_before(spark):
     rng = np.random.default_rng(5)
     values = [float(x) for x in rng.choice(np.round(rng.normal(size=200), 2), 500)]
     df = spark.createDataFrame([(x, 1) for x in values], "v double, n int").groupBy("v").agg(F.sum("n").alias("n"))
-    got = {r.v: r.before for r in E.with_rows_before(df, "v", "n", ranges=7).collect()}
+    got = {r.v: r.before for r in E.with_rows_before(df, "v", "n", range_rows=12).collect()}
     assert got == {x: sum(y < x for y in values) for x in set(values)}
     assert E.metrics(spark.createDataFrame([], "pred double, target double")).first().roc_auc is None
 
@@ -347,7 +366,8 @@ def test_filters_share_one_scan(spark):
     for f in (U.TopLiquidityFilter(5), U.PriceFilter(1.0), U.AdvancedStatsFilter(min_history_days=1)):
         u.add_filter(f)
     plan = u.members(U.months(u.panel))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Generate explode") <= 2 and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2
+    # The months, the reaches of a bar, the histories of a state.
+    assert plan.count("Generate explode") <= 3 and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2
 
 
 def test_files(spark, tmp_path):

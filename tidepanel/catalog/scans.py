@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from tidepanel.catalog.base import BARS, BASE, ETFS, MARKET, r6
 from tidepanel.catalog.fundamentals import CAL, ST
+from tidepanel.operators import selection
 from tidepanel.operators.asof import asof
 from tidepanel.plans.features import join_market, listing, prepare
 from tidepanel.sources import panel as P
@@ -82,13 +83,13 @@ ENTRIES["join_asof_backward"] = asof_case(False)
 ENTRIES["join_asof_forward"] = asof_case(True)
 
 
-def released(forward: bool):
+def released(forward: bool, period: str | None = None):
     """Whole tables: the last release of every bar, or (``forward``) the next release of every statement."""
 
     def run(s, d):
         st = P.statements(s, d)
         left = st.select("act_symbol", "date", "sales") if forward else P.bars(s, d).select("act_symbol", "date", "close")
-        return asof(left, P.calendar(st).withColumnRenamed("date", "other"), "date", "other", forward=forward, payload={"other": "other"})
+        return asof(left, P.calendar(st).withColumnRenamed("date", "other"), "date", "other", forward=forward, payload={"other": "other"}, period=period)
 
     left, value, sign = ("st", "sales", "<=") if forward else ("bars", "close", ">=")
     return run, f"""WITH {BARS}, {ST}, {CAL}
@@ -97,9 +98,24 @@ SELECT l.act_symbol, l.date, l.{value}, r.date AS other FROM {left} l ASOF LEFT
 
 ENTRIES["join_asof_releases_backward"] = released(False)
 ENTRIES["join_asof_releases_forward"] = released(True)
+ENTRIES["join_asof_releases_backward_months"] = released(False, "month")
+ENTRIES["join_asof_releases_forward_months"] = released(True, "month")
+
+
+def sums_of_30(s, d):
+    w = W.partitionBy("act_symbol").orderBy("date").rowsBetween(-29, 0)
+    return prepare(P.bars(s, d)).select(F.when(F.count("log_ret").over(w) == 30, F.sum("log_ret").over(w)).alias("r30"))
+
+
+def quantiles_of_sums(s, d):
+    x, at = sums_of_30(s, d), (0.05, 0.5, 0.95)
+    found = selection.quantiles(x, "r30", list(at))
+    known = [r6(F.lit(v).cast("double")).alias(f"p{int(q * 100)}") for q, v in zip(at, found, strict=True)]
+    return x.agg(F.avg("r30").alias("mean"), F.stddev_pop("r30").alias("sd")).select(*known, r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"))
+
+
 ENTRIES["quantiles_of_sums"] = (
-    lambda s, d: prepare(P.bars(s, d)).withColumn("r30", F.when(F.count("log_ret").over(W.partitionBy("act_symbol").orderBy("date").rowsBetween(-29, 0)) == 30, F.sum("log_ret").over(W.partitionBy("act_symbol").orderBy("date").rowsBetween(-29, 0)))).agg(
-        *[r6(F.percentile("r30", q)).alias(f"p{int(q * 100)}") for q in (0.05, 0.5, 0.95)], r6(F.avg("r30")).alias("mean"), r6(F.stddev_pop("r30")).alias("sd")),
+    quantiles_of_sums,
     f"WITH {BASE}, x AS (SELECT CASE WHEN count(log_ret) OVER w = 30 THEN sum(log_ret) OVER w END AS r30 FROM b WINDOW w AS (PARTITION BY act_symbol ORDER BY date ROWS 29 PRECEDING)) SELECT "
     + ", ".join(f"round(quantile_cont(r30, {q}) + 1e-8, 6) + 0.0 AS p{int(q * 100)}" for q in (0.05, 0.5, 0.95)) + ", round(avg(r30) + 1e-8, 6) + 0.0 AS mean, round(stddev_pop(r30) + 1e-8, 6) + 0.0 AS sd FROM x",
 )

@@ -43,7 +43,7 @@ def members(*filters):
 
 def stats(s, d):
     u = universe(s, d)
-    return rounded(U.yearly_stats(U.history(u.panel, U.months(u.panel))), "year_return", "volatility", "hurst", "last_price")
+    return rounded(U.yearly_stats(u.panel, U.months(u.panel)), "year_return", "volatility", "hurst", "last_price")
 
 
 def liquid(n: int, source: str = "h") -> str:
@@ -57,7 +57,7 @@ m3 AS (SELECT target, act_symbol FROM (SELECT *, row_number() OVER (PARTITION BY
 ONE = "1996-05-15"
 
 ENTRIES = {
-    "univ_history_liquidity": (lambda s, d: rounded(U.liquidity(U.history(universe(s, d).panel, U.months(universe(s, d).panel))), "dollar_volume"), f"{HIST} SELECT target, act_symbol, round(avg(close * volume) + 1e-8, 6) + 0.0 AS dollar_volume FROM h WHERE date >= target - INTERVAL 1 MONTH GROUP BY 1, 2"),
+    "univ_history_liquidity": (lambda s, d: rounded(U.liquidity(universe(s, d).panel, U.months(universe(s, d).panel)), "dollar_volume"), f"{HIST} SELECT target, act_symbol, round(avg(close * volume) + 1e-8, 6) + 0.0 AS dollar_volume FROM h WHERE date >= target - INTERVAL 1 MONTH GROUP BY 1, 2"),
     "univ_top_liquidity": (members(U.TopLiquidityFilter(10)), f"{HIST} {liquid(10)}"),
     "univ_price_close": (members(U.PriceFilter(1000.0)), f"{HIST} SELECT target, act_symbol FROM h GROUP BY 1, 2 HAVING arg_max(close, date) >= 1000"),
     "univ_price_average": (members(U.PriceFilter(1500.0, "avg_price_over_last_year")), f"{HIST} SELECT target, act_symbol FROM h GROUP BY 1, 2 HAVING avg(close) >= 1500"),

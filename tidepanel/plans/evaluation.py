@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidepanel.operators.selection import cuts_of, ranged
+
 
 def by_day():
     """The order of dates, over one row each."""
@@ -41,15 +43,18 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.na.drop(subset=columns)
 
 
-def with_rows_before(df: DataFrame, value: str, n: str, name: str = "before", ranges: int = 64) -> DataFrame:
+#: Rows of a range of values, which one task puts in order.
+RANGE_ROWS = 1_000_000
+
+
+def with_rows_before(df: DataFrame, value: str, n: str, name: str = "before", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add the sum of ``n`` over all rows with a smaller ``value``, without one task that sees all rows.
 
-    Approximate quantiles cut the values into ranges; each is summed, and the running sum is taken over the ranges and
-    inside each.  Where the cuts lie does not change the result.
+    Approximate quantiles cut the values into ranges of about ``range_rows`` rows, however many there are; each is summed,
+    and the running sum is taken over the ranges and inside each.  Where the cuts lie does not change the result.
+    Counting the rows, and the cuts where one range is not enough, are jobs of their own.
     """
-    cuts = sorted({float(x) for x in df.stat.approxQuantile(value, [(k + 1) / ranges for k in range(ranges - 1)], 1 / (4 * ranges))})
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
-    x = df.withColumn("_range", at)
+    x = ranged(df, value, cuts_of(df, value, -(-df.count() // range_rows) - 1), "_range")
     sums = x.groupBy("_range").agg(F.sum(n).alias("_n"))
     sums = sums.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
     inside = F.sum(n).over(W.partitionBy("_range").orderBy(value).rangeBetween(W.unboundedPreceding, 0)) - F.sum(n).over(W.partitionBy("_range", value))

@@ -1,9 +1,11 @@
 """Monthly investable universes without a loop over months.
 
-A bar at date D belongs to the history [T - 1 year, T) of the twelve month starts T that follow it.  What a bar needs of
-earlier bars (differences, returns) is computed once per symbol; the twelve months are then unfolded row by row into one
-aggregation, whose groups (target, symbol) lie within the symbols' partitions, so nothing is shuffled or sorted twelve
-times.  It gives one table of statistics a (target, symbol); the filters narrow that table in order.
+The history of a month start T is [T - 1 year, T), twelve whole months.  So bars are summed up once, into states that can
+be merged: one a symbol and month, with count, mean and variance of the close's changes over 2 to 19 rows.  A change
+counts in a history if both its bars do, and its bars may lie in different months; so a month's changes are kept apart
+by how many months they reach back (0 and 1 where bars are daily), and a state that reaches back g months is merged into
+the 12 - g histories that hold all of it.  That gives one table of statistics a (target, symbol), within the symbols'
+partitions; the filters narrow that table in order.
 """
 
 from __future__ import annotations
@@ -47,14 +49,6 @@ def lagged(panel: DataFrame) -> DataFrame:
     return panel.withColumns({**before, **change, "_r": F.ln(F.try_divide(close, F.lag("close").over(by_symbol()))), "_next": F.lead("date", 200).over(by_symbol())})
 
 
-def history(panel: DataFrame, targets: DataFrame) -> DataFrame:
-    """Bars by target month: those in the year before it."""
-    first = F.trunc("date", "month")
-    out = lagged(panel).withColumn("target", F.explode(F.sequence(F.add_months(first, 1), F.add_months(first, 12), F.expr("interval 1 month"))))
-    # A bar at the very day a year before is in; bars before it are not.
-    return out.join(F.broadcast(targets), "target", "left_semi").where((F.col("date") >= F.add_months("target", -12)) & (F.col("date") < F.col("target")))
-
-
 def price_stats() -> dict:
     recent = F.when(F.col("date") >= F.add_months("target", -1), F.col("close") * F.col("volume"))
     return {
@@ -91,23 +85,66 @@ def finished(g: DataFrame) -> DataFrame:
 
 
 def statistics(past: DataFrame) -> DataFrame:
-    """One row a (target, symbol) with all that filters ask for; what they do not ask for is pruned."""
+    """One row a (target, symbol) with all that filters ask for, from the bars of each history."""
     aggs = {**price_stats(), **year_stats()}
     return finished(past.groupBy(*KEYS).agg(*[v.alias(k) for k, v in aggs.items()]))
 
 
-def liquidity(past: DataFrame) -> DataFrame:
-    """Mean dollar volume in the month before the target."""
-    recent = past.where(F.col("date") >= F.add_months("target", -1))
-    return recent.groupBy(*KEYS).agg(F.avg(F.col("close") * F.col("volume")).alias("dollar_volume"))
+def monthly_states(panel: DataFrame) -> DataFrame:
+    """``(act_symbol, month, reach, ...)``: what the bars of a month add to histories, changes by the months they reach back."""
+    number = lambda d: F.year(d) * 12 + F.month(d)
+    steps = (1, *LAGS)
+    x = lagged(panel).withColumn("_sma", F.avg("close").over(by_symbol().rowsBetween(-199, 0)))
+    x = x.withColumns({f"_g{k}": number("date") - number(f"_at{k}") for k in steps})
+    reaches = F.array_distinct(F.array(F.lit(0), *[F.coalesce(f"_g{k}", F.lit(0)) for k in steps]))
+    x = x.withColumns({"month": F.trunc("date", "month"), "reach": F.explode(F.filter(reaches, lambda g: g < 12))})
+    plain = lambda c: F.when(F.col("reach") == 0, c)
+    close, traded, day = F.col("close"), F.col("close") * F.col("volume"), F.col("date")
+    aggs = {
+        "bars": F.count(plain(day)), "prices": F.count(plain(close)), "price_sum": F.sum(plain(close)), "trades": F.count(plain(traded)), "traded": F.sum(plain(traded)),
+        "first": F.min(plain(F.struct("date", "close"))), "last": F.max(plain(F.struct("date", "close"))), "known": F.max(plain(F.when(close.isNotNull(), F.struct("date", "close")))),
+        "sma": F.max(plain(F.struct("date", "_sma"))),
+    }
+    for k in steps:
+        change = F.when(F.col(f"_g{k}") == F.col("reach"), F.col("_r" if k == 1 else f"_d{k}"))
+        aggs |= {f"n{k}": F.count(change), f"a{k}": F.avg(change), f"v{k}": F.var_pop(change)}
+    return x.groupBy("act_symbol", "month", "reach").agg(*[v.alias(c) for c, v in aggs.items()])
+
+
+#: A variance below this part of the squared mean is what rounding leaves of equal values.
+ROUNDING = 1e-12
+
+
+def monthly_statistics(panel: DataFrame, targets: DataFrame) -> DataFrame:
+    """As :func:`statistics` for month starts: the states of twelve months merged."""
+    span = F.sequence(F.add_months("month", 1), F.add_months("month", 12 - F.col("reach")), F.expr("interval 1 month"))
+    x = monthly_states(panel).withColumn("target", F.explode(span)).join(F.broadcast(targets), "target", "left_semi")
+    recent = lambda c: F.sum(F.when(F.col("month") == F.add_months("target", -1), F.col(c)))
+    aggs = {
+        "history_days": F.sum("bars"), "average_price": F.try_divide(F.sum("price_sum"), F.sum("prices")), "dollar_volume": F.try_divide(recent("traded"), recent("trades")),
+        "known_price": F.max("known")["close"], "first_price": F.min("first")["close"], "last_price": F.max("last")["close"], "sma": F.max("sma")["_sma"],
+    }
+    for k in (1, *LAGS):
+        n, a, v = (F.col(f"{c}{k}") for c in "nav")
+        mean = F.try_divide(F.sum(n * a), F.sum(n))
+        spread = F.try_divide(F.sum(n * (v + a * a)), F.sum(n)) - mean * mean
+        aggs["sd" if k == 1 else f"s{k}"] = F.sqrt(F.when(spread > ROUNDING * mean * mean, spread).when(mean.isNotNull(), 0.0))
+    return finished(x.groupBy(*KEYS).agg(*[v.alias(c) for c, v in aggs.items()]))
+
+
+def liquidity(panel: DataFrame, targets: DataFrame) -> DataFrame:
+    """Mean dollar volume in the month before the target, for symbols with bars in it."""
+    month = F.add_months(F.trunc("date", "month"), 1).alias("target")
+    g = panel.groupBy("act_symbol", month).agg(F.avg(F.col("close") * F.col("volume")).alias("dollar_volume"))
+    return g.join(F.broadcast(targets), "target", "left_semi").select(*KEYS, "dollar_volume")
 
 
-def yearly_stats(past: DataFrame) -> DataFrame:
+def yearly_stats(panel: DataFrame, targets: DataFrame) -> DataFrame:
     """History length, return, annualised volatility, Hurst slope, last price and uptrend by (target, symbol).
 
     Groups of fewer than 30 rows have no volatility and slope; the uptrend needs 200.
     """
-    return statistics(past).select(*KEYS, "history_days", "year_return", "volatility", "hurst", "last_price", "uptrend")
+    return monthly_statistics(panel, targets).select(*KEYS, "history_days", "year_return", "volatility", "hurst", "last_price", "uptrend")
 
 
 class Filter:
@@ -186,21 +223,20 @@ class Universe:
         self.filters.append(f)
         return self
 
-    def _alive(self, past: DataFrame) -> DataFrame:
-        stats = statistics(past)
+    def _alive(self, stats: DataFrame) -> DataFrame:
         for f in self.filters:
             stats = f.apply(stats)
         return stats.select(*KEYS)
 
     def members(self, targets: DataFrame) -> DataFrame:
         """``(target, act_symbol)`` after all filters, each on the survivors of those before."""
-        return self._alive(history(self.panel, targets))
+        return self._alive(monthly_statistics(self.panel, targets))
 
     def get_universe_for_month(self, date) -> DataFrame:
         """The rows of the survivors in the month from ``date`` on; any day may be asked for."""
         day = F.lit(date).cast("date")
         past = self.panel.where((F.col("date") >= F.add_months(day, -12)) & (F.col("date") < day))
-        alive = self._alive(lagged(past).withColumn("target", day))
+        alive = self._alive(statistics(lagged(past).withColumn("target", day)))
         rows = self.panel.where((F.col("date") >= day) & (F.col("date") < F.add_months(day, 1)))
         return rows.join(alive.select("act_symbol"), "act_symbol", "left_semi")
 
