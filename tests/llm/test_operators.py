@@ -430,7 +430,35 @@ def test_fingerprints_match_brute_force(spark, sf, docs):
         assert (got[d].fingerprint, got[d].edited_fingerprint) == (shown(prints[d]), shown(edited))
         for other, near, held in ((edited, got[d].near_edited, got[d].contained_edited), (prints[after[0]], got[d].near_next, got[d].contained_next)):
             x, y, both = plain_sizes(prints[d], other)
-            assert near == pytest.approx(both / (x + y - both) if x + y else 1.0) and held == pytest.approx(both / x if x else 1.0)
+            assert near == pytest.approx(both / (x + y - both) if x + y else 1.0) and (held is None if prints[d] != (set(), set()) and not x else held == pytest.approx(both / x if x else 1.0))
+
+
+def test_containments_are_near_the_true_ones(spark, sf, docs):
+    """Against the shingle sets themselves: short texts exactly, long ones within the sketch's error, or null."""
+    got = {r.doc_id: r for r in Q["op6_scaled_sketch"](spark, sf).collect()}
+    order = sorted(docs, reverse=True)
+    sets = {d: brute.shingles(t) for d, t in docs}
+    unknown = 0
+    for k, (d, _) in enumerate(order):
+        after = order[(k + 1) % len(order)][0]
+        true = len(sets[d] & sets[after]) / len(sets[d]) if sets[d] else 1.0
+        held = got[d].contained_next
+        if held is None:
+            unknown += 1
+            assert 0 < len(sets[d]) <= 40
+        else:
+            exact = len(sets[d]) <= fingerprint.SMALL and len(sets[after]) <= fingerprint.SMALL
+            assert abs(held - true) <= (1e-9 if exact else 5 * (true * (1 - true) * fingerprint.SCALE / len(sets[d])) ** 0.5 + 1e-9)
+    assert unknown < len(docs) / 20
+
+
+def test_a_short_text_is_not_in_a_long_one_it_shares_nothing_with(spark):
+    rows = [(f"only{i} these{i} few{i} words{i} here{i}", " ".join(f"long{i}x{k}" for k in range(600))) for i in range(60)]
+    f = lambda c: fingerprint.fingerprint(F.col(c))
+    got = [r.x for r in spark.createDataFrame(rows, "a string, b string").select(fingerprint.containment(f("a"), f("b")).alias("x")).collect()]
+    assert set(got) == {None, 0.0}
+    both = spark.createDataFrame([("", "a b c d e f")], "a string, b string").select(fingerprint.containment(f("a"), f("b")).alias("x"), fingerprint.containment(f("b"), f("a")).alias("y")).first()
+    assert (both.x, both.y) == (1.0, 0.0)
 
 
 def test_sketches_merge_and_contain(spark):

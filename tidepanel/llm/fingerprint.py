@@ -79,9 +79,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The share of the first text's shingles that the second has; a text without any is contained in all."""
+    """The share of the first text's shingles that the second has; a text without any is contained in all.
+
+    Null where the first text has shingles, but none that counts in this comparison: then its sketch tells nothing.
+    """
     x, _, both = _sizes(a, b)
-    return F.when(x == 0, 1.0).otherwise(both / x.cast("double"))
+    empty = (F.size(a["kept"]) == 0) & (F.coalesce(F.size(a["rest"]), F.lit(1)) == 0)
+    return F.when(empty, 1.0).otherwise(F.try_divide(both.cast("double"), x))
 
 
 def as_string(print_: Column) -> Column:
