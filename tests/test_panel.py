@@ -334,6 +334,22 @@ def test_market_takes_the_last_row_of_a_day(spark):
     assert got == {DAY: -0.01, DAY + dt.timedelta(days=1): None}
 
 
+def test_correlations_of_many_features(spark):
+    """Pairs over the rows that both have, a constant, a feature that is never there; 60 features in one plan."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 60)) + 1e6 * rng.integers(0, 2, 60)
+    x[:, 1] = x[:, 0] * 2 + 0.01 * rng.normal(size=400)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 5], x[:, 6] = 3.0, np.nan
+    names = [f"c.{k}" for k in range(60)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names))
+    got, want = L.correlations(df, names), pd.DataFrame(x, columns=names).corr().abs().fillna(0.0).to_numpy(copy=True)
+    np.fill_diagonal(want, 1.0)
+    np.testing.assert_allclose(got, want, atol=1e-7)
+    lines = lambda n: len(L.co_moments(df, names[:n])._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert lines(60) == lines(10)
+
+
 def test_shadows_are_permutations_of_their_own(spark):
     df = spark.range(3000).select(F.lit("A").alias("act_symbol"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y"))
     rows = L.shadowed(df, ["x", "y"], [1, 2]).collect()

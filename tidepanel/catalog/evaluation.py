@@ -56,9 +56,24 @@ CORRELATIONS = f"""{study_sql()}, c AS (SELECT * FROM study WHERE f0 IS NOT NULL
 """ + " UNION ALL ".join(f"SELECT '{STUDY_COLUMNS[i]}' AS a, '{STUDY_COLUMNS[j]}' AS b, round(abs(corr(f{i}, f{j})) + 1e-8, 6) + 0.0 AS corr FROM c" if i != j else f"SELECT '{STUDY_COLUMNS[i]}' AS a, '{STUDY_COLUMNS[i]}' AS b, round(1.0 + 1e-8, 6) + 0.0 AS corr" for i in range(4) for j in range(4))
 
 
+#: Correlations from which one of two features goes.
+ALIKE = 0.3
+
+
 def reduced(s, d):
     df, features, _ = named(s, d)
-    return s.createDataFrame([(f,) for f in M.kuhn_johnson(df, features, 0.3)], "feature string")
+    return s.createDataFrame([(f,) for f in M.kuhn_johnson(df, features, ALIKE)], "feature string")
+
+
+def reduced_sql() -> str:
+    """Three steps, as four features have no more: of the most alike pair goes the one more alike to the rest."""
+    pairs = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, abs(corr(f{i}, f{j})) AS c FROM c" for i in range(4) for j in range(4) if i != j)
+    sql = CORRELATIONS.split(" UNION ALL ")[0].rsplit("\n", 1)[0] + f", m AS MATERIALIZED ({pairs}), l0 AS (SELECT unnest(range(4)) AS i)"
+    for k in range(3):
+        sql += f""", t{k} AS MATERIALIZED (SELECT i, j FROM m WHERE i < j AND c >= {ALIKE} AND i IN (SELECT i FROM l{k}) AND j IN (SELECT i FROM l{k}) ORDER BY c DESC, i, j LIMIT 1),
+o{k} AS (SELECT t.i, t.j, coalesce(avg(m.c) FILTER (m.i = t.i), 0) AS a, coalesce(avg(m.c) FILTER (m.i = t.j), 0) AS b FROM t{k} t LEFT JOIN m ON m.i IN (t.i, t.j) AND m.j NOT IN (t.i, t.j) AND m.j IN (SELECT i FROM l{k}) GROUP BY 1, 2),
+l{k + 1} AS MATERIALIZED (SELECT i FROM l{k} WHERE i NOT IN (SELECT CASE WHEN a > b THEN i ELSE j END FROM o{k}))"""
+    return sql + " SELECT [" + ", ".join(f"'{c}'" for c in STUDY_COLUMNS[:4]) + "][i + 1] AS feature FROM l3"
 
 
 def pca(s, d):
@@ -95,7 +110,7 @@ SELECT round(sqrt(avg((pred - target) * (pred - target))) + 1e-8, 6) + 0.0 AS rm
     "eval_complete_rows": (lambda s, d: complete(s, d).select("act_symbol", "date", r6(F.col("pred")).alias("pred")), f"{X} SELECT act_symbol, date, {q6('pred')} FROM z"),
     "eval_feature_moments": (lambda s, d: rounded(complete(s, d).agg(F.avg("pred").alias("mean"), (F.stddev_samp("pred") + 1e-8).alias("sd"), F.corr("pred", "target").alias("corr")), "mean", "sd", "corr"), f"{X} SELECT round(avg(pred) + 1e-8, 6) + 0.0 AS mean, round(stddev_samp(pred) + 1e-8 + 1e-8, 6) + 0.0 AS sd, round(corr(pred, target) + 1e-8, 6) + 0.0 AS corr FROM z"),
     "model_correlations": (corr_matrix, CORRELATIONS),
-    "model_kuhn_johnson": (reduced, None),
+    "model_kuhn_johnson": (reduced, reduced_sql()),
     "model_block_pca": (pca, None),
     "model_shadow_selection": (shadows, None),
     "model_trained_metrics": (trained, None),

@@ -10,6 +10,7 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,20 +18,43 @@ from tidepanel.plans import evaluation as E
 from tidepanel.plans.features import FeatureEngine, FeatureRequest
 
 
+def co_moments(df: DataFrame, features: list[str]) -> DataFrame:
+    """``(i, j, n, x, y, xx, yy, xy)`` of all pairs i <= j of features, over the rows where both are there.
+
+    The columns are sums of values less their feature's mean.  Each task adds up products of its batches' matrices with
+    nulls as 0 and their masks, and sends p (p + 1) / 2 rows; so the plan has the same size for any number of features.
+    """
+    p = len(features)
+    known = lambda c: F.when(~F.isnan(c.cast("double")), c.cast("double"))
+    x = df.select(F.array(*[known(F.col(f"`{c}`")) for c in features]).alias("v"))
+    mean = x.select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m")).collect()
+    centre = np.zeros(p)
+    for r in mean:
+        centre[r.k] = r.m or 0.0
+    i, j = np.triu_indices(p)
+
+    def added(batches):
+        total = np.zeros((6, p, p))
+        for batch in batches:
+            flat = batch.column(0).flatten()
+            v = flat.to_numpy(zero_copy_only=False).reshape(-1, p) - centre
+            there = ~np.isnan(v)
+            v, m = np.where(there, v, 0.0), there.astype(float)
+            total += np.stack((m.T @ m, v.T @ m, m.T @ v, (v * v).T @ m, m.T @ (v * v), v.T @ v))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(t[i, j]) for t in total]], names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    sums = x.mapInArrow(added, "i long, j long, n double, x double, y double, xx double, yy double, xy double")
+    return sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+
 def correlations(df: DataFrame, features: list[str]) -> np.ndarray:
-    """Absolute Pearson correlations over the rows where both are there; 0 where one is constant."""
-    both = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(b))
-    pairs = list(itertools.combinations(features, 2))
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        x, y = both(b, a), both(a, b)
-        aggs += [F.covar_samp(x, y).alias(f"c{k}"), F.var_samp(x).alias(f"x{k}"), F.var_samp(y).alias(f"y{k}")]
-    row = df.agg(*aggs).first() if aggs else None
+    """Absolute Pearson correlations over the rows where both are there; 0 where one is constant, NaN counts as null."""
     out = np.eye(len(features))
-    for k, (a, b) in enumerate(pairs):
-        c, x, y = row[f"c{k}"], row[f"x{k}"], row[f"y{k}"]
-        i, j = features.index(a), features.index(b)
-        out[i, j] = out[j, i] = abs(c) / (x * y) ** 0.5 if c is not None and x and y else 0.0
+    for r in co_moments(df, features).where("i < j and n > 1").collect() if len(features) > 1 else []:
+        x, y, c = r.xx - r.x * r.x / r.n, r.yy - r.y * r.y / r.n, r.xy - r.x * r.y / r.n
+        # What rounding leaves of a constant is no variance.
+        if x > 1e-13 * r.xx and y > 1e-13 * r.yy:
+            out[r.i, r.j] = out[r.j, r.i] = abs(c) / (x * y) ** 0.5
     return out
 
 
