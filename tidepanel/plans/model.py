@@ -116,6 +116,8 @@ def block_pca(df: DataFrame, features: list[str], threshold: float = 0.75, max_p
     return df, names
 
 
+#: Rows of a partition that trees are grown on: a tree takes a job a level, so few rows are not dealt to many tasks.
+TREE_ROWS = 20_000
 #: Rows in which a shadow's values are permuted among each other.
 CYCLE = 1000
 
@@ -174,12 +176,13 @@ def shadow_selection(df: DataFrame, features: list[str], target: str, iterations
 
     def lost(seed: int) -> set[str]:
         columns = [*names.values(), *[f"SHADOW_{seed}_{n}" for n in names.values()]]
-        fitted = kind(maxDepth=depth, maxIter=rounds, stepSize=0.05, seed=seed).fit(_assembled(cached, columns, "label").select("features", "label"))
+        fitted = kind(maxDepth=depth, maxIter=rounds, stepSize=0.05, seed=seed).fit(_assembled(cached, columns, "label").select("features", "label").coalesce(parts))
         gain = fitted.featureImportances.toArray()
         best = gain[len(features) :].max()
         return {f for f, g in zip(features, gain, strict=False) if g <= best}
 
-    if not cached.count():
+    parts = -(-cached.count() // TREE_ROWS)
+    if not parts:
         return []
     gone = set().union(*concurrently(df.sparkSession, [lambda s=s: lost(s) for s in seeds]))
     cached.unpersist()
