@@ -4,7 +4,6 @@ import pytest
 from compare import connect, differences
 
 from tidepanel import catalog
-from tidepanel.catalog import evaluation
 
 ENTRIES = catalog.entries()
 
@@ -21,7 +20,6 @@ def test_matches_sql(spark, sf, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(n for n, (_, sql) in ENTRIES.items() if not sql))
-def test_runs(spark, sf, name, monkeypatch):
-    # Boosting is short here; test_production.py holds the registered settings.
-    monkeypatch.setattr(evaluation, "ROUNDS", 2)
+def test_runs(spark, sf, name):
+    """At registered settings, boosted trees and the tuner included."""
     assert ENTRIES[name][0](spark, sf).count() > 0

@@ -23,6 +23,7 @@ ic AS (SELECT date, covar_samp(a, c) / sqrt(var_samp(a) * var_samp(c)) AS ic FRO
 Q = 5
 #: Boosting rounds; training ends earlier when the validation part no longer gains.
 ROUNDS = 100
+TRIALS = 50
 BINS = f"""{X}, k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY pred, act_symbol) AS r, count(*) OVER (PARTITION BY date) AS n FROM z),
 g AS (SELECT act_symbol, date, pred, target, CASE WHEN n > 1 THEN greatest(1, ((r - 1) * {Q} + n - 2) // greatest(n - 1, 1)) END AS bin FROM k)"""
 PIVOT = f"""{BINS}, pv AS (SELECT date, {', '.join(f'avg(target) FILTER (bin = {i}) AS q{i}' for i in range(1, Q + 1))} FROM g WHERE bin IS NOT NULL GROUP BY 1),
@@ -88,10 +89,22 @@ def shadows(s, d):
     return s.createDataFrame([(f, f in chosen) for f in features], "feature string, chosen boolean")
 
 
-def trained(s, d):
+def study_model(s, d):
     m = M.Model(P.bars(s, d))
     m.add_features(STUDY[:-1])
     m.add_target(STUDY[-1])
+    return m
+
+
+def tuned(s, d):
+    """The best of 50 trials on the study's features."""
+    m = study_model(s, d)
+    best = m.tune_params(m.split_data(), trials=TRIALS)
+    return rounded(s.createDataFrame([(best["depth"], best["step"], best["rounds"], best["loss"])], "depth long, step double, rounds long, loss double"), "loss")
+
+
+def trained(s, d):
+    m = study_model(s, d)
     split = m.split_data()
     return rounded(E.metrics(m.predictions(m.train_model(split, rounds=ROUNDS), split)), "rmse", "directional_accuracy", "accuracy", "roc_auc")
 
@@ -114,4 +127,5 @@ SELECT round(sqrt(avg((pred - target) * (pred - target))) + 1e-8, 6) + 0.0 AS rm
     "model_block_pca": (pca, None),
     "model_shadow_selection": (shadows, None),
     "model_trained_metrics": (trained, None),
+    "model_tuned_params": (tuned, None),
 }

@@ -141,11 +141,15 @@ def shadowed(df: DataFrame, features: list[str], seeds: list[int]) -> DataFrame:
     return lists.select(F.inline(F.arrays_zip(*lists.columns))).select("row.*", *lists.columns[1:])
 
 
-def concurrently(spark, tasks: list) -> list:
-    """The results of functions that run Spark jobs, all at once from threads that share the session's properties."""
+#: Rounds of the tuner's budgets, and one in how many trials goes on to the next.
+BUDGETS, KEEP = (2, 6, 18), 3
+
+
+def concurrently(spark, tasks: list, at_once: int = 8) -> list:
+    """The results of functions that run Spark jobs, so many at once, from threads that share the session's properties."""
     from pyspark import inheritable_thread_target
 
-    with ThreadPoolExecutor(max(1, len(tasks))) as pool:
+    with ThreadPoolExecutor(max(1, min(at_once, len(tasks)))) as pool:
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]]
 
 
@@ -227,26 +231,53 @@ class Model:
         kind = GBTRegressor if self.target_type == "regression" else GBTClassifier
         return kind(maxDepth=depth, maxIter=rounds, stepSize=step, seed=0, validationIndicatorCol="is_val")
 
+    def matrix(self, split: DataFrame) -> DataFrame:
+        """``(act_symbol, date, part, is_val, features, label)``, the complete rows as trees are grown on them."""
+        rows = split.withColumn("is_val", F.col("part") == "val")
+        out = _assembled(rows, self.feature_names(), self.target_name())
+        return out.select("act_symbol", "date", "part", "is_val", "features", "label")
+
+    def _fitted(self, matrix: DataFrame, parts: int, **params):
+        return self._learner(**params).fit(matrix.where("part in ('train', 'val')").coalesce(parts))
+
     def train_model(self, split: DataFrame, save_name: str | None = None, **params):
         """Boosted trees that stop when the validation part no longer gains."""
-        rows = split.where("part in ('train', 'val')").withColumn("is_val", F.col("part") == "val")
-        model = self._learner(**params).fit(_assembled(rows, self.feature_names(), self.target_name()))
+        m = self.matrix(split).cache()
+        model = self._fitted(m, max(1, -(-m.count() // TREE_ROWS)), **params)
+        m.unpersist()
         if save_name:
             model.write().overwrite().save(save_name)
         return model
 
     def predictions(self, model, split: DataFrame, part: str = "test") -> DataFrame:
-        out = model.transform(_assembled(split.where(F.col("part") == part), self.feature_names(), self.target_name()))
+        return self._predicted(model, self.matrix(split), part)
+
+    def _predicted(self, model, matrix: DataFrame, part: str) -> DataFrame:
+        out = model.transform(matrix.where(F.col("part") == part))
         return out.select("act_symbol", "date", F.col("prediction").alias("pred"), F.col("label").alias("target"))
 
-    def tune_params(self, split: DataFrame, trials: int = 50, seed: int = 0) -> dict:
-        """The best of seeded random trials by the validation part's error."""
+    def _loss(self, model, matrix: DataFrame) -> float:
+        got = E.metrics(self._predicted(model, matrix, "val")).first()
+        loss = got["rmse"] if self.target_type == "regression" else 1 - (got["roc_auc"] or 0.0)
+        return float("inf") if loss is None else loss
+
+    def tune_params(self, split: DataFrame, trials: int = 50, seed: int = 0, budgets: tuple[int, ...] = BUDGETS, keep: int = KEEP, at_once: int = 8) -> dict:
+        """The best of seeded random trials by the validation part's error, by successive halving.
+
+        All trials are fitted with the first budget of rounds; one in ``keep`` goes on to the next budget, and the best of
+        the last one wins, with its rounds.  Trials of a budget run ``at_once`` over one cached matrix.  A draw depends on
+        the seed alone and equal errors fall to the earlier draw, so reruns choose the same.
+        """
         draw = random.Random(seed)
-        best = (float("inf"), {})
-        for _ in range(trials):
-            params = {"depth": draw.randint(2, 6), "rounds": draw.choice([10, 20, 40]), "step": draw.choice([0.03, 0.05, 0.1, 0.2])}
-            got = E.metrics(self.predictions(self.train_model(split, **params), split, "val")).first()
-            loss = got["rmse"] if self.target_type == "regression" else 1 - (got["roc_auc"] or 0.0)
-            if loss is not None and loss < best[0]:
-                best = (loss, params)
-        return best[1]
+        alive = [{"depth": draw.randint(2, 6), "step": draw.choice([0.03, 0.05, 0.1, 0.2])} for _ in range(trials)]
+        m = self.matrix(split).cache()
+        parts = max(1, -(-m.count() // TREE_ROWS))
+        best: dict = {}
+        for k, rounds in enumerate(budgets):
+            tasks = [lambda p=p, r=rounds: self._loss(self._fitted(m, parts, rounds=r, **p), m) for p in alive]
+            losses = concurrently(split.sparkSession, tasks, at_once)
+            order = sorted(range(len(alive)), key=lambda i: (losses[i], i))
+            best = alive[order[0]] | {"rounds": rounds, "loss": losses[order[0]]} if order else {}
+            alive = [alive[i] for i in order[: max(1, -(-len(alive) // keep))]]
+        m.unpersist()
+        return best
