@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.sources import feather as arrow
+
 
 def database(spark: SparkSession, table: str, url: str = "jdbc:mysql://localhost:3306", user: str = "root", password: str = "", column: str | None = None, bounds: tuple | None = None, parts: int = 16) -> DataFrame:
     """A table over JDBC, read in parts where a column and its bounds are given; the driver jar must be present."""
@@ -33,74 +37,42 @@ def splits_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
 
-def feather(spark: SparkSession, path: str) -> DataFrame:
-    """A Feather file, or a folder of them, on a path that the executors share; each file is read in a task.
-
-    Only a schema is read here; batches of a file are read one by one.
-    """
-    import os
-
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    files = sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".feather")) if os.path.isdir(path) else [path]
-    with pa.memory_map(files[0]) as f:
-        schema = from_arrow_schema(pa.ipc.open_file(f).schema)
-
-    def read(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for p in batch.column(0).to_pylist():
-                with pa.memory_map(p) as f:
-                    whole = pa.ipc.open_file(f)
-                    yield from (whole.get_batch(i) for i in range(whole.num_record_batches))
+def feather(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A Feather file, or a folder of them; see :mod:`tidepanel.sources.feather`."""
+    return arrow.read(spark, path, columns)
 
-    return spark.createDataFrame([(f,) for f in files], "path string").repartition(len(files)).mapInArrow(read, schema)
 
+def _replaced(df: DataFrame, path: str, write) -> None:
+    """Let ``write`` write to a folder beside ``path``, and put it in place when it is whole.
 
-def _save_feather(df: DataFrame, path: str) -> None:
-    """A folder of Feather files, one a partition; a task that runs again replaces its file."""
-    import os
-    import shutil
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(df.schema)
-    shutil.rmtree(path, ignore_errors=True)
-    os.makedirs(path)
-
-    def write(batches):
-        import os
-        import uuid
-
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        own = f"{path}/.{part:06d}-{uuid.uuid4().hex}"
-        rows = 0
-        with pa.OSFile(own, "wb") as f, pa.ipc.new_file(f, schema) as out:
-            for batch in batches:
-                out.write_batch(pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(batch.columns, schema, strict=True)], schema=schema))
-                rows += batch.num_rows
-        os.replace(own, f"{path}/part-{part:06d}.feather")
-        yield pa.RecordBatch.from_pydict({"rows": [rows]})
-
-    df.mapInArrow(write, "rows long").collect()
+    So a failed write leaves the table as it was, and a table may be saved onto its own source.
+    """
+    context = df.sparkSession.sparkContext
+    at = lambda p: context._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(context._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    fresh, old = (f"{path.rstrip('/')}._{k}-{mark}" for k in ("new", "old"))
+    try:
+        write(fresh)
+        if files.exists(at(path)):
+            files.rename(at(path), at(old))
+        files.rename(at(fresh), at(path))
+        files.delete(at(old), True)
+    finally:
+        files.delete(at(fresh), True)
 
 
 def save(df: DataFrame, path: str) -> None:
     """Write by extension: ``.csv``, ``.parquet`` or ``.feather``, each a folder; others raise.
 
-    Feather needs a path that the driver and all executors share.
+    A table is replaced only when the new one is whole.  Feather needs a path that the driver and all executors share.
     """
     if path.endswith(".csv"):
-        df.write.mode("overwrite").csv(path, header=True)
+        _replaced(df, path, lambda p: df.write.csv(p, header=True))
     elif path.endswith(".parquet"):
-        df.write.mode("overwrite").parquet(path)
+        _replaced(df, path, lambda p: df.write.parquet(p))
     elif path.endswith(".feather"):
-        _save_feather(df, path)
+        arrow.write(df, path)
     else:
         raise ValueError(f"unknown extension: {path}")
 
