@@ -74,7 +74,15 @@ def collar(s, d):
     return rounded(O.collar(b), "principal", "call_profit", "put_profit")
 
 
+def aligned(s, d):
+    """The mean close of all symbols by month end, and its part from 1994 on: cropped to each other, on the same dates."""
+    whole = monthly(s, d).groupBy("date").agg(F.avg("close").alias("close"))
+    a, b = M.aligned(whole, whole.where("date >= '1994-01-01'"))
+    return rounded(a.join(b.select("date", F.col("close").alias("other")), "date"), "close", "other")
+
+
 ENTRIES = {
+    "port_aligned": (aligned, f"WITH {BARS}, {MONTHLY}, w AS (SELECT date, avg(close) AS close FROM mo GROUP BY 1) SELECT date, {q6('close')}, round(close + 1e-8, 6) + 0.0 AS other FROM w WHERE date >= DATE '1994-01-01'"),
     "port_compare": (compared, f"WITH {BARS}, {MONTHLY}, c AS (SELECT date FROM mo WHERE act_symbol = 'S000001' INTERSECT SELECT date FROM mo WHERE act_symbol = 'S000002'), r AS (SELECT act_symbol, date, ln(close / lag(close) OVER (PARTITION BY act_symbol ORDER BY date)) AS lr FROM mo SEMI JOIN c USING (date) WHERE act_symbol IN ('S000001', 'S000002')) SELECT a.date, round(a.lr + 1e-8, 6) + 0.0 AS log_ret_self, round(b.lr + 1e-8, 6) + 0.0 AS log_ret_stock, round(a.lr - b.lr + 1e-8, 6) + 0.0 AS diff FROM r a JOIN r b ON a.date = b.date AND a.act_symbol = 'S000001' AND b.act_symbol = 'S000002'"),
     "port_mix": (lambda s, d: rounded(M.mix(monthly(s, d), THREE), "open", "high", "low", "close", "volume", "log_ret"), f"WITH {BARS}, {MONTHLY}, {SUMMED} SELECT date, {q6('open', 'high', 'low', 'close', 'volume', 'log_ret')} FROM mx"),
     "port_against_mix": (against, f"WITH {BARS}, {MONTHLY}, {SUMMED}, {RETS} SELECT date, round(sum(r.log_ret - mx.log_ret) OVER (ORDER BY date) + 1e-8, 6) + 0.0 AS relative FROM (SELECT * FROM mr WHERE act_symbol = 'S000001') r JOIN mx USING (date)"),

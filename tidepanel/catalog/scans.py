@@ -10,6 +10,7 @@ from tidepanel.catalog.fundamentals import CAL, ST
 from tidepanel.operators import selection
 from tidepanel.operators.asof import asof
 from tidepanel.plans.features import join_market, listing, prepare
+from tidepanel.sources import io, scratch
 from tidepanel.sources import panel as P
 from tidepanel.sources import scans as S
 from tidepanel.streaming.bars import minute_bars
@@ -61,6 +62,15 @@ ENTRIES["join_market_last_of_day"] = (market_of_days, f"""WITH {BARS}, k AS (SEL
 SELECT act_symbol, bars.date, round(v + 1e-8, 6) + 0.0 AS MKT_DAY_RET FROM bars LEFT JOIN k ON k.date = bars.date AND r = 1""")
 
 
+def through_feather(s, d):
+    """All bars written as a Feather table; two columns of those with a high close read again."""
+    path = scratch.fresh(s, "bars.feather")
+    io.save(P.bars(s, d), path)
+    return io.feather(s, path, ["act_symbol", "date", "close"]).where("close >= 1500").select("act_symbol", "date")
+
+
+ENTRIES["scan_feather"] = (through_feather, f"WITH {BARS} SELECT act_symbol, date FROM bars WHERE close >= 1500")
+
 #: The shares of a heavy day.
 HEAVY = 60
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidepanel.sources import scratch
+
 #: Rows of a piece, a power of two; fewer where powers of ``keep`` would leave the range of doubles.
 PIECE = 256
 
@@ -41,10 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(where or "/tmp/checkpoints/panel")
+        context.setCheckpointDir(f"{scratch.root(df.sparkSession)}/panel")
     return df.checkpoint()
 
 

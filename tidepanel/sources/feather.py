@@ -8,6 +8,7 @@ files beside the table and puts them in place when all tasks have succeeded, so
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import uuid
 from dataclasses import dataclass
@@ -29,7 +30,12 @@ _TESTS = {
 }
 
 
+def _local(path: str) -> str:
+    return re.sub(r"^file:(//)?(?=/)", "", path)
+
+
 def _files(path: str) -> list[str]:
+    path = _local(path)
     if not os.path.isdir(path):
         return [path]
     return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".feather") and f[0] not in "._")
@@ -86,7 +92,7 @@ class Writer(D.DataSourceArrowWriter):
     def __init__(self, path: str, schema: StructType, overwrite: bool):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        self.path, self.schema, self.overwrite = path.rstrip("/"), to_arrow_schema(schema), overwrite
+        self.path, self.schema, self.overwrite = _local(path).rstrip("/"), to_arrow_schema(schema), overwrite
         self.staged = f"{self.path}._staged-{uuid.uuid4().hex}"
         os.makedirs(self.staged)
 
