@@ -132,6 +132,26 @@ def test_own_feature(spark):
     assert values(P.FeatureEngine([r]).compute(bars(spark, [1, 2])), "t_T") == [2.0, 4.0]
 
 
+def test_a_kernel_that_fails(spark):
+    """Raises, or is left null while all others are computed."""
+
+    def broken(x, n, stage):
+        stage(x + F.col("not there"))
+        raise ZeroDivisionError("broken")
+
+    P.register_feature("BROKEN", ("close",), broken, 3, outputs=("a", "b"))
+    wants = [P.FeatureRequest("SMA", {"timeperiod": 2}, input_type="close", alias="s"), P.FeatureRequest("BROKEN", input_type="raw", alias="x"), P.FeatureRequest("RSI", {"timeperiod": 2}, input_type="raw", alias="r"), P.FeatureRequest("EMA", {"timeperiod": 2}, input_type="nowhere", alias="e")]
+    df = bars(spark, [1, 2, 3, 2])
+    for one in (wants[1], wants[3]):
+        with pytest.raises((ZeroDivisionError, ValueError)):
+            P.FeatureEngine([one]).compute(df)
+    with pytest.warns(UserWarning, match="left null"):
+        out = P.FeatureEngine(wants, lenient=True).compute(df)
+    assert values(out, "x_T_a") == values(out, "x_T_b") == values(out, "e_2d_T") == [None] * 4
+    assert values(out, "s_2d_T") == [None, 1.5, 2.5, 2.5] and values(out, "r_2d_T")[2] == 100.0
+    del P.REGISTRY["BROKEN"]
+
+
 def test_missing_market_gives_null(spark):
     r = P.FeatureRequest("pandas_beta", {"timeperiod": 3}, alias="b")
     assert values(P.FeatureEngine([r]).compute(bars(spark, range(1, 9))), "b_3d_T") == [None] * 8

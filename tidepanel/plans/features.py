@@ -8,6 +8,7 @@ of their neighbours that the windows reach are copied.
 from __future__ import annotations
 
 import itertools
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -333,10 +334,30 @@ class Blocks:
 
 
 class FeatureEngine:
-    """Compiles requests; ``compute`` adds their columns to a panel of ``(act_symbol, date, open, ..., volume)``."""
+    """Compiles requests; ``compute`` adds their columns to a panel of ``(act_symbol, date, open, ..., volume)``.
 
-    def __init__(self, requests: list[FeatureRequest]):
-        self.requests = list(requests)
+    A kernel that cannot be built (it raises, or a column that it needs is not there) raises; with ``lenient`` a warning
+    is given instead, the request's columns are null, and all others are computed.  Jobs that fail raise either way.
+    """
+
+    def __init__(self, requests: list[FeatureRequest], lenient: bool = False):
+        self.requests, self.lenient = list(requests), lenient
+
+    def _built(self, r: FeatureRequest, layers: Layers, there: set[str]) -> tuple[Column, ...]:
+        """The kernel's results as expressions over the layers."""
+        before = [(dict(columns), dict(first), list(scans)) for columns, first, scans in layers.all]
+        try:
+            if missing := [c for c in r.inputs() if c not in there]:
+                raise ValueError(f"{r.name} needs columns that are not there: {missing}")
+            extra = {k: v for k, v in r.params.items() if k in r.feature.params}
+            out = r.feature.kernel(*[F.col(c) for c in r.inputs()], r.period, layers.stage(), **extra)
+            return out if isinstance(out, tuple) else (out,)
+        except Exception as e:
+            if not self.lenient:
+                raise
+            warnings.warn(f"{r.name} is left null: {e}", stacklevel=2)
+            layers.all[:] = before
+            return tuple(F.lit(None).cast("double") for _ in r.feature.outputs or ("",))
 
     def compute(self, df: DataFrame, market: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
         """``df`` with the requests' columns.
@@ -354,6 +375,7 @@ class FeatureEngine:
 
     def _compute(self, df: DataFrame, market: DataFrame | None, block_rows: int | None, reach: list[int] | None) -> DataFrame:
         given = list(df.columns)
+        there = {*prepare(df).columns, *[f"MKT_{r.market_ref}_RET" for r in self.requests if r.market_ref and r.name in RETURN_ONLY]}
         layers = Layers()
         last: dict[str, Column] = {}
         series, made = [], {}
@@ -368,9 +390,7 @@ class FeatureEngine:
             if r.feature.kind == "series":
                 series.append((r, made[names[0]][2]))
                 continue
-            extra = {k: v for k, v in r.params.items() if k in r.feature.params}
-            out = r.feature.kernel(*[F.col(c) for c in r.inputs()], r.period, layers.stage(), **extra)
-            last.update(zip(made[names[0]][2], out if isinstance(out, tuple) else (out,), strict=True))
+            last.update(zip(made[names[0]][2], self._built(r, layers, there), strict=True))
         # Derivatives and shifts over the kernels' results.
         derived, moved = {}, {}
         for r, names, values in made.values():
