@@ -375,7 +375,7 @@ class FeatureEngine:
 
     def _compute(self, df: DataFrame, market: DataFrame | None, block_rows: int | None, reach: list[int] | None) -> DataFrame:
         given = list(df.columns)
-        there = {*prepare(df).columns, *[f"MKT_{r.market_ref}_RET" for r in self.requests if r.market_ref and r.name in RETURN_ONLY]}
+        there = {*prepare(df if block_rows is None else df.withColumn("_block", F.lit(0))).columns, *[f"MKT_{r.market_ref}_RET" for r in self.requests if r.market_ref and r.name in RETURN_ONLY]}
         layers = Layers()
         last: dict[str, Column] = {}
         series, made = [], {}
