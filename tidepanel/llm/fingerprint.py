@@ -5,10 +5,9 @@ fraction of the hash range.  Whether a hash is kept depends on the hash alone, s
 together is the union of their sketches, and the share of one sketch that lies in another estimates containment even
 between very unequal documents.
 
-A fingerprint has two parts: ``kept``, the scaled sketch, and ``rest``, the hashes above the threshold of a text with
-at most ``SMALL`` distinct shingles, null for others.  Only ``kept`` is merged.  Two short texts are compared by all
-their hashes, which is exact; all other comparisons use ``kept`` alone, so hashes below and above the threshold never
-stand against each other.
+A fingerprint is the sketch, ``kept``, and ``n``, how many distinct shingles the text has; ``n`` only tells a sketch
+that is empty by chance from the sketch of a text without shingles.  Every comparison uses the sketches alone, whatever
+the lengths of the texts.
 """
 
 from __future__ import annotations
@@ -21,9 +20,7 @@ from tidepanel.llm._shared import let, materialize, numbered_rows
 
 SHINGLE = 5
 #: One hash in so many is kept.
-SCALE = 4
-#: Texts with at most so many distinct shingles have all their hashes in their fingerprint.
-SMALL = 128
+SCALE = 2
 
 
 def words(text: Column) -> Column:
@@ -42,16 +39,11 @@ def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
 
 
 def fingerprint(text: Column, scale: int = SCALE, n: int = SHINGLE) -> Column:
-    """``struct(kept, rest)``, both sorted; ``scale`` is a power of two."""
+    """``struct(kept, n)``, the hashes sorted; ``scale`` is a power of two."""
     bits = scale.bit_length() - 1
     # The unsigned hash is below 2**64 / scale if its top bits are 0.
     low = lambda h: F.shiftrightunsigned(h, 64 - bits) == 0 if bits else F.lit(True)
-
-    def parts(hashes: Column) -> Column:
-        rest = F.when(F.size(hashes) <= SMALL, F.array_sort(F.filter(hashes, lambda h: ~low(h))))
-        return F.struct(F.array_sort(F.filter(hashes, low)).alias("kept"), rest.alias("rest"))
-
-    return let(shingle_hashes(text, n), parts)
+    return let(shingle_hashes(text, n), lambda hashes: F.struct(F.array_sort(F.filter(hashes, low)).alias("kept"), F.size(hashes).alias("n")))
 
 
 def sketch(text: Column, scale: int = SCALE, n: int = SHINGLE) -> Column:
@@ -64,34 +56,28 @@ def merge(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
-def _sizes(a: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Sizes of two fingerprints and of what they share, by all hashes if both texts are short."""
-    short = a["rest"].isNotNull() & b["rest"].isNotNull()
-    more = lambda x: F.when(short, x).otherwise(0)
-    both = F.size(F.array_intersect(a["kept"], b["kept"])) + more(F.size(F.array_intersect(a["rest"], b["rest"])))
-    return F.size(a["kept"]) + more(F.size(a["rest"])), F.size(b["kept"]) + more(F.size(b["rest"])), both
-
-
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two texts' shingles by their fingerprints; two empty ones are alike."""
-    x, y, both = _sizes(a, b)
-    return F.when((x == 0) & (y == 0), 1.0).otherwise(F.try_divide(both.cast("double"), x + y - both))
+    """Jaccard similarity of two texts' shingles by their sketches.
+
+    Two empty sketches tell only by the texts' numbers of shingles: alike if these are equal, not alike otherwise.
+    """
+    x, y, both = F.size(a["kept"]), F.size(b["kept"]), F.size(F.array_intersect(a["kept"], b["kept"]))
+    return F.when((x == 0) & (y == 0), (a["n"] == b["n"]).cast("double")).otherwise(F.try_divide(both.cast("double"), x + y - both))
 
 
 def containment(a: Column, b: Column) -> Column:
     """The share of the first text's shingles that the second has; a text without any is contained in all.
 
-    Null where the first text has shingles, but none that counts in this comparison: then its sketch tells nothing.
+    Null where the first text has shingles but its sketch has none of them: then it tells nothing.
     """
-    x, _, both = _sizes(a, b)
-    empty = (F.size(a["kept"]) == 0) & (F.coalesce(F.size(a["rest"]), F.lit(1)) == 0)
-    return F.when(empty, 1.0).otherwise(F.try_divide(both.cast("double"), x))
+    both = F.size(F.array_intersect(a["kept"], b["kept"]))
+    return F.when(a["n"] == 0, 1.0).otherwise(F.try_divide(both.cast("double"), F.size(a["kept"])))
 
 
 def as_string(print_: Column) -> Column:
-    """A fingerprint as text: 16 hexadecimal digits a hash, those kept, then after a colon the rest of a short text."""
-    digits = lambda hashes: F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), "")
-    return F.concat(digits(print_["kept"]), F.coalesce(F.concat(F.lit(":"), digits(print_["rest"])), F.lit("")))
+    """A fingerprint as text: 16 hexadecimal digits a hash, then after a colon the number of shingles."""
+    digits = F.array_join(F.transform(print_["kept"], lambda h: F.lpad(F.hex(h), 16, "0")), "")
+    return F.concat(digits, F.lit(":"), print_["n"].cast("string"))
 
 
 def fingerprints(docs: DataFrame, scale: int = SCALE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
