@@ -12,3 +12,15 @@ def test_runs_are_enough_at_the_deepest_level():
         miss = math.exp(-shared * (1 - miss))
     assert miss**jaccard_join.RUNS < 3e-6
     assert len(set(jaccard_join.SEEDS)) == jaccard_join.RUNS
+
+
+def test_rounds_take_as_many_tasks_as_bytes_ask_for(spark, sf, monkeypatch):
+    from tidepanel.llm import _rounds, substring_dedup, suffix_dedup
+
+    queries = (substring_dedup.op3_difference_cover, suffix_dedup.op4_prefix_free_parsing)
+    before = [sorted(map(tuple, q(spark, sf).collect())) for q in queries]
+    monkeypatch.setattr(_rounds, "TASK_BYTES", 20_000)
+    frames = [q(spark, sf) for q in queries]
+    assert [sorted(map(tuple, f.collect())) for f in frames] == before
+    dealt = {line.split(", ")[1].split(")")[0] for f in frames for line in f._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(block" in line}
+    assert len(dealt) == 1 and int(dealt.pop()) > 4

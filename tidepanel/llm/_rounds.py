@@ -3,7 +3,8 @@
 Documents are dealt into blocks by id; their number follows from the bytes of all texts, so a task holds about
 ``BLOCK_BYTES`` of them at any size of the corpus.  A block sends each bucket one message with what it wants to know about the
 hashes that fall there (each distinct value once, so a frequent value costs a bucket one entry a block); the bucket
-answers each block in the order asked.  Blocks work deterministically on rows sorted by ``ord``, so a lost task that
+answers each block in the order asked.  A task takes ``TASK_BYTES`` on average at any size of the corpus, or less where
+``spark.sql.shuffle.partitions`` asks for more tasks.  Blocks work deterministically on rows sorted by ``ord``, so a lost task that
 is run again asks the same question.  Texts are shuffled once: all rounds read the same exchange.
 
 Messages are rows ``(hash, block)`` packed by block and bucket.  A block never sends more messages than it has distinct
@@ -18,12 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm._shared import prime_at_least
+from tidepanel.llm._shared import partitions, prime_at_least
 from tidepanel.llm._text import tidy
 
 MESSAGE = "bucket int, block int, payload binary"
 #: Of text that a block holds, and whose hashes a bucket holds.
 BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 32 << 20
+#: Of text whose blocks or buckets one task takes, one after the other.
+TASK_BYTES = 96 << 20
 ANSWER = "block int, turn int, bucket int, payload binary"
 
 
@@ -39,7 +42,9 @@ class Rounds:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.buckets = max(4, -(-size // BUCKET_BYTES))
         blocks = prime_at_least(max(7, -(-size // BLOCK_BYTES)))
-        self.docs = docs.withColumn("block", F.pmod("ord", F.lit(blocks)).cast("int"))
+        # Never fewer than the session's partitions: a cogroup then keeps this dealing and brings the answers to it.
+        self.tasks = max(partitions(docs.sparkSession), -(-size // TASK_BYTES))
+        self.docs = docs.withColumn("block", F.pmod("ord", F.lit(blocks)).cast("int")).repartition(self.tasks, "block")
 
     def run(self, one, answer1, two, answer2, last, schema: str) -> DataFrame:
         n = self.buckets
@@ -54,10 +59,11 @@ class Rounds:
             return tidied(last(_sorted(pdf), _answers(answers, 1), _answers(answers, 2)))
 
         by_block = lambda df: df.groupBy("block")
+        by_bucket = lambda df: df.repartition(self.tasks, "bucket").groupBy("bucket")
         asked1 = by_block(self.docs).applyInPandas(ask1, MESSAGE)
-        told1 = asked1.groupBy("bucket").applyInPandas(_answering(answer1, 1), ANSWER)
+        told1 = by_bucket(asked1).applyInPandas(_answering(answer1, 1), ANSWER)
         asked2 = by_block(self.docs).cogroup(by_block(told1)).applyInPandas(ask2, MESSAGE)
-        told2 = asked2.groupBy("bucket").applyInPandas(_answering(answer2, 2), ANSWER)
+        told2 = by_bucket(asked2).applyInPandas(_answering(answer2, 2), ANSWER)
         return by_block(self.docs).cogroup(by_block(told1.unionByName(told2))).applyInPandas(end, schema)
 
 
