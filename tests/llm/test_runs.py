@@ -1,6 +1,7 @@
-"""The number of runs of the join by chosen paths."""
+"""The number of runs of the join by chosen paths, and of tasks of the rounds over blocks."""
 
 import math
+import re
 
 from tidepanel.llm import jaccard_join
 
@@ -22,5 +23,5 @@ def test_rounds_take_as_many_tasks_as_bytes_ask_for(spark, sf, monkeypatch):
     monkeypatch.setattr(_rounds, "TASK_BYTES", 20_000)
     frames = [q(spark, sf) for q in queries]
     assert [sorted(map(tuple, f.collect())) for f in frames] == before
-    dealt = {line.split(", ")[1].split(")")[0] for f in frames for line in f._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(block" in line}
+    dealt = {n for f in frames for n in re.findall(r"hashpartitioning\(block#\d+, (\d+)\)", f._jdf.queryExecution().executedPlan().toString())}
     assert len(dealt) == 1 and int(dealt.pop()) > 4
