@@ -106,3 +106,35 @@ def test_database_options(spark, monkeypatch):
     session = type("Session", (), {"read": Reader()})()
     assert io.database(session, "ohlcv", url="jdbc:mysql://h:1/db", column="date", bounds=("2020-01-01", "2021-01-01"), parts=4)["numPartitions"] == "4"
     assert asked["dbtable"] == "ohlcv" and asked["partitionColumn"] == "date" and asked["format"] == "jdbc"
+
+
+def test_database_reads_a_table_in_parts(spark, tmp_path):
+    """Against a Derby database, whose driver comes with Spark: all rows, each once, with pruned columns and a pushed filter."""
+    url, driver = f"jdbc:derby:{tmp_path}/db", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [(i, f"s{i % 7}" if i % 5 else None, i / 4, dt.date(2020, 1, 1) + dt.timedelta(days=i)) for i in range(300)]
+    bars = spark.createDataFrame(rows, "id long, act_symbol string, price double, day date")
+    bars.coalesce(1).write.format("jdbc").options(url=url + ";create=true", dbtable="ohlcv", **driver).save()
+    whole = io.database(spark, "ohlcv", url=url, user="APP", password="x")
+    assert whole.rdd.getNumPartitions() == 1 and same(whole, bars)
+    dealt = io.database(spark, "ohlcv", url=url, user="APP", password="x", column="id", bounds=(50, 250), parts=4)
+    assert dealt.rdd.getNumPartitions() == 4 and same(dealt, bars)
+    one = dealt.where("price > 70").select("act_symbol")
+    assert same(one, bars.where("price > 70").select("act_symbol"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan" in plan and "day" not in plan
+    empty = io.database(spark, "(select * from ohlcv where \"id\" < 0) t", url=url, user="APP", password="x")
+    assert empty.count() == 0 and [f.name.lower() for f in empty.schema] == bars.columns
+
+
+def test_a_saved_model_predicts_as_before(spark, tmp_path):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+
+    rows = [(float(i % 13), float(i % 7), float(i % 13 * 2 - i % 7)) for i in range(200)]
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "a double, b double, label double"))
+    path = str(tmp_path / "model")
+    fitted = [GBTRegressor(maxIter=n, maxDepth=3, seed=1).fit(data) for n in (2, 4)]
+    for model in fitted:  # the second replaces the first
+        io.save_model(model, path)
+    got = GBTRegressionModel.load(path).transform(data).select("a", "b", "prediction")
+    assert same(got, fitted[1].transform(data).select("a", "b", "prediction")) and not same(got, fitted[0].transform(data).select("a", "b", "prediction"))
