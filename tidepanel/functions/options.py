@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 
 import numpy as np
@@ -70,48 +71,81 @@ def t_log_likelihood(x: np.ndarray, v, m, s) -> np.ndarray:
     return len(x) * norm - ((v[:, None] + 1) / 2 * np.log1p(z * z / v[:, None])).sum(axis=1)
 
 
-def student_t(x: np.ndarray) -> tuple[float, float, float]:
-    """The maximum-likelihood degrees of freedom, place and scale.
+def students_t(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximum-likelihood degrees of freedom, place and scale of each row of a matrix.
 
     For given degrees, expectation-maximisation finds place and scale; the degrees are searched on a grid of their
     logarithms that is narrowed around its best point until it is known to about a thousandth.
     """
     x = np.asarray(x, float)
-    lo, hi = np.log(FREEDOM)
-    m0, s0 = float(np.median(x)), max(float(x.std()), 1e-9)
-    best, rounds = (-math.inf, 30.0, m0, s0), 40
-    while True:
-        v = np.exp(np.linspace(lo, hi, TRIED))
-        m, s2 = np.full(TRIED, best[2]), np.full(TRIED, best[3] ** 2)
+    count = x.shape[1]
+    least, most = np.log(FREEDOM)
+    lo, hi = np.full(len(x), least), np.full(len(x), most)
+    best = np.stack([np.full(len(x), -math.inf), np.full(len(x), 30.0), np.median(x, axis=1), np.maximum(x.std(axis=1), 1e-9)])
+    open_, rounds = np.arange(len(x)), 40
+    while len(open_):
+        # By value, degrees tried and sample: sums run over the first axis, and all inner loops are long.
+        y = np.ascontiguousarray(x[open_].T)[:, None, :]
+        v = np.exp(np.linspace(lo[open_], hi[open_], TRIED))
+        m, s2 = (np.repeat(c[None, open_], TRIED, axis=0) for c in (best[2], best[3] ** 2))
+        d2 = (y - m) ** 2
+        u, t = np.empty_like(d2), np.empty_like(d2)
         for _ in range(rounds):
-            u = (v + 1)[:, None] / (v[:, None] + (x - m[:, None]) ** 2 / s2[:, None])
-            m = (u * x).sum(axis=1) / u.sum(axis=1)
-            s2 = np.maximum((u * (x - m[:, None]) ** 2).mean(axis=1), 1e-18)
-        like = t_log_likelihood(x, v, m, np.sqrt(s2))
-        k = int(like.argmax())
+            np.divide(v + 1, np.add(np.divide(d2, s2, out=u), v, out=u), out=u)
+            m = np.multiply(u, y, out=t).sum(axis=0) / u.sum(axis=0)
+            np.square(np.subtract(y, m, out=d2), out=d2)
+            s2 = np.maximum(np.multiply(u, d2, out=t).sum(axis=0) / count, 1e-18)
         rounds = 12  # from the best fit so far
-        best = max(best, (float(like[k]), float(v[k]), float(m[k]), math.sqrt(s2[k])))
-        step = (hi - lo) / (TRIED - 1)
-        if step < 1e-3:
-            return best[1:]
-        lo, hi = max(np.log(FREEDOM[0]), np.log(v[k]) - step), min(np.log(FREEDOM[1]), np.log(v[k]) + step)
+        norm = np.array([math.lgamma((k + 1) / 2) - math.lgamma(k / 2) for k in v.ravel()]).reshape(v.shape) - 0.5 * np.log(v * math.pi * s2)
+        like = count * norm - (v + 1) / 2 * np.log1p(d2 / s2 / v).sum(axis=0)
+        k, row = like.argmax(axis=0), np.arange(len(open_))
+        found = np.stack([a[k, row] for a in (like, v, m, np.sqrt(s2))])
+        better = found[0] > best[0, open_]
+        best[:, open_[better]] = found[:, better]
+        step = (hi[open_] - lo[open_]) / (TRIED - 1)
+        near = np.log(found[1])
+        lo[open_], hi[open_] = np.maximum(least, near - step), np.minimum(most, near + step)
+        open_ = open_[step >= 1e-3]
+    return best[1], best[2], best[3]
 
 
-def student_t_quantile(q: float, v: float) -> float:
-    """From the density's running integral: x = sqrt(v) tan(a) makes it smooth on a finite range."""
-    if q == 0.5:
-        return 0.0
+def student_t(x: np.ndarray) -> tuple[float, float, float]:
+    """The fit of one sample; see :func:`students_t`."""
+    v, m, s = students_t(np.asarray(x, float)[None, :])
+    return float(v[0]), float(m[0]), float(s[0])
+
+
+#: Places and weights of Gauss and Legendre on 0 to 1.
+_NODES, _WEIGHTS = (lambda x, w: ((x + 1) / 2, w / 2))(*np.polynomial.legendre.leggauss(32))
+
+
+def students_t_quantile(q: float, v: np.ndarray) -> np.ndarray:
+    """For each of the degrees, from the density's integral: x = sqrt(v) tan(a) makes it smooth on a finite range.
+
+    The integral of cos(a) ** (v - 1) is concave, so Newton's steps from 0 come to the angle from below.
+    """
+    v = np.asarray(v, float)
     if q < 0.5:
-        return -student_t_quantile(1 - q, v)
-    # Points are dense at 0, where all of a density with many degrees lies.
-    a = math.pi / 2 * np.linspace(0, 1, 20_001) ** 2
-    y = np.cos(a) ** (v - 1)
-    total = np.concatenate(([0.0], np.cumsum((y[1:] + y[:-1]) / 2 * np.diff(a))))
-    return math.sqrt(v) * math.tan(float(np.interp((2 * q - 1) * total[-1], total, a)))
+        return -students_t_quantile(1 - q, v)
+    half = np.array([math.exp(math.lgamma(k / 2) - math.lgamma((k + 1) / 2)) for k in v]) * math.sqrt(math.pi) / 2
+    aim, a = (2 * q - 1) * half, np.zeros(len(v))
+    for _ in range(200):
+        area = a * (np.cos(a[:, None] * _NODES) ** (v[:, None] - 1) @ _WEIGHTS)
+        step = (aim - area) / np.cos(a) ** (v - 1)
+        a = np.clip(a + step, 0.0, math.pi / 2)
+        if not (np.abs(step) > 1e-14 + 1e-13 * a).any():
+            break
+    return np.sqrt(v) * np.tan(a)
+
+
+def student_t_quantile(q: float, v: float) -> float:
+    return float(students_t_quantile(q, np.array([v]))[0])
 
 
 COLLAR = "act_symbol string, date date, close double, principal double, call_profit double, put_profit double, call_strike double, put_strike double"
 RATE, DAYS, LOT, GRID = 0.06, 30, 100, 0.5
+#: Fits made at once, and rows of the symbols whose fits may meet.
+FITS, ROWS = 64, 50_000
 
 
 def _black_scholes(price: float, strike: float, years: float, sigma: float) -> tuple[float, float]:
@@ -142,16 +176,11 @@ def collar(df: DataFrame, call_threshold: float = 0.8, put_threshold: float = 0.
     be 0.  A missing open moves nothing.  ``call_strike`` and ``put_strike`` are those of the contract held after the row.
     """
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("date", kind="stable", ignore_index=True)
-        returns = pdf["contract_ret"].to_numpy(np.float64)
-        vols, opens, closes = (pdf[c].to_numpy(np.float64) for c in ("vol", "open", "close"))
-        rows, contract, principal, last = [], None, 0.0, float("nan")
+    def machine(day, opens, closes, returns, vols, out):
+        """One symbol: fills ``out``, and asks for the fit of a sample (degrees, place and scale) by yielding it."""
+        contract, principal, last = None, 0.0, float("nan")
         call_profit = put_profit = 0.0
-        for i, (symbol, date) in enumerate(zip(pdf["act_symbol"], pdf["date"], strict=True)):
-            now, close = opens[i], closes[i]
+        for i, (now, close) in enumerate(zip(opens.tolist(), closes.tolist(), strict=True)):
             change = now - last if now == now and last == last else 0.0
             last = now if now == now else last
             if i < window:
@@ -162,15 +191,14 @@ def collar(df: DataFrame, call_threshold: float = 0.8, put_threshold: float = 0.
                 past = returns[max(0, i - window) : i]
                 past = past[~np.isnan(past)]
                 if len(past) >= 2 and vols[i] > 0 and now > 0:
-                    v, m, s = student_t(past)
-                    up, down = (now * math.exp(m + s * student_t_quantile(q, v)) for q in (call_threshold, put_threshold))
+                    up, down = (now * math.exp(x) for x in (yield past))
                     up, down = math.ceil(up / GRID) * GRID, math.floor(down / GRID) * GRID
                     if down > 0:
                         call, _ = _black_scholes(now, up, DAYS / 365, vols[i])
                         _, put = _black_scholes(now, down, DAYS / 365, vols[i])
                         call_profit, put_profit = call_profit + call, put_profit - put
-                        contract = (date, up, down)
-            elif (date - contract[0]).days < DAYS:
+                        contract = (day[i], up, down)
+            elif day[i] - contract[0] < DAYS:
                 principal += change * LOT
             else:
                 _, up, down = contract
@@ -181,10 +209,59 @@ def collar(df: DataFrame, call_threshold: float = 0.8, put_threshold: float = 0.
                 elif close == close:
                     principal, put_profit = down * LOT, put_profit + (down - close) * LOT
                 contract = None
-            held = contract or (None, None, None)
-            rows.append((symbol, date, close, principal, call_profit, put_profit, held[1], held[2]))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in COLLAR.split(", ")])
+            out[i, :3] = principal, call_profit, put_profit
+            if contract:
+                out[i, 3:] = contract[1:]
+
+    def quantiles(samples):
+        """The logarithms of both strikes to the open, by samples of one length."""
+        v, m, s = students_t(np.stack(samples))
+        return zip(*(m + s * students_t_quantile(q, v) for q in (call_threshold, put_threshold)), strict=True)
+
+    def run(pdf):
+        """Symbols side by side, each whole and sorted: their next fits are made together."""
+        x = pdf[["day", "open", "close", "contract_ret", "vol"]].to_numpy(np.float64)
+        out = np.full((len(pdf), 5), np.nan)
+        names = pdf["act_symbol"].to_numpy()
+        edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(pdf)]
+        machines = [machine(*x[a:b].T, out[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        asked = {k: s for k, g in enumerate(machines) if (s := next(g, None)) is not None}
+        while asked:
+            alike, then = {}, {}
+            for k, s in asked.items():
+                alike.setdefault(len(s), []).append(k)
+            for keys in alike.values():
+                for at in range(0, len(keys), FITS):
+                    some = keys[at : at + FITS]
+                    for k, answer in zip(some, quantiles([asked[k] for k in some]), strict=True):
+                        with contextlib.suppress(StopIteration):
+                            then[k] = machines[k].send(answer)
+            asked = then
+        got = pdf[["act_symbol", "day", "close"]]
+        return got.assign(**dict(zip(("principal", "call_profit", "put_profit", "call_strike", "put_strike"), out.T, strict=True)))
+
+    def by_symbols(frames):
+        """Batches of rows sorted by symbol and date, regrouped so that each has about ``ROWS`` rows of whole symbols."""
+        import pandas as pd
+
+        held, count = [], 0
+        for pdf in frames:
+            held, count = [*held, pdf], count + len(pdf)
+            if count < ROWS:
+                continue
+            pdf = pd.concat(held, ignore_index=True)
+            names = pdf["act_symbol"].to_numpy()
+            done = int((names == names[-1]).argmax())  # the last symbol may go on
+            if done:
+                yield run(pdf[:done])
+            held = [pdf[done:]]
+            count = len(held[0]) if done else 0
+        if held:
+            yield run(pd.concat(held, ignore_index=True))
 
     # A symbol's rows are few and its fits many, so symbols are dealt to as many tasks as a shuffle has.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select("act_symbol", "date", "open", "close", "contract_ret", "vol").repartition(n, "act_symbol").groupBy("act_symbol").applyInPandas(run, COLLAR)
+    rows = df.select("act_symbol", F.unix_date("date").alias("day"), "open", "close", "contract_ret", "vol").repartition(n, "act_symbol").sortWithinPartitions("act_symbol", "day")
+    got = rows.mapInPandas(by_symbols, COLLAR.replace("date date", "day int"))
+    nulls = {c: F.when(~F.isnan(c), F.col(c)) for c in ("close", "principal", "call_profit", "put_profit", "call_strike", "put_strike")}
+    return got.withColumns({"day": F.date_from_unix_date("day"), **nulls}).withColumnRenamed("day", "date")
