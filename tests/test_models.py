@@ -61,6 +61,16 @@ def test_tuner_is_seeded_and_returns_the_best(split, kind, target):
     assert m.tune_params(split, trials=0) == {}
 
 
+def test_error_of_a_regression_is_taken_without_ranks(split, monkeypatch):
+    m = Given(split, ["a", "b", "c"], "y")
+    x = m.matrix(split)
+    model = m._fitted(x, 1, rounds=2)
+    want = L.E.metrics(m._predicted(model, x, "val")).first()["rmse"]
+    monkeypatch.setattr(L.E, "metrics", None)
+    assert m._loss(model, x) == pytest.approx(want, rel=1e-12)
+    assert m._loss(model, x.where("part = 'train'")) == float("inf")
+
+
 def test_fits_at_once_are_those_one_by_one(split):
     rows = split.where("part = 'train'")
     one, many = (L.shadow_selection(rows, ["a", "b", "c"], "y", iterations=3, rounds=4) for _ in range(2))
