@@ -41,12 +41,23 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is that of ``spark.checkpoint.dir``; without the setting a local master takes one of its own.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"{scratch.root(df.sparkSession)}/panel")
+    checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
+def checkpoints(spark) -> None:
+    """Name the folder that checkpoints go to."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{scratch.root(spark)}/panel")
+
+
+def forget(context, path: str | None) -> None:
+    """Delete a checkpoint that nothing reads any more."""
+    if path:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def piece_rows(scans: list[Scan]) -> int:
     rows = PIECE
     for s in scans:
