@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidepanel.catalog.base import BARS, BASE, ETFS, MARKET, r6
 from tidepanel.catalog.fundamentals import CAL, ST
+from tidepanel.functions import windows as R
 from tidepanel.operators import selection
 from tidepanel.operators.asof import asof
-from tidepanel.plans.features import join_market, listing, prepare
+from tidepanel.plans.features import Layers, join_market, listing, prepare
 from tidepanel.sources import io, scratch
 from tidepanel.sources import panel as P
 from tidepanel.sources import scans as S
@@ -113,12 +113,13 @@ ENTRIES["join_asof_releases_forward_months"] = released(True, "month")
 
 
 def sums_of_30(s, d):
-    w = W.partitionBy("act_symbol").orderBy("date").rowsBetween(-29, 0)
-    return prepare(P.bars(s, d)).select(F.when(F.count("log_ret").over(w) == 30, F.sum("log_ret").over(w)).alias("r30"))
+    layers = Layers()
+    r30 = R.total(F.col("log_ret"), 30, layers.stage())
+    return layers.applied(prepare(P.bars(s, d)), None).select(r30.alias("r30"))
 
 
 def quantiles_of_sums(s, d):
-    x, at = sums_of_30(s, d), (0.05, 0.5, 0.95)
+    x, at = scratch.written(sums_of_30(s, d), "sums"), (0.05, 0.5, 0.95)
     found = selection.quantiles(x, "r30", list(at))
     known = [r6(F.lit(v).cast("double")).alias(f"p{int(q * 100)}") for q, v in zip(at, found, strict=True)]
     return x.agg(F.avg("r30").alias("mean"), F.stddev_pop("r30").alias("sd")).select(*known, r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"))
