@@ -10,6 +10,7 @@ from tidepanel.plans import evaluation as E
 from tidepanel.plans import model as M
 from tidepanel.plans.features import FeatureEngine, FeatureRequest
 from tidepanel.sources import panel as P
+from tidepanel.sources import scratch
 
 #: Yesterday's close by today's, and the next bar's return: exact arithmetic, so that ties fall alike.
 PRED = FeatureRequest("ROC", {"timeperiod": 3}, -1, "raw", alias="pred")
@@ -85,7 +86,7 @@ def pca(s, d):
 
 def shadows(s, d):
     df, features, target = named(s, d)
-    chosen = M.shadow_selection(E.split_dates(df), features, target, iterations=5, rounds=ROUNDS)
+    chosen = M.shadow_selection(E.split_dates(scratch.written(df, "study")), features, target, iterations=5, rounds=ROUNDS)
     return s.createDataFrame([(f, f in chosen) for f in features], "feature string, chosen boolean")
 
 

@@ -247,7 +247,8 @@ class Model:
         return self.target.columns()[0]
 
     def split_data(self, cutoffs=(0.7, 0.85, 1.0)) -> DataFrame:
-        return E.split_dates(self.generate_targets_and_features(), cutoffs).where("part is not null")
+        """The complete rows by part.  They are written once: the split, the fits and the predictions read them."""
+        return E.split_dates(scratch.written(self.generate_targets_and_features(), "split"), cutoffs).where("part is not null")
 
     def _learner(self, depth: int = 4, rounds: int = 20, step: float = 0.1):
         from pyspark.ml.classification import GBTClassifier
