@@ -108,3 +108,19 @@ def test_numpy_kernels_take_no_blocks(spark):
     with pytest.raises(ValueError):
         P.FeatureEngine([r]).compute(df, block_rows=10)
     del P.REGISTRY["LAST_OF"]
+
+
+def test_blocks_write_little_and_move_rows_once(spark, monkeypatch):
+    """ADX took five checkpoints of whole rows, and after each the rows were dealt anew, two times or three."""
+    written, lapped = [], []
+    dealt, lap = P.scratch.dealt, P.Blocks.lapped
+    monkeypatch.setattr(P.scratch, "dealt", lambda df, *a: (written.append(df.columns), dealt(df, *a))[1])
+    monkeypatch.setattr(P.Blocks, "lapped", lambda self, df: (lapped.append(1), lap(self, df))[1])
+    df = table(spark, panel())
+    got = P.FeatureEngine([asked("ADX", 14)]).compute(df, block_rows=256, keep=())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(written) == 2 and len(lapped) == 1 and not {"open", "volume", "log_close"} & {c for x in written for c in x}
+    assert "Bucketed: true" in plan and got.columns == ["act_symbol", "date", "adx14_14d_T"]
+    whole = P.FeatureEngine([asked("ADX", 14)]).compute(df).select(got.columns)
+    for a, b in zip(got.orderBy("act_symbol", "date").collect(), whole.orderBy("act_symbol", "date").collect(), strict=True):
+        assert a[:2] == b[:2] and (a[2] == pytest.approx(b[2]) if b[2] is not None else a[2] is None)

@@ -18,7 +18,7 @@ ENTRIES: dict = {}
 def computed(spark: SparkSession, sf_dir: str, *requests: FeatureRequest, block_rows: int | None = None) -> DataFrame:
     bars = P.bars(spark, sf_dir, whole=block_rows is None)
     market = P.market(bars) if any("market" in r.feature.inputs for r in requests) else None
-    out = FeatureEngine(list(requests)).compute(bars, market, block_rows)
+    out = FeatureEngine(list(requests)).compute(bars, market, block_rows, keep=(), tasks=P.tasks(spark, sf_dir) if block_rows else None)
     names = [c for r in requests for c in r.columns()]
     return out.select("act_symbol", "date", *[r6(F.col(f"`{c}`").cast("double")).alias(c) for c in names])
 

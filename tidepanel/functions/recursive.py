@@ -2,8 +2,8 @@
 
 Seeds: an exponential average starts with the mean of its first n values; Wilder averages with the mean of the first n
 changes; directional sums with n - 1 terms, smoothed from then on.  Rows before a seed are null; after a null on input
-all further results of the symbol are null.  ``stage`` also has ``first``, the place of a symbol's first value, and
-``scan``.
+all further results of the symbol are null.  ``stage`` also has ``first``, the place of a symbol's first value,
+``scan``, and ``together`` for what shares layers.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ def wilder(x, n, stage):
 
 def rsi(x, n, stage):
     (d,) = stage(x - lag(x))
-    up, down = wilder(F.when(d > 0, d).when(d <= 0, 0.0), n, stage), wilder(F.when(d < 0, -d).when(d >= 0, 0.0), n, stage)
+    rises, falls = F.when(d > 0, d).when(d <= 0, 0.0), F.when(d < 0, -d).when(d >= 0, 0.0)
+    up, down = stage.together(lambda s: wilder(rises, n, s), lambda s: wilder(falls, n, s))
     return F.when(up + down == 0, 0.0).otherwise(100 * F.try_divide(up, up + down))
 
 
@@ -39,8 +40,8 @@ def macd(x, n, stage, fast: int = 12, slow: int = 26, signal: int = 9):
     """Both averages' first values fall on the same row; all outputs begin with the signal."""
     (x,) = stage(x)
     begin = stage.first(x)
-    line = ema(x, fast, stage, begin + (slow - fast)) - ema(x, slow, stage, begin)
-    (line,) = stage(line)
+    short, long = stage.together(lambda s: ema(x, fast, s, begin + (slow - fast)), lambda s: ema(x, slow, s, begin))
+    (line,) = stage(short - long)
     s = ema(line, signal, stage)
     return F.when(s.isNotNull(), line), s, line - s
 
@@ -65,7 +66,7 @@ def directional(high, low, close, n, stage) -> tuple[Column, Column, Column]:
     part = lambda a, b: F.when((a > b) & (a > 0), a).otherwise(0.0)
     plus, minus, tr = stage(part(up, down), part(down, up), true_range(high, low, close))
     # The seed is a plain sum of n - 1 terms, and results begin a row after it.
-    p, m, t = (stage.scan(v, F.lit(1), n - 1, 1 - 1 / n, 1.0, 1.0, 1) for v in (plus, minus, tr))
+    p, m, t = stage.together(*[lambda s, v=v: s.scan(v, F.lit(1), n - 1, 1 - 1 / n, 1.0, 1.0, 1) for v in (plus, minus, tr)])
     a, b = (F.when(t == 0, 0.0).otherwise(100 * F.try_divide(v, t)) for v in (p, m))
     a, b = stage(F.when(t.isNotNull(), a), F.when(t.isNotNull(), b))
     dx = F.when(a + b == 0, 0.0).otherwise(100 * F.try_divide(F.abs(a - b), a + b))

@@ -17,6 +17,9 @@ from pyspark.sql import Window as W
 
 from tidepanel.sources import scratch
 
+#: What places a row among the blocks.
+PLACE = ("act_symbol", "date", "_pos", "_block")
+
 #: Rows of a piece, a power of two; fewer where powers of ``keep`` would leave the range of doubles.
 PIECE = 256
 
@@ -71,7 +74,9 @@ def first_place(df: DataFrame, found: dict[str, Column], blocked: bool) -> DataF
     least = {name: F.min(F.when(x.isNotNull(), F.col("_pos"))) for name, x in found.items()}
     if not blocked:
         return df.withColumns({name: x.over(W.partitionBy("act_symbol")) for name, x in least.items()})
-    return df.join(df.groupBy("act_symbol").agg(*[x.alias(name) for name, x in least.items()]), "act_symbol")
+    # Joined by symbol and block, as rows lie.
+    g = df.groupBy("act_symbol").agg(*[x.alias(name) for name, x in least.items()], F.max("_block").alias("_to"))
+    return df.join(g.select("act_symbol", *found, F.explode(F.sequence(F.lit(0).cast("long"), "_to")).alias("_block")), ["act_symbol", "_block"])
 
 
 def scanned(df: DataFrame, scans: list[Scan], block_rows: int | None) -> DataFrame:

@@ -23,6 +23,7 @@ from tidepanel.functions import recursive as X
 from tidepanel.functions import scans as S
 from tidepanel.functions import windows as R
 from tidepanel.functions.windows import by_date, by_symbol, lag
+from tidepanel.sources import scratch
 
 
 @dataclass(frozen=True)
@@ -268,15 +269,23 @@ class Layers:
     def stage(self) -> Stage:
         return Stage(self)
 
-    def applied(self, df: DataFrame, blocks: Blocks | None) -> DataFrame:
-        for columns, first, scans in self.all:
+    def applied(self, df: DataFrame, blocks: Blocks | None, then: tuple[Column, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+        """``then`` are the expressions made of the layers, ``keep`` the panel's columns that the result has."""
+        made = True
+        for d, (columns, first, scans) in enumerate(self.all):
             df = df.withColumns(columns) if columns else df
-            # With blocks, what a symbol's tasks must know of each other is joined; so rows are written before that.
-            df = S.cut(df) if blocks is not None and (first or scans) else df
+            made = made or bool(columns)
+            if blocks is not None and (first or scans):
+                # What a symbol's tasks must know of each other is joined; so rows are written before that, once a layer.
+                here = [*first.values(), *[c for s in scans for c in (s.x, s.begin)]]
+                after = [*[c for cs, fs, ss in self.all[d + 1 :] for c in (*cs.values(), *fs.values(), *[x for s in ss for x in (s.x, s.begin)])], *then]
+                df = blocks.written(df, [*here, *after], keep) if made else df
+                made = bool(scans)
             df = S.first_place(df, first, blocks is not None) if first else df
             if scans:
                 df = S.scanned(df if blocks is None else blocks.own(df), scans, blocks and blocks.rows)
-                df = df if blocks is None else blocks.lapped(df)
+                # Copies of the neighbours' rows are dealt anew only for windows that follow.
+                df = blocks.lapped(df) if blocks is not None and any(" OVER (" in str(c) for c in after) else df
         return df
 
 
@@ -284,13 +293,13 @@ class Stage:
     """What a kernel gets: turns expressions into columns of its next layer, under names of their own."""
 
     def __init__(self, layers: Layers):
-        self.layers, self.depth = layers, itertools.count()
+        self.layers, self.depth = layers, 0
 
     def _next(self):
-        d = next(self.depth)
-        while len(self.layers.all) <= d:
+        self.depth += 1
+        while len(self.layers.all) < self.depth:
             self.layers.all.append(({}, {}, []))
-        return self.layers.all[d]
+        return self.layers.all[self.depth - 1]
 
     def _name(self) -> str:
         return f"_s{next(self.layers.fresh)}"
@@ -311,13 +320,23 @@ class Stage:
         self._next()[2].append(S.Scan(name, x, begin, n, keep, gain, weight, wait))
         return F.col(name)
 
+    def together(self, *parts: Callable) -> list:
+        """The results of parts that do not need each other, on the same layers."""
+        start, ends, out = self.depth, [], []
+        for part in parts:
+            self.depth = start
+            out.append(part(self))
+            ends.append(self.depth)
+        self.depth = max(ends)
+        return out
+
 
 class Blocks:
     """A symbol's rows in blocks of ``rows`` by place, each with copies of the rows before and after it that windows reach."""
 
-    def __init__(self, rows: int, before: int, after: int):
+    def __init__(self, rows: int, before: int, after: int, tasks: int | None = None):
         self.rows = -(-max(rows, before, after) // S.PIECE) * S.PIECE
-        self.before, self.after = before, after
+        self.before, self.after, self.tasks = before, after, tasks
 
     def placed(self, df: DataFrame) -> DataFrame:
         """Add ``_pos``: rows are numbered inside their month, after a running sum of the months' counts."""
@@ -331,12 +350,19 @@ class Blocks:
         """Rows of all blocks, copies included."""
         mine, at = F.floor(F.col("_pos") / self.rows), F.pmod("_pos", F.lit(self.rows))
         also = F.array(mine, F.when(at >= self.rows - self.before, mine + 1), F.when((at < self.after) & (mine > 0), mine - 1))
-        return df.withColumn("_block", F.explode(F.filter(also, lambda b: b.isNotNull())))
+        df = df.withColumn("_block", F.explode(F.filter(also, lambda b: b.isNotNull())))
+        return df.repartition(scratch.tasks(df.sparkSession, self.tasks), "act_symbol", "_block")
 
     def own(self, df: DataFrame) -> DataFrame:
         """Rows of all blocks without the copies."""
         return df.where(F.floor(F.col("_pos") / self.rows) == F.col("_block"))
 
+    def written(self, df: DataFrame, wanted: list[Column], keep: tuple[str, ...]) -> DataFrame:
+        """What is kept or may occur in ``wanted``, in buckets by symbol and block: joins and windows by them take no exchange."""
+        named = " ".join(str(c) for c in wanted)
+        df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in (*S.PLACE, *keep) or c in named])
+        return scratch.dealt(df, "layer", ("act_symbol", "_block"), self.tasks)
+
 
 class FeatureEngine:
     """Compiles requests; ``compute`` adds their columns to a panel of ``(act_symbol, date, open, ..., volume)``.
@@ -364,21 +390,22 @@ class FeatureEngine:
             layers.all[:] = before
             return tuple(F.lit(None).cast("double") for _ in r.feature.outputs or ("",))
 
-    def compute(self, df: DataFrame, market: DataFrame | None = None, block_rows: int | None = None) -> DataFrame:
-        """``df`` with the requests' columns.
+    def compute(self, df: DataFrame, market: DataFrame | None = None, block_rows: int | None = None, keep: tuple[str, ...] | None = None, tasks: int | None = None) -> DataFrame:
+        """``df`` with the requests' columns; with ``keep`` only so many others beside symbol and date.
 
         Without ``block_rows`` all rows of a symbol meet in one task.  With it a task gets about so many of them (more where
-        windows reach further), at two more exchanges; each layer of scans takes two more and a checkpoint of the rows.
+        windows reach further), at two more exchanges.  Each layer of scans writes the rows once, in ``tasks`` buckets (the
+        session's partitions if not given), what is not kept or needed left out; windows after it take one exchange more.
         Results are the same.  Symbols and dates are then not null, and numpy kernels are not taken.
         """
         if block_rows is None:
-            return self._compute(df, market, None, None)
+            return self._compute(df, market, None, None, keep)
         if any(r.feature.kind == "series" for r in self.requests):
             raise ValueError("numpy kernels need all rows of a symbol in one task")
         with R.blocked("act_symbol", "_block") as reach:
-            return self._compute(df, market, block_rows, reach)
+            return self._compute(df, market, block_rows, reach, keep, tasks)
 
-    def _compute(self, df: DataFrame, market: DataFrame | None, block_rows: int | None, reach: list[int] | None) -> DataFrame:
+    def _compute(self, df: DataFrame, market: DataFrame | None, block_rows: int | None, reach: list[int] | None, only: tuple[str, ...] | None, tasks: int | None = None) -> DataFrame:
         given = list(df.columns)
         there = {*prepare(df if block_rows is None else df.withColumn("_block", F.lit(0))).columns, *[f"MKT_{r.market_ref}_RET" for r in self.requests if r.market_ref and r.name in RETURN_ONLY]}
         layers = Layers()
@@ -407,7 +434,7 @@ class FeatureEngine:
         blocks = None
         if block_rows is not None:
             # The logs and returns of prepare() reach a row back.
-            blocks = Blocks(block_rows, reach[0] + 1, reach[1])
+            blocks = Blocks(block_rows, reach[0] + 1, reach[1], tasks)
             df = blocks.lapped(blocks.placed(df))
         df = prepare(df)
         base = [c for c in df.columns if c not in ("_pos", "_block")]
@@ -416,7 +443,9 @@ class FeatureEngine:
             base.append(f"MKT_{ref}_RET")
         if blocks is None and any(scans for _, _, scans in layers.all):
             df = df.withColumn("_pos", (F.row_number().over(by_symbol()) - 1).cast("long"))
-        df = layers.applied(df, blocks)
+        if only is not None:
+            given, base = ([c for c in names if c in ("act_symbol", "date", *only)] for names in (given, base))
+        df = layers.applied(df, blocks, (*last.values(), *derived.values(), *moved.values()), tuple(base))
         df = df.withColumns(last) if last else df
         df = df.select(*base, *last, *(["_pos", "_block"] if blocks else []))
         if series:

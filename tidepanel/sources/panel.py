@@ -19,6 +19,11 @@ def symbol(key) -> F.Column:
 TASK_TRADES = 100_000
 
 
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks trades are dealt to; the rows of a Parquet table are counted from its files' footers."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // TASK_TRADES))
+
+
 def bars(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
     """Daily OHLCV: one row per supplier and shipping day; a trade's price is extended price / quantity.
 
@@ -30,11 +35,9 @@ def bars(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
         symbol("l_suppkey").alias("act_symbol"), F.to_date("l_shipdate").alias("date"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("at"),
     )
-    # The rows of a Parquet table are counted from its files' footers.
-    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // TASK_TRADES))
     keys = ["act_symbol"] if whole else ["act_symbol", "month"]
     dealt = trades.withColumn("month", F.trunc("date", "month")) if not whole else trades
-    dealt = dealt.repartition(tasks, *keys).withColumns({"q": F.col("at.l_quantity"), "p": F.try_divide("at.l_extendedprice", "at.l_quantity")})
+    dealt = dealt.repartition(tasks(spark, sf_dir), *keys).withColumns({"q": F.col("at.l_quantity"), "p": F.try_divide("at.l_extendedprice", "at.l_quantity")})
     return dealt.groupBy(*keys, "date").agg(
         F.min_by("p", "at").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"),
         F.max_by("p", "at").alias("close"), F.sum("q").alias("volume"),

@@ -31,3 +31,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tasks(spark: SparkSession, wanted: int | None) -> int:
+    """``wanted``, or the session's partitions."""
+    return wanted or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame, name: str, keys: tuple[str, ...], wanted: int | None = None) -> DataFrame:
+    """As :func:`written`, in buckets by ``keys``: what meets by them needs no exchange, however often the table is read.
+
+    A task writes a file for each bucket that it has rows of: one, if rows already lie by ``keys`` in as many tasks.
+    """
+    spark = df.sparkSession
+    table = f"scratch_{uuid.uuid4().hex}"
+    df.write.bucketBy(tasks(spark, wanted), *keys).format("parquet").option("path", fresh(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    # The files stay; only the name goes.
+    spark.sql(f"DROP TABLE {table}")
+    return out
