@@ -25,3 +25,10 @@ def test_tasks_follow_the_trades(spark, sf, monkeypatch, whole):
     assert bars.rdd.getNumPartitions() == -(-trades // 500) > 4
     monkeypatch.setattr(panel, "TASK_TRADES", 10**9)
     assert sorted(bars.collect()) == sorted(panel.bars(spark, sf, not whole).collect())
+
+
+@pytest.mark.parametrize("name", ["fund_all_data", "fund_batch", "split_adjust_batch"])
+def test_bars_stay_where_they_lie(spark, sf, monkeypatch, name):
+    """Splits and releases are brought to the bars; before, as-of joins dealt the bars anew, to the session's partitions."""
+    monkeypatch.setattr(panel, "TASK_TRADES", 500)
+    assert entries()[name][0](spark, sf).rdd.getNumPartitions() == panel.tasks(spark, sf) > 4

@@ -65,7 +65,7 @@ def one_sql(name):
 def everything(s, d):
     b, sp = bars_and_splits(s, d)
     x = st(s, d)
-    out = T.all_data(b, sp, x, P.calendar(x))
+    out = T.all_data(b, sp, x, P.calendar(x), tasks=P.tasks(s, d))
     nums = ["open", "high", "low", "close", "volume", "prev_close", "log_ret", "prev_ret", "ret_5d", "ret_20d", "vol_20d", *SEVEN]
     return rounded(out, *nums)
 
@@ -94,7 +94,7 @@ def days_single(s, d):
 
 def batched(s, d):
     x = st(s, d)
-    out = T.batch(P.bars(s, d), S.etfs(P.symbols(s, d)), x, P.calendar(x))
+    out = T.batch(P.bars(s, d), S.etfs(P.symbols(s, d)), x, P.calendar(x), tasks=P.tasks(s, d))
     return rounded(out.select("act_symbol", "date", "close", "release_date", "ROIC", "operating_margin", "days_since_release"), "ROIC", "operating_margin")
 
 
@@ -105,7 +105,7 @@ def split_single(s, d):
 
 
 def split_batch(s, d):
-    return rounded(X.adjust(*bars_and_splits(s, d)), "open", "high", "low", "close", "volume")
+    return rounded(X.adjust(*bars_and_splits(s, d), tasks=P.tasks(s, d)), "open", "high", "low", "close", "volume")
 
 
 def joined(s, d):

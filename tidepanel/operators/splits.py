@@ -41,12 +41,13 @@ def accepted(bars: DataFrame, splits: DataFrame, margin: float = MARGIN) -> Data
     return gap.select("act_symbol", F.explode(F.aggregate("splits", start, step)["taken"]).alias("s")).select("act_symbol", "s.ex_date", "s.ratio")
 
 
-def adjust(bars: DataFrame, splits: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """Prices before a split divided by its ratio, volumes multiplied, for all symbols at once."""
+def adjust(bars: DataFrame, splits: DataFrame, margin: float = MARGIN, tasks: int | None = None) -> DataFrame:
+    """Prices before a split divided by its ratio, volumes multiplied, for all symbols at once; bars that lie by symbol in
+    so many ``tasks`` stay there."""
     a = accepted(bars, splits, margin).groupBy("act_symbol", "ex_date").agg(F.product("ratio").alias("r"))
     w = W.partitionBy("act_symbol").orderBy(F.col("ex_date").desc())
     # The product of all ratios at or after each split applies to the bars before it.
     a = a.select("act_symbol", "ex_date", F.product("r").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("factor"), F.date_sub("ex_date", 1).alias("until"))
-    out = asof(bars, a, "date", "until", forward=True, payload={"factor": "_f"}).withColumn("_f", F.coalesce("_f", F.lit(1.0)))
+    out = asof(bars, a, "date", "until", forward=True, payload={"factor": "_f"}, tasks=tasks).withColumn("_f", F.coalesce("_f", F.lit(1.0)))
     prices = [c for c in ("open", "high", "low", "close", "prev_close") if c in bars.columns]
     return out.withColumns({c: F.col(c) / F.col("_f") for c in prices} | {"volume": F.col("volume") * F.col("_f")}).drop("_f")

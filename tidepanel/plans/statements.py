@@ -43,10 +43,12 @@ def shifted_release(statements: DataFrame, calendar: DataFrame) -> DataFrame:
     return s.join(c, ["act_symbol", "_k"], "left").drop("_k")
 
 
-def on_bars(bars: DataFrame, released: DataFrame, columns: list[str], missing: int | None = None) -> DataFrame:
-    """Each bar with the latest release at or before it, and the days since (``missing`` where there is none)."""
+def on_bars(bars: DataFrame, released: DataFrame, columns: list[str], missing: int | None = None, tasks: int | None = None) -> DataFrame:
+    """Each bar with the latest release at or before it, and the days since (``missing`` where there is none).
+
+    Here and below, bars that lie by symbol in so many ``tasks`` stay there."""
     payload = {"release_date": "release_date", **{c: c for c in columns}}
-    out = asof(bars, released.select("act_symbol", "release_date", *columns), "date", "release_date", payload=payload)
+    out = asof(bars, released.select("act_symbol", "release_date", *columns), "date", "release_date", payload=payload, tasks=tasks)
     days = F.datediff("date", "release_date")
     return out.withColumn("days_since_release", days if missing is None else F.coalesce(days, F.lit(missing)))
 
@@ -59,14 +61,14 @@ def price_variables(bars: DataFrame) -> DataFrame:
     return b.withColumns({"prev_ret": R.lag(r), "ret_5d": R.total(r, 5), "ret_20d": R.total(r, 20), "vol_20d": R.deviation(r, 20)})
 
 
-def all_data(bars: DataFrame, splits: DataFrame, statements: DataFrame, calendar: DataFrame, stock_splits: bool = True) -> DataFrame:
+def all_data(bars: DataFrame, splits: DataFrame, statements: DataFrame, calendar: DataFrame, stock_splits: bool = True, tasks: int | None = None) -> DataFrame:
     """Variables, bars adjusted for splits with their price variables, and the variables on the bars."""
-    b = price_variables(adjust(bars, splits) if stock_splits else bars)
-    return on_bars(b, with_release(variables(statements), calendar), list(V.VARIABLES))
+    b = price_variables(adjust(bars, splits, tasks=tasks) if stock_splits else bars)
+    return on_bars(b, with_release(variables(statements), calendar), list(V.VARIABLES), tasks=tasks)
 
 
-def batch(bars: DataFrame, etfs: DataFrame, statements: DataFrame, calendar: DataFrame) -> DataFrame:
+def batch(bars: DataFrame, etfs: DataFrame, statements: DataFrame, calendar: DataFrame, tasks: int | None = None) -> DataFrame:
     """Bars without ETFs, with ROIC and operating margin as released and the days since, -1 before the first."""
     s = statements.select("act_symbol", "date", V.roic().alias("ROIC"), V.operating_margin().alias("operating_margin"))
     b = bars.join(etfs.select("act_symbol"), "act_symbol", "left_anti")
-    return on_bars(b, with_release(s, calendar), ["ROIC", "operating_margin"], missing=-1)
+    return on_bars(b, with_release(s, calendar), ["ROIC", "operating_margin"], missing=-1, tasks=tasks)
