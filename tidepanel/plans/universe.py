@@ -1,15 +1,18 @@
 """Monthly investable universes without a loop over months.
 
-A bar at date D belongs to the history [T - 1 year, T) of the twelve month starts T that follow it.  What a bar needs of
-earlier bars (differences, returns) is computed once per symbol; the twelve months are then unfolded row by row into one
-aggregation, whose groups (target, symbol) lie within the symbols' partitions, so nothing is shuffled or sorted twelve
-times.  It gives one table of statistics a (target, symbol); the filters narrow that table in order.
+A bar at date D belongs to the history [T - 1 year, T) of the twelve month starts T that follow it.  Prices and volumes
+are unfolded row by row over these months into one aggregation, whose groups (target, symbol) lie within the symbols'
+partitions, so nothing is shuffled or sorted twelve times.  Where statistics of the year are asked for, a symbol's bars
+meet as arrays and all its months are made of them at once.  Either way there is one table of statistics a (target,
+symbol); the filters narrow that table in order.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -35,22 +38,10 @@ def months(panel: DataFrame, start=None, end=None) -> DataFrame:
     return panel.agg(F.sequence(F.trunc(lo, "month"), F.trunc(hi, "month"), F.expr("interval 1 month")).alias("m")).select(F.explode("m").alias("target"))
 
 
-def lagged(panel: DataFrame) -> DataFrame:
-    """Add what the statistics need of a symbol's other bars; columns that a query does not use are never computed.
-
-    ``_at{k}`` is the date of the bar k rows before and ``_d{k}`` the close's change since then; ``_next`` is the date
-    of the 200th bar after this one.
-    """
-    close = F.col("close")
-    before = {f"_at{k}": F.lag("date", k).over(by_symbol()) for k in (1, *LAGS)}
-    change = {f"_d{k}": close - F.lag("close", k).over(by_symbol()) for k in LAGS}
-    return panel.withColumns({**before, **change, "_r": F.ln(F.try_divide(close, F.lag("close").over(by_symbol()))), "_next": F.lead("date", 200).over(by_symbol())})
-
-
 def history(panel: DataFrame, targets: DataFrame) -> DataFrame:
     """Bars by target month: those in the year before it."""
     first = F.trunc("date", "month")
-    out = lagged(panel).withColumn("target", F.explode(F.sequence(F.add_months(first, 1), F.add_months(first, 12), F.expr("interval 1 month"))))
+    out = panel.withColumn("target", F.explode(F.sequence(F.add_months(first, 1), F.add_months(first, 12), F.expr("interval 1 month"))))
     # A bar at the very day a year before is in; bars before it are not.
     return out.join(F.broadcast(targets), "target", "left_semi").where((F.col("date") >= F.add_months("target", -12)) & (F.col("date") < F.col("target")))
 
@@ -63,37 +54,100 @@ def price_stats() -> dict:
     }
 
 
-def year_stats() -> dict:
-    """A difference counts in a history if both its bars do."""
-    close, start = F.col("close"), F.add_months("target", -12)
-    inside = lambda k, x: F.when(F.col(f"_at{k}") >= start, F.col(x))
-    return {
-        "history_days": F.count("*"), "first_price": F.min_by("close", "date"), "last_price": F.max_by("close", "date"),
-        "sd": F.stddev_pop(inside(1, "_r")), "sma": F.avg(F.when(F.col("_next").isNull() | (F.col("_next") >= F.col("target")), close)),
-        **{f"s{k}": F.stddev_pop(inside(k, f"_d{k}")) for k in LAGS},
-    }
-
-
-def finished(g: DataFrame) -> DataFrame:
-    """Return, volatility, Hurst slope and uptrend from the sums of a year."""
-    tau = F.array(*[F.struct(F.lit(float(k)).alias("lag"), F.greatest(F.sqrt(F.coalesce(f"s{k}", F.lit(0.0))), F.lit(0.0)).alias("tau")) for k in LAGS])
-    points = F.transform(tau, lambda p: F.struct(F.ln(p["lag"]).alias("x"), F.ln(F.when(p["tau"] > 0, p["tau"]).otherwise(1e-8)).alias("y")))
-    g = g.withColumn("_p", points)
-    n = len(LAGS)
-    total = lambda f: F.aggregate("_p", F.lit(0.0), lambda a, p: a + f(p))
-    slope = (n * total(lambda p: p["x"] * p["y"]) - total(lambda p: p["x"]) * total(lambda p: p["y"])) / (n * total(lambda p: p["x"] * p["x"]) - total(lambda p: p["x"]) * total(lambda p: p["x"]))
-    long = F.col("history_days") >= 30
-    return g.withColumns({
-        "year_return": F.try_divide(F.col("last_price"), F.col("first_price")) - 1,
-        "volatility": F.when(long, F.col("sd") * F.sqrt(F.lit(252.0))), "hurst": F.when(long, slope),
-        "uptrend": F.coalesce((F.col("history_days") >= 200) & (F.col("last_price") > F.col("sma")), F.lit(False)),
-    }).drop("_p", "sd", "sma", "first_price", *[f"s{k}" for k in LAGS])
-
-
-def statistics(past: DataFrame) -> DataFrame:
-    """One row a (target, symbol) with all that filters ask for; what they do not ask for is pruned."""
-    aggs = {**price_stats(), **year_stats()}
-    return finished(past.groupBy(*KEYS).agg(*[v.alias(k) for k, v in aggs.items()]))
+def price_statistics(past: DataFrame) -> DataFrame:
+    """One row a (target, symbol) of a history with what filters ask for that need no statistics of the year."""
+    return past.groupBy(*KEYS).agg(*[v.alias(k) for k, v in price_stats().items()])
+
+
+#: What :func:`statistics` gives beside target and symbol.
+STATISTICS = "dollar_volume double, average_price double, known_price double, history_days long, last_price double, year_return double, volatility double, hurst double, uptrend boolean"
+
+
+class Windows:
+    """Stretches [begin, end) of a symbol's rows, none of them empty, and figures of a series in each of them."""
+
+    def __init__(self, begin: np.ndarray, end: np.ndarray):
+        self.begin, self.end = begin, end
+        size = end - begin
+        self.heads = np.cumsum(size) - size
+        self.of = np.repeat(np.arange(len(size)), size)
+        self.place = np.arange(len(self.of)) - self.heads[self.of]
+        self.row = begin[self.of] + self.place
+
+    def mean(self, x: np.ndarray, where: np.ndarray | bool = True) -> np.ndarray:
+        """The mean of the values there are, NaN without any."""
+        v = x[self.row]
+        ok = where & ~np.isnan(v)
+        n = np.add.reduceat(ok, self.heads, dtype=np.int64)
+        return np.where(n > 0, np.add.reduceat(np.where(ok, v, 0.0), self.heads) / np.maximum(n, 1), np.nan)
+
+    def deviation(self, x: np.ndarray, k: int) -> np.ndarray:
+        """The population's deviation of the values from place ``k`` on, NaN without any.
+
+        Values are taken from the window's first one, then from their mean: equal values have exactly 0, and no sum of
+        squares is taken off another one.
+        """
+        n_rows, there = len(x), ~np.isnan(x)
+        after = np.minimum.accumulate(np.where(there, np.arange(n_rows), n_rows)[::-1])[::-1]
+        first = np.where(self.begin + k < self.end, after[np.minimum(self.begin + k, n_rows - 1)], n_rows)
+        shift = np.where(first < self.end, x[np.minimum(first, n_rows - 1)], 0.0)
+        ok = (self.place >= k) & there[self.row]
+        n = np.add.reduceat(ok, self.heads, dtype=np.int64)
+        v = np.where(ok, x[self.row] - shift[self.of], 0.0)
+        v = np.where(ok, v - (np.add.reduceat(v, self.heads) / np.maximum(n, 1))[self.of], 0.0)
+        return np.where(n > 0, np.sqrt(np.add.reduceat(v * v, self.heads) / np.maximum(n, 1)), np.nan)
+
+    def last(self, x: np.ndarray) -> np.ndarray:
+        """The last value there is, NaN without any."""
+        at = np.maximum.accumulate(np.where(np.isnan(x), -1, np.arange(len(x))))[self.end - 1]
+        return np.where(at >= self.begin, x[at], np.nan)
+
+
+def _symbol_statistics(t: pa.Table) -> pa.Table:
+    """All months' statistics of one symbol; or those of one ``target``, with the first days of its year and its month."""
+    order = np.argsort(t["date"].to_numpy(), kind="stable")
+    date, close, volume = (t[c].to_numpy()[order] for c in ("date", "close", "volume"))
+    if "target" in t.column_names:
+        target, start, recent = (t[c].to_numpy()[:1] for c in ("target", "_start", "_recent"))
+    else:
+        month = date.astype("datetime64[M]")
+        ahead = np.arange(month[0] + 1, month[-1] + 13)
+        target, start, recent = (m.astype("datetime64[D]") for m in (ahead, ahead - 12, ahead - 1))
+    begin, end = np.searchsorted(date, start), np.searchsorted(date, target)
+    full = end > begin
+    target, recent, w = target[full], recent[full], Windows(begin[full], end[full])
+    with np.errstate(all="ignore"):
+        # A difference counts in a history if both its bars do.
+        before = lambda k: np.concatenate([np.full(min(k, len(close)), np.nan), close[:-k]])
+        ratio = np.where(before(1) != 0, close / before(1), np.nan)
+        sd = w.deviation(np.log(np.where(ratio > 0, ratio, np.nan)), 1)
+        tau = np.sqrt(np.nan_to_num(np.array([w.deviation(close - before(k), k) for k in LAGS])))
+        x, y = np.log(np.array(LAGS, dtype=float))[:, None], np.log(np.where(tau > 0, tau, 1e-8))
+        n = len(LAGS)
+        slope = (n * (x * y).sum(0) - x.sum() * y.sum(0)) / (n * (x * x).sum() - x.sum() ** 2)
+        days, first, last = w.end - w.begin, close[w.begin], close[w.end - 1]
+        long = days >= 30
+        columns = {
+            "dollar_volume": w.mean(close * volume, date[w.row] >= recent[w.of]), "average_price": w.mean(close), "known_price": w.last(close),
+            "history_days": days.astype(np.int64), "last_price": last, "year_return": np.where(first != 0, last / first, np.nan) - 1,
+            "volatility": np.where(long, sd * np.sqrt(252.0), np.nan), "hurst": np.where(long, slope, np.nan),
+            "uptrend": (days >= 200) & (last > w.mean(close, w.row >= w.end[w.of] - 200)),
+        }
+    symbols = t["act_symbol"].take(pa.array(np.zeros(len(target), dtype=np.int64)))
+    return pa.table({"target": pa.array(target), "act_symbol": symbols, **{c: pa.array(v, from_pandas=True) for c, v in columns.items()}})
+
+
+def statistics(panel: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """One row a (target, symbol) with all that filters ask for, for the month starts ``targets``; without them the panel
+    is one history, whose ``target`` it has.
+
+    A symbol has a row a day, so a century of it is 40,000 rows; more than that no task holds at once.  Groups of fewer
+    than 30 rows have no volatility and slope; the uptrend needs 200.
+    """
+    span = [] if targets is not None else ["target", F.add_months("target", -12).alias("_start"), F.add_months("target", -1).alias("_recent")]
+    rows = panel.where("date is not null").select("act_symbol", F.to_date("date").alias("date"), *[F.col(c).cast("double").alias(c) for c in ("close", "volume")], *span)
+    out = rows.groupBy("act_symbol").applyInArrow(_symbol_statistics, f"target date, act_symbol {panel.schema['act_symbol'].dataType.simpleString()}, {STATISTICS}")
+    return out if targets is None else out.join(F.broadcast(targets), "target", "left_semi")
 
 
 def liquidity(past: DataFrame) -> DataFrame:
@@ -102,16 +156,15 @@ def liquidity(past: DataFrame) -> DataFrame:
     return recent.groupBy(*KEYS).agg(F.avg(F.col("close") * F.col("volume")).alias("dollar_volume"))
 
 
-def yearly_stats(past: DataFrame) -> DataFrame:
-    """History length, return, annualised volatility, Hurst slope, last price and uptrend by (target, symbol).
-
-    Groups of fewer than 30 rows have no volatility and slope; the uptrend needs 200.
-    """
-    return statistics(past).select(*KEYS, "history_days", "year_return", "volatility", "hurst", "last_price", "uptrend")
+def yearly_stats(panel: DataFrame, targets: DataFrame) -> DataFrame:
+    """History length, return, annualised volatility, Hurst slope, last price and uptrend by (target, symbol)."""
+    return statistics(panel, targets).select(*KEYS, "history_days", "year_return", "volatility", "hurst", "last_price", "uptrend")
 
 
 class Filter:
-    """Narrows a table of :func:`statistics`."""
+    """Narrows a table of :func:`statistics`; without ``yearly`` it asks for those of :func:`price_statistics` only."""
+
+    yearly = True
 
     def __init__(self, name: str):
         self.name = name
@@ -122,6 +175,8 @@ class Filter:
 
 
 class TopLiquidityFilter(Filter):
+    yearly = False
+
     def __init__(self, N: int):
         super().__init__(f"top {N} by liquidity")
         self.n = N
@@ -132,6 +187,7 @@ class TopLiquidityFilter(Filter):
 
 
 class PriceFilter(Filter):
+    yearly = False
     METHODS = ("close_price", "avg_price_over_last_year")
 
     def __init__(self, min_price: float = 5.0, method: str = "close_price"):
@@ -186,21 +242,24 @@ class Universe:
         self.filters.append(f)
         return self
 
-    def _alive(self, past: DataFrame) -> DataFrame:
-        stats = statistics(past)
+    def _alive(self, panel: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+        if any(f.yearly for f in self.filters):
+            stats = statistics(panel, targets)
+        else:
+            stats = price_statistics(panel if targets is None else history(panel, targets))
         for f in self.filters:
             stats = f.apply(stats)
         return stats.select(*KEYS)
 
     def members(self, targets: DataFrame) -> DataFrame:
         """``(target, act_symbol)`` after all filters, each on the survivors of those before."""
-        return self._alive(history(self.panel, targets))
+        return self._alive(self.panel, targets)
 
     def get_universe_for_month(self, date) -> DataFrame:
         """The rows of the survivors in the month from ``date`` on; any day may be asked for."""
         day = F.lit(date).cast("date")
         past = self.panel.where((F.col("date") >= F.add_months(day, -12)) & (F.col("date") < day))
-        alive = self._alive(lagged(past).withColumn("target", day))
+        alive = self._alive(past.withColumn("target", day))
         rows = self.panel.where((F.col("date") >= day) & (F.col("date") < F.add_months(day, 1)))
         return rows.join(alive.select("act_symbol"), "act_symbol", "left_semi")
 
