@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from tidepanel.catalog import entries
 from tidepanel.plans import universe as U
 
 
@@ -54,3 +55,13 @@ def test_months_from_one_pass_over_bars(spark):
             assert r.uptrend == bool(len(c) >= 200 and close[-1] > np.nanmean(close[-200:]))
             assert r.year_return is None if np.isnan(close[0] + close[-1]) else r.year_return == pytest.approx(close[-1] / close[0] - 1)
     assert seen > 60 and len(got) == seen
+
+
+def test_trades_are_dealt_once_for_members_and_rows(spark, sf):
+    """Filters on null keys lay below one of two exchanges of the same trades, so both were made."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = entries()["univ_all_months"][0](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange [act_symbol" in plan and "at#" in plan.split("ReusedExchange [act_symbol", 1)[1].split("\n")[0]

@@ -266,7 +266,9 @@ class Universe:
     def get_all_universe_data(self, save_name: str | None = None, dates: tuple | None = None) -> DataFrame:
         """The survivors' rows of every month, in the order of symbol and date where they are saved."""
         targets = months(self.panel, *(dates or (None, None)))
-        rows = self.panel.withColumn("target", F.trunc("date", "month")).join(self.members(targets), KEYS, "left_semi").drop("target")
+        # Only such rows can join; asked for on both sides, they are dealt once for both.
+        panel = self.panel.where("act_symbol is not null and date is not null")
+        rows = panel.withColumn("target", F.trunc("date", "month")).join(self._alive(panel, targets), KEYS, "left_semi").drop("target")
         if save_name:
             save(rows.orderBy("act_symbol", "date"), save_name)
         return rows
