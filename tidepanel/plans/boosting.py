@@ -1,23 +1,30 @@
 """Boosted trees over binned rows, several ensembles at once: a job a level for all of them.
 
-Rows lie as bytes, one a feature, in a block a partition.  A level's job sends the counts and sums of each node and bin,
+Rows lie as bytes, one a feature, in a block a partition, which tasks map into memory from the scratch folder.  A level's job sends the counts and sums of each node and bin,
 from which the splits are chosen; so what reaches the driver has the same size for any number of rows.
 """
 
 from __future__ import annotations
 
+import contextlib
+import os
+import shutil
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tidepanel.functions import scans as S
+from tidepanel.sources import scratch
 
 BINS = 32
 #: Rows of a partition where there are more than the cores' own; partitions whose tables meet at once on the driver.
 BLOCK_ROWS, MEET = 500_000, 64
+#: Rows that are counted at once, so few that their keys stay in a core's cache.
+CHUNK = 1 << 16
 #: Rounds after which the rows' state is checkpointed, as each round's is made from the last one.
 KEPT_ROUNDS = 25
 
@@ -33,21 +40,59 @@ def cuts_of(df: DataFrame, columns: list[str], bins: int = BINS) -> list[list[fl
     return [sorted(set(c)) for c in df.stat.approxQuantile(columns, at, 1 / (4 * bins))]
 
 
-def packed(df: DataFrame, columns: list[str], label: str, cuts: list[list[float]]):
-    """An RDD of ``(bins by column and row, labels)``, one a partition that has rows."""
+def hashed(seeds: np.ndarray, number: int) -> np.ndarray:
+    """Spark's ``xxhash64`` of an int, after columns whose ``xxhash64`` is ``seeds`` (as unsigned numbers)."""
+    first, second, third, fifth = (np.uint64(n) for n in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    turn, back, half, low = (np.uint64(n) for n in (23, 41, 33, 29))
+    with np.errstate(over="ignore"):
+        h = (seeds + (fifth + np.uint64(4))) ^ (np.uint64(number) * first)
+        h = ((h << turn) | (h >> back)) * second + third
+        h = (h ^ (h >> half)) * second
+        h = (h ^ (h >> low)) * third
+    return h ^ (h >> np.uint64(32))
+
+
+def shadows(x: np.ndarray, group: np.ndarray, hashes: np.ndarray, seeds: list[int]) -> np.ndarray:
+    """The columns, and for each seed a shadow of each: in each group its bins in the order of a hash of its own."""
+    p = len(x)
+    out = np.concatenate([x, np.empty((p * len(seeds), x.shape[1]), np.uint8)])
+    ends = [*np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)]
+    for i, seed in enumerate(seeds):
+        of_seed = hashed(hashes, seed)
+        for k in range(p):
+            order, to, begin = hashed(of_seed, k).view(np.int64), out[p * (i + 1) + k], 0
+            for end in ends:
+                to[begin:end] = x[k, begin:end][order[begin:end].argsort(kind="stable")]
+                begin = end
+    return out
+
+
+def packed(df: DataFrame, columns: list[str], label: str, cuts: list[list[float]], seeds: list[int] | None = None):
+    """An RDD of ``(bins by column and row, labels)``, one a partition that has rows.
+
+    With ``seeds``, rows lie by ``_group``, a partition whole groups, and have ``_hash``; :func:`shadows` follow the columns.
+    """
     edges = [np.array(c) for c in cuts]
+    seeds = seeds or []
+    p = len(columns)
+    dealt = ["_group", "_hash"] if seeds else []
 
     def pack(batches):
-        x, y = [], []
+        x, y, g, h = [], [], [], []
         for b in batches:
             x.append(np.stack([np.searchsorted(e, b.column(k).to_numpy(zero_copy_only=False)).astype(np.uint8) for k, e in enumerate(edges)]))
-            y.append(b.column(len(edges)).to_numpy(zero_copy_only=False))
+            y.append(b.column(p).to_numpy(zero_copy_only=False))
+            for k, held in enumerate((g, h)[: len(dealt)]):
+                held.append(b.column(p + 1 + k).to_numpy(zero_copy_only=False))
         if x:
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(x, axis=1).tobytes()], pa.binary()), pa.array([np.concatenate(y).tobytes()], pa.binary())], names=["x", "y"])
+            bins = np.concatenate(x, axis=1)
+            if seeds:
+                bins = shadows(bins, np.concatenate(g), np.concatenate(h).view(np.uint64), seeds)
+            yield pa.RecordBatch.from_arrays([pa.array([bins.tobytes()], pa.binary()), pa.array([np.concatenate(y).tobytes()], pa.binary())], names=["x", "y"])
 
-    p = len(columns)
-    rows = df.select(*[f"`{c}`" for c in columns], f"`{label}`").mapInArrow(pack, "x binary, y binary")
-    return rows.rdd.map(lambda r: (np.frombuffer(r.x, np.uint8).reshape(p, -1), np.frombuffer(r.y, np.float64)))
+    rows = df.select(*[f"`{c}`" for c in columns], f"`{label}`", *dealt).mapInArrow(pack, "x binary, y binary")
+    width = p * (1 + len(seeds))
+    return rows.rdd.map(lambda r: (np.frombuffer(r.x, np.uint8).reshape(width, -1), np.frombuffer(r.y, np.float64)))
 
 
 @dataclass
@@ -65,12 +110,14 @@ class Tree:
 
     def nodes(self, x: np.ndarray, levels: int) -> np.ndarray:
         """The node of each row, as many levels down or where it ends before."""
-        at = np.ones(x.shape[1], np.int64)
-        for level in range(levels):
-            for k in range(2**level, 2 ** (level + 1)):
-                if self.feature[k] >= 0:
-                    here = np.flatnonzero(at == k) if level else slice(None)
-                    at[here] = 2 * k + (x[self.feature[k], here] > self.bin[k])
+        at = np.ones(x.shape[1], np.min_scalar_type(2 ** (levels + 1)))
+        for k in range(1, 2**levels):
+            if self.feature[k] >= 0:
+                # From k to 2 k or 2 k + 1, in bytes and without branches.
+                to = (x[self.feature[k]] > self.bin[k]).astype(at.dtype)
+                to += at.dtype.type(k)
+                to *= at == k
+                at += to
         return at
 
 
@@ -81,19 +128,40 @@ def residuals(y: np.ndarray, f: np.ndarray | None, logistic: bool) -> np.ndarray
     return 4 * y / (1 + np.exp(2 * y * f)) if logistic else 2 * (y - f)
 
 
-def tables(x: np.ndarray, r: np.ndarray, tree: Tree, level: int, columns: list[int], bins: int) -> np.ndarray:
-    """Counts and sums by column, node of the level and bin."""
+def tables(x: np.ndarray, rest, tree: Tree, level: int, columns: list[int], bins: int, count: bool = True) -> np.ndarray:
+    """Counts and sums of ``rest(part)``, a slice's residuals, by column, node of the level and bin; sums alone without ``count``.
+
+    Two columns share a pass: counts and sums by pairs of their bins hold those of both.
+    """
     n = 2**level
-    node = tree.nodes(x, level) - n
-    if (node < 0).any():
-        keep = node >= 0
-        x, r, node = x[:, keep], r[keep], node[keep]
-    out = np.empty((2, len(columns), n * bins))
-    for k, c in enumerate(columns):
-        key = node * bins + x[c]
-        out[0, k] = np.bincount(key, minlength=n * bins)
-        out[1, k] = np.bincount(key, r, minlength=n * bins)
-    return out.reshape(2, len(columns), n, bins)
+    pairs = [range(k, min(k + 2, len(columns))) for k in range(0, len(columns), 2)]
+    sums = [np.zeros((2, n * bins ** len(two))) for two in pairs]
+    for begin in range(0, x.shape[1], CHUNK):
+        part = slice(begin, begin + CHUNK)
+        r, mine, node = rest(part), x[:, part], None
+        if level:
+            at = tree.nodes(mine, level)
+            if at.min() < n:
+                here = at >= n
+                r, mine, at = r[here], mine[:, here], at[here]
+            node = (at - at.dtype.type(n)).astype(np.int64) * bins**2
+        for two, held in zip(pairs, sums, strict=True):
+            key = mine[columns[two[0]]].astype(np.uint16)
+            if len(two) == 2:
+                key *= np.uint16(bins)
+                key += mine[columns[two[1]]]
+            key = key.astype(np.int64) if node is None else (node if len(two) == 2 else node // bins) + key
+            if count:
+                held[0] += np.bincount(key, minlength=held.shape[1])
+            held[1] += np.bincount(key, r, minlength=held.shape[1])
+    out = np.empty((2, len(columns), n, bins))
+    for two, held in zip(pairs, sums, strict=True):
+        if len(two) == 1:
+            out[:, two[0]] = held.reshape(2, n, bins)
+        else:
+            held = held.reshape(2, n, bins, bins)
+            out[:, two[0]], out[:, two[1]] = held.sum(axis=3), held.sum(axis=2)
+    return out
 
 
 def grown(tree: Tree, level: int, table: np.ndarray, columns: list[int], gain: np.ndarray) -> None:
@@ -117,50 +185,139 @@ def grown(tree: Tree, level: int, table: np.ndarray, columns: list[int], gain: n
         gain[columns[c]] += fall[c, b]
 
 
+def moved(x: np.ndarray, f: np.ndarray | None, tree: Tree, weight: float) -> np.ndarray:
+    """The rows' predictions, of which ``f`` are those before, with one more tree."""
+    out = np.zeros(x.shape[1]) if f is None else np.array(f)
+    value = tree.value * weight
+    for at in range(0, len(out), CHUNK):
+        part = slice(at, at + CHUNK)
+        out[part] += value[tree.nodes(x[:, part], tree.depth)]
+    return out
+
+
+class Mapped:
+    """Blocks as files of a folder that all machines see, mapped into memory by each task: no row goes through a socket.
+
+    A round's predictions are a new file beside the last round's, so that a task may run again.
+    """
+
+    def __init__(self, blocks, folder: str, ensembles: int):
+        def store(rows):
+            for x, y in rows:
+                name = f"{folder}/{uuid.uuid4().hex}"
+                x.tofile(f"{name}.x")
+                y.tofile(f"{name}.y")
+                yield name, x.shape
+
+        self.folder, self.ensembles = folder, ensembles
+        os.makedirs(folder, exist_ok=True)
+        self.blocks = blocks.mapPartitions(store).collect()
+        self.context = blocks.context
+        self.round, self.told = 0, None
+
+    def add(self, trees: list[Tree], weight: float) -> None:
+        self.round, self.told = self.round + 1, (trees, weight)
+
+    def each(self, of):
+        t, told, ensembles = self.round, self.told, self.ensembles
+
+        def run(block):
+            name, (p, n) = block
+            x, y = np.memmap(f"{name}.x", np.uint8, "r", shape=(p, n)), np.memmap(f"{name}.y", np.float64, "r")
+            lie = lambda t: np.memmap(f"{name}.{t}", np.float64, "r", shape=(ensembles, n)) if t else None
+            if told:
+                before, new = lie(t - 1), f"{name}.{t}-{uuid.uuid4().hex}"
+                with open(new, "wb") as file:
+                    for k, tree in enumerate(told[0]):
+                        moved(x, None if before is None else before[k], tree, told[1]).tofile(file)
+                os.replace(new, f"{name}.{t}")
+            return of((x, y, lie(t)))
+
+        return self.context.parallelize(self.blocks, len(self.blocks)).map(run)
+
+    def settled(self) -> None:
+        """What :meth:`each` ran has its round's predictions written: the last round's go."""
+        if self.told and self.round > 1:
+            for name, _ in self.blocks:
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(f"{name}.{self.round - 1}")
+        self.told = None
+
+    def close(self) -> None:
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+
+class Persisted:
+    """Blocks as an RDD, where the scratch folder is no file system of the machines."""
+
+    def __init__(self, blocks):
+        self.state, self.last, self.old, self.round, self.marked = blocks.map(lambda b: (*b, None)).persist(StorageLevel.MEMORY_AND_DISK_DESER), None, None, 0, False
+        self.context = blocks.context
+
+    def add(self, trees: list[Tree], weight: float) -> None:
+        def told(b):
+            x, y, f = b
+            return x, y, np.stack([moved(x, None if f is None else f[k], tree, weight) for k, tree in enumerate(trees)])
+
+        self.last, self.round = self.state, self.round + 1
+        # Blocks are bytes already: kept as they are, they are not copied at each level.
+        self.state = self.state.map(told).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+        self.marked = self.round % KEPT_ROUNDS == 0
+        if self.marked:
+            self.state.checkpoint()
+
+    def each(self, of):
+        return self.state.map(of)
+
+    def settled(self) -> None:
+        if self.last is not None:
+            self.last.unpersist()
+        if self.marked:
+            S.forget(self.context, self.old)
+            self.old = self.state.getCheckpointFile()
+        self.last, self.marked = None, False
+
+    def close(self) -> None:
+        self.state.unpersist()
+        S.forget(self.context, self.old)
+
+
 def gains(blocks, sets: list[list[int]], columns: int, depth: int, rounds: int, step: float, logistic: bool = False, bins: int = BINS) -> list[np.ndarray]:
     """By ensemble, how much each column lowered the squared error over all trees and nodes.
 
     ``sets`` are the columns that each ensemble may split on.  The first tree is fitted to the labels and counts whole,
     the others to the loss's negative gradient and count by ``step``.
     """
-    total = [np.zeros(columns) for _ in sets]
-    state, last, trees, old = blocks.map(lambda b: (*b, None)), None, None, None
+    total, roots = [np.zeros(columns) for _ in sets], []
+    folder = scratch.folder(SparkSession.active(), "blocks")
+    held = Mapped(blocks, folder, len(sets)) if folder else Persisted(blocks)
+    trees: list[Tree] = []
     for t in range(rounds):
-        if trees is not None:
-            weight, before = (1.0 if t == 1 else step), trees
-
-            def told(b, before=before, weight=weight):
-                x, y, f = b
-                new = np.stack([tree.value[tree.nodes(x, depth)] for tree in before]) * weight
-                return x, y, new if f is None else f + new
-
-            state = state.map(told)
-        state = state.persist(StorageLevel.MEMORY_AND_DISK)
-        marked = t > 0 and t % KEPT_ROUNDS == 0
-        if marked:
-            state.checkpoint()
+        if t:
+            held.add(trees, 1.0 if t == 1 else step)
         trees = [Tree(depth) for _ in sets]
         for level in range(depth):
+            # The root's counts are the same in all rounds.
+            count = level > 0 or t == 0
 
-            def counted(b, trees=trees, level=level):
+            def counted(b, trees=trees, level=level, count=count):
                 x, y, f = b
-                return np.concatenate([tables(x, residuals(y, None if f is None else f[k], logistic), tree, level, sets[k], bins).ravel() for k, tree in enumerate(trees)])
+                rest = [lambda part, k=k: residuals(y[part], None if f is None else f[k, part], logistic) for k in range(len(trees))]
+                return np.concatenate([tables(x, rest[k], tree, level, sets[k], bins, count).ravel() for k, tree in enumerate(trees)])
 
-            each = state.map(counted)
+            each = held.each(counted)
             both = each.treeReduce(np.add) if each.getNumPartitions() > MEET else each.reduce(np.add)
             at = 0
-            for tree, mine, gain in zip(trees, sets, total, strict=True):
+            for k, (tree, mine, gain) in enumerate(zip(trees, sets, total, strict=True)):
                 shape = (2, len(mine), 2**level, bins)
-                grown(tree, level, both[at : at + np.prod(shape)].reshape(shape), mine, gain)
+                table = both[at : at + np.prod(shape)].reshape(shape)
                 at += np.prod(shape)
+                if not count:
+                    table[0] = roots[k]
+                elif not level:
+                    roots.append(table[0].copy())
+                grown(tree, level, table, mine, gain)
             if level == 0:
-                if last is not None:
-                    last.unpersist()
-                if marked:
-                    S.forget(blocks.context, old)
-                    old = state.getCheckpointFile()
-        last = state
-    if last is not None:
-        last.unpersist()
-    S.forget(blocks.context, old)
+                held.settled()
+    held.close()
     return total

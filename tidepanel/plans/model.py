@@ -11,7 +11,6 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -148,8 +147,7 @@ def shadowed(df: DataFrame, features: list[str], seeds: list[int], parts: int |
     of its own.  So all shadows of all seeds take one shuffle, into ``parts`` partitions where they are given; each value is
     used once, and no task orders all rows.
     """
-    groups = max(1, df.count() // CYCLE)
-    group = F.pmod(F.xxhash64("act_symbol", "date", F.lit(seeds[0])), F.lit(groups)).alias("_g")
+    group = _group(df.count(), seeds).alias("_g")
     row = F.struct("act_symbol", "date", *[F.col(f"`{c}`") for c in df.columns if c not in ("act_symbol", "date")])
     dealt = df.withColumn("_g", group)
     g = (dealt.repartition(parts, "_g") if parts else dealt).groupBy("_g").agg(F.sort_array(F.collect_list(row)).alias("row"))
@@ -162,6 +160,20 @@ def shadowed(df: DataFrame, features: list[str], seeds: list[int], parts: int |
     return lists.select(F.inline(F.arrays_zip(*lists.columns))).select("row.*", *lists.columns[1:])
 
 
+def _group(rows: int, seeds: list[int]):
+    return F.pmod(F.xxhash64("act_symbol", "date", F.lit(seeds[0])), F.lit(max(1, rows // CYCLE)))
+
+
+def shadow_blocks(df: DataFrame, features: list[str], label: str, seeds: list[int], cuts: list[list[float]], rows: int, parts: int):
+    """Bins and labels of ``rows`` rows, as :func:`boosting.packed`, with the shadows of :func:`shadowed`.
+
+    Rows are dealt and sorted with the features alone; the shadows are bins put in order afterwards, so no value of a shadow is moved.
+    """
+    dealt = df.withColumns({"_group": _group(rows, seeds), "_hash": F.xxhash64("act_symbol", "date")})
+    dealt = dealt.repartition(parts, "_group").sortWithinPartitions("_group", "act_symbol", "date")
+    return B.packed(dealt, features, label, cuts, seeds)
+
+
 #: Rounds of the tuner's budgets, and one in how many trials goes on to the next.
 BUDGETS, KEEP = (2, 6, 18), 3
 
@@ -206,15 +218,13 @@ def shadow_selection(df: DataFrame, features: list[str], target: str, iterations
         return []
     p = len(features)
     cuts = B.cuts_of(plain, list(names.values()))
-    columns = [*names.values(), *[f"SHADOW_{seed}_{n}" for seed in seeds for n in names.values()]]
     parts = B.partitions(count, TREE_ROWS, spark.sparkContext.defaultParallelism)
-    blocks = B.packed(shadowed(plain, list(names.values()), seeds, parts), columns, "label", cuts * (1 + iterations)).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = shadow_blocks(plain, list(names.values()), "label", seeds, cuts, count, parts)
     sets = [[*range(p), *range(p * (i + 1), p * (i + 2))] for i in range(iterations)]
     gone: set[str] = set()
-    for gain in B.gains(blocks, sets, len(columns), depth, rounds, 0.05, target_type == "classification"):
+    for gain in B.gains(blocks, sets, p * (1 + iterations), depth, rounds, 0.05, target_type == "classification"):
         best = gain[p:].max()
         gone |= {f for f, g in zip(features, gain[:p], strict=True) if g <= best}
-    blocks.unpersist()
     plain.unpersist()
     return [f for f in features if f not in gone]
 

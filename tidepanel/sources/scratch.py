@@ -26,6 +26,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder}/{uuid.uuid4().hex}-{name}"
 
 
+def folder(spark: SparkSession, name: str) -> str | None:
+    """A path of its own for plain files of tasks, or None where the scratch folder is no file system of the machines."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh(spark, name))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path.toUri().getPath() if files.getUri().getScheme() == "file" else None
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A table written to the scratch folder and read again, so that what reads it several times makes it once."""
     path = fresh(df.sparkSession, name)
