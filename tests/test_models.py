@@ -61,6 +61,29 @@ def test_tuner_is_seeded_and_returns_the_best(split, kind, target):
     assert m.tune_params(split, trials=0) == {}
 
 
+def test_equal_draws_share_a_fit(split, monkeypatch):
+    m = Given(split, ["a", "b", "c"], "y")
+    fits, losses, asked = [], [], []
+
+    class Learner:
+        def __init__(self, **params):
+            self.params = params
+
+        def fit(self, rows):
+            fits.append(self.params)
+            return self
+
+    monkeypatch.setattr(m, "_learner", Learner)
+    monkeypatch.setattr(m, "_loss", lambda model, x: losses.append(1) or model.params["depth"] + model.params["step"] + 1 / model.params["rounds"])
+    fitted = m._fitted
+    monkeypatch.setattr(m, "_fitted", lambda x, parts, **p: asked.append(p) or fitted(x, parts, **p))
+    best = m.tune_params(split, trials=50)
+    assert len(asked) == 50 + 17 + 6 and len(fits) == len(losses) == len({tuple(p.items()) for p in fits}) < 30
+    # The best third goes on, equal draws included.
+    first, second = (sorted(p["depth"] + p["step"] for p in asked if p["rounds"] == r) for r in (2, 6))
+    assert second == first[:17] and best == pytest.approx({"depth": 2, "step": first[0] - 2, "rounds": 18, "loss": first[0] + 1 / 18})
+
+
 def test_error_of_a_regression_is_taken_without_ranks(split, monkeypatch):
     m = Given(split, ["a", "b", "c"], "y")
     x = m.matrix(split)
